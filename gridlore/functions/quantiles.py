@@ -52,15 +52,45 @@ def _narrow(counts: DataFrame, part: list[str], digit: str, wanted: Column) -> D
         lambda r: F.struct(
             r["slot"].alias("slot"), (r["rank"] - before).alias("rank"),
             r["weight"].alias("weight"), r["total"].alias("total"),
+            F.col("_low").alias("low"), F.col("_high").alias("high"),
         ),
     )
-    return (
-        placed.withColumn("_hits", hits)
-        .filter(F.size("_hits") > 0)
-        .select(*map(col, part), col(digit), "_hits")
+    # the value range travels inside the hits, so that every use of this table reads
+    # the same columns and its aggregate is computed once
+    return placed.withColumn("_hits", hits).filter(F.size("_hits") > 0).select(
+        *map(col, part), col(digit), "_hits"
     )
 
 
+def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    v = F.col("value")
+    return rows.groupBy(*map(col, by)).agg(
+        F.count(F.lit(1)).alias("n"), F.min(v).alias("_low"), F.max(v).alias("_high")
+    )
+
+
+def _inside(values: DataFrame, target: DataFrame, keys: list[str], digits: list[str], small: bool) -> DataFrame:
+    """The values in a wanted digit, with that digit.
+
+    With few keys the digits' value ranges are broadcast and compared, which is
+    cheaper than computing digits; with many keys rows meet their digit by shuffle,
+    on a key that spreads even one huge group.
+    """
+    if small:
+        ranges = target.select(
+            *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *digits,
+            F.get("_hits", F.lit(0))["low"].alias("_low"), F.get("_hits", F.lit(0))["high"].alias("_high"),
+        )
+        same = [col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+        between = F.col("value").between(F.col("_low"), F.col("_high"))
+        found = values.join(F.broadcast(ranges), [*same, between])
+        return found.select(*map(col, keys), "value", *digits)
+    coarse, fine = _digits(F.col("value"))
+    made = {"_d1": coarse, "_d2": fine}
+    rows = values.withColumns({d: made[d] for d in digits})
+    return rows.join(target.select(*map(col, keys), *digits), [*keys, *digits])
+
+
 def exact_quantiles(
     values: DataFrame, keys: list[str], probs: dict[str, float], small_keys: bool = True
 ) -> DataFrame:
@@ -71,11 +101,10 @@ def exact_quantiles(
     number of key combinations is bounded by the schema (column names), so that the
     table of wanted digits may be broadcast.
     """
+    values = values.select(*map(col, keys), "value")
     coarse, fine = _digits(F.col("value"))
-    rows = values.select(*map(col, keys), "value", coarse.alias("_d1"), fine.alias("_d2"))
-    hint = F.broadcast if small_keys else (lambda d: d)
 
-    first = rows.groupBy(*map(col, keys), "_d1").agg(F.count(F.lit(1)).alias("n"))
+    first = _counted(values.withColumn("_d1", coarse), [*keys, "_d1"])
     total = F.sum("n").over(Window.partitionBy(*map(col, keys)))
     first = first.withColumn("_total", total)
     wanted = []
@@ -91,21 +120,16 @@ def exact_quantiles(
             )
     target1 = _narrow(first, keys, "_d1", F.array(*wanted))
 
-    second = (
-        rows.join(hint(target1.drop("_hits")), [*keys, "_d1"])
-        .groupBy(*map(col, keys), "_d1", "_d2")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(hint(target1), [*keys, "_d1"])
-    )
-    target2 = _narrow(second, [*keys, "_d1"], "_d2", F.col("_hits"))
+    by = [*keys, "_d1"]
+    second = _inside(values, target1, keys, ["_d1"], small_keys).withColumn("_d2", fine)
+    hits1 = target1.select(*map(col, by), "_hits")
+    target2 = _narrow(_counted(second, [*by, "_d2"]).join(hits1, by), by, "_d2", F.col("_hits"))
 
-    third = (
-        rows.join(hint(target2.drop("_hits")), [*keys, "_d1", "_d2"])
-        .groupBy(*map(col, keys), "_d1", "_d2", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(hint(target2), [*keys, "_d1", "_d2"])
-    )
-    found = _narrow(third, [*keys, "_d1", "_d2"], "value", F.col("_hits")).select(
+    by = [*by, "_d2"]
+    third = _inside(values, target2, keys, ["_d1", "_d2"], small_keys)
+    counts = _counted(third, [*by, "value"])
+    hits2 = target2.select(*map(col, by), "_hits")
+    found = _narrow(counts.join(hits2, by), by, "value", F.col("_hits")).select(
         *map(col, keys), "value", F.explode("_hits").alias("h")
     )
 

@@ -13,8 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridlore.functions.columns import col, dtype_of, is_floating, present
+from gridlore.functions.columns import col, dtype_of, present
 
 COLUMNS_PER_SCAN = 40
 
@@ -48,30 +49,50 @@ def per_column(
     return union_all(frames)
 
 
-def long_text(df: DataFrame, names: list[str]) -> DataFrame:
-    """``(column, value)`` rows with every value as text, missing values dropped."""
-    picked = df.select(*[_text(df, n).alias(n) for n in names])
-    return picked.unpivot([], [col(n) for n in names], "column", "value").filter(
-        F.col("value").isNotNull()
-    )
+def _kind(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double"
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return dtype.simpleString()
+    return "string"
 
 
-def _text(df: DataFrame, name: str) -> Column:
-    c = present(df, name)
-    # 0.0 and -0.0 are one value but print differently
-    return (c + F.lit(0.0)).cast("string") if is_floating(dtype_of(df, name)) else c.cast("string")
+def stacked(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """``(place, value)`` rows for columns of one type, missing values dropped."""
+    picked = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    pairs = [x for i in range(len(columns)) for x in (F.lit(i), F.col(f"c{i}"))]
+    rows = picked.select(F.stack(F.lit(len(columns)), *pairs).alias("place", "value"))
+    return rows.filter(F.col("value").isNotNull())
 
 
-def long_numbers(df: DataFrame, names: list[str], ids: list[str] | None = None) -> DataFrame:
-    """``(ids…, column, value)`` rows with every value as a double, missing values dropped."""
-    ids = ids or []
-    picked = df.select(
-        *[col(i) for i in ids], *[present(df, n).cast("double").alias(f"v_{n}") for n in names]
-    )
-    long = picked.unpivot([col(i) for i in ids], [col(f"v_{n}") for n in names], "column", "value")
-    return long.filter(F.col("value").isNotNull()).withColumn("column", F.expr("substring(column, 3)"))
+def named(df: DataFrame, names: list[str]) -> DataFrame:
+    """Replace the small number ``place`` by the name it stands for."""
+    labels = F.array(*[F.lit(n) for n in names])
+    others = [col(c) for c in df.columns if c != "place"]
+    return df.select(F.element_at(labels, F.col("place") + 1).alias("column"), *others)
+
+
+def long_numbers(df: DataFrame, names: list[str]) -> DataFrame:
+    """``(place, value)`` rows with every value as a double."""
+    return stacked(df, [present(df, n).cast("double") for n in names])
 
 
 def value_frequencies(df: DataFrame, names: list[str]) -> DataFrame:
-    """``(column, value, n)``: how often each value occurs in each column."""
-    return long_text(df, names).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """``(column, value, n)``: how often each value occurs in each column.
+
+    Columns of one type are counted together in their own type; values become text
+    only once they are counted. Each type's scan reads just its own columns.
+    """
+    groups: dict[str, list[str]] = {}
+    for n in names:
+        groups.setdefault(_kind(dtype_of(df, n)), []).append(n)
+    frames = []
+    for kind, members in groups.items():
+        values = [present(df, n).cast(kind) for n in members]
+        if kind == "double":
+            values = [v + F.lit(0.0) for v in values]  # 0.0 and -0.0 are one value
+        counts = stacked(df, values).groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
+        frames.append(named(counts.withColumn("value", F.col("value").cast("string")), members))
+    return union_all(frames)

@@ -12,7 +12,7 @@ from gridlore.functions.columns import (
     text_columns, time_columns, without_nan,
 )
 from gridlore.functions.quantiles import approx_quantiles, exact_quantiles
-from gridlore.functions.shapes import long_numbers, per_column, union_all, value_frequencies
+from gridlore.functions.shapes import long_numbers, named, per_column, union_all, value_frequencies
 from gridlore.operators.aggregates import group_metrics, shares_of_total
 from gridlore.operators.roles import Roles, roles_of, stats_date_columns
 
@@ -64,10 +64,9 @@ def _frequency_facts(df: DataFrame, names: list[str]) -> DataFrame:
 def category_modes(df: DataFrame, names: list[str]) -> DataFrame:
     """All most frequent values of every column, one row each."""
     freq = value_frequencies(df, names)
-    best = freq.groupBy("column").agg(F.max("n").alias("frequency"))
-    at_top = [freq["column"] == best["column"], freq["n"] == best["frequency"]]
-    # one row per column on the small side
-    return freq.join(F.broadcast(best), at_top).select(freq["column"], "value", "frequency")
+    best = freq.groupBy("column").agg(F.max("n").alias("frequency"))  # one row per column
+    at_top = freq.join(F.broadcast(best), "column").filter(F.col("n") == F.col("frequency"))
+    return at_top.select("column", "value", "frequency")
 
 
 def categorical_summary(df: DataFrame, names: list[str]) -> DataFrame:
@@ -102,9 +101,12 @@ def categorical_summary(df: DataFrame, names: list[str]) -> DataFrame:
 
 def quantile_table(df: DataFrame, names: list[str], approx: bool = False) -> DataFrame:
     """Quartiles per numeric column."""
-    values = long_numbers(df, names)
+    return named(_quartiles(long_numbers(df, names), approx), names)
+
+
+def _quartiles(values: DataFrame, approx: bool = False) -> DataFrame:
     make = approx_quantiles if approx else exact_quantiles
-    return make(values, ["column"], QUARTILES)
+    return make(values, ["place"], QUARTILES)
 
 
 def _moments(df: DataFrame, names: list[str]) -> DataFrame:
@@ -146,21 +148,28 @@ def fences(q: DataFrame, ids: list[str]) -> DataFrame:
     )
 
 
-def outlier_counts(values: DataFrame, q: DataFrame) -> DataFrame:
-    """Fences per column and the number of values outside (0 when the IQR is 0)."""
-    limits = fences(q, ["column"])
+def outlier_counts(df: DataFrame, names: list[str], approx: bool = False, finite: bool = False) -> DataFrame:
+    """Quartiles, fences and the number of values outside (0 when the IQR is 0) per column."""
+    values = long_numbers(df, names)
+    if finite:
+        values = values.filter(F.abs("value") != float("inf"))
+    limits = fences(_quartiles(values, approx), ["place"])
     outside = (F.col("iqr") > 0) & ((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
+    # one row per column on the small side, here and below
     counted = (
-        values.join(F.broadcast(limits.select("column", "iqr", "low", "high")), "column")
-        .groupBy("column").agg(F.count_if(outside).alias("outliers"))
+        values.join(F.broadcast(limits), "place")
+        .groupBy("place").agg(
+            F.count_if(outside).alias("outliers"),
+            *[F.max(c).alias(c) for c in ("n", "q1", "median", "q3", "iqr", "low", "high")],
+        )
     )
-    return limits.join(F.broadcast(counted), "column")
+    return named(counted, names)
 
 
 def outlier_profile(df: DataFrame, names: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Quartiles and the number of values outside the fences; not assessed below 4 values."""
     names = numeric_columns(df) if names is None else names
-    counted = outlier_counts(long_numbers(df, names), quantile_table(df, names, approx))
+    counted = outlier_counts(df, names, approx)
     sized = per_column(df, names, lambda c: {"filled": F.count(present(df, c))})
     enough = F.col("filled") >= 4
     rows = sized.join(F.broadcast(counted), "column", "left")
@@ -384,13 +393,32 @@ def group_shares(df: DataFrame, keys: list[str], m: str) -> DataFrame:
 
 # --- time -------------------------------------------------------------------
 
-def _days(df: DataFrame, ts: str, m: str | None) -> DataFrame:
-    """Total and usable values per day: everything later works on days."""
+def _periods(df: DataFrame, ts: str, m: str | None) -> DataFrame:
+    """Total, days and last day per day, week or month, whichever suits the observed span.
+
+    Rows are summed per day first; the span and the periods are read from those days.
+    """
     v = measure(df, m).cast("double") if m else F.lit(1.0)
-    return (
+    days = (
         df.select(as_day(df, ts).alias("day"), v.alias("v")).filter(F.col("day").isNotNull())
         .groupBy("day").agg(F.sum("v").alias("value"))
     )
+    # counting the values keeps this aggregate on the very same daily sums
+    facts = days.agg(F.struct(
+        (F.datediff(F.max("day"), F.min("day")) + 1).alias("span"), F.count("value").alias("filled"),
+    ).alias("f")).scalar()
+    grain = (
+        F.when(facts["filled"] < 0, None).when(facts["span"] <= 31, "day")
+        .when(facts["span"] <= 180, "week").otherwise("month")
+    )
+    period = (
+        F.when(grain == "day", F.col("day"))
+        .when(grain == "week", F.trunc("day", "week"))
+        .otherwise(F.trunc("day", "month"))
+    )
+    return days.groupBy(period.alias("period"), grain.alias("grain")).agg(
+        F.sum("value").alias("value"), F.count(F.lit(1)).alias("days"), F.max("day").alias("last_day"),
+    )
 
 
 def time_aggregation(df: DataFrame, ts: str, m: str | None = None) -> DataFrame:
@@ -400,42 +428,36 @@ def time_aggregation(df: DataFrame, ts: str, m: str | None = None) -> DataFrame:
     values are all missing are left out. Without a measure rows are counted.
     """
     require(df, ts, *([m] if m else []))
-    days = _days(df, ts, m)
-    span = days.agg((F.datediff(F.max("day"), F.min("day")) + 1).alias("span")).scalar()
-    grain = F.when(span <= 31, "day").when(span <= 180, "week").otherwise("month")
-    period = (
-        F.when(grain == "day", F.col("day"))
-        .when(grain == "week", F.trunc("day", "week"))
-        .otherwise(F.trunc("day", "month"))
-    )
-    return (
-        days.groupBy(period.alias("period"), grain.alias("grain"))
-        .agg(F.sum("value").alias("value")).filter(F.col("value").isNotNull())
-    )
+    return _periods(df, ts, m).filter(F.col("value").isNotNull()).select("period", "grain", "value")
 
 
 def time_extremes(df: DataFrame, ts: str, m: str | None = None) -> DataFrame:
     """One row: highest and lowest period; a partly covered final one is flagged and left out."""
-    series = time_aggregation(df, ts, m)
-    days = _days(df, ts, m)
-    last = series.agg(F.max_by(F.struct("period", "grain"), "period").alias("p")).scalar()
-    start, grain = last["period"], last["grain"]
-    end = F.when(grain == "month", F.last_day(start)).otherwise(F.date_add(start, 6))
-    tail = days.filter(F.col("day") >= start).agg(
-        F.struct(F.max("day").alias("until"), F.count(F.lit(1)).alias("days")).alias("t")
-    ).scalar()
-    covered = (F.datediff(tail["until"], start) + 1) / (F.datediff(end, start) + 1)
-    partial = grain.isin("month", "week") & (tail["days"] >= 3) & (covered < 0.9)
-    size = series.agg(F.count(F.lit(1)).alias("n")).scalar()
-    skip = partial & (size > 2)
-    used = series.filter(~(skip & (F.col("period") == start)))
+    require(df, ts, *([m] if m else []))
+    whole = Window.partitionBy("grain")  # one row per calendar period
+    filled = F.col("value").isNotNull()
+    rows = _periods(df, ts, m).withColumn("start", F.max(F.when(filled, F.col("period"))).over(whole))
+    tail = F.col("period") >= F.col("start")
+    rows = rows.withColumns({
+        "size": F.count("value").over(whole), "until": F.max("last_day").over(whole),
+        "tail_days": F.sum(F.when(tail, F.col("days"))).over(whole),
+    }).filter(filled)
+    end = F.when(F.col("grain") == "month", F.last_day("start")).otherwise(F.date_add("start", 6))
+    covered = (F.datediff("until", "start") + 1) / (F.datediff(end, F.col("start")) + 1)
+    partial = (
+        F.col("grain").isin("month", "week") & (F.col("tail_days") >= 3) & (covered < 0.9)
+        & (F.col("size") >= 2)
+    )
+    rows = rows.withColumn("partial", partial)
+    used = rows.filter(~(F.col("partial") & (F.col("size") > 2) & (F.col("period") == F.col("start"))))
     return used.agg(
         F.max("grain").alias("grain"),
         F.min_by("period", F.struct(-F.col("value"), F.col("period"))).alias("highest_period"),
         F.max("value").alias("highest"),
         F.min_by("period", F.struct("value", "period")).alias("lowest_period"),
         F.min("value").alias("lowest"),
-    ).withColumn("partial_until", F.when(partial & (size >= 2), tail["until"]))
+        F.max(F.when(F.col("partial"), F.col("until"))).alias("partial_until"),
+    )
 
 
 def extreme_examples(df: DataFrame, m: str, roles: Roles | None = None) -> DataFrame:
@@ -523,7 +545,7 @@ def fact_sheet(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     frames = []
     numbers = roles.measures[:10]
     if numbers:
-        counted = outlier_counts(long_numbers(df, numbers), quantile_table(df, numbers))
+        counted = outlier_counts(df, numbers)
         rows = _moments(df, numbers).join(
             F.broadcast(counted.select("column", "q1", "median", "q3", "outliers")), "column"
         ).filter(F.col("count") >= 4)

@@ -17,10 +17,9 @@ from gridlore.functions.columns import (
     as_number, as_ts, col, missing, numeric_columns, percent, present, strip, text_columns,
 )
 from gridlore.functions.positions import with_position
-from gridlore.functions.quantiles import exact_quantiles
-from gridlore.functions.shapes import long_numbers, per_column, union_all, value_frequencies
+from gridlore.functions.shapes import per_column, union_all, value_frequencies
 from gridlore.operators.profile import (
-    QUARTILES, dataset_summary, duplicate_count, outlier_counts, outlier_profile,
+    dataset_summary, duplicate_count, outlier_counts, outlier_profile,
 )
 from gridlore.operators.roles import Roles, roles_of
 
@@ -173,8 +172,7 @@ class QualityFacts:
     def outliers(self) -> DataFrame:
         """Per numeric column: finite values, how many differ and how many are outside the fences."""
         numbers = numeric_columns(self.df)
-        finite = long_numbers(self.df, numbers).filter(F.abs("value") != float("inf"))
-        counted = outlier_counts(finite, exact_quantiles(finite, ["column"], QUARTILES))
+        counted = outlier_counts(self.df, numbers, finite=True)
         different = (
             self.frequencies.filter(F.col("column").isin(numbers))
             .filter(~F.col("value").isin("Infinity", "-Infinity"))

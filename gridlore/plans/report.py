@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.functions.columns import as_number, col, percent
-from gridlore.functions.shapes import long_numbers, union_all
+from gridlore.functions.shapes import union_all
 from gridlore.operators.aggregates import group_metrics
 from gridlore.operators.charts import box_stats, histogram, ranked_bar_data
 from gridlore.operators.profile import (
@@ -55,7 +55,7 @@ def insights(df: DataFrame, roles: Roles | None = None) -> DataFrame:
             "extreme", F.lit(primary), which=F.col("kind"), value=_num(F.col("value")),
             records=F.col("records"), example=F.col("example"),
         )))
-        counted = outlier_counts(long_numbers(df, [primary]), quantile_table(df, [primary]))
+        counted = outlier_counts(df, [primary])
         shape = _moments(df, [primary]).join(
             F.broadcast(counted.select("column", "median", "outliers")), "column"
         ).filter(F.col("count") >= 4)
