@@ -10,55 +10,49 @@ values always collapse to one count, so hot values cost nothing extra.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.functions.columns import col
 
 
-def _digits(v: Column) -> tuple[Column, Column]:
-    size = F.abs(v)
-    sign = F.signum(v).cast("long")
-    exponent = F.floor(F.log2(size))
-    scaled = (size / F.pow(F.lit(2.0), exponent.cast("double")) - F.lit(1.0)) * F.lit(4096.0)
-    first = F.floor(scaled)
-    coarse = (
-        F.when(v == 0.0, F.lit(0).cast("long"))
-        .when(size == float("inf"), sign * F.lit(1 << 40))
-        .otherwise(sign * ((exponent + 1100) * 8192 + first + 2))
-    )
-    fine = F.when((v == 0.0) | (size == float("inf")), F.lit(0).cast("long")).otherwise(
-        sign * F.floor((scaled - first) * F.lit(float(1 << 20)))
-    )
-    return coarse, fine
+_EXPONENT = "floor(log2(abs(value)))"
+_SCALED = f"((abs(value) / pow(2D, {_EXPONENT}) - 1D) * 4096D)"
+_SIGN = "CAST(signum(value) AS BIGINT)"
+_COARSE = (
+    f"CASE WHEN value = 0D THEN 0L WHEN abs(value) = double('inf') THEN {_SIGN} * shiftleft(1L, 40) "
+    f"ELSE {_SIGN} * (({_EXPONENT} + 1100L) * 8192L + floor({_SCALED}) + 2L) END"
+)
+_FINE = (
+    f"CASE WHEN value = 0D OR abs(value) = double('inf') THEN 0L "
+    f"ELSE {_SIGN} * floor(({_SCALED} - floor({_SCALED})) * 1048576D) END"
+)
+
 
+def coarse_digit(values: DataFrame) -> DataFrame:
+    """Add ``slice``, the part of the number line ``value`` is in: a few thousand per octave."""
+    return values.withColumn("slice", F.expr(_COARSE))
 
-def coarse_digit(v: Column) -> Column:
-    """The slice of the number line a value falls in; at most a few thousand per octave."""
-    return _digits(v)[0]
 
+def _narrow(counts: DataFrame, part: list[str], digit: str, wanted: str) -> DataFrame:
+    """Keep the digits that hold a wanted rank; ranks become relative to the digit.
 
-def _narrow(counts: DataFrame, part: list[str], digit: str, wanted: Column) -> DataFrame:
-    """Keep the digits that hold a wanted rank; ranks become relative to the digit."""
+    The value range travels inside the hits, so that every use of this table reads
+    the same columns and its aggregate is computed once.
+    """
     upto = F.sum("n").over(
         Window.partitionBy(*map(col, part))
         .orderBy(col(digit))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = counts.withColumn("_wanted", wanted).withColumn("_upto", upto)
-    before = F.col("_upto") - F.col("n")
-    hits = F.transform(
-        F.filter("_wanted", lambda r: (r["rank"] >= before) & (r["rank"] < F.col("_upto"))),
-        lambda r: F.struct(
-            r["slot"].alias("slot"), (r["rank"] - before).alias("rank"),
-            r["weight"].alias("weight"), r["total"].alias("total"),
-            F.col("_low").alias("low"), F.col("_high").alias("high"),
-        ),
+    hits = F.expr(
+        f"transform(filter({wanted}, r -> r.rank >= _upto - n AND r.rank < _upto), r -> named_struct("
+        "'slot', r.slot, 'rank', r.rank - (_upto - n), 'weight', r.weight, 'total', r.total, "
+        "'low', _low, 'high', _high))"
     )
-    # the value range travels inside the hits, so that every use of this table reads
-    # the same columns and its aggregate is computed once
-    return placed.withColumn("_hits", hits).filter(F.size("_hits") > 0).select(
-        *map(col, part), col(digit), "_hits"
+    placed = counts.withColumn("_upto", upto).withColumn("_found", hits)
+    return placed.filter("size(_found) > 0").select(
+        *map(col, part), col(digit), F.col("_found").alias("_hits")
     )
 
 
@@ -85,9 +79,8 @@ def _inside(values: DataFrame, target: DataFrame, keys: list[str], digits: list[
         between = F.col("value").between(F.col("_low"), F.col("_high"))
         found = values.join(F.broadcast(ranges), [*same, between])
         return found.select(*map(col, keys), "value", *digits)
-    coarse, fine = _digits(F.col("value"))
-    made = {"_d1": coarse, "_d2": fine}
-    rows = values.withColumns({d: made[d] for d in digits})
+    made = {"_d1": _COARSE, "_d2": _FINE}
+    rows = values.withColumns({d: F.expr(made[d]) for d in digits})
     return rows.join(target.select(*map(col, keys), *digits), [*keys, *digits])
 
 
@@ -102,46 +95,37 @@ def exact_quantiles(
     table of wanted digits may be broadcast.
     """
     values = values.select(*map(col, keys), "value")
-    coarse, fine = _digits(F.col("value"))
-
-    first = _counted(values.withColumn("_d1", coarse), [*keys, "_d1"])
-    total = F.sum("n").over(Window.partitionBy(*map(col, keys)))
-    first = first.withColumn("_total", total)
-    wanted = []
-    for slot, p in enumerate(probs.values()):
-        at = (F.col("_total") - 1) * F.lit(float(p))
-        low = F.floor(at)
-        for side, rank in ((0, low), (1, F.ceil(at))):
-            wanted.append(
-                F.struct(
-                    F.lit(2 * slot + side).alias("slot"), rank.alias("rank"),
-                    (at - low).alias("weight"), F.col("_total").alias("total"),
-                )
-            )
-    target1 = _narrow(first, keys, "_d1", F.array(*wanted))
+    first = _counted(values.withColumn("_d1", F.expr(_COARSE)), [*keys, "_d1"])
+    first = first.withColumn("_total", F.sum("n").over(Window.partitionBy(*map(col, keys))))
+    wanted = ", ".join(
+        f"named_struct('slot', {2 * slot + side}, 'rank', CAST({fn}((_total - 1) * {float(p)}D) AS BIGINT), "
+        f"'weight', (_total - 1) * {float(p)}D - floor((_total - 1) * {float(p)}D), 'total', _total)"
+        for slot, p in enumerate(probs.values())
+        for side, fn in enumerate(("floor", "ceil"))
+    )
+    target1 = _narrow(first, keys, "_d1", f"array({wanted})")
 
     by = [*keys, "_d1"]
-    second = _inside(values, target1, keys, ["_d1"], small_keys).withColumn("_d2", fine)
+    second = _inside(values, target1, keys, ["_d1"], small_keys).withColumn("_d2", F.expr(_FINE))
     hits1 = target1.select(*map(col, by), "_hits")
-    target2 = _narrow(_counted(second, [*by, "_d2"]).join(hits1, by), by, "_d2", F.col("_hits"))
+    target2 = _narrow(_counted(second, [*by, "_d2"]).join(hits1, by), by, "_d2", "_hits")
 
     by = [*by, "_d2"]
     third = _inside(values, target2, keys, ["_d1", "_d2"], small_keys)
     counts = _counted(third, [*by, "value"])
     hits2 = target2.select(*map(col, by), "_hits")
-    found = _narrow(counts.join(hits2, by), by, "value", F.col("_hits")).select(
+    found = _narrow(counts.join(hits2, by), by, "value", "_hits").select(
         *map(col, keys), "value", F.explode("_hits").alias("h")
     )
 
-    def at_slot(i: int, field: Column) -> Column:
-        return F.max(F.when(F.col("h.slot") == i, field))
-
     out = []
     for slot, name in enumerate(probs):
-        low, high = at_slot(2 * slot, F.col("value")), at_slot(2 * slot + 1, F.col("value"))
-        weight = at_slot(2 * slot, F.col("h.weight"))
+        low = f"max(CASE WHEN h.slot = {2 * slot} THEN value END)"
+        high = f"max(CASE WHEN h.slot = {2 * slot + 1} THEN value END)"
+        weight = f"max(CASE WHEN h.slot = {2 * slot} THEN h.weight END)"
         # equal neighbours need no interpolation (and infinities must not meet)
-        out.append(F.when(low == high, low).otherwise(low + (high - low) * weight).alias(name))
+        between = f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * {weight} END"
+        out.append(F.expr(between).alias(name))
     return found.groupBy(*map(col, keys)).agg(F.max("h.total").alias("n"), *out)
 
 

@@ -162,7 +162,7 @@ def histogram(df: DataFrame, name: str, bins: int | None = None) -> DataFrame:
     if bins is None:
         # Only up to four distinct values matter. Values in five or more different
         # coarse slices need no distinct count, and then no row reaches it.
-        slices = values.select(coarse_digit(F.col("v")).alias("s")).distinct()
+        slices = coarse_digit(values.select(F.col("v").alias("value"))).select("slice").distinct()
         spread = slices.agg(F.count(F.lit(1)).alias("c")).scalar()
         close = values.filter(spread <= 4).distinct().agg(F.count(F.lit(1)).alias("d")).scalar()
         few = F.greatest(spread, close)
