@@ -1,25 +1,24 @@
 """The data-quality gate: one function per check, all returning issue rows.
 
-The checks read a few shared fact tables (one row per column, or one row), so a
-whole gate run costs one wide aggregate, one pass over ``(column, value)`` counts,
-one over distinct rows and the quantile passes, however many checks use them.
+A gate run gathers facts per column once: one wide aggregate, ``(column, value)``
+counts, quantiles, and one pass over distinct rows. The checks themselves look at
+those facts only, which are as many as the table has columns.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.functions import names as N
 from gridlore.functions.columns import (
     as_number, as_ts, col, missing, numeric_columns, percent, present, strip, text_columns,
 )
-from gridlore.functions.positions import with_position
 from gridlore.functions.shapes import per_column, union_all, value_frequencies
 from gridlore.operators.profile import (
-    dataset_summary, duplicate_count, outlier_counts, outlier_profile,
+    dataset_summary, distinct_rows, outlier_counts, outlier_profile,
 )
 from gridlore.operators.roles import Roles, roles_of
 
@@ -109,14 +108,42 @@ def share(part: Column, whole: Column) -> Column:
 
 
 class QualityFacts:
-    """Lazy fact tables shared by the checks of one gate run."""
+    """Facts about every column, one row each; ``parts`` names the costlier ones to join."""
 
-    def __init__(self, df: DataFrame):
-        self.df = df
+    PARTS = ("distinct", "variants", "outliers")
+
+    def __init__(self, df: DataFrame, parts: tuple[str, ...] = PARTS):
+        self.df, self.parts = df, parts
+
+    @cached_property
+    def table(self) -> DataFrame:
+        """Position, column and all facts; facts that were not asked for are NULL."""
+        rows = self._columns()
+        none = F.lit(None).cast("long")
+        if "distinct" in self.parts or "outliers" in self.parts:
+            rows = rows.join(F.broadcast(self._distinct()), "column", "left")
+        else:
+            rows = rows.withColumn("distinct", none)
+        if "variants" in self.parts and text_columns(self.df):
+            rows = rows.join(F.broadcast(self._variants()), "column", "left")
+        else:
+            rows = rows.withColumns({"raw": none, "unified": none, "affected": none})
+        if "outliers" in self.parts and numeric_columns(self.df):
+            found = outlier_counts(self.df, numeric_columns(self.df), finite=True)
+            rows = rows.join(F.broadcast(found.select("column", "n", "iqr", "outliers")), "column", "left")
+        else:
+            rows = rows.withColumns({"n": none, "iqr": none.cast("double"), "outliers": none})
+        return rows.withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
     @cached_property
-    def columns(self) -> DataFrame:
-        """Per column: rows, filled values, unreadable values, infinities and negatives."""
+    def packed(self) -> DataFrame:
+        """All facts in one row, as a list as long as the schema is wide."""
+        rows = self.table
+        listed = F.sort_array(F.collect_list(F.struct("position", *[col(c) for c in rows.columns if c != "position"])))
+        return rows.agg(listed.alias("facts"))
+
+    def _columns(self) -> DataFrame:
+        """Rows, filled values, unreadable values, infinities and negatives."""
         df = self.df
         texts, numbers = set(text_columns(df)), set(numeric_columns(df))
         all_missing = F.lit(True)
@@ -127,33 +154,32 @@ class QualityFacts:
         def facts(n: str) -> dict[str, Column]:
             v = present(df, n).cast("double") if n in numbers else None
             dated = n in texts and N.is_date_name(n)
+            infinite = F.count_if(F.abs(v) == float("inf")) if v is not None else zero
+            ends = (
+                F.coalesce(F.max(F.when(v == float("inf"), 1)), F.lit(0))
+                + F.coalesce(F.max(F.when(v == float("-inf"), 1)), F.lit(0))
+            ) if v is not None else F.lit(0)
             return {
                 "rows": F.count(F.lit(1)),
                 "filled": F.count(present(df, n)),
                 "empty_rows": F.count_if(all_missing),
                 "numbers": F.count(as_number(df, n)) if n in texts else zero,
                 "dates": F.count(as_ts(df, n)) if dated else zero,
-                "infinite": F.count_if(F.abs(v) == float("inf")) if v is not None else zero,
+                "infinite": infinite, "infinities": ends,
+                "is_text": F.lit(n in texts), "measure_name": F.lit(N.is_measure_name(n)),
                 "negative": F.count_if(v < 0) if v is not None else zero,
             }
 
         return per_column(df, df.columns, facts)
 
-    @cached_property
-    def frequencies(self) -> DataFrame:
-        return value_frequencies(self.df, self.df.columns)
-
-    @cached_property
-    def distinct(self) -> DataFrame:
-        """Per column with values: how many different ones."""
-        return self.frequencies.groupBy("column").agg(
-            F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("filled")
+    def _distinct(self) -> DataFrame:
+        return value_frequencies(self.df, self.df.columns).groupBy("column").agg(
+            F.count(F.lit(1)).alias("distinct")
         )
 
-    @cached_property
-    def variants(self) -> DataFrame:
-        """Per text column: categories as written and once case and blanks are unified."""
-        texts = self.frequencies.filter(F.col("column").isin(text_columns(self.df)))
+    def _variants(self) -> DataFrame:
+        """Categories of text columns as written, and once case and blanks are unified."""
+        texts = value_frequencies(self.df, text_columns(self.df))
         trimmed = texts.groupBy("column", strip(F.col("value")).alias("v")).agg(F.sum("n").alias("n"))
         folded = trimmed.groupBy("column", F.lower("v").alias("k")).agg(
             F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")
@@ -161,241 +187,250 @@ class QualityFacts:
         return folded.groupBy("column").agg(
             F.sum("forms").alias("raw"), F.count(F.lit(1)).alias("unified"),
             F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("affected"),
-            F.sum("n").alias("filled"),
-        )
-
-    @cached_property
-    def duplicates(self) -> DataFrame:
-        return duplicate_count(self.df)
-
-    @cached_property
-    def outliers(self) -> DataFrame:
-        """Per numeric column: finite values, how many differ and how many are outside the fences."""
-        numbers = numeric_columns(self.df)
-        counted = outlier_counts(self.df, numbers, finite=True)
-        different = (
-            self.frequencies.filter(F.col("column").isin(numbers))
-            .filter(~F.col("value").isin("Infinity", "-Infinity"))
-            .groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
         )
-        return counted.join(F.broadcast(different), "column")  # one row per column
-
-    @cached_property
-    def whole(self) -> Column:
-        """Rows and empty rows of the table as a scalar."""
-        return self.columns.agg(
-            F.struct(F.max("rows").alias("rows"), F.max("empty_rows").alias("empty_rows"))
-        ).scalar()
 
 
-def _position(df: DataFrame, c: Column) -> Column:
-    if not df.columns:
-        return F.lit(0)
-    place = F.create_map(*[x for i, n in enumerate(df.columns) for x in (F.lit(n), F.lit(i))])
-    return place[c]
+_SCHEMA = (
+    "array<struct<seq:bigint,issue:string,severity:string,columns:array<string>,affected_rows:bigint,"
+    "affected_pct:double,observed:string,why:string,recommended_action:string,category:string>>"
+)
 
 
-def _issues(
-    rows: DataFrame, kind: str, severity: Column, columns: Column, position: Column,
-    affected: Column | None = None, pct: Column | None = None,
-) -> DataFrame:
+def _issue(
+    kind: str, found: Column, severity: Column | str, columns: Column | None = None,
+    position: Column | None = None, affected: Column | None = None, pct: Column | None = None,
+) -> Column:
+    """The issue as a struct, or NULL when it was not found."""
     order, name, category = ISSUES[kind]
     why, action, _ = ADVICE[kind]
-    none = F.lit(None)
-    affected = (none if affected is None else affected).cast("long")
-    pct = (none if pct is None else pct).cast("double")
+    columns = (F.array() if columns is None else columns).cast("array<string>")
+    affected = (F.lit(None) if affected is None else affected).cast("long")
     observed = F.concat_ws(
         "", F.lit(name), F.concat(F.lit(": "), F.nullif(F.array_join(columns, ", "), F.lit(""))),
         F.concat(F.lit(" ("), affected.cast("string"), F.lit(" affected)")),
     )
-    return rows.select(
-        (F.lit(order) * 10000 + position).cast("long").alias("seq"),
-        F.lit(name).alias("issue"), severity.alias("severity"), columns.alias("columns"),
-        affected.alias("affected_rows"), pct.alias("affected_pct"), observed.alias("observed"),
-        F.lit(why).alias("why"), F.lit(action).alias("recommended_action"),
-        F.lit(category).alias("category"),
-    )
+    return F.when(found, F.struct(
+        (F.lit(order) * 10000 + (F.lit(0) if position is None else position)).cast("long").alias("seq"),
+        F.lit(name).alias("issue"),
+        (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"),
+        columns.alias("columns"), affected.alias("affected_rows"),
+        (F.lit(None) if pct is None else pct).cast("double").alias("affected_pct"),
+        observed.alias("observed"), F.lit(why).alias("why"),
+        F.lit(action).alias("recommended_action"), F.lit(category).alias("category"),
+    ))
 
 
 def _block_from(pct: Column, limit: float) -> Column:
     return F.when(pct >= limit, "BLOCKING").otherwise("WARNING")
 
 
-def _one(c: str = "column") -> Column:
-    return F.array(F.col(c))
+def _rows(packed: DataFrame, *issues: Column) -> DataFrame:
+    """Issue rows from a list of issue arrays."""
+    return packed.select(F.inline(F.concat(*[F.array_compact(i).cast(_SCHEMA) for i in issues])))
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
+# Checks of one column's facts ``x`` and checks of the whole list of facts ``xs``.
 
+def _of_column(kind: str, x: Column, found: Column, severity: Column | str, affected: Column, whole: Column) -> Column:
+    pct = share(affected, whole)
+    return _issue(
+        kind, found, severity, F.array(x["column"]), x["position"], affected, pct,
+    )
 
-def _facts(df: DataFrame, facts: QualityFacts | None) -> QualityFacts:
-    return facts or QualityFacts(df)
 
+def _gap_pct(x: Column) -> Column:
+    return share(x["rows"] - x["filled"], x["rows"])
 
-def dq_structure(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    """Blank, placeholder or repeated column names. Reads the schema only."""
-    blank = [c for c in df.columns if N.is_placeholder_name(c)]
-    repeated = sorted({c for c in df.columns if df.columns.count(c) > 1})
-    one = df.sparkSession.range(1)
-    frames = []
-    for kind, cols in (("placeholder_names", blank), ("duplicate_names", repeated)):
-        named = F.array(*[F.lit(c) for c in cols]).cast("array<string>")
-        frames.append(_issues(
-            one if cols else one.limit(0), kind, F.lit("BLOCKING"), named, F.lit(0)
-        ))
-    return union_all(frames)
 
+def _high_missing(x: Column) -> Column:
+    return _of_column(
+        "high_missing", x, (x["rows"] > 0) & (_gap_pct(x) >= MISSING_WARN),
+        _block_from(_gap_pct(x), MISSING_BLOCK), x["rows"] - x["filled"], x["rows"],
+    )
 
-def dq_empty_dataset(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).filter("rows = 0")
-    return _issues(rows, "empty_dataset", F.lit("BLOCKING"), _none(), F.lit(0))
 
+def _non_finite(x: Column) -> Column:
+    return _of_column("non_finite", x, x["infinite"] > 0, "BLOCKING", x["infinite"], x["rows"])
 
-def _listed(rows: DataFrame, df: DataFrame) -> DataFrame:
-    """All flagged columns as one array in table order; no row when none is flagged."""
-    ordered = F.sort_array(F.collect_list(F.struct(_position(df, F.col("column")).alias("p"), "column")))
-    packed = rows.agg(F.transform(ordered, lambda s: s["column"]).alias("cols"))
-    return packed.filter(F.size("cols") > 0)
 
+def _unreadable(kind: str, x: Column, good: Column, low: float) -> Column:
+    found = (x["filled"] >= MIN_VALUES) & (good / x["filled"] >= low) & (good < x["filled"])
+    bad = x["filled"] - good
+    return _of_column(kind, x, found, _block_from(share(bad, x["filled"]), BAD_VALUES_BLOCK), bad, x["filled"])
 
-def dq_empty_columns(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    empty = _facts(df, facts).columns.filter((F.col("filled") == 0) & (F.col("rows") > 0))
-    return _issues(_listed(empty, df), "empty_columns", F.lit("BLOCKING"), F.col("cols"), F.lit(0))
 
+def _numeric_text(x: Column) -> Column:
+    return _unreadable("numeric_text", x, x["numbers"], NUMERIC_RATIO)
 
-def dq_empty_rows(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    one = _facts(df, facts).columns.filter("position = 0 and empty_rows > 0")
-    pct = share(F.col("empty_rows"), F.col("rows"))
-    return _issues(
-        one, "empty_rows", _block_from(pct, EMPTY_ROWS_BLOCK), _none(), F.lit(0),
-        F.col("empty_rows"), pct,
-    )
 
+def _invalid_dates(x: Column) -> Column:
+    return _unreadable("invalid_dates", x, x["dates"], DATE_RATIO)
 
-def dq_missing_values(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    """Columns at least half missing; if there is none, an INFO row when anything is missing."""
-    f = _facts(df, facts).columns
-    gaps = F.col("rows") - F.col("filled")
-    pct = share(gaps, F.col("rows"))
-    rows = f.withColumn("gaps", gaps).withColumn("pct", pct)
-    high = _issues(
-        rows.filter(F.col("pct") >= MISSING_WARN), "high_missing",
-        _block_from(F.col("pct"), MISSING_BLOCK), _one(), F.col("position"), F.col("gaps"), F.col("pct"),
-    )
-    summary = rows.agg(F.sum("gaps").alias("gaps"), F.max("pct").alias("pct")).filter(
-        (F.col("gaps") > 0) & (F.col("pct") < MISSING_WARN)
-    )
-    info = _issues(summary, "missing_present", F.lit("INFO"), _none(), F.lit(0), F.col("gaps"))
-    return high.unionByName(info)
 
+def _category_variants(x: Column) -> Column:
+    found = (x["filled"] >= MIN_VALUES) & (x["raw"] > x["unified"])
+    return _of_column("variants", x, found, "WARNING", x["affected"], x["filled"])
 
-def dq_duplicates(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    f = _facts(df, facts)
-    rows = f.duplicates.filter("duplicate_rows > 0")
-    pct = share(F.col("duplicate_rows"), f.whole["rows"])
-    return _issues(
-        rows, "duplicates", _block_from(pct, DUPLICATES_BLOCK), _none(), F.lit(0),
-        F.col("duplicate_rows"), pct,
-    )
 
+def _negative(x: Column) -> Column:
+    return _of_column("negative", x, x["measure_name"] & (x["negative"] > 0), "WARNING", x["negative"], x["filled"])
 
-def dq_non_finite(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    rows = _facts(df, facts).columns.filter("infinite > 0")
-    return _issues(
-        rows, "non_finite", F.lit("BLOCKING"), _one(), F.col("position"),
-        F.col("infinite"), share(F.col("infinite"), F.col("rows")),
+
+def _outliers(x: Column) -> Column:
+    found = (
+        (x["n"] >= OUTLIER_MIN) & (x["distinct"] - x["infinities"] >= OUTLIER_DISTINCT) & (x["iqr"] > 0)
+        & (x["outliers"] > 0) & (share(x["outliers"], x["n"]) >= OUTLIER_PCT)
     )
+    return _of_column("outliers", x, found, "WARNING", x["outliers"], x["n"])
 
 
-def _unreadable(df: DataFrame, facts: QualityFacts | None, kind: str, good: str, low: float) -> DataFrame:
-    ratio = F.col(good) / F.col("filled")
-    rows = _facts(df, facts).columns.filter(
-        (F.col("filled") >= MIN_VALUES) & (ratio >= low) & (F.col(good) < F.col("filled"))
+def _high_cardinality(x: Column) -> Column:
+    found = (
+        x["is_text"] & (x["filled"] >= CARDINALITY_MIN)
+        & (x["distinct"] / x["filled"] >= CARDINALITY_RATIO)
     )
-    bad = F.col("filled") - F.col(good)
-    pct = share(bad, F.col("filled"))
-    return _issues(rows, kind, _block_from(pct, BAD_VALUES_BLOCK), _one(), F.col("position"), bad, pct)
+    return _of_column("high_cardinality", x, found, "INFO", x["distinct"], x["filled"])
 
 
-def dq_numeric_as_text(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    return _unreadable(df, facts, "numeric_text", "numbers", NUMERIC_RATIO)
+def _names(xs: Column, keep) -> Column:
+    return F.transform(F.filter(xs, keep), lambda x: x["column"])
 
 
-def dq_invalid_dates(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    return _unreadable(df, facts, "invalid_dates", "dates", DATE_RATIO)
+def _empty_dataset(xs: Column) -> Column:
+    return _issue("empty_dataset", F.get(xs, F.lit(0))["rows"] == 0, "BLOCKING")
 
 
-def dq_category_variants(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    """Text columns whose values collapse when case and surrounding blanks are unified."""
-    rows = _facts(df, facts).variants.filter(
-        (F.col("filled") >= MIN_VALUES) & (F.col("raw") > F.col("unified"))
-    )
-    return _issues(
-        rows, "variants", F.lit("WARNING"), _one(), _position(df, F.col("column")),
-        F.col("affected"), share(F.col("affected"), F.col("filled")),
-    )
+def _empty_columns(xs: Column) -> Column:
+    names = _names(xs, lambda x: (x["filled"] == 0) & (x["rows"] > 0))
+    return _issue("empty_columns", F.size(names) > 0, "BLOCKING", names)
 
 
-def dq_constant_columns(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    """Columns with at most one different value; empty ones count too."""
-    f = _facts(df, facts)
-    per = f.columns.filter("rows > 0").select("column").join(
-        F.broadcast(f.distinct), "column", "left"  # one row per column
+def _empty_rows(xs: Column) -> Column:
+    first = F.get(xs, F.lit(0))
+    pct = share(first["empty_rows"], first["rows"])
+    return _issue(
+        "empty_rows", first["empty_rows"] > 0, _block_from(pct, EMPTY_ROWS_BLOCK),
+        affected=first["empty_rows"], pct=pct,
     )
-    constant = per.filter(F.coalesce("distinct", F.lit(0)) <= 1)
-    return _issues(_listed(constant, df), "constant", F.lit("WARNING"), F.col("cols"), F.lit(0))
 
 
-def dq_high_cardinality(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    rows = _facts(df, facts).distinct.filter(
-        F.col("column").isin(text_columns(df)) & (F.col("filled") >= CARDINALITY_MIN)
-        & (F.col("distinct") / F.col("filled") >= CARDINALITY_RATIO)
-    )
-    return _issues(
-        rows, "high_cardinality", F.lit("INFO"), _one(), _position(df, F.col("column")),
-        F.col("distinct"), share(F.col("distinct"), F.col("filled")),
-    )
+def _some_missing(xs: Column) -> Column:
+    gaps = F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["rows"] - x["filled"])
+    high = F.exists(xs, lambda x: _gap_pct(x) >= MISSING_WARN)
+    return _issue("missing_present", (gaps > 0) & ~high, "INFO", affected=gaps)
 
 
-def dq_negative_values(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    named = [n for n in numeric_columns(df) if N.is_measure_name(n)]
-    rows = _facts(df, facts).columns.filter(F.col("column").isin(named) & (F.col("negative") > 0))
-    return _issues(
-        rows, "negative", F.lit("WARNING"), _one(), F.col("position"),
-        F.col("negative"), share(F.col("negative"), F.col("filled")),
-    )
+def _constant(xs: Column) -> Column:
+    names = _names(xs, lambda x: (x["rows"] > 0) & (x["distinct"] <= 1))
+    return _issue("constant", F.size(names) > 0, "WARNING", names)
 
 
-def dq_outliers(df: DataFrame, facts: QualityFacts | None = None) -> DataFrame:
-    if not numeric_columns(df):
-        return dq_structure(df).limit(0)
-    pct = share(F.col("outliers"), F.col("n"))
-    rows = _facts(df, facts).outliers.filter(
-        (F.col("n") >= OUTLIER_MIN) & (F.col("distinct") >= OUTLIER_DISTINCT)
-        & (F.col("iqr") > 0) & (F.col("outliers") > 0) & (pct >= OUTLIER_PCT)
-    )
-    return _issues(
-        rows, "outliers", F.lit("WARNING"), _one(), _position(df, F.col("column")),
-        F.col("outliers"), pct,
+COLUMN_CHECKS = (
+    _high_missing, _non_finite, _numeric_text, _invalid_dates, _category_variants, _negative,
+    _outliers, _high_cardinality,
+)
+TABLE_CHECKS = (_empty_dataset, _empty_columns, _empty_rows, _some_missing, _constant)
+
+
+def _check(df: DataFrame, parts: tuple[str, ...], column=(), table=()) -> DataFrame:
+    """Run checks on the facts they need, in one plan."""
+    packed = QualityFacts(df, parts).packed
+    found = []
+    if column:
+        found.append(F.flatten(F.transform("facts", lambda x: F.array(*[c(x) for c in column]))))
+    if table:
+        found.append(F.array(*[c(F.col("facts")) for c in table]))
+    return _rows(packed, *found)
+
+
+def dq_structure(df: DataFrame) -> DataFrame:
+    """Blank, placeholder or repeated column names. Reads the schema only."""
+    blank = [c for c in df.columns if N.is_placeholder_name(c)]
+    repeated = sorted({c for c in df.columns if df.columns.count(c) > 1})
+    named = [
+        _issue(kind, F.lit(bool(cols)), "BLOCKING", F.array(*[F.lit(c) for c in cols]))
+        for kind, cols in (("placeholder_names", blank), ("duplicate_names", repeated))
+    ]
+    return _rows(df.sparkSession.range(1), F.array(*named))
+
+
+def dq_empty_dataset(df: DataFrame) -> DataFrame:
+    return _check(df, (), table=(_empty_dataset,))
+
+
+def dq_empty_columns(df: DataFrame) -> DataFrame:
+    return _check(df, (), table=(_empty_columns,))
+
+
+def dq_empty_rows(df: DataFrame) -> DataFrame:
+    return _check(df, (), table=(_empty_rows,))
+
+
+def dq_missing_values(df: DataFrame) -> DataFrame:
+    """Columns at least half missing; if there is none, an INFO row when anything is missing."""
+    return _check(df, (), column=(_high_missing,), table=(_some_missing,))
+
+
+def dq_duplicates(df: DataFrame) -> DataFrame:
+    copies = distinct_rows(df).agg(
+        F.sum("_copies").alias("rows"), F.sum(F.col("_copies") - 1).alias("duplicate_rows")
     )
+    n = F.col("duplicate_rows")
+    pct = share(n, F.col("rows"))
+    return _rows(copies, F.array(
+        _issue("duplicates", n > 0, _block_from(pct, DUPLICATES_BLOCK), affected=n, pct=pct)
+    ))
 
 
-CHECKS = (
-    dq_empty_dataset, dq_structure, dq_empty_columns, dq_empty_rows, dq_missing_values,
-    dq_duplicates, dq_non_finite, dq_numeric_as_text, dq_invalid_dates, dq_category_variants,
-    dq_constant_columns, dq_negative_values, dq_outliers, dq_high_cardinality,
-)
+def dq_non_finite(df: DataFrame) -> DataFrame:
+    return _check(df, (), column=(_non_finite,))
+
+
+def dq_numeric_as_text(df: DataFrame) -> DataFrame:
+    return _check(df, (), column=(_numeric_text,))
+
+
+def dq_invalid_dates(df: DataFrame) -> DataFrame:
+    return _check(df, (), column=(_invalid_dates,))
+
+
+def dq_category_variants(df: DataFrame) -> DataFrame:
+    """Text columns whose values collapse when case and surrounding blanks are unified."""
+    return _check(df, ("variants",), column=(_category_variants,))
+
+
+def dq_constant_columns(df: DataFrame) -> DataFrame:
+    """Columns with at most one different value; empty ones count too."""
+    return _check(df, ("distinct",), table=(_constant,))
+
+
+def dq_high_cardinality(df: DataFrame) -> DataFrame:
+    return _check(df, ("distinct",), column=(_high_cardinality,))
+
+
+def dq_negative_values(df: DataFrame) -> DataFrame:
+    return _check(df, (), column=(_negative,))
+
+
+def dq_outliers(df: DataFrame) -> DataFrame:
+    """Numeric columns with at least 1 % of their finite values outside the fences."""
+    return _check(df, ("outliers",), column=(_outliers,))
 
 
 def dq_issues(df: DataFrame) -> DataFrame:
-    """All findings of the gate as rows, ordered by ``seq``."""
+    """All findings of the gate as rows, in the order of ``seq``.
+
+    An empty table or one without columns has that single finding.
+    """
     if not df.columns:
-        one = df.sparkSession.range(1)
-        no_columns = _issues(one, "empty_dataset", F.lit("BLOCKING"), _none(), F.lit(0))
-        return no_columns.withColumn("issue", F.lit("No columns"))
-    facts = QualityFacts(df)
-    return union_all([check(df, facts) for check in CHECKS])
+        no_columns = _issue("empty_dataset", F.lit(True), "BLOCKING").withField("issue", F.lit("No columns"))
+        return _rows(df.sparkSession.range(1), F.array(no_columns))
+    repeated = len(set(df.columns)) < len(df.columns)
+    if repeated:
+        # columns that share a name cannot be looked at one by one
+        return dq_structure(df)
+    found = _check(df, QualityFacts.PARTS, COLUMN_CHECKS, TABLE_CHECKS)
+    return union_all([found, dq_structure(df), dq_duplicates(df)])
 
 
 def dq_status(df: DataFrame, issues: DataFrame | None = None) -> DataFrame:
@@ -418,9 +453,10 @@ def cleaning_plan(df: DataFrame, issues: DataFrame | None = None) -> DataFrame:
         x for kind, (_, name, _) in ISSUES.items()
         for x in (F.lit(name), F.lit(ADVICE[kind][2] or DEFAULT_RESULT))
     ])
-    placed = with_position(todo, [F.when(F.col("severity") == "BLOCKING", 0).otherwise(1), F.col("seq")], "priority")
-    return placed.select(
-        "priority", "issue", "severity", "columns", "recommended_action", "why",
+    # a few rows per column of the schema
+    order = Window.orderBy(F.when(F.col("severity") == "BLOCKING", 0).otherwise(1), "seq")
+    return todo.select(
+        F.row_number().over(order).cast("long").alias("priority"), "issue", "severity", "columns", "recommended_action", "why",
         results[F.col("issue")].alias("expected_result"),
     )
 
