@@ -58,7 +58,27 @@ SELECT o_orderkey AS claim_id,
 FROM {orders}
 """
 
-VIEWS = {"sales": SALES, "dirty": DIRTY, "claims": CLAIMS}
+# Questions of every kind, and pairs of results that agree or not.
+QUESTIONS = """
+SELECT o_orderkey AS question_id,
+       CASE o_orderkey % 11
+         WHEN 0 THEN 'Why did total sales of customer ' || CAST(o_custkey AS STRING) || ' drop?'
+         WHEN 1 THEN 'What will order ' || CAST(o_orderkey AS STRING) || ' be worth next month?'
+         WHEN 2 THEN 'Show a histogram of o_totalprice'
+         WHEN 3 THEN 'Draw the trend of ' || o_orderpriority
+         WHEN 4 THEN 'Compare ' || o_orderstatus || ' and the rest'
+         WHEN 5 THEN 'Which priority has the highest total?'
+         WHEN 6 THEN 'top ' || CAST(o_orderkey % 20 AS STRING) || ' customers'
+         WHEN 7 THEN 'How many orders have status ' || o_orderstatus || '?'
+         WHEN 8 THEN 'A pie chart by status' WHEN 9 THEN 'Revenue forecast please'
+         ELSE 'Total for ' || o_orderpriority END AS question,
+       'value ' || CAST(o_custkey AS STRING) || ' and ' || CAST(o_orderkey AS STRING) AS printed,
+       CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey * 100 AS STRING) WHEN 1 THEN CAST(o_custkey + 1 AS STRING)
+         WHEN 2 THEN 'n/a' ELSE CAST(o_custkey AS STRING) END AS single
+FROM {orders}
+"""
+
+VIEWS = {"sales": SALES, "dirty": DIRTY, "claims": CLAIMS, "questions": QUESTIONS}
 
 
 class Tables:

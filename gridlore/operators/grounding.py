@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.functions.columns import col, require, text_columns
+from gridlore.functions.columns import col, numeric_columns, require, text_columns
 from gridlore.functions.shapes import value_frequencies
 from gridlore.operators.profile import outlier_profile
 
@@ -419,11 +419,13 @@ def insight_claims(df: DataFrame, name: str, table: DataFrame | None = None) ->
     c = col(name)
     severe = _matches(c, (SEVERITY,), "(?iU)")
     if table is not None:
-        # at most one entry per column of the schema
-        columns = outlier_profile(table).filter("outliers > 0").agg(
-            F.collect_list(F.lower("column")).alias("c")
-        ).scalar()
-        severe = severe & ~F.exists(columns, lambda x: F.contains(F.lower(c), x))
+        names = numeric_columns(table)
+        spread = outlier_profile(table, names).agg(F.struct(*[
+            F.bool_or((F.col("column") == n) & F.coalesce(F.col("outliers") > 0, F.lit(False))).alias(f"c{i}")
+            for i, n in enumerate(names)
+        ]).alias("spread")).scalar() if names else None
+        for i, n in enumerate(names):
+            severe = severe & ~(spread[f"c{i}"] & F.contains(F.lower(c), F.lit(n.lower())))
     return df.withColumns({"ratio_claim": _matches(c, (RATIO,), "(?iU)"), "severity_claim": severe})
 
 

@@ -161,8 +161,8 @@ def window_usage(
 class _Admission(StatefulProcessor):
     """Keeps the admitted times of the current window per session."""
 
-    def __init__(self, followup: str | None, gap: int, limit: int, window: int, ttl_ms: int | None):
-        self.followup = followup
+    def __init__(self, names: list[str], followup: str | None, gap: int, limit: int, window: int, ttl_ms: int | None):
+        self.names, self.followup = names, followup
         self.gap, self.limit, self.window, self.ttl_ms = gap, limit, window, ttl_ms
 
     def init(self, handle) -> None:
@@ -173,7 +173,9 @@ class _Admission(StatefulProcessor):
         frames = [f for f in rows if len(f)]
         if not frames:
             return
-        calls = pd.concat(frames).sort_values("_t", kind="stable")
+        calls = pd.concat(frames)
+        calls.columns = self.names  # unusual names do not survive the transfer
+        calls = calls.sort_values("_t", kind="stable")
         follow = calls[self.followup].fillna(False).tolist() if self.followup else [False] * len(calls)
         reasons = [
             _decide(admitted, now, bool(f), self.gap, self.limit, self.window)
@@ -207,11 +209,11 @@ def session_admission_stream(
     fields = list(sdf.schema.fields) + [
         T.StructField("allowed", T.BooleanType()), T.StructField("reason", T.StringType())
     ]
+    timed = sdf.withColumn("_t", _micros(sdf, ts))
     processor = _Admission(
-        followup, round(min_gap_s * MICROS), max_calls, round(window_s * MICROS),
+        timed.columns, followup, round(min_gap_s * MICROS), max_calls, round(window_s * MICROS),
         None if idle_s is None else round(idle_s * 1000),
     )
-    timed = sdf.withColumn("_t", _micros(sdf, ts))
     return timed.groupBy(col(session)).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=T.StructType(fields),
         outputMode="append", timeMode="none" if idle_s is None else "processingTime",
