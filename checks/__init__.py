@@ -1,4 +1,4 @@
 """Registered queries and their SQL."""
 
 from checks.registry import QUERIES, SQL  # noqa: F401
-from checks import core, quality, series, statistics, texts  # noqa: F401,E402
+from checks import core, quality, reports, series, statistics, texts  # noqa: F401,E402
