@@ -108,6 +108,16 @@ CHART_TYPES = (
     ("line", r"\b(?:line|trend)\b"),
     ("pie", r"\bpie\b"),
 )
+# One of these words must occur for the pattern of the same place to match.
+PREDICTION_WORDS = (
+    ("will",), ("expected", "projected", "forecast"), ("forecast", "project", "predict"),
+    ("likely",), ("should", "would"),
+)
+LEAK_WORDS = (
+    ("prompt", "message", "instruction"), ("instruction", "prompt", "rule"),
+    ("key", "token", "credential"), ("groq", "openai"), ("variable",),
+    ("system prompt", "developer message", "hidden instructions", "api key", "credentials"),
+)
 MAX_VALUES_PER_COLUMN = 5000
 MIN_VALUE_LENGTH = 3
 TOLERANCE = 0.01
@@ -129,6 +139,22 @@ def _contains_any(c: Column, phrases: tuple[str, ...]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def _guarded(c: Column, patterns: tuple[str, ...], words: tuple, flags: str = _U) -> Column:
+    """``_matches``, trying a pattern only on texts that hold one of its words."""
+    hit = F.lit(False)
+    for p, needed in zip(patterns, words, strict=True):
+        hit = hit | (_contains_any(c, needed) & c.rlike(flags + p))
+    return F.coalesce(hit, F.lit(False))
+
+
+def _keep(items: Column, pool: Column, wanted) -> Column:
+    """The items for which ``wanted(item, pool)`` holds; the pool is worked out once per row."""
+    paired = F.zip_with(
+        items, F.array_repeat(pool, F.size(items)), lambda x, p: F.when(wanted(x, p), x)
+    )
+    return F.array_compact(paired)
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -154,8 +180,13 @@ def labelled_numbers(c: Column) -> Column:
         F.zip_with(labels, values, lambda a, b: F.struct(a.alias("label"), b.alias("number"))),
         lambda p: ~p["label"].isin(list(LABEL_STOPWORDS)) & p["number"].isNotNull(),
     )
-    kept = F.transform(pairs, lambda p: p["label"])
-    return F.filter(pairs, lambda p, i: F.array_position(kept, p["label"]) == i + 1)
+    # the first of each label: later ones are dropped one by one
+    empty = F.array().cast("array<struct<label:string,number:double>>")
+    return F.aggregate(
+        pairs, empty,
+        lambda kept, p: F.when(F.exists(kept, lambda k: k["label"] == p["label"]), kept)
+        .otherwise(F.array_append(kept, p)),
+    )
 
 
 def visible_counts(c: Column) -> Column:
@@ -187,23 +218,20 @@ def extract_labels(df: DataFrame, name: str, ids: list[str]) -> DataFrame:
 
 def _foreign_numbers(claim: Column, evidence: Column, allowed: Column) -> Column:
     pool = F.concat(numbers_in(evidence), visible_counts(evidence), numbers_in(allowed))
-    return F.filter(
-        numbers_in(claim), lambda n: ~F.exists(pool, lambda v: F.abs(v - n) <= TOLERANCE)
+    return _keep(
+        numbers_in(claim), pool, lambda n, known: ~F.exists(known, lambda v: F.abs(v - n) <= TOLERANCE)
     )
 
 
 def _wrong_labels(claim: Column, evidence: Column) -> Column:
-    known = labelled_numbers(evidence)
-    return F.transform(
-        F.filter(
-            labelled_numbers(claim),
-            lambda p: F.exists(
-                known,
-                lambda v: (v["label"] == p["label"]) & (F.abs(v["number"] - p["number"]) > TOLERANCE),
-            ),
-        ),
-        lambda p: p["label"],
-    )
+    def differs(p: Column, known: Column) -> Column:
+        return F.exists(
+            known,
+            lambda v: (v["label"] == p["label"]) & (F.abs(v["number"] - p["number"]) > TOLERANCE),
+        )
+
+    wrong = _keep(labelled_numbers(claim), labelled_numbers(evidence), differs)
+    return F.transform(wrong, lambda p: p["label"])
 
 
 def _allowed(df: DataFrame, allowed: str | None) -> Column:
@@ -225,23 +253,24 @@ def mislabelled_numbers(df: DataFrame, claim: str, evidence: str) -> DataFrame:
 
 # --- wording ----------------------------------------------------------------
 
-def _causal(c: Column) -> Column:
-    return _contains_any(F.lower(c), CAUSAL_PHRASES)
+def _causal(lowered: Column) -> Column:
+    return _contains_any(lowered, CAUSAL_PHRASES)
 
 
-def _prediction(c: Column) -> Column:
-    return _matches(F.lower(c), PREDICTION_PATTERNS)
+def _prediction(lowered: Column) -> Column:
+    return _guarded(lowered, PREDICTION_PATTERNS, PREDICTION_WORDS)
 
 
-def _hedge(c: Column) -> Column:
-    return _contains_any(F.lower(c), HEDGE_PHRASES)
+def _hedge(lowered: Column) -> Column:
+    return _contains_any(lowered, HEDGE_PHRASES)
 
 
 def overclaim_flags(df: DataFrame, name: str) -> DataFrame:
     """Add flags for causal or significance wording, predictions and hedging."""
     require(df, name)
-    c = col(name)
-    return df.withColumns({"causal": _causal(c), "prediction": _prediction(c), "hedge": _hedge(c)})
+    c = F.col("_lowered")
+    flags = {"causal": _causal(c), "prediction": _prediction(c), "hedge": _hedge(c)}
+    return df.withColumn("_lowered", F.lower(col(name))).withColumns(flags).drop("_lowered")
 
 
 # Characters that may stand between a sentence's start and its first word.
@@ -270,9 +299,9 @@ def _foreign_names(claim: Column, evidence: Column, allowed: Column) -> Column:
     words = F.transform(
         F.regexp_extract_all(pool, F.lit("[A-Za-z]{3,}"), 0), lambda w: _singular(F.lower(w))
     )
-    return F.filter(
-        _names(claim),
-        lambda w: ~F.array_contains(words, _singular(F.lower(w)))
+    return _keep(
+        _names(claim), words,
+        lambda w, known: ~F.array_contains(known, _singular(F.lower(w)))
         & ~F.lower(w).isin(list(COMMON_WORDS))
         & ~_singular(F.lower(w)).isin(list(COMMON_WORDS)),
     )
@@ -373,6 +402,7 @@ def ground_claims(
     require(claims, claim, evidence, *ids)
     c, e, a = col(claim), col(evidence), _allowed(claims, allowed)
     rows = claims
+    low = F.lower(c)
     has_stray = F.lit(False)
     if values is not None:
         strays = stray_values(claims, values, ids, claim, evidence, allowed)
@@ -380,7 +410,7 @@ def ground_claims(
         rows = claims.join(counted, ids, "left")
         has_stray = F.col("_strays") > 0
     checks = (
-        ("causal", _causal(c)), ("prediction", _prediction(c)), ("hedge", _hedge(c)),
+        ("causal", _causal(low)), ("prediction", _prediction(low)), ("hedge", _hedge(low)),
         ("number", F.size(_foreign_numbers(c, e, a)) > 0),
         ("label", F.size(_wrong_labels(c, e)) > 0),
         ("name", F.size(_foreign_names(c, e, a)) > 0),
@@ -446,9 +476,10 @@ def tag_questions(df: DataFrame, name: str) -> DataFrame:
 def leak_flag(df: DataFrame, name: str) -> DataFrame:
     """Add a flag for text that seems to disclose instructions or credentials."""
     require(df, name)
-    c = F.lower(col(name))
+    c = F.col("_lowered")
     marker = _contains_any(c, ("data_analyst_system_prompt",))
-    return df.withColumn("leak", marker | _matches(c, LEAK_PATTERNS, "(?Us)"))
+    rows = df.withColumn("_lowered", F.lower(col(name)))
+    return rows.withColumn("leak", marker | _guarded(c, LEAK_PATTERNS, LEAK_WORDS, "(?Us)")).drop("_lowered")
 
 
 # --- agreement of results ---------------------------------------------------

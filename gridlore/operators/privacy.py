@@ -27,19 +27,26 @@ KINDS = ("email", "card", "ssn", "aadhaar", "pan", "phone")
 _UNICODE = "(?U)"
 
 
-def _masked(c: Column) -> Column:
-    for _, pattern, placeholder in PII_PATTERNS:
-        c = F.regexp_replace(c, _UNICODE + pattern, placeholder.replace("$", r"\$"))
-    return c
+def _replace(c: Column, pattern: str, placeholder: str) -> Column:
+    return F.regexp_replace(c, _UNICODE + pattern, placeholder)
+
+
+def _guards(c: Column) -> tuple[Column, Column]:
+    """What a text must hold for the first pattern, and for all others, to match at all.
+
+    Most texts hold neither an @ nor a digit and skip the patterns.
+    """
+    return F.contains(c, F.lit("@")), c.rlike(_UNICODE + r"\d")
 
 
-def _counts(c: Column) -> dict[str, Column]:
-    """Matches per kind; every pattern sees the text as the earlier ones left it."""
-    counts = {k: F.lit(0) for k in KINDS}
-    for kind, pattern, placeholder in PII_PATTERNS:
-        counts[kind] = counts[kind] + F.regexp_count(c, F.lit(_UNICODE + pattern))
-        c = F.regexp_replace(c, _UNICODE + pattern, placeholder)
-    return {k: F.coalesce(v, F.lit(0)) for k, v in counts.items()}
+def _masked(c: Column) -> Column:
+    has_at, has_digit = _guards(c)
+    (_, email, placeholder), *others = PII_PATTERNS
+    first = F.when(has_at, _replace(c, email, placeholder)).otherwise(c)
+    rest = first
+    for _, pattern, mark in others:
+        rest = _replace(rest, pattern, mark)
+    return F.when(has_digit, rest).otherwise(first)
 
 
 def mask_pii(df: DataFrame, name: str) -> DataFrame:
@@ -48,12 +55,26 @@ def mask_pii(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, _masked(col(name)))
 
 
+def _occurrences(c: Column, mark: str) -> Column:
+    without = F.replace(c, F.lit(mark), F.lit(""))
+    return ((F.length(c) - F.length(without)) / F.lit(len(mark))).cast("int")
+
+
 def pii_counts(df: DataFrame, name: str) -> DataFrame:
-    """Add the number of replacements per kind and in all."""
+    """Add the number of replacements per kind and in all.
+
+    No pattern can match a placeholder, so the placeholders that masking adds are the
+    replacements made.
+    """
     require(df, name)
-    counts = _counts(col(name))
-    total = sum(counts.values(), F.lit(0))
-    return df.withColumns({f"n_{k}": c for k, c in counts.items()} | {"redactions": total})
+    marks = {kind: mark for kind, _, mark in PII_PATTERNS}
+    rows = df.withColumn("_masked", _masked(col(name)))
+    counts = {
+        k: F.coalesce(_occurrences(F.col("_masked"), marks[k]) - _occurrences(col(name), marks[k]), F.lit(0))
+        for k in KINDS
+    }
+    counted = rows.withColumns({f"n_{k}": c for k, c in counts.items()}).drop("_masked")
+    return counted.withColumn("redactions", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)))
 
 
 def mask_conversations(

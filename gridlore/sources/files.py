@@ -11,8 +11,6 @@ from gridlore.functions.columns import as_ts, col, text_columns
 
 __all__ = ["read_csv", "dedupe_columns", "unique_names", "promote_dates", "write_csv", "write_table", "preview"]
 
-REPLACEMENT = "�"
-
 
 def unique_names(names: list[str]) -> list[str]:
     """``a, a, a`` becomes ``a, a_2, a_3``."""
@@ -73,7 +71,7 @@ def read_csv(
 def _undecodable(spark: SparkSession, path: str) -> bool:
     """Does any line hold a byte sequence that UTF-8 does not know."""
     lines = spark.read.text(path)
-    return not lines.filter(F.contains("value", F.lit(REPLACEMENT))).isEmpty()
+    return not lines.filter(~F.is_valid_utf8("value")).isEmpty()
 
 
 def promote_dates(df: DataFrame, threshold: float = 0.8) -> DataFrame:
