@@ -76,7 +76,7 @@ add("executive_summary", lambda t: g.executive_summary(t.sales),
          count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM sales) AS d) AS duplicate_rows, 'revenue' AS "primary",
          avg(revenue) AS mean, quantile_cont(revenue, 0.5) AS median, min(revenue) AS min, max(revenue) AS max,
          (SELECT product FROM sales GROUP BY 1 ORDER BY sum(revenue) DESC, 1 LIMIT 1) AS leading_category FROM sales""",
-    f="mean median min max")
+    f="mean median min max", digits=4)
 
 
 def _report(t):

@@ -58,7 +58,7 @@ def _outliers(table: str, c: str) -> str:
 _STATUS = "CASE WHEN outliers > 0 THEN 'potential outliers' ELSE 'no outliers' END AS status"
 add("outlier_profile", lambda t: g.outlier_profile(t.dirty, ["total_price", "amount", "net_revenue"]),
     f"SELECT *, {_STATUS} FROM ({union([_outliers('dirty', c) for c in ('total_price', 'amount', 'net_revenue')])}) AS u",
-    f="q1 q3 iqr")
+    f="q1 q3 iqr", digits=4)
 add("quantile_table", lambda t: g.quantile_table(t.events, ["value", "user_id", "event_id"]),
     union([f"""SELECT '{c}' AS "column", count(*) AS n, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median,
                quantile_cont({c}, 0.75) AS q3 FROM events""" for c in ("value", "user_id", "event_id")]),
@@ -89,7 +89,7 @@ def _profile(table: str, columns: dict[str, str]) -> str:
 add("profile", lambda t: g.profile(t.dirty),
     f"""SELECT position, "column", missing, unique_values, min, max, mean, median, missing = rows AS all_missing,
         kind = 't' AND missing < rows AND unique_values > 0.5 * rows AS is_identifier_like, 0 AS truncated_columns
-        FROM ({_profile('dirty', _DIRTY)}) AS p""", f="min max mean median")
+        FROM ({_profile('dirty', _DIRTY)}) AS p""", f="min max mean median", digits=4)
 _LINE = {
     "l_orderkey": "n", "l_partkey": "n", "l_suppkey": "n", "l_linenumber": "n", "l_quantity": "n",
     "l_extendedprice": "n", "l_discount": "n", "l_tax": "n", "l_returnflag": "t", "l_linestatus": "t", "l_shipdate": "t",
@@ -97,12 +97,12 @@ _LINE = {
 add("profile_lineitem", lambda t: g.profile(t.lineitem, 6),
     f"""SELECT position, "column", missing, unique_values, min, max, mean, median, missing = rows AS all_missing,
         false AS is_identifier_like, 5 AS truncated_columns FROM ({_profile('lineitem', _LINE)}) AS p WHERE position < 6""",
-    f="min max mean median")
+    f="min max mean median", digits=4)
 add("column_profile", lambda t: g.column_profile(t.dirty),
     f"""SELECT position, "column", CASE WHEN "column" = 'order_date' THEN 'Date/Time' WHEN kind = 'n' THEN 'Numeric'
           ELSE 'Categorical' END AS detected_type, unique_values, missing, missing * 100.0 / rows AS missing_pct,
         min, max, mean, median, std, q1, q3 FROM ({_profile('dirty', _DIRTY)}) AS p""",
-    f="missing_pct min max mean median std q1 q3")
+    f="missing_pct min max mean median std q1 q3", digits=4)
 
 
 def _quick(table: str, columns: dict[str, str], dates: tuple[str, ...]) -> str:
@@ -296,7 +296,7 @@ add("box_stats", lambda t: g.box_stats(t.dirty.withColumn("priority", F.lower(F.
     _BOX + """ SELECT "group", any_value(n) AS n, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
        min(v) FILTER (v >= low) AS whisker_low, max(v) FILTER (v <= high) AS whisker_high,
        count(*) FILTER (v < low OR v > high) AS outliers FROM j GROUP BY 1""",
-    f="q1 median q3 whisker_low whisker_high")
+    f="q1 median q3 whisker_low whisker_high", digits=4)
 add("box_outliers", lambda t: g.box_outliers(t.dirty.withColumn("priority", F.lower(F.trim("priority"))), "amount", "priority", 20),
     _BOX + """ SELECT "group", place, value FROM (SELECT "group", v AS value, row_number() OVER (PARTITION BY "group" ORDER BY v) AS place
        FROM j WHERE v < low OR v > high) AS o WHERE place <= 20""", f="value")
@@ -305,4 +305,4 @@ add("box_stats_whole", lambda t: g.box_stats(t.events, "value"),
        SELECT 'value' AS "group", any_value(n) AS n, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
          min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
          count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers FROM events, q""",
-    f="q1 median q3 whisker_low whisker_high")
+    f="q1 median q3 whisker_low whisker_high", digits=4)

@@ -318,19 +318,25 @@ def date_profile(df: DataFrame, names: list[str]) -> DataFrame:
 
 # --- relations --------------------------------------------------------------
 
+PAIRS_PER_SCAN = 150
+
+
 def _pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Pearson correlation and usable rows for each pair, all in one scan."""
-    packed = []
-    for a, b in pairs:
-        x, y = as_number(df, a), as_number(df, b)
-        both = x.isNotNull() & y.isNotNull()
-        r = F.corr(F.when(both, x), F.when(both, y))
-        packed.append(F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"),
-            F.when(~F.isnan(r), r).alias("r"), F.count_if(both).alias("n"),
-        ))
-    one = df.agg(*[p.alias(f"p{i}") for i, p in enumerate(packed)])
-    return one.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(packed))])))
+    """Pearson correlation and usable rows per pair of columns, many pairs in one scan."""
+    frames = []
+    for start in range(0, len(pairs), PAIRS_PER_SCAN):
+        packed = []
+        for a, b in pairs[start : start + PAIRS_PER_SCAN]:
+            x, y = as_number(df, a), as_number(df, b)
+            both = x.isNotNull() & y.isNotNull()
+            r = F.corr(F.when(both, x), F.when(both, y))
+            packed.append(F.struct(
+                F.lit(a).alias("a"), F.lit(b).alias("b"),
+                F.when(~F.isnan(r), r).alias("r"), F.count_if(both).alias("n"),
+            ))
+        one = df.agg(*[p.alias(f"p{i}") for i, p in enumerate(packed)])
+        frames.append(one.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(packed))]))))
+    return union_all(frames)
 
 
 def correlation_matrix(df: DataFrame, names: list[str]) -> DataFrame:

@@ -194,13 +194,21 @@ def report_tables(df: DataFrame, roles: Roles | None = None) -> dict[str, DataFr
     return tables
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> list[str]:
-    """Write one table per section under ``path`` and return the section names."""
-    df.persist()
+def write_report(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", keep: bool = False
+) -> list[str]:
+    """Write one table per section under ``path`` and return the section names.
+
+    With ``keep`` the input is persisted while the sections are computed: worth it when
+    it comes from joins, not when it is a columnar table larger than the cluster's memory.
+    """
+    if keep:
+        df.persist()
     try:
         tables = report_tables(df)
         for name, table in tables.items():
             write_table(table, f"{path.rstrip('/')}/{name}", fmt, mode)
         return list(tables)
     finally:
-        df.unpersist()
+        if keep:
+            df.unpersist()
