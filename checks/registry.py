@@ -137,6 +137,6 @@ def add(
     if sql is None:
         return
     text = _with_views(sql)
-    shown = [f'round("{c}", {digits}) + 0.0 AS "{c}"' for c in floats]
+    shown = [f'CAST(round("{c}", {digits}) AS DOUBLE) + 0.0::DOUBLE AS "{c}"' for c in floats]
     shown += [f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in days]
     SQL[name] = f"SELECT * REPLACE ({', '.join(shown)}) FROM ({text}) AS q" if shown else text

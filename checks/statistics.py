@@ -255,7 +255,8 @@ add("bar_data", lambda t: g.bar_data(t.sales, "product", "revenue"),
     "SELECT product, sum(revenue) AS revenue FROM sales GROUP BY 1", f="revenue")
 add("bar_data_numeric", lambda t: g.bar_data(t.lineitem, "l_quantity", "l_tax"),
     "SELECT l_quantity, l_tax FROM lineitem", f="l_quantity l_tax")
-add("line_data", lambda t: g.line_data(t.events, "ts", "value", 300).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))),
+add("line_data", lambda t: g.line_data(t.events, "ts", "value", 300).withColumn(
+        "ts", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))),
     """WITH o AS (SELECT epoch_us(ts) AS ts, value, row_number() OVER (ORDER BY ts, value) AS position, count(*) OVER () AS n FROM events)
        SELECT ts, value, position FROM o WHERE (position - 1) % greatest(1, n // 300) = 0""", f="value")
 add("scatter_data", lambda t: g.scatter_data(t.lineitem, "l_quantity", "l_extendedprice", 500))

@@ -1,7 +1,7 @@
 """Exact quantiles without a global sort and without one task holding a column.
 
 A value is read as three digits of an order-preserving code: sign, exponent and
-the top 12 mantissa bits; the next 20 mantissa bits; and the value itself. Each
+the top 10 mantissa bits; the next 21 mantissa bits; and the value itself. Each
 pass counts rows per digit (combined before the shuffle), finds by running sums
 which digit holds the wanted ranks, and the next pass looks at those rows only.
 Whatever the data, no running sum is longer than the digit has values, and equal
@@ -17,20 +17,20 @@ from gridlore.functions.columns import col
 
 
 _EXPONENT = "floor(log2(abs(value)))"
-_SCALED = f"((abs(value) / pow(2D, {_EXPONENT}) - 1D) * 4096D)"
+_SCALED = f"((abs(value) / pow(2D, {_EXPONENT}) - 1D) * 1024D)"
 _SIGN = "CAST(signum(value) AS BIGINT)"
 _COARSE = (
     f"CASE WHEN value = 0D THEN 0L WHEN abs(value) = double('inf') THEN {_SIGN} * shiftleft(1L, 40) "
-    f"ELSE {_SIGN} * (({_EXPONENT} + 1100L) * 8192L + floor({_SCALED}) + 2L) END"
+    f"ELSE {_SIGN} * (({_EXPONENT} + 1100L) * 2048L + floor({_SCALED}) + 2L) END"
 )
 _FINE = (
     f"CASE WHEN value = 0D OR abs(value) = double('inf') THEN 0L "
-    f"ELSE {_SIGN} * floor(({_SCALED} - floor({_SCALED})) * 1048576D) END"
+    f"ELSE {_SIGN} * floor(({_SCALED} - floor({_SCALED})) * 2097152D) END"
 )
 
 
 def coarse_digit(values: DataFrame) -> DataFrame:
-    """Add ``slice``, the part of the number line ``value`` is in: a few thousand per octave."""
+    """Add ``slice``, the part of the number line ``value`` is in: a thousand per octave."""
     return values.withColumn("slice", F.expr(_COARSE))
 
 

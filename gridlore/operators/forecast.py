@@ -262,9 +262,9 @@ def forecast(
     grain = _grain(freq)
     keys = [col(g) for g in groups]
     series = _series(df, ts, m, freq, groups)
-    # a key that is the same for all rows makes a single series joinable like many
+    # a value that is the same in all rows of a series joins a single one like many
     if not groups:
-        series = series.withColumn("_all", F.lit(1))
+        series = series.withColumn("_all", F.col("_points"))
         groups_in, keys_in = ["_all"], [F.col("_all")]
     else:
         groups_in, keys_in = groups, keys

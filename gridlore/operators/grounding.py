@@ -148,11 +148,10 @@ def _guarded(c: Column, patterns: tuple[str, ...], words: tuple, flags: str = _U
 
 
 def _keep(items: Column, pool: Column, wanted) -> Column:
-    """The items for which ``wanted(item, pool)`` holds; the pool is worked out once per row."""
-    paired = F.zip_with(
-        items, F.array_repeat(pool, F.size(items)), lambda x, p: F.when(wanted(x, p), x)
-    )
-    return F.array_compact(paired)
+    """The items for which ``wanted(item, pool)`` holds; both are worked out once per row."""
+    once = F.array(F.struct(items.alias("items"), pool.alias("pool")))
+    kept = F.transform(once, lambda s: F.filter(s["items"], lambda x: wanted(x, s["pool"])))
+    return F.get(kept, F.lit(0))
 
 
 def _text(c: Column) -> Column:
@@ -417,9 +416,8 @@ def ground_claims(
         ("value", F.coalesce(has_stray, F.lit(False))),
     )
     problems = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in checks]))
-    return rows.select(
-        *map(col, ids), problems.alias("problems"), (F.size(problems) == 0).alias("trustworthy")
-    )
+    found = rows.select(*map(col, ids), problems.alias("problems"))
+    return found.withColumn("trustworthy", F.size("problems") == 0)
 
 
 def makes_data_claims(

@@ -162,7 +162,7 @@ class QualityFacts:
             return {
                 "rows": F.count(F.lit(1)),
                 "filled": F.count(present(df, n)),
-                "empty_rows": F.count_if(all_missing),
+                "empty_rows": F.count_if(all_missing) if n == df.columns[0] else zero,
                 "numbers": F.count(as_number(df, n)) if n in texts else zero,
                 "dates": F.count(as_ts(df, n)) if dated else zero,
                 "infinite": infinite, "infinities": ends,
