@@ -9,6 +9,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlore.llm.sampling import per_label
 from gridlore.llm.text import let, numbers, saved, words
 
 # The classifier hashes words into BUCKETS features, and learns from about PER_DOMAIN labelled documents of each domain
@@ -57,8 +58,7 @@ def learn_memberships(labelled: DataFrame, domain_col: str, id_col: str = "doc_i
     domains, total = sorted(sizes), sum(sizes.values())
     if not domains:
         return Memberships([], [], [])
-    part = reduce(lambda c, d: c.when(F.col("d") == d, F.lit(int(1e6 * min(1.0, PER_DOMAIN / sizes[d])))), domains, F.when(F.lit(False), 0))
-    drawn = named.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part)
+    drawn = per_label(named, F.col("d"), F.col("id"), PER_DOMAIN)
     counts = drawn.select("d", F.explode(F.transform(words(F.lower("t")), lambda w: _bucket(w))).alias("b")).groupBy("b").agg(
         *(F.sum(F.when(F.col("d") == d, 1.0).otherwise(0.0)).alias(f"c{k}") for k, d in enumerate(domains)))
     every = labelled.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm import decontamination, mixing, pii, quality_rules, secrets
-from gridlore.llm.text import table
+from gridlore.llm import decontamination, language, mixing, pii, quality, quality_rules, secrets, toxicity
+from gridlore.llm.text import share, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with their labels, without those held out: crc32 of the id modulo 5 is 0."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return docs.join(labels, "doc_id").where(share(F.col("doc_id"), 5) != 0)
+
+
 @query("op1_secret_scan")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Every candidate of every document, with its place, score and verdict."""
@@ -58,11 +64,27 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), toxicity.learn(labelled(spark, folder)))
+
+
 @query("op4_pii")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_pii(table(spark, folder, "documents"))
 
 
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.learn(docs.where(share(F.col("doc_id"), 3) != 1)))
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), quality.learn(labelled(spark, folder)))
+
+
 @query("op9_mixing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's rate and copies, for equal token totals of the four languages."""
