@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm import decontamination, jaccard, language, mixing, pii, quality, quality_rules, secrets, toxicity
+from gridlore.llm import decontamination, jaccard, language, language_model, mixing, pii, quality, quality_rules, secrets, toxicity
 from gridlore.llm.text import share, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
 
 
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(table(spark, folder, "documents"))
+
+
 @query("op9_mixing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's rate and copies, for equal token totals of the four languages."""
