@@ -27,9 +27,9 @@ from gridlore.llm.text import ascii_lower, saved, ship, whole, words
 ship(__name__)
 
 WIDTH, PERCENT = 4, 85
-# Nodes of a block that one task compares with as many others; rows that may be broadcast (24 bytes each); pairs of tree
-# nodes that are tried at once; members of a hot centre that one task verifies.
-PART, BROADCAST_ROWS, AT_ONCE, PER_SALT = 2_000, 300_000, 200_000, 512
+# Nodes, and bytes of their sets, that one task compares with as many others; rows that may be broadcast (24 bytes
+# each); pairs of tree nodes that are tried at once; members of a hot centre that one task verifies; edges in one task.
+PART, PART_BYTES, BROADCAST_ROWS, AT_ONCE, PER_SALT, EDGES = 20_000, 24_000_000, 300_000, 200_000, 512, 250_000
 BITS, FAN = 4096, 8
 
 
@@ -173,7 +173,11 @@ def _ties(prepared: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node of the connected component, for nodes of the edges (a, b). Alternates large
     and small stars until nothing changes, written to the checkpoint folder each round."""
-    edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().persist()
+    n = edges.count()
+    tasks = 1 + n // EDGES  # few edges don't need a file for each shuffle partition
+    known, edges = edges, saved(edges.coalesce(tasks))
+    known.unpersist()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -182,9 +186,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        after = saved(small.where("u <> v").distinct())
+        after = saved(small.where("u <> v").distinct().coalesce(tasks))
         # both tables hold different rows, so equal counts and nothing new mean the same edges
-        if after.count() == edges.count() and not after.join(edges, ["u", "v"], "left_anti").head(1):
+        before, n = n, after.count()
+        if n == before and not after.join(edges, ["u", "v"], "left_anti").head(1):
             roots = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
         edges = after
@@ -327,7 +332,8 @@ def _open_links(ties: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
     nodes = nodes.join(blocks.select(F.col("node").alias("comp"), F.col("root").alias("block")), "comp")
     # classes of size 1.2 apart: linking sets lie in the same class or in neighbouring ones
     nodes = saved(nodes.withColumn("band", F.floor(F.log(F.length("s") / 8) / F.log(F.lit(1.2))).cast("int")))
-    parts = nodes.groupBy("block", "band").agg((F.count("*") / PART + 1).cast("int").alias("parts"))
+    parts = nodes.groupBy("block", "band").agg(
+        (F.greatest(F.count("*") / PART, F.sum(F.length("s")) / PART_BYTES) + 1).cast("int").alias("parts"))
     near = parts.select("block", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     below = parts.select("block", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
     plan = parts.join(near, ["block", "band"], "left").join(below, ["block", "band"], "left")
