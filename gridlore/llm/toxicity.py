@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm.sampling import per_label
-from gridlore.llm.text import share, ship, whole
+from gridlore.llm.text import let, share, ship, whole
 
 ship(__name__)
 
@@ -71,8 +71,9 @@ class KneserNey:
 
 def fit(rows: DataFrame) -> KneserNey:
     """The models from rows (label '0' or '1', h: hashed words): counts are made by Spark over the bounded sample."""
-    placed = rows.select("label", F.posexplode("h").alias("at", "w"), "h").select(
-        "label", "w", F.when(F.col("at") > 0, F.get("h", F.col("at") - 1)).otherwise(F.lit(0).cast("long")).alias("b"))
+    steps = let(F.col("h"), lambda h: F.transform(h, lambda w, i: F.struct(
+        w.alias("w"), F.when(i > 0, F.get(h, F.greatest(i - 1, F.lit(0)))).otherwise(F.lit(0).cast("long")).alias("b"))))
+    placed = rows.select("label", F.explode(steps).alias("s")).select("label", "s.w", "s.b")
     pairs = placed.groupBy("b", "w").agg(
         *(F.sum(F.when(F.col("label") == c, 1).otherwise(0)).cast("int").alias(f"n{c}") for c in "01")).persist()
     try:
