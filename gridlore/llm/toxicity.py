@@ -17,7 +17,7 @@ ship(__name__)
 # The models are counted over about PER_CLASS labelled documents of each class, and the score is calibrated on about
 # CALIBRATE others; word pairs that occur once give their counts to the backoff only.
 PER_CLASS, CALIBRATE, DISCOUNT = 4_000, 6_000, 0.75
-FEATURES = 4
+FEATURES = 5
 
 
 def hashed_words(text: Column) -> Column:
@@ -46,8 +46,8 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 class KneserNey:
     """Two word-pair models, 0 ordinary and 1 toxic. Both back off to their class's words, and those to one table of
-    continuation counts (in how many different words' company a word was seen, in either class), so that a rare word
-    weighs the same in both and doesn't count for either."""
+    continuation counts: in how many of the classes a word was seen. So a rare word weighs about the same in both and
+    doesn't count for either, while a word that one class uses often is not lent to the other."""
 
     def __init__(self, words, word_counts, followers, totals, pairs, pair_counts, shared):
         self.words, self.word_counts, self.followers = words, word_counts, followers
@@ -77,14 +77,14 @@ def fit(rows: DataFrame) -> KneserNey:
     pairs = placed.groupBy("b", "w").agg(
         *(F.sum(F.when(F.col("label") == c, 1).otherwise(0)).cast("int").alias(f"n{c}") for c in "01")).persist()
     try:
-        words = pairs.groupBy("w").agg(*(F.sum(f"n{c}").cast("int").alias(f"n{c}") for c in "01"), F.count("*").cast("int").alias("heads")).toPandas()
+        words = pairs.groupBy("w").agg(*(F.sum(f"n{c}").cast("int").alias(f"n{c}") for c in "01")).toPandas()
         often = pairs.where("n0 + n1 > 1").toPandas()
     finally:
         pairs.unpersist()
     words = words.sort_values("w", ignore_index=True)
     keys = words["w"].to_numpy(np.int64)
     counts = [np.append(words[f"n{c}"].to_numpy(float), 0.0) for c in "01"]
-    heads = np.append(words["heads"].to_numpy(float), 0.0) + 0.5
+    heads = (counts[0] > 0) + (counts[1] > 0) + 0.5
     tails = often["w"].to_numpy(np.int64), often["b"].to_numpy(np.int64)
     flat = np.stack([tails[1], tails[0]], 1).reshape(-1)
     pair_keys = _pairs(flat, np.array([], int))[0][1::2] if len(flat) else np.array([], np.uint64)
@@ -103,14 +103,14 @@ def fit(rows: DataFrame) -> KneserNey:
 
 
 def _measures(model: KneserNey, lists: pa.Array) -> np.ndarray:
-    """For each text: the mean log ratio, the sum over the root of the length, the mean of the three highest ratios,
-    and 1. Texts without words get zeros."""
+    """For each text: the mean log ratio, the sum over the root of the length, the mean of the three highest ratios, the
+    highest, and 1. Texts without words get zeros."""
     ends = lists.offsets.to_numpy()
     words = lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]]
     ends = ends - ends[0]
     sizes = np.diff(ends)
     out = np.zeros((len(sizes), FEATURES))
-    out[:, 3] = 1.0
+    out[:, 4] = 1.0
     full = np.flatnonzero(sizes)
     if len(full):
         first = ends[:-1][full]
@@ -119,7 +119,8 @@ def _measures(model: KneserNey, lists: pa.Array) -> np.ndarray:
         out[full, 0], out[full, 1] = total / sizes[full] * 10, total / np.sqrt(sizes[full])
         for i, a in zip(full, first):
             own = r[a:a + sizes[i]]
-            out[i, 2] = (np.partition(own, -3)[-3:] if len(own) > 3 else own).mean()
+            high = np.partition(own, -3)[-3:] if len(own) > 3 else own
+            out[i, 2], out[i, 3] = high.mean(), high.max()
     return out
 
 
@@ -151,7 +152,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         F.col(label_col).cast("int").alias("y"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
     fourth = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(4)) == 0
     drawn = per_label(rows.where(~fourth), F.col("y"), F.col("id"), PER_CLASS)
-    model = fit(drawn.select("label", hashed_words(F.col("t")).alias("h")))
+    # copies of a text count once
+    model = fit(drawn.select("label", hashed_words(F.col("t")).alias("h")).dropDuplicates())
     if min(x.sum() for x in model.word_counts) == 0:
         return None
     rest = per_label(rows.where(fourth), F.lit("all"), F.col("id"), CALIBRATE).select("y", hashed_words(F.col("t")).alias("h"))
@@ -164,7 +166,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     got = rest.mapInArrow(measure, "y int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toPandas()
     if got["y"].nunique() < 2:
-        return Scorer(model, np.array([1.0, 0.0, 0.0, 0.0]))
+        return Scorer(model, np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
     got = got.sort_values(list(got.columns))
     return Scorer(model, _curve(got[[f"x{k}" for k in range(FEATURES)]].to_numpy(), got["y"].to_numpy(float)))
 
