@@ -16,7 +16,7 @@ from gridlore.llm.text import let, numbers, saved, words
 # (all of them where there are fewer). EVIDENCE words at most count as independent, so that posteriors stay soft.
 BUCKETS, PER_DOMAIN, EVIDENCE = 4096, 4_000, 12.0
 MOST_DOMAINS = 256
-ROUNDS, RIDGE, CLOSE = 40, 1e-3, 1e-5
+ROUNDS, RIDGE, CLOSE = 40, 1e-3, 1e-4
 
 
 class Memberships:
@@ -73,13 +73,18 @@ def learn_memberships(labelled: DataFrame, domain_col: str, id_col: str = "doc_i
     return Memberships(domains, [log(sizes[d] / total) for d in domains], [list(w) for w in gathered.select(*by_domain).first()])
 
 
-def _rate(p: Column, steps: list[tuple[float, list[float]]], floor: float) -> Column:
-    """The rate after the steps, each a gradient step and a projection onto rates of at least floor."""
-    rate = F.lit(1.0)
-    for shrink, pull in steps:
-        move = reduce(lambda a, b: a + b, (F.get(p, k) * g for k, g in enumerate(pull)))
-        rate = F.greatest(F.lit(floor), rate * (1 - shrink) + shrink - move)
-    return rate
+def _rate(p: Column, shrink: float, pulls: list[list[float]], floor: float) -> Column:
+    """The rate after the steps, each a gradient step and a projection onto rates of at least floor. The steps are one
+    constant array, so that the expression has the same form, and the same compiled code, however many there are."""
+    if not pulls:
+        return F.lit(max(1.0, floor))
+    k, flat = len(pulls[0]), numbers(x for pull in pulls for x in pull)
+
+    def step(rate: Column, t: Column) -> Column:
+        move = reduce(lambda a, b: a + b, (F.get(p, i) * F.get(flat, t * k + i) for i in range(k)))
+        return F.greatest(F.lit(float(floor)), rate * (1 - shrink) + shrink - move)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(pulls) - 1)), F.lit(1.0), step)
 
 
 def fit_rates(members: DataFrame, targets: list[float], budget: float | None = None, floor: float = 0.0) -> Column:
@@ -105,14 +110,14 @@ def fit_rates(members: DataFrame, targets: list[float], budget: float | None = N
     gram = groups.agg(*(F.sum(F.col("n") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(k))).first()
     scaled = [[gram[f"g{i}_{j}"] / total / (goal[i] * goal[j]) ** 0.5 for j in range(k)] for i in range(k)]
     step = 1 / (max(sum(abs(x) for x in row) for row in scaled) + RIDGE)
-    steps: list[tuple[float, list[float]]] = []
+    pulls: list[list[float]] = []
     for _ in range(ROUNDS):
         off = [x / total - g for x, g in zip(now, goal)]
         if max(abs(o) / g for o, g in zip(off, goal)) < CLOSE:
             break
-        steps.append((step * RIDGE, [step * o / g for o, g in zip(off, goal)]))
-        now = [float(x) for x in groups.agg(*sums(_rate(F.col("p"), steps, floor))).first()]
-    return _rate(F.col("p"), steps, floor)
+        pulls.append([step * o / g for o, g in zip(off, goal)])
+        now = [float(x) for x in groups.agg(*sums(_rate(F.col("p"), step * RIDGE, pulls, floor))).first()]
+    return _rate(F.col("p"), step * RIDGE, pulls, floor)
 
 
 def mix(docs: DataFrame, memberships: Memberships, targets: dict[str, float] | None = None, budget: float | None = None,

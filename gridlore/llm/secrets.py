@@ -59,18 +59,17 @@ def _measured(value: Column, before: Column, after: Column, path: Column, lexico
     without = lambda p: (n - F.length(F.regexp_replace(value, p, ""))) / n
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "0")
     table = numbers(lexicon.transitions)
-    letter = lambda s, i: F.ascii(F.substring(s, i, F.lit(1))) - 97
 
-    def follow(s: Column) -> Column:
+    def follow(codes: Column) -> Column:
         def one(i: Column) -> Column:
-            a, b = letter(s, i), letter(s, i + 1)
+            a, b = F.get(codes, i), F.get(codes, i + 1)
             return F.when(a.between(0, 25) & b.between(0, 25), F.get(table, a * 26 + b)).otherwise(-7.0)
-        return F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda t, i: t + one(i)) / (F.length(s) - 1)
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 2), F.lit(0.0), lambda t, i: t + one(i)) / (F.size(codes) - 1)
 
     inside = "|".join(sorted(lexicon.inside, key=lambda w: (-len(w), w))) or "$^"
     flag = lambda c: c.cast("double")
     values = (
-        n, without("[0-9]"), without("[A-Z]"), (F.length(shape) - 1) / (n - 1), let(F.lower(value), follow),
+        n, without("[0-9]"), without("[A-Z]"), (F.length(shape) - 1) / (n - 1), let(F.transform(F.split(F.lower(value), ""), lambda c: F.ascii(c) - 97), follow),
         (n - F.length(F.regexp_replace(F.lower(value), f"({inside})", ""))) / n, flag(path.rlike(HARMLESS_PATH)),
         flag(before.rlike(NAMES)), flag(before.rlike(r"[=:]\s*[\"']?$")), flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         flag((before.rlike(HARMLESS)) | after.rlike(HARMLESS)),
