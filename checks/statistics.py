@@ -178,7 +178,7 @@ add("relationship", lambda t: g.relationship(t.dirty, "total_price", "net_revenu
          CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction, n < 30 AS exploratory
        FROM (SELECT count(*) FILTER (total_price IS NOT NULL AND net_revenue IS NOT NULL) AS n,
                     corr(total_price, net_revenue) AS r FROM dirty) AS s""", f="r", digits=6)
-add("group_shares", lambda t: g.group_shares(t.sales, ["brand", "segment"], "revenue"),
+add("group_shares", lambda t: g.group_shares(t.sales, ["brand", "segment"], "revenue", 10),
     union([f"""(SELECT '{k}' AS dimension, {k} AS category, count(*) AS records, sum(revenue) AS total, avg(revenue) AS average,
                sum(revenue) * 100 / sum(sum(revenue)) OVER () AS share FROM sales GROUP BY 2 ORDER BY 4 DESC, 2 LIMIT 10)"""
            for k in ("brand", "segment")]), f="total average share")

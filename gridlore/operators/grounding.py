@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.functions.columns import col, numeric_columns, require, text_columns
+from gridlore.functions.columns import col, numeric_columns, require, strip, text_columns
 from gridlore.functions.shapes import value_frequencies
 from gridlore.operators.profile import outlier_profile
 
@@ -118,7 +118,6 @@ LEAK_WORDS = (
     ("key", "token", "credential"), ("groq", "openai"), ("variable",),
     ("system prompt", "developer message", "hidden instructions", "api key", "credentials"),
 )
-MAX_VALUES_PER_COLUMN = 5000
 MIN_VALUE_LENGTH = 3
 TOLERANCE = 0.01
 
@@ -315,19 +314,18 @@ def ungrounded_names(df: DataFrame, claim: str, evidence: str, allowed: str | No
 
 # --- known values -----------------------------------------------------------
 
-def known_values(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+def known_values(df: DataFrame, names: list[str] | None = None, max_values: int | None = None) -> DataFrame:
     """Different lower-cased values of the text columns that look like categories.
 
-    Columns with more than 5000 different values are labels and are left out, as are
-    values shorter than three characters and numbers.
+    Values shorter than three characters and numbers are left out, and, if max_values is given, columns
+    with more different values than that.
     """
     names = text_columns(df) if names is None else names
     freq = value_frequencies(df, names)
-    small = freq.groupBy("column").agg(F.count(F.lit(1)).alias("d")).filter(
-        F.col("d") <= MAX_VALUES_PER_COLUMN
-    )
-    value = F.lower(F.trim("value"))
-    kept = freq.join(F.broadcast(small), "column").select(value.alias("value")).distinct()
+    if max_values is not None:
+        small = freq.groupBy("column").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") <= max_values)
+        freq = freq.join(F.broadcast(small), "column")
+    kept = freq.select(F.lower(strip(F.col("value"))).alias("value")).distinct()
     plain = F.replace("value", F.lit("."), F.lit(""))
     return kept.filter((F.length("value") >= MIN_VALUE_LENGTH) & ~plain.rlike(r"(?U)^\d+$"))
 
@@ -490,7 +488,7 @@ def results_agree(df: DataFrame, printed: str, single: str) -> DataFrame:
     not a single number, or no printed number, is not comparable and not a disagreement.
     """
     require(df, printed, single)
-    raw = F.trim(col(single))
+    raw = strip(col(single))
     value = F.when(~F.contains(raw, F.lit("\n")), _as_double(raw))
     numbers = numbers_in(col(printed))
 

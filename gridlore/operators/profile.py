@@ -214,10 +214,10 @@ def _joined_profile(df: DataFrame, names: list[str]) -> DataFrame:
     })
 
 
-def profile(df: DataFrame, max_cols: int = 40) -> DataFrame:
+def profile(df: DataFrame, max_cols: int | None = None) -> DataFrame:
     """Missing and distinct counts per column, with range, mean and median of numbers.
 
-    Only the first ``max_cols`` columns are detailed; ``truncated_columns`` says how
+    If ``max_cols`` is given, only so many columns are detailed; ``truncated_columns`` says how
     many were left out. The most frequent values are in ``top_values``.
     """
     names = df.columns[:max_cols]
@@ -340,8 +340,7 @@ def _pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, names: list[str]) -> DataFrame:
-    """All pairwise correlations of up to ten measures, long form, both halves and the diagonal."""
-    names = names[:10]
+    """All pairwise correlations of the measures, long form, both halves and the diagonal."""
     require(df, *names)
     pairs = list(combinations(names, 2)) + [(n, n) for n in names]
     upper = _pairwise(df, pairs).select("a", "b", "r")
@@ -382,13 +381,13 @@ def relationship(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def group_shares(df: DataFrame, keys: list[str], m: str) -> DataFrame:
-    """For the first two categories: the ten largest groups by total with their share."""
+def group_shares(df: DataFrame, keys: list[str], m: str, n: int | None = None) -> DataFrame:
+    """For each category: its groups, or the n largest by total, with their share."""
     frames = []
-    for key in keys[:2]:
+    for key in keys:
         groups = group_metrics(df, key, m)
         facts = groups.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t")).alias("f")).scalar()
-        top = groups.orderBy(F.desc("total"), col(key)).limit(10)
+        top = groups if n is None else groups.orderBy(F.desc("total"), col(key)).limit(n)
         frames.append(top.filter(facts["n"] >= 2).select(
             F.lit(key).alias("dimension"), col(key).cast("string").alias("category"),
             F.col("count").alias("records"), "total", "average",

@@ -80,16 +80,13 @@ def fold_small_groups(groups: DataFrame, key: str, value: str, k: int) -> DataFr
     best = groups.orderBy(*order).limit(k + 1)
     # at most k + 1 rows from here on
     ranked = best.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
-    count = groups.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("whole"))
-    facts = count.select(F.struct("n", "whole").alias("f")).scalar()
-    kept = ranked.filter((F.col("_place") <= k) | (facts["n"] <= k + 1))
+    n = groups.agg(F.count(F.lit(1)).alias("n")).scalar()
+    kept = ranked.filter((F.col("_place") <= k) | (n <= k + 1))
     named = kept.select(col(key).cast("string").alias(key), F.col(value).alias(value))
-    top = ranked.filter(F.col("_place") <= k).agg(
-        F.sum(value).alias("top"), F.count(F.lit(1)).alias("n")
-    )
-    rest = top.filter(facts["n"] > k + 1).select(
-        F.lit("Other").alias(key), (facts["whole"] - F.col("top")).alias(value)
-    )
+    # the rest is added up by itself: a whole minus its top loses small groups beside large ones
+    top = F.broadcast(ranked.filter(F.col("_place") <= k).select(col(key).alias("_top")))
+    rest = groups.join(top, col(key).eqNullSafe(F.col("_top")), "left_anti").agg(F.sum(value).alias(value)).filter(
+        n > k + 1).select(F.lit("Other").alias(key), value)
     return named.unionByName(rest)
 
 

@@ -177,7 +177,7 @@ def report_tables(df: DataFrame, roles: Roles | None = None) -> dict[str, DataFr
         tables["categorical_statistics"] = categorical_summary(df, roles.categorical)
         tables["top_categories"] = top_values(df, roles.categorical, 10)
     if primary and roles.categorical:
-        tables["group_performance"] = group_shares(df, roles.categorical, primary)
+        tables["group_performance"] = group_shares(df, roles.categorical, primary, 10)
         tables["chart_ranked"] = ranked_bar_data(df, roles.categorical[0], primary)
     if roles.dates:
         tables["dates"] = date_profile(df, roles.dates)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,12 +15,15 @@ __all__ = ["read_csv", "dedupe_columns", "unique_names", "promote_dates", "write
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """``a, a, a`` becomes ``a, a_2, a_3``."""
-    seen: dict[str, int] = {}
-    out = []
+    """``a, a, a`` becomes ``a, a_2, a_3``; a number whose name is taken, before or after, is passed over."""
+    taken, used, out = set(names), set(), []
     for n in names:
-        seen[n] = seen.get(n, 0) + 1
-        out.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
+        new = n
+        if n in used:
+            new = next(x for x in (f"{n}_{k}" for k in count(2)) if x not in taken)
+            taken.add(new)
+        used.add(new)
+        out.append(new)
     return out
 
 
@@ -30,7 +35,7 @@ def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
     """The header's own names: Spark's reader would rename repeated ones."""
     first = (
         spark.read.option("header", False).option("inferSchema", False)
-        .option("encoding", encoding).csv(path).first()
+        .option("encoding", encoding).option("escape", '"').csv(path).first()
     )
     if first is None:
         raise ValueError("The CSV file is empty.")
@@ -38,7 +43,7 @@ def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
 
 
 def read_csv(
-    spark: SparkSession, path: str, max_cols: int = 500, max_rows: int | None = None,
+    spark: SparkSession, path: str, max_cols: int | None = None, max_rows: int | None = None,
     encoding: str | None = None, schema: T.StructType | None = None,
 ) -> DataFrame:
     """Read a CSV with a header.
@@ -52,11 +57,11 @@ def read_csv(
     if encoding is None and _undecodable(spark, path):
         tried = "ISO-8859-1"
         names = _header(spark, path, tried)
-    if len(names) > max_cols:
+    if max_cols is not None and len(names) > max_cols:
         raise ValueError(f"The CSV has {len(names):,} columns; the limit is {max_cols}.")
     reader = (
         spark.read.option("header", True).option("mode", "FAILFAST").option("encoding", tried)
-        .option("enforceSchema", True)
+        .option("enforceSchema", True).option("escape", '"')
     )
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     df = reader.csv(path)
@@ -88,7 +93,7 @@ def promote_dates(df: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.option("escape", "\"").mode(mode).option("header", True).csv(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
