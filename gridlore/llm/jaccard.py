@@ -102,30 +102,24 @@ def segment_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
-def _prepare(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """id, uid (a hash of the text), n (set size), node (null for an empty set), keys (once for each node and task)."""
+def _digest(s: np.ndarray) -> int | None:
+    """The name of a set; None for an empty one."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """id, uid (a hash of the text), n (set size) and node (null for an empty set)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emitted: set[int] = set()
         for batch in batches:
-            sizes, nodes, keys = [], [], []
-            for s in shingle_sets(batch.column(2), width):
-                node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
-                sizes.append(len(s))
-                nodes.append(node)
-                keys.append(segment_keys(s, percent) if node is not None and node not in emitted else np.array([], np.int64))
-                if len(emitted) < 1_000_000:
-                    emitted.add(node)
-            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.array([], np.int64)
+            sets = shingle_sets(batch.column(2), width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "uid", "n", "node", "keys"])
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([_digest(s) for s in sets], pa.int64())], names=["id", "uid", "n", "node"])
 
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("uid"),
-                       hashed_words(F.col(text_col)).alias("h")).mapInArrow(
-        run, f"id {id_type}, uid long, n long, node long, keys array<long>")
+                       hashed_words(F.col(text_col)).alias("h")).mapInArrow(run, f"id {id_type}, uid long, n long, node long")
 
 
 def _star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,16 +133,28 @@ def _star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], nodes[first], ties[:, 0], ties[:, 1]
 
 
-def _ties(prepared: DataFrame) -> DataFrame:
+def _ties(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
     """Different pairs (a, b) of nodes that share a key, each with the least node of its key; tied inside each batch
-    first, so that of a hot key one row of each batch is shuffled."""
+    first, so that of a hot key one row of each batch is shuffled. Keys are made on the way to the shuffle and written
+    nowhere else; a tie found inside a batch takes the same way, as a key of its own that its two nodes share."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emitted: set[int] = set()
         for batch in batches:
-            flat, ends = _flat(batch.column(1))
-            k, c, a, b = _star(flat, np.repeat(batch.column(0).to_numpy(), np.diff(ends)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([True, False], [len(k), len(a)])), pa.array(np.concatenate([k, a])),
-                 pa.array(np.concatenate([c, b]))], names=["open", "a", "b"])
+            keys, nodes = [], []
+            for s in shingle_sets(batch.column(0), width):
+                node = _digest(s)
+                if node is not None and node not in emitted:
+                    keys.append(segment_keys(s, percent))
+                    nodes.append(node)
+                    if len(emitted) < 1_000_000:
+                        emitted.add(node)
+            if not keys:
+                continue
+            k, c, a, b = _star(np.concatenate(keys), np.repeat(np.array(nodes, np.int64), [len(x) for x in keys]))
+            with np.errstate(over="ignore"):
+                own = _mix(_mix(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, own, own])), pa.array(np.concatenate([c, a, b]))],
+                                             names=["a", "b"])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_centre = None, None
@@ -165,9 +171,8 @@ def _ties(prepared: DataFrame) -> DataFrame:
             ties = np.unique(np.stack([centre[other], b[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ties[:, 0]), pa.array(ties[:, 1])], names=["a", "b"])
 
-    rows = saved(prepared.where(F.size("keys") > 0).select("node", "keys").mapInArrow(local, "open boolean, a long, b long"))
-    opened = rows.where("open").select("a", "b").repartition("a").sortWithinPartitions("a", "b")
-    return rows.where("NOT open").select("a", "b").union(opened.mapInArrow(across, "a long, b long")).distinct()
+    keyed = docs.select(hashed_words(F.col(text_col)).alias("h")).mapInArrow(local, "a long, b long")
+    return keyed.repartition("a").sortWithinPartitions("a", "b").mapInArrow(across, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,19 +201,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, s): the sorted set, as bytes, of one document for each node of wanted (node, id, uid)."""
-    if wanted.count() <= BROADCAST_ROWS:
+    """(node, s): the sorted set, as bytes, of one document for each node of wanted (node, id, uid). Sets are dealt anew
+    only where rows repeat id and text."""
+    n = wanted.count()
+    wanted = wanted.select("node", "id", "uid")
+    if n <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     base = docs.select(F.col(id_col).alias("__id"), F.xxhash64(whole(F.col(text_col))).alias("__uid"), F.col(text_col).alias("__text"))
     met = base.join(wanted, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__uid") == F.col("uid")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            fresh = []
+            for node in batch.column(0).to_pylist():
+                fresh.append(node not in seen)
+                if len(seen) < 1_000_000:
+                    seen.add(node)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             sets = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"])
 
-    found = met.select("node", hashed_words(F.col("__text")).alias("h")).mapInArrow(run, "node long, s binary")
-    return saved(found.dropDuplicates(["node"]))
+    found = saved(met.select("node", hashed_words(F.col("__text")).alias("h")).mapInArrow(run, "node long, s binary"))
+    return found if found.count() == n else saved(found.dropDuplicates(["node"]))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -366,15 +381,19 @@ def _open_links(ties: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """id, uid, n, component_id and keeper (whether the row has the least id of its component, nulls last)."""
-    prepared = saved(_prepare(docs, id_col, text_col, width, percent))
-    ties = saved(_ties(prepared))
-    rows = prepared.select("id", "uid", "n", "node")
+    rows = saved(_rows(docs, id_col, text_col, width))
+    ties = saved(_ties(docs, text_col, width, percent))
     roots = None
     if ties.head(1):
         wanted = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        first = rows.join(wanted, "node").groupBy("node").agg(F.min(F.struct("id", "uid")).alias("f")).select("node", "f.*")
+        first = saved(rows.join(wanted, "node").groupBy("node").agg(
+            F.min(F.struct("id", "uid")).alias("f"), F.min("n").alias("n")).select("node", "f.*", "n"))
         sets = _sets(docs, first, id_col, text_col, width)
-        links = saved(_verified(ties, sets, percent))
+        # a tie of sizes too far apart is no link; its sets needn't meet
+        sized = lambda side: first.select(F.col("node").alias(side), F.col("n").alias("n" + side))
+        alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        near = ties.join(sized("a"), "a").join(sized("b"), "b").where(alike).select("a", "b")
+        links = saved(_verified(near, sets, percent))
         roots = saved(components(links))
         more = _open_links(ties, roots, sets, percent)
         if more is not None:
