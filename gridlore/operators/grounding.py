@@ -351,8 +351,8 @@ def _holds(text: Column, value: Column) -> Column:
 def _candidates(texts: DataFrame, ids: list[str], text: str, values: DataFrame) -> DataFrame:
     """``(ids…, value)`` where the text has the value's longest word.
 
-    Only ids and words are moved, never the texts. Values without any word character
-    have the empty key, which every text has.
+    Only ids and words are moved here; texts meet their candidates by id afterwards. Values
+    without any word character have the empty key, which every text has.
     """
     words = F.array_distinct(
         F.concat(F.regexp_extract_all(F.lower(_text(col(text))), F.lit(_WORDS), 0), F.array(F.lit("")))
@@ -362,12 +362,20 @@ def _candidates(texts: DataFrame, ids: list[str], text: str, values: DataFrame)
     return tokens.join(keyed, "_w").select(*map(col, ids), "value")
 
 
+def _met(left: DataFrame, right: DataFrame, ids: list[str], how: str = "inner") -> DataFrame:
+    """Joined on the ids, missing ones being equal to each other."""
+    other = right.select(*[col(i).alias(f"_id{k}") for k, i in enumerate(ids)],
+                         *[col(c) for c in right.columns if c not in ids])
+    same = [col(i).eqNullSafe(F.col(f"_id{k}")) for k, i in enumerate(ids)]
+    return left.join(other, same, how).drop(*[f"_id{k}" for k in range(len(ids))])
+
+
 def mentioned_values(claims: DataFrame, ids: list[str], text: str, values: DataFrame) -> DataFrame:
     """``(ids…, value)`` for every known value that occurs as whole words in a text."""
     require(claims, text, *ids)
     found = _candidates(claims, ids, text, values)
     texts = claims.select(*map(col, ids), F.lower(_text(col(text))).alias("_t"))
-    return found.join(texts, ids).filter(_holds(F.col("_t"), F.col("value"))).drop("_t")
+    return _met(found, texts, ids).filter(_holds(F.col("_t"), F.col("value"))).drop("_t")
 
 
 def stray_values(
@@ -386,7 +394,7 @@ def stray_values(
     )
     v = F.col("value")
     stray = _holds(F.col("_t"), v) & ~_holds(F.col("_e"), v) & ~_holds(F.col("_a"), v)
-    return found.join(texts, ids).filter(stray).drop("_t", "_e", "_a")
+    return _met(found, texts, ids).filter(stray).drop("_t", "_e", "_a")
 
 
 # --- verdicts ---------------------------------------------------------------
@@ -404,7 +412,7 @@ def ground_claims(
     if values is not None:
         strays = stray_values(claims, values, ids, claim, evidence, allowed)
         counted = strays.groupBy(*map(col, ids)).agg(F.count(F.lit(1)).alias("_strays"))
-        rows = claims.join(counted, ids, "left")
+        rows = _met(claims, counted, ids, "left")
         has_stray = F.col("_strays") > 0
     checks = (
         ("causal", _causal(low)), ("prediction", _prediction(low)), ("hedge", _hedge(low)),
@@ -430,7 +438,7 @@ def makes_data_claims(
     if values is None:
         return rows.withColumnRenamed("_speaks", "makes_claim")
     named = mentioned_values(df, ids, name, values).select(*map(col, ids)).distinct()
-    joined = rows.join(named.withColumn("_named", F.lit(True)), ids, "left")
+    joined = _met(rows, named.withColumn("_named", F.lit(True)), ids, "left")
     return joined.select(
         *map(col, ids), (F.col("_speaks") | F.coalesce("_named", F.lit(False))).alias("makes_claim")
     )

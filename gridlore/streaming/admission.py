@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,20 +116,23 @@ def session_admission(
         T.StructField("allowed", T.BooleanType()), T.StructField("reason", T.StringType())
     ]
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    places = [placed.columns.index(c) for c in (session, "_burst", "_t", "_f")]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, admitted = None, []
         for batch in batches:
             reasons = []
-            keys = zip(batch[session].tolist(), batch["_burst"].tolist())
-            for key, now, follow in zip(keys, batch["_t"].tolist(), batch["_f"].tolist()):
+            for who, burst, now, follow in zip(*(batch.column(i).to_pylist() for i in places)):
+                key = ("NaN" if who != who else who, burst)
                 if key != current:
                     current, admitted = key, []
                 reasons.append(_decide(admitted, now, follow, gap, max_calls, window))
-            batch["allowed"] = [r is None for r in reasons]
-            batch["reason"] = reasons
-            yield batch
+            # the rows themselves pass through untouched
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([r is None for r in reasons], pa.bool_()), pa.array(reasons, pa.string())],
+                names=[*batch.schema.names, "allowed", "reason"])
 
-    decided = placed.mapInPandas(walk, T.StructType(fields))
+    decided = placed.mapInArrow(walk, T.StructType(fields))
     return decided.select(*[col(c) for c in df.columns], "allowed", "reason")
 
 

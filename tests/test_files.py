@@ -34,8 +34,8 @@ def test_repeated_names_are_numbered(spark, tmp_path):
 
 
 @pytest.mark.parametrize("text, kw, message", [
-    ("name,amount\n", {}, "no data rows"), ("", {}, "empty"), ("a,b,c\n1,2,3\n", {"max_cols": 2}, "limit is 2"),
-    ("a\n1\n2\n3\n", {"max_rows": 2}, "more than 2 rows"),
+    ("name,amount\n", {}, "nothing but a header"), ("", {}, "no header line"), ("a,b,c\n1,2,3\n", {"max_cols": 2}, "limit of 2"),
+    ("a\n1\n2\n3\n", {"max_rows": 2}, "limit of 2 rows"),
 ])
 def test_unusable_files_are_refused(spark, tmp_path, text, kw, message):
     with pytest.raises(ValueError, match=message):

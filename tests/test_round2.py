@@ -1,5 +1,7 @@
 """Cases that an earlier version got wrong."""
 
+import pytest
+
 import gridlore as g
 
 
@@ -30,3 +32,36 @@ def test_no_caps_by_default(spark):
 def test_csv_doubled_quotes(spark, tmp_path):
     (tmp_path / "q.csv").write_text('a,b\n"say ""hi""",1\n')
     assert g.read_csv(spark, str(tmp_path / "q.csv")).first()["a"] == 'say "hi"'
+
+
+def test_csv_missing_tokens_and_line_breaks(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b,c\n1,x,"one\ntwo"\nNA,N/A,three\n2.5,y,null\n')
+    df = g.read_csv(spark, str(tmp_path / "m.csv"), multi_line=True)
+    assert dict(df.dtypes) == {"a": "double", "b": "string", "c": "string"}
+    assert [tuple(r) for r in df.collect()] == [(1.0, "x", "one\ntwo"), (None, None, "three"), (2.5, "y", None)]
+
+
+def test_admission_leaves_rows_as_they_are(spark):
+    rows = [(None, 0.0, 9007199254740995), (None, 1.0, None), (1, 0.0, 1), (1, 5.0, 2)]
+    df = spark.createDataFrame(rows, "s long, t double, big long")
+    got = {(r["s"], r["t"]): (r["big"], r["allowed"]) for r in g.session_admission(df, "s", "t").collect()}
+    assert got == {(None, 0.0): (9007199254740995, True), (None, 1.0): (None, False), (1, 0.0): (1, True), (1, 5.0): (2, True)}
+
+
+def test_claims_with_missing_ids_keep_their_values(spark):
+    claims = spark.createDataFrame([(None, "an otter", ""), (1, "an otter", "otter")], "id int, claim string, evidence string")
+    values = g.known_values(spark.createDataFrame([("otter",)], "v string"))
+    assert [r["id"] for r in g.stray_values(claims, values, ["id"], "claim", "evidence").collect()] == [None]
+
+
+def test_sql_gate_reads_the_plan(spark):
+    df = spark.range(3).toDF("x")
+    spark.range(7).createOrReplaceTempView("kept_view")
+    for sql in ("SELECT * FROM parquet/**/.`/tmp/x`", "SELECT * FROM kept_view", "SELECT * FROM range(5)",
+                "WITH a AS (SELECT * FROM kept_view), kept_view AS (SELECT 1) SELECT * FROM a",
+                "SELECT sum(x) OVER w FROM t WINDOW w AS (ORDER BY reflect('java.lang.System', 'getenv'))"):
+        with pytest.raises(ValueError):
+            g.run_sql(spark, {"t": df}, sql)
+    assert g.run_sql(spark, {"t": df}, "SELECT count(*) AS n FROM t WHERE 'UPDATE' <> 'DROP'").first()["n"] == 3
+    assert g.run_sql(spark, {"kept_view": df}, "SELECT * FROM kept_view").count() == 3
+    assert spark.table("kept_view").count() == 7 and not spark.catalog.tableExists("t")
