@@ -175,14 +175,45 @@ def _ties(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame
     return keyed.repartition("a").sortWithinPartitions("a", "b").mapInArrow(across, "a long, b long").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): each node of one task's edges with the least node that these edges reach from it."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while (up := parent[x]) != top:
+            parent[x], x = top, up
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            p, q = root(a), root(b)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    pairs = [(x, root(x)) for x in parent]
+    found = np.array([x for x in pairs if x[0] != x[1]], np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    """(node, root) of the edges (u, v) from each node to its root, with the roots themselves."""
+    roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): root is the least node of the connected component, for nodes of the edges (a, b). Alternates large
-    and small stars until nothing changes, written to the checkpoint folder each round."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().persist()
+    """(node, root): root is the least node of the connected component, for nodes of the saved edges (a, b). Each task
+    joins what it can of its EDGES edges; where there is more than one task, large and small stars alternate over what
+    is left until nothing changes, written to the checkpoint folder each round."""
+    edges = edges.where("a <> b").select("a", "b")
+    tasks = 1 + edges.count() // EDGES  # few edges don't need a file for each shuffle partition
+    edges = edges.coalesce(tasks).mapInArrow(_forest, "u long, v long")
+    if tasks == 1:
+        return _with_roots(saved(edges))
+    edges = saved(edges.distinct().coalesce(tasks))
     n = edges.count()
-    tasks = 1 + n // EDGES  # few edges don't need a file for each shuffle partition
-    known, edges = edges, saved(edges.coalesce(tasks))
-    known.unpersist()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -195,8 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
         # both tables hold different rows, so equal counts and nothing new mean the same edges
         before, n = n, after.count()
         if n == before and not after.join(edges, ["u", "v"], "left_anti").head(1):
-            roots = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+            return _with_roots(after)
         edges = after
 
 

@@ -235,7 +235,9 @@ def test_signature_trees_lose_no_link():
     assert classes(halves) == classes({(i, j) for i, j in want if i % 2 != j % 2})
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("edges_a_task", [7, 250_000])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(jaccard, "EDGES", edges_a_task)
     edges = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 20)] + [(200, 200)]
     got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(31)}, **{100 + k: 100 for k in range(20)}}
