@@ -265,20 +265,27 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verified(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ties (a, b) that are links. A centre with many ties is copied as often as its ties are split."""
+    """The ties (a, b) that are links. A set goes once to the nodes' join and once to its centre, which comes first there;
+    a centre with many ties is copied as often as its ties are split."""
     salts = ties.groupBy("a").agg((F.count("*") / PER_SALT + 1).cast("int").alias("salts"))
-    left = ties.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    centres = sets.join(salts, F.col("node") == F.col("a")).select(
-        "a", F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    met = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(centres, ["a", "salt"])
+    split = ties.join(salts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    centres = salts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    met = sets.join(split.union(centres), "node").select("a", "salt", (F.col("node") != F.col("a")).alias("late"), F.col("node").alias("b"), "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, centre = None, None  # a centre's ties may go on in the next batch
         for batch in batches:
-            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
-                    for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            left, right = [], []
+            for a, late, b, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+                own = np.frombuffer(s.as_buffer(), np.uint64)
+                if not late:
+                    of, centre = a, own.copy()
+                elif of == a and linked(centre, own, percent):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "late").mapInArrow(run, "a long, b long")
 
 
 class SignatureTree:
@@ -364,8 +371,9 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, cl: np.nd
     return out
 
 
-def _open_links(ties: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) between components that verified ties don't join; None if no tie is left open."""
+def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between components that verified ties don't join; None if no tie is left open.
+    sizes: (node, n) of the sets. Where a set has to go is found by ids and sizes alone."""
     named = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias("r" + side))
     root = lambda side: F.coalesce("r" + side, side)
     left = saved(ties.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
@@ -373,12 +381,12 @@ def _open_links(ties: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
     if not left.head(1):
         return None
     blocks = components(left)
-    nodes = sets.join(roots, "node", "left").select("node", "s", F.coalesce("root", "node").alias("comp"))
+    nodes = sizes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"))
     nodes = nodes.join(blocks.select(F.col("node").alias("comp"), F.col("root").alias("block")), "comp")
     # classes of size 1.2 apart: linking sets lie in the same class or in neighbouring ones
-    nodes = saved(nodes.withColumn("band", F.floor(F.log(F.length("s") / 8) / F.log(F.lit(1.2))).cast("int")))
+    nodes = saved(nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.2))).cast("int")))
     parts = nodes.groupBy("block", "band").agg(
-        (F.greatest(F.count("*") / PART, F.sum(F.length("s")) / PART_BYTES) + 1).cast("int").alias("parts"))
+        (F.greatest(F.count("*") / PART, F.sum("n") * 8 / PART_BYTES) + 1).cast("int").alias("parts"))
     near = parts.select("block", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     below = parts.select("block", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
     plan = parts.join(near, ["block", "band"], "left").join(below, ["block", "band"], "left")
@@ -392,7 +400,8 @@ def _open_links(ties: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
         band.alias("band"), (-1 - F.least(part, q)).alias("p"), F.greatest(part, q).alias("q"), F.when(part <= q, 0).otherwise(1).alias("side")))
     up = F.when(F.col("above").isNotNull(), F.transform(upto(F.col("above")), lambda q: turn(band, part, q, 0))).otherwise(none)
     down = F.when(F.col("below").isNotNull(), F.transform(upto(F.col("below")), lambda p: turn(band - 1, p, part, 1))).otherwise(none)
-    dealt = own.select("block", "comp", "s", F.explode(F.concat(same, up, down)).alias("t")).select("block", "comp", "s", "t.*")
+    turns = own.select("node", "block", "comp", F.concat(same, up, down).alias("turns"))
+    dealt = sets.join(turns, "node").select("block", "comp", "s", F.explode("turns").alias("t")).select("block", "comp", "s", "t.*")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = [pdf[pdf["side"] == k] for k in (0, 1)]
@@ -425,7 +434,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         near = ties.join(sized("a"), "a").join(sized("b"), "b").where(alike).select("a", "b")
         links = saved(_verified(near, sets, percent))
         roots = saved(components(links))
-        more = _open_links(ties, roots, sets, percent)
+        more = _open_links(ties, roots, first.select("node", "n"), sets, percent)
         if more is not None:
             found = saved(more)
             if found.head(1):
