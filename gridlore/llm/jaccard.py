@@ -31,6 +31,8 @@ WIDTH, PERCENT = 4, 85
 # each); pairs of tree nodes that are tried at once; members of a hot centre that one task verifies; edges in one task.
 PART, PART_BYTES, BROADCAST_ROWS, AT_ONCE, PER_SALT, EDGES = 20_000, 24_000_000, 300_000, 200_000, 512, 250_000
 BITS, FAN = 4096, 8
+# Sizes of neighbouring classes and bands differ by these factors, or by more where linking sets may (see _factor).
+CLASS, BAND = 1.4, 1.2
 
 
 def hashed_words(text: Column) -> Column:
@@ -73,22 +75,28 @@ def shingle_sets(lists: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def _factor(least: float, percent: int) -> float:
+    """least, or what the sizes of linking sets may differ by (100/percent) and a margin for rounding, so that linking
+    sets lie in the same class or in neighbouring ones."""
+    return max(least, 1.01 * 100 / percent)
+
+
 def segment_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """Keys such that two different sets that link share one.
 
-    Sizes fall into classes up to U, each 1.4 times the one before. Linking sets lie in the same class or in neighbouring
+    Sizes fall into classes up to U, each CLASS times the one before, or more for a low percent (_factor). Linking sets lie in the same class or in neighbouring
     ones, so a set gets the keys of its own class, and of the next if a partner can be there. Sets of at most U differ in
     at most H = 2U(100-p)/(100+p) shingles; of H + 1 + x segments at least 1 + x are equal. A set with more than x empty
     segments also gets its prefix as keys, since its equal segments may all be empty; a partner whose equal segments are
     all empty has as many, and linking sets share a shingle of their prefixes.
     """
-    n, keys = len(s), []
-    own = int(np.ceil(np.log(n) / np.log(1.4) - 1e-9)) if n > 1 else 0
-    classes = [own] + ([own + 1] if n * 100 > int(1.4 ** own + 1e-6) * percent - 100 else [])
+    n, keys, factor = len(s), [], _factor(CLASS, percent)
+    own = int(np.ceil(np.log(n) / np.log(factor) - 1e-9)) if n > 1 else 0
+    classes = [own] + ([own + 1] if n * 100 > int(factor ** own + 1e-6) * percent - 100 else [])
     with np.errstate(over="ignore"):
         mixed = _mix(s)
         for c in classes:
-            largest = max(1, int(1.4 ** c + 1e-6))
+            largest = max(1, int(factor ** c + 1e-6))
             h = 2 * largest * (100 - percent) // (100 + percent)
             x = 1 + h // 16
             count = h + 1 + x
@@ -383,8 +391,8 @@ def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataF
     blocks = components(left)
     nodes = sizes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"))
     nodes = nodes.join(blocks.select(F.col("node").alias("comp"), F.col("root").alias("block")), "comp")
-    # classes of size 1.2 apart: linking sets lie in the same class or in neighbouring ones
-    nodes = saved(nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.2))).cast("int")))
+    # bands of size: linking sets lie in the same band or in neighbouring ones
+    nodes = saved(nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(_factor(BAND, percent)))).cast("int")))
     parts = nodes.groupBy("block", "band").agg(
         (F.greatest(F.count("*") / PART, F.sum("n") * 8 / PART_BYTES) + 1).cast("int").alias("parts"))
     near = parts.select("block", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
