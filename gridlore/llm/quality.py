@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.sampling import per_label
+from gridlore.llm.sampling import label_sizes, per_label
 from gridlore.llm.text import share, ship, whole
 
 ship(__name__)
@@ -68,18 +68,22 @@ class Attention:
         return self.forward(x, first)[-1]
 
 
-def train(x: np.ndarray, first: np.ndarray, y: np.ndarray) -> Attention:
-    """Adam on the mean logistic loss of the bags, from a fixed seed; the same rows give the same network."""
+def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> Attention:
+    """Adam on the mean logistic loss of the bags, from a fixed seed; the same rows give the same network. weights: for
+    how many bags each one stands, in the loss and in the features' mean and scale; by default one."""
     rng = np.random.default_rng(SEED)
-    scale = x.std(0)
-    net = Attention(x.mean(0), np.where(scale > 1e-9, scale, 1.0), rng.normal(0, 0.3, (x.shape[1] + 1, HIDDEN)),
+    weights = np.ones(len(y)) if weights is None else weights
+    by_passage = np.repeat(weights, np.diff(np.append(first, len(x))))
+    mean = np.average(x, 0, by_passage)
+    scale = np.sqrt(np.average((x - mean) ** 2, 0, by_passage))
+    net = Attention(mean, np.where(scale > 1e-9, scale, 1.0), rng.normal(0, 0.3, (x.shape[1] + 1, HIDDEN)),
                     rng.normal(0, 0.3, (HIDDEN, HIDDEN)), rng.normal(0, 0.3, (HIDDEN, HIDDEN)),
                     rng.normal(0, 0.3, HIDDEN), np.append(rng.normal(0, 0.3, HIDDEN), 0.0))
     names = ("w", "v", "u", "a", "c")
     m, s = {k: 0.0 for k in names}, {k: 0.0 for k in names}
     for step in range(1, EPOCHS + 1):
         xs, h, t, g, alpha, bag, z, p = net.forward(x, first)
-        out = (p - y) / len(y)
+        out = weights * (p - y) / weights.sum()
         dz = out[:, None] * net.c[:-1]
         dalpha = (dz[bag] * h).sum(1)
         de = alpha * (dalpha - np.add.reduceat(alpha * dalpha, first)[bag])
@@ -103,10 +107,12 @@ def _bags(texts) -> tuple[np.ndarray, np.ndarray]:
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention | None:
     """A network from rows with a label of 0 or 1; None if one is missing. Passages are encoded by Spark; the driver
-    gets those of about PER_LABEL documents of each label. Weights restore the labels' true shares."""
+    gets those of about PER_LABEL documents of each label. Each counts for as many as its label has for one that was
+    drawn, so that the labels keep their true shares."""
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(
         F.col(label_col).cast("int").alias("y"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    drawn = per_label(rows, F.col("y"), F.col("id"), PER_LABEL).select("y", "id", whole(F.col("t")).alias("t"))
+    sizes = label_sizes(rows, F.col("y"))
+    drawn = per_label(rows, F.col("y"), F.col("id"), PER_LABEL, sizes).select("y", "id", whole(F.col("t")).alias("t"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +126,9 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     got = got.sort_values(["id", "y"], ignore_index=True, na_position="last")
     bags = [np.asarray(b, float).reshape(-1, N_FEATURES) for b in got["x"]]
     first = np.concatenate(([0], np.cumsum([len(b) for b in bags])[:-1]))
-    return train(np.concatenate(bags), first, got["y"].to_numpy(float))
+    counts = got["y"].value_counts()
+    weights = got["y"].map({y: sizes[str(y)] / n for y, n in counts.items()}).to_numpy(float)
+    return train(np.concatenate(bags), first, got["y"].to_numpy(float), weights)
 
 
 def score_quality(docs: DataFrame, model: Attention | None, id_col: str = "doc_id", text_col: str = "text",

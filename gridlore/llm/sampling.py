@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 MOST_LABELS = 1000
 
 
-def per_label(rows: DataFrame, label: Column, key: Column, bound: int) -> DataFrame:
-    """rows of which each label keeps about `bound` at most: those whose hashed key falls under bound over the label's
-    count; all of a label's rows where it has no more. Null labels are left out. Adds the column `label` as a string."""
-    named = rows.withColumn("label", label.cast("string")).where(F.col("label").isNotNull())
+def label_sizes(rows: DataFrame, label: Column) -> dict[str, int]:
+    """The rows of each label, named by its string; null labels are left out."""
+    named = rows.select(label.cast("string").alias("label")).where(F.col("label").isNotNull())
     sizes = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
     if len(sizes) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
+    return sizes
+
+
+def per_label(rows: DataFrame, label: Column, key: Column, bound: int, sizes: dict[str, int] | None = None) -> DataFrame:
+    """rows of which each label keeps about `bound` at most: those whose hashed key falls under bound over the label's
+    count; all of a label's rows where it has no more. Null labels are left out. Adds the column `label` as a string.
+    sizes: the result of label_sizes, where it is known."""
+    if sizes is None:
+        sizes = label_sizes(rows, label)
+    named = rows.withColumn("label", label.cast("string")).where(F.col("label").isNotNull())
     if not sizes:
         return named
     part = reduce(lambda c, d: c.when(F.col("label") == d, F.lit(int(1e6 * min(1.0, bound / sizes[d])))),
