@@ -21,8 +21,9 @@ WORD = re.compile(r"[^\W\d_]+")
 PER_LANGUAGE, WORDS, GRAMS, LONGEST = 4_000, 50_000, 20_000, 4
 # An unseen word counts for less than a known one, and each step to a shorter n-gram costs a little more.
 UNSEEN, STEP = 0.3, 0.4
-# At most so many words' worth of evidence go into the score, so that long texts don't all score 1.
-EVIDENCE, CACHE = 25.0, 200_000
+# At most so many words' worth of evidence go into the score, so that long texts don't all score 1. Each task keeps what
+# it found for CACHE unseen words of up to SHORT letters.
+EVIDENCE, CACHE, SHORT = 25.0, 200_000, 64
 
 
 class Model:
@@ -34,7 +35,7 @@ class Model:
 
     def _unseen(self, word: str) -> list[float]:
         """The mean over the word's places of the longest n-gram known there, times the weight of an unseen word."""
-        padded, total, n = f"<{word[:64]}>", [0.0] * len(self.languages), 0
+        padded, total, n = f"<{word}>", [0.0] * len(self.languages), 0
         for i in range(len(padded)):
             for size in range(LONGEST, 0, -1):
                 v = self.grams[size - 1].get(padded[i:i + size])
@@ -50,9 +51,11 @@ class Model:
         if v is None:
             v = self.seen.get(word)
             if v is None:
-                if len(self.seen) >= CACHE:
-                    self.seen.clear()
-                v = self.seen[word] = self._unseen(word)
+                v = self._unseen(word)
+                if len(word) <= SHORT:
+                    if len(self.seen) >= CACHE:
+                        self.seen.clear()
+                    self.seen[word] = v
         return v
 
     def predict(self, text: str | None) -> tuple[str, float]:
