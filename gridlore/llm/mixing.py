@@ -3,9 +3,11 @@ nonnegative rate per document makes the expected token totals of the domains mee
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from gridlore.llm.text import let, numbers, saved, words
 # (all of them where there are fewer). EVIDENCE words at most count as independent, so that posteriors stay soft.
 BUCKETS, PER_DOMAIN, EVIDENCE = 4096, 4_000, 12.0
 MOST_DOMAINS = 256
-ROUNDS, RIDGE, CLOSE = 40, 1e-3, 1e-4
+# Rounds that a fit may take before it gives up and says so, the pull to a rate of 1 at first and at last, and how near
+# targets have to be met.
+ROUNDS, RIDGE, LEAST_RIDGE, CLOSE = 500, 1e-3, 1.1e-7, 1e-4
 
 
 class Memberships:
@@ -73,51 +77,87 @@ def learn_memberships(labelled: DataFrame, domain_col: str, id_col: str = "doc_i
     return Memberships(domains, [log(sizes[d] / total) for d in domains], [list(w) for w in gathered.select(*by_domain).first()])
 
 
-def _rate(p: Column, shrink: float, pulls: list[list[float]], floor: float) -> Column:
-    """The rate after the steps, each a gradient step and a projection onto rates of at least floor. The steps are one
-    constant array, so that the expression has the same form, and the same compiled code, however many there are."""
-    if not pulls:
-        return F.lit(max(1.0, floor))
-    k, flat = len(pulls[0]), numbers(x for pull in pulls for x in pull)
+def _rate(p: Column, pulls: list[float], floor: float) -> Column:
+    """1 less the posterior's share in each domain's pull, projected onto rates of at least floor. The pulls are one
+    constant array, so that the expression has the same form, and the same compiled code, in every round."""
+    return F.greatest(F.lit(float(floor)), _free(p, pulls))
 
-    def step(rate: Column, t: Column) -> Column:
-        move = reduce(lambda a, b: a + b, (F.get(p, i) * F.get(flat, t * k + i) for i in range(k)))
-        return F.greatest(F.lit(float(floor)), rate * (1 - shrink) + shrink - move)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(pulls) - 1)), F.lit(1.0), step)
+def _free(p: Column, pulls: list[float]) -> Column:
+    flat = numbers(pulls)
+    return F.lit(1.0) - reduce(lambda a, b: a + b, (F.get(p, i) * F.get(flat, i) for i in range(len(pulls))))
 
 
 def fit_rates(members: DataFrame, targets: list[float], budget: float | None = None, floor: float = 0.0) -> Column:
-    """The rate as a column over `p`, fitted to rows (p, n_tokens) by projected gradient.
-
-    It minimises the sum of (expected total of a domain - its target)^2 / its target, with a small pull to a rate of 1.
+    """The rate as a column over `p`, fitted to rows (p, n_tokens).
+
+    It minimises the sum of (expected total of a domain - its target)^2 / its present total, with a small pull to a rate
+    of 1.
+    At the minimum a rate is 1 less a pull for each domain by its posterior, or the floor; the pulls are found by Newton
+    steps on the convex dual, whose number doesn't depend on how unlike the domains' shares are. The pull to 1 starts at
+    RIDGE and is weakened tenfold until the targets are met within CLOSE. Where LEAST_RIDGE doesn't do it either, no rates
+    meet them, or only ever larger rates of a few rows do: the rates of RIDGE stand, and what they miss is warned of.
     The rate of a document depends on its posterior only, so equal posteriors are summed first; each round is one
-    aggregation that returns a number for each domain. budget: the tokens to end with; by default as many as come in.
-    With a floor of 1 no document is dropped, and the budget is by default the least that allows it.
+    aggregation that returns a number for each pair of domains. budget: the tokens to end with; by default as many as
+    come in. With a floor of 1 no document is dropped, and the budget is by default the least that allows it.
     """
     k = len(targets)
     groups = saved(members.where(F.col("n_tokens") > 0).groupBy("p").agg(F.sum("n_tokens").cast("double").alias("n")))
-    sums = lambda rate: [F.coalesce(F.sum(F.col("n") * rate * F.get("p", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
-    now = [float(x) for x in groups.agg(*sums(F.lit(1.0))).first()]
+    at = lambda i: F.get("p", F.lit(i))
+    now = [float(x or 0) for x in groups.agg(*(F.sum(F.col("n") * at(i)).alias(f"s{i}") for i in range(k))).first()]
     total = sum(now)
     if not total:
         return F.lit(1.0)
     share = [max(t, 1e-9) / sum(targets) for t in targets]
     if budget is None:
         budget = total if floor < 1 else max(x / s for x, s in zip(now, share))
-    goal = [s * budget / total for s in share]
-    # the step is 1 over a bound of the curvature: the largest row sum of the weighted Gram matrix
-    gram = groups.agg(*(F.sum(F.col("n") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"g{i}_{j}") for i in range(k) for j in range(k))).first()
-    scaled = [[gram[f"g{i}_{j}"] / total / (goal[i] * goal[j]) ** 0.5 for j in range(k)] for i in range(k)]
-    step = 1 / (max(sum(abs(x) for x in row) for row in scaled) + RIDGE)
-    pulls: list[list[float]] = []
-    for _ in range(ROUNDS):
-        off = [x / total - g for x, g in zip(now, goal)]
-        if max(abs(o) / g for o, g in zip(off, goal)) < CLOSE:
+    goal = np.array([s * budget / total for s in share])
+    present = np.maximum(now, 1e-9 * total) / total
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """At the pulls y: the rates' part of the dual, the domains' totals, and the Gram matrix of the free rates."""
+        free = groups.select("p", "n", _free(F.col("p"), list(y)).alias("f"))
+        loose, low = F.col("f") > float(floor), float(floor)
+        n, moves = F.col("n") / total, F.when(F.col("f") > low, F.col("n") / total).otherwise(0.0)
+        row = free.agg(
+            F.sum(n * F.when(loose, F.col("f") * F.col("f") / 2).otherwise(low * F.col("f") - low * low / 2)),
+            *(F.sum(n * F.greatest(F.lit(low), F.col("f")) * at(i)) for i in range(k)),
+            *(F.sum(moves * at(i) * at(j)) for i, j in pairs)).first()
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[1 + k:]):
+            gram[i, j] = gram[j, i] = x
+        return row[0], np.array(row[1:1 + k], float), gram
+
+    # a domain without a target is measured by all tokens
+    scale = np.where(np.array(targets) > 0, goal, goal.sum())
+    off = lambda s: float(np.max(np.abs(s - goal) / scale))
+    y, ridge, first, rounds = np.zeros(k), RIDGE, None, 0
+    part, got, gram = sums(y)
+    while True:
+        dual = lambda y, part: part + goal @ y + ridge * (present @ (y * y)) / 2  # noqa: E731,B023
+        while rounds < ROUNDS:
+            slope = goal + ridge * present * y - got
+            if np.all(np.abs(slope) <= CLOSE / 100 * goal + 1e-12):
+                break
+            way, size = -np.linalg.solve(gram + np.diag(ridge * present), slope), 1.0
+            old = dual(y, part)
+            while True:
+                rounds += 1
+                tried = sums(y + size * way)
+                if dual(y + size * way, tried[0]) <= old + 1e-4 * size * (slope @ way) + 1e-15 * abs(old) or size < 1e-6:
+                    break
+                size /= 2
+            y, (part, got, gram) = y + size * way, tried
+        first = first or (y, got)
+        if off(got) < CLOSE or ridge <= LEAST_RIDGE or rounds >= ROUNDS:
             break
-        pulls.append([step * o / g for o, g in zip(off, goal)])
-        now = [float(x) for x in groups.agg(*sums(_rate(F.col("p"), step * RIDGE, pulls, floor))).first()]
-    return _rate(F.col("p"), step * RIDGE, pulls, floor)
+        ridge /= 10
+    if off(got) >= CLOSE:
+        y, got = first
+        parts = ", ".join(f"{x / g - 1:+.2%}" if t > 0 else f"{x / goal.sum():.2%} of all" for x, g, t in zip(got, goal, targets))
+        warnings.warn(f"the rates miss their targets after {rounds} rounds, by domain: {parts}", stacklevel=2)
+    return _rate(F.col("p"), list(y), floor)
 
 
 def mix(docs: DataFrame, memberships: Memberships, targets: dict[str, float] | None = None, budget: float | None = None,
