@@ -1,4 +1,4 @@
-"""Benchmark decontamination by winnowing."""
+"""Benchmark decontamination by a join of all windows; no fingerprints are selected."""
 
 from __future__ import annotations
 
