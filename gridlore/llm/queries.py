@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm import decontamination, jaccard, language, language_model, mixing, pii, quality, quality_rules, secrets, toxicity
+from gridlore.llm import (
+    decontamination, jaccard, language, language_model, mixing, pii, quality, quality_rules, secrets, toxicity, trie,
+)
 from gridlore.llm.text import share, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +111,62 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          "kept", "p_good", "votes")
+
+
+# crc32 of an id's decimal digits: a table of 256 remainders, then one step for each digit
+_CRC32 = """
+crc_bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+             FROM (SELECT unnest(range(256)) AS i)),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc_bits)"""
+
+
+def _crc32(number: str) -> str:
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    step = "xor(c >> 8, t[1 + xor(c, k) % 256])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda c, k: {step}), 4294967295)"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC32},
+t AS (SELECT conv_id AS c, turn, coalesce(text, '') AS txt,
+             md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+      FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, id) AS k FROM t),
+h AS (SELECT c, {_crc32("c")} % 6 AS h FROM (SELECT DISTINCT c FROM t), crc_table),
+r AS (SELECT h.c, n.k, id, txt FROM h JOIN n ON n.c = h.c - h.c % 100 AND n.k <= h.h
+      UNION ALL SELECT n.c, n.k, id, txt FROM h JOIN n USING (c) WHERE n.k > h.h),
+s AS (SELECT c, k, id, txt, row_number() OVER (PARTITION BY c ORDER BY k) AS d FROM r),
+seq AS (SELECT h.c, coalesce(list(id ORDER BY d) FILTER (WHERE id IS NOT NULL), []) AS ids,
+               coalesce(list(length(txt) ORDER BY d) FILTER (WHERE id IS NOT NULL), []) AS sizes FROM h LEFT JOIN s USING (c) GROUP BY h.c),
+m AS (SELECT c, d, ids[1:d] AS p, CASE WHEN d > 0 THEN ids[1:d - 1] END AS up, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(ids) AS ends
+      FROM seq, unnest(range(0, len(ids) + 1)) AS u(d)),
+g AS (SELECT p, any_value(up) AS up, d AS depth, any_value(size) AS size, min(c) AS conv_id, count(*) AS n_convs,
+             string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends) AS members FROM m GROUP BY p, d),
+kids AS (SELECT up AS p, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up),
+full_ AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN kids USING (p)),
+below AS (SELECT p[1:a] AS p, sum((n_convs - 1) * size) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+          FROM full_, unnest(range(0, depth + 1)) AS u(a) GROUP BY 1)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(b.leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.members, '')) AS ends_sha256
+FROM full_ f JOIN below b USING (p) LEFT JOIN g q ON q.p = f.up
+"""
+
+
+def with_openings(convs: DataFrame) -> DataFrame:
+    """convs (conv_id, seq) rebuilt: the first h turns of the conversation at the hundred below, then one's own turns after
+    the first h, where h is the id's crc32 modulo 6."""
+    h = (F.crc32(F.col("conv_id").cast("string")) % 6 * trie.WIDTH).cast("int")
+    first = convs.where("conv_id % 100 = 0").select(
+        F.col("conv_id").alias("at"), F.substring("seq", F.lit(1), F.lit(5 * trie.WIDTH)).alias("opening"))
+    met = convs.withColumn("at", F.col("conv_id") - F.col("conv_id") % 100).join(first, "at", "left")
+    opening = F.coalesce(F.substring(F.col("opening"), F.lit(1), h), F.unhex(F.lit("")))
+    return met.select("conv_id", F.concat(opening, F.substring(F.col("seq"), h + 1, F.length("seq"))).alias("seq"))
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    found = trie.prefix_trie(with_openings(trie.sequences(table(spark, folder, "conversations"))))
+    met = found.nodes.join(trie.ends_digest(found.ends), "node_id", "left")
+    return met.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+                      F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
