@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.llm import (
-    decontamination, jaccard, language, language_model, mixing, pii, quality, quality_rules, secrets, toxicity, trie,
+    bpe, decontamination, jaccard, language, language_model, mixing, pii, quality, quality_rules, secrets, toxicity, trie,
 )
 from gridlore.llm.text import share, table
 
@@ -170,3 +170,15 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     met = found.nodes.join(trie.ends_digest(found.ends), "node_id", "left")
     return met.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
                       F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
+@query("op12_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids and their decoded text, as digests."""
+    import public_tokenizers
+
+    rules = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    ids = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), rules).select("doc_id", "ids")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join("ids", " ")).alias("ids_sha256"),
+                      digest(bpe.decoded(F.col("ids"), rules)).alias("decoded_sha256"))
