@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.llm import (
-    bpe, decontamination, jaccard, language, language_model, mixing, pii, quality, quality_rules, secrets, toxicity, trie,
+    bpe, decontamination, jaccard, language, language_model, mixing, negatives, pii, quality, quality_rules, secrets, toxicity,
+    trie,
 )
 from gridlore.llm.text import share, table
 
@@ -182,3 +183,28 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     digest = lambda text: F.sha2(text.cast("binary"), 256)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join("ids", " ")).alias("ids_sha256"),
                       digest(bpe.decoded(F.col("ids"), rules)).alias("decoded_sha256"))
+
+
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+             CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """For each anchor and positive the hardest negatives, all rows searched."""
+    rows = table(spark, folder, "embeddings").where(negatives.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    fixed = rows.select(F.col("vec_id").alias("id"), label.cast("long").alias("label"), negatives.fixed_point(F.col("embedding")).alias("q"))
+    return negatives.hard_negatives(fixed, F.col("id") % 100 == 0)
