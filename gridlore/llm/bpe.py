@@ -24,8 +24,11 @@ from gridlore.llm.text import ship, whole
 
 ship(__name__)
 
-# Pieces that a task remembers, and how long one may be; code points of the texts that are encoded together.
+# Pieces and words, each, that a task remembers, and how long one may be; code points of the texts that are encoded together.
 REMEMBERED, SHORT, TOGETHER = 200_000, 64, 2_000_000
+# Unicode's white space, and the signs that only str.split() takes for it.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_NO_BLANKS = re.compile("[\x1c-\x1f]")
 
 
 def read_vocabulary(path: str) -> str:
@@ -35,8 +38,12 @@ def read_vocabulary(path: str) -> str:
 
 
 def _plain(spec: dict) -> re.Pattern | None:
-    """The pattern that cuts words, for printable ASCII, whose signs stand for themselves; None for other rules."""
-    steps = spec.get("pretokenizers", [spec])
+    """The pattern that cuts words, for printable lower-case ASCII, whose signs stand for themselves; None for rules that
+    do something else than lower-case letters and normalise signs beyond ASCII."""
+    made = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    if made != ["NFC", "Replace", "Lowercase"]:
+        return None
+    steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
     if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"]:
         return None
     if steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
@@ -45,6 +52,14 @@ def _plain(spec: dict) -> re.Pattern | None:
     return None if r"\p" in pattern else re.compile(pattern)
 
 
+def _remember(known: dict[str, list[int]], text: str, ids: list[int]) -> list[int]:
+    if len(text) <= SHORT:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        known[text] = ids
+    return ids
+
+
 class Encoder:
     """The rules of one tokenizer file: a byte-level BPE with word ends."""
 
@@ -70,9 +85,19 @@ class Encoder:
         self.inside = inside
         own = Tokenizer.from_str(rules)
         self.normalize, self.words = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
-        self.plain = _plain(spec["pre_tokenizer"])
+        self.plain = _plain(spec)
+        self.known: dict[str, list[int]] = {}
         self.pieces: dict[str, list[int]] = {}
 
+    def cut(self, piece: str) -> list[str]:
+        """The words of a piece, in the signs that stand for bytes."""
+        if self.plain and piece.isascii() and piece.isprintable():
+            low = piece.lower()
+            if low.isalpha():
+                return [low]
+            return [low[:-1], low[-1]] if low[:-1].isalpha() else self.plain.findall(low)
+        return [w for w, _ in self.words(self.normalize(piece))]
+
     def fragments(self, word: str) -> list[str]:
         """The word, in the signs that stand for bytes, cut where two bytes are inside no token."""
         out, start, inside = [], 0, self.inside
@@ -83,32 +108,33 @@ class Encoder:
         out.append(word[start:])
         return out
 
+    def word(self, word: str) -> list[int]:
+        """The ids of a word: those of its fragments, laid end to end."""
+        *cut, last = self.fragments(word)
+        out = [t.id for t in self.last(last)]
+        if cut:
+            out = [t.id for fragment in cut for t in self.within(fragment)] + out
+        return _remember(self.known, word, out)
+
     def piece(self, text: str) -> list[int]:
         """The ids of what stands between two blanks."""
-        out: list[int] = []
-        plain = self.plain and text.isascii() and text.isprintable()
-        for word in self.plain.findall(text) if plain else [w for w, _ in self.words(text)]:
-            *cut, last = self.fragments(word)
-            for fragment in cut:
-                out += [t.id for t in self.within(fragment)]
-            out += [t.id for t in self.last(last)]
-        if len(text) <= SHORT:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[text] = out
-        return out
+        known, out = self.known, []
+        for word in self.cut(text):
+            ids = known.get(word)
+            out += self.word(word) if ids is None else ids
+        return _remember(self.pieces, text, out)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known, extend = self.pieces.get, out.extend
-        for part in self.special.split(text) if self.special and "<" in text else (text,):
+        for part in self.special.split(text) if self.special and self.special.search(text) else (text,):
             if part in self.specials:
                 out.append(self.specials[part])
-            elif part:
-                for piece in self.normalize(part).split(" "):
-                    if piece:
-                        ids = known(piece)
-                        extend(self.piece(piece) if ids is None else ids)
+            else:
+                # a blank composes with nothing, so what lies between blanks may be normalised by itself
+                for piece in part.split() if not _NO_BLANKS.search(part) else [x for x in _BLANKS.split(part) if x]:
+                    ids = known(piece)
+                    extend(self.piece(piece) if ids is None else ids)
         return out
 
     def tokens(self) -> list[str | None]:
