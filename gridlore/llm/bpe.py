@@ -13,7 +13,9 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,9 @@ from gridlore.llm.text import ship, whole
 ship(__name__)
 
 # Pieces and words, each, that a task remembers, and how long one may be; code points of the texts that are encoded together.
-REMEMBERED, SHORT, TOGETHER = 200_000, 64, 2_000_000
+REMEMBERED, SHORT, TOGETHER = 200_000, 64, 1_000_000
+# Signs that stand for bytes lie below this code point.
+SIGNS = 512
 # Unicode's white space, and the signs that only str.split() takes for it.
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _NO_BLANKS = re.compile("[\x1c-\x1f]")
@@ -52,14 +56,6 @@ def _plain(spec: dict) -> re.Pattern | None:
     return None if r"\p" in pattern else re.compile(pattern)
 
 
-def _remember(known: dict[str, list[int]], text: str, ids: list[int]) -> list[int]:
-    if len(text) <= SHORT:
-        if len(known) >= REMEMBERED:
-            known.clear()
-        known[text] = ids
-    return ids
-
-
 class Encoder:
     """The rules of one tokenizer file: a byte-level BPE with word ends."""
 
@@ -73,21 +69,26 @@ class Encoder:
         # fragments inside a word don't take the word's end
         self.within = BPE(self.vocab, merges).tokenize
         self.last = BPE(self.vocab, merges, end_of_word_suffix=self.end).tokenize if self.end else self.within
+        self.signs = {c: k for c, k in self.vocab.items() if len(c) == 1}
+        self.ends = {c: self.vocab[c + self.end] for c in self.signs if c + self.end in self.vocab}
+        # by rank, the token that a merge makes; ranks by both its tokens in one number
+        self.made = [self.vocab[a + b] for a, b in merges]
+        self.size = max(self.vocab.values()) + 1
+        self.ranks = {self.vocab[a] * self.size + self.vocab[b]: k for k, (a, b) in enumerate(merges)}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens are taken as they are written")
         first = sorted(self.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, first)) + ")") if first else None
-        inside = set()
+        self.inside = np.zeros((SIGNS, SIGNS), bool)
         for token in self.vocab:
-            token = token.removesuffix(self.end) if self.end else token
-            inside.update(zip(token, token[1:]))
-        self.inside = inside
+            signs = np.frombuffer((token.removesuffix(self.end) if self.end else token).encode("utf-16-le"), np.uint16)
+            self.inside[signs[:-1], signs[1:]] = True
         own = Tokenizer.from_str(rules)
         self.normalize, self.words = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
         self.plain = _plain(spec)
-        self.known: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def cut(self, piece: str) -> list[str]:
         """The words of a piece, in the signs that stand for bytes."""
@@ -98,44 +99,98 @@ class Encoder:
             return [low[:-1], low[-1]] if low[:-1].isalpha() else self.plain.findall(low)
         return [w for w, _ in self.words(self.normalize(piece))]
 
-    def fragments(self, word: str) -> list[str]:
-        """The word, in the signs that stand for bytes, cut where two bytes are inside no token."""
-        out, start, inside = [], 0, self.inside
-        for k, pair in enumerate(zip(word, word[1:]), 1):
-            if pair not in inside:
-                out.append(word[start:k])
-                start = k
-        out.append(word[start:])
+    def fragments(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words, in the signs that stand for bytes, cut where two bytes are inside no token; and which fragments end
+        a word. Words hold no blank and aren't empty."""
+        text = " ".join(words)
+        signs = np.frombuffer(text.encode("utf-16-le"), np.uint16)
+        blank = signs == 32
+        cut = np.flatnonzero(~(self.inside[signs[:-1], signs[1:]] | blank[:-1] | blank[1:])) + 1
+        between = np.flatnonzero(blank)
+        starts = np.concatenate(([0], cut, between + 1))
+        ends = np.concatenate((cut, between, [len(text)]))
+        order = np.argsort(starts)
+        last = np.concatenate((np.zeros(len(cut), bool), np.ones(len(between) + 1, bool)))
+        place = np.argsort(ends)
+        return [text[a:b] for a, b in zip(starts[order].tolist(), ends[place].tolist())], last[place]
+
+    def merge(self, fragment: str, ends: bool) -> list[int]:
+        """A fragment's ids: of the pairs that a merge joins the one of least rank goes first, the leftmost of equals. Long
+        fragments are left to the library, which doesn't look at every pair for each merge."""
+        if len(fragment) > SHORT:
+            return [t.id for t in (self.last if ends else self.within)(fragment)]
+        ids = [self.signs[c] for c in fragment]
+        if ends:
+            ids[-1] = self.ends[fragment[-1]]
+        get, size, none = self.ranks.get, self.size, len(self.made)
+        ranks = [get(a * size + b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
+                break
+            k = ranks.index(least)
+            del ranks[k], ids[k]
+            ids[k] = self.made[least]
+            if k < len(ranks):
+                ranks[k] = get(ids[k] * size + ids[k + 1], none)
+            if k:
+                ranks[k - 1] = get(ids[k - 1] * size + ids[k], none)
+        return ids
+
+    def word_ids(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of words: those of their fragments, each encoded by itself, laid end to end."""
+        if not words:
+            return []
+        out, own = [], []
+        for fragment, ends in zip(*(x if isinstance(x, list) else x.tolist() for x in self.fragments(words))):
+            own += self.merge(fragment, ends)
+            if ends:
+                out.append(tuple(own))
+                own = []
         return out
 
-    def word(self, word: str) -> list[int]:
-        """The ids of a word: those of its fragments, laid end to end."""
-        *cut, last = self.fragments(word)
-        out = [t.id for t in self.last(last)]
-        if cut:
-            out = [t.id for fragment in cut for t in self.within(fragment)] + out
-        return _remember(self.known, word, out)
-
-    def piece(self, text: str) -> list[int]:
-        """The ids of what stands between two blanks."""
-        known, out = self.known, []
-        for word in self.cut(text):
-            ids = known.get(word)
-            out += self.word(word) if ids is None else ids
-        return _remember(self.pieces, text, out)
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts that are encoded together: pieces and words that aren't remembered are encoded once."""
+        for known in (self.known, self.pieces):
+            if len(known) >= REMEMBERED:
+                known.clear()
+        pieces, fresh, plans = self.pieces, {}, []
+        for text in texts:
+            plan: list = []
+            for part in self.special.split(text) if self.special and self.special.search(text) else (text,):
+                if part in self.specials:
+                    plan.append(self.specials[part])
+                else:
+                    # a blank composes with nothing, so what lies between blanks may be normalised by itself
+                    own = part.split() if not _NO_BLANKS.search(part) else [x for x in _BLANKS.split(part) if x]
+                    fresh.update((p, None) for p in own if p not in pieces)
+                    plan.append(own)
+            plans.append(plan)
+        for p in fresh:
+            fresh[p] = self.cut(p)
+        new = list({w for ws in fresh.values() for w in ws if w not in self.known})
+        found = dict(zip(new, self.word_ids(new)))
+        for p, ws in fresh.items():
+            ids = ()
+            for w in ws:
+                ids += self.known[w] if w in self.known else found[w]
+            fresh[p] = ids
+        self.known.update((w, ids) for w, ids in found.items() if len(w) <= SHORT)
+        out = []
+        for plan in plans:
+            ids: list[int] = []
+            for part in plan:
+                if isinstance(part, int):
+                    ids.append(part)
+                else:
+                    for p in part:
+                        ids += pieces[p] if p in pieces else fresh[p]
+            out.append(ids)
+        pieces.update((p, ids) for p, ids in fresh.items() if len(p) <= SHORT)
+        return out
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, extend = self.pieces.get, out.extend
-        for part in self.special.split(text) if self.special and self.special.search(text) else (text,):
-            if part in self.specials:
-                out.append(self.specials[part])
-            else:
-                # a blank composes with nothing, so what lies between blanks may be normalised by itself
-                for piece in part.split() if not _NO_BLANKS.search(part) else [x for x in _BLANKS.split(part) if x]:
-                    ids = known(piece)
-                    extend(self.piece(piece) if ids is None else ids)
-        return out
+        return self.encode_all([text])[0]
 
     def tokens(self) -> list[str | None]:
         """The token of each id."""
@@ -167,16 +222,17 @@ def encode(docs: DataFrame, rules: str, text_col: str = "text", out_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(rules)
         for batch in batches:
-            start, ids, ends, size = 0, [], [0], 0
+            start, texts, size = 0, [], 0
             for k, text in enumerate(batch.column(at), 1):
-                value = text.as_py() or ""
-                ids += own.encode(value)
-                ends.append(len(ids))
-                size += len(value)
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
                 if size >= TOGETHER or k == batch.num_rows:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                    ids = own.encode_all(texts)
+                    ends = np.cumsum([0, *map(len, ids)])
+                    flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([*batch.slice(start, k - start).columns, lists], names=[*batch.schema.names, out_col])
-                    start, ids, ends, size = k, [], [0], 0
+                    start, texts, size = k, [], 0
 
     return docs.mapInArrow(run, schema)
 
