@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_LABELS = 1000
+# Drawn rows (an id and a label) that may be broadcast to their texts.
+BROADCAST_IDS = 100_000
 
 
 def label_sizes(rows: DataFrame, label: Column) -> dict[str, int]:
@@ -31,3 +33,13 @@ def per_label(rows: DataFrame, label: Column, key: Column, bound: int, sizes: di
     part = reduce(lambda c, d: c.when(F.col("label") == d, F.lit(int(1e6 * min(1.0, bound / sizes[d])))),
                   sorted(sizes), F.when(F.lit(False), 0))
     return named.where(F.pmod(F.xxhash64(key.cast("string")), F.lit(1_000_000)) < part)
+
+
+def with_texts(drawn: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """drawn (key, label columns …) with `t`, the text of the document of that id. Drawn rows come from the labels alone, so
+    that texts are read where they lie; only drawn rows too many to broadcast are met by a shuffle. Of labels that repeat
+    an id the least counts; documents that repeat an id each get it."""
+    one = drawn.groupBy("key").agg(F.min("y").alias("y"), F.min("label").alias("label"))
+    if one.count() <= BROADCAST_IDS:
+        one = F.broadcast(one)
+    return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("t")).join(one, "key")

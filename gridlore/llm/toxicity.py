@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.sampling import per_label
+from gridlore.llm.sampling import per_label, with_texts
 from gridlore.llm.text import let, share, ship, whole
 
 ship(__name__)
 
 # The models are counted over about PER_CLASS labelled documents of each class, and the score is calibrated on about
-# CALIBRATE others; word pairs that occur once give their counts to the backoff only.
-PER_CLASS, CALIBRATE, DISCOUNT = 4_000, 6_000, 0.75
+# CALIBRATE others, which also choose among the discounts of pairs. Words of the texts that are measured together.
+PER_CLASS, CALIBRATE, DISCOUNT, PAIR_DISCOUNTS = 4_000, 6_000, 0.75, (1.0, 2.0, 4.0, 8.0, 16.0)
+TOGETHER = 200_000
 FEATURES = 5
 
 
@@ -45,64 +47,89 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class KneserNey:
-    """Two word-pair models, 0 ordinary and 1 toxic. Both back off to their class's words, and those to one table of
-    continuation counts: in how many of the classes a word was seen. So a rare word weighs about the same in both and
-    doesn't count for either, while a word that one class uses often is not lent to the other."""
+    """Two interpolated Kneser-Ney word-pair models, 0 ordinary and 1 toxic.
 
-    def __init__(self, words, word_counts, followers, totals, pairs, pair_counts, shared):
-        self.words, self.word_counts, self.followers = words, word_counts, followers
-        self.totals, self.pairs, self.pair_counts, self.shared = totals, pairs, pair_counts, shared
+    A pair's count, less a discount, over the count of its first word; the mass taken off goes to the second word's
+    continuation probability, which counts after how many different words it comes, not how often. That one, discounted
+    again, backs off to one table for both classes: the continuation count of a word over classes, in how many of them it
+    occurs. So a rare word weighs about the same in both, and what one class often uses isn't lent to the other, as it would
+    be if the shared table counted the words before it. Pairs that count no more than the discount give all they have to
+    the backoff, so that only the others are kept."""
+
+    def __init__(self, words, shared, pairs, classes):
+        self.words, self.shared, self.pairs, self.classes = words, shared, pairs, classes
 
     def ratios(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log P(word | the one before, toxic) - log P(word | the one before, ordinary) for each word of texts laid end
         to end; first holds the places where texts begin."""
         pairs, before = _pairs(words, first)
         w, h, p = _find(self.words, words), _find(self.words, before), _find(self.pairs, pairs)
-        logs = []
-        for c in (0, 1):
-            n, types = self.totals[c]
-            word = (np.maximum(self.word_counts[c][w] - DISCOUNT, 0) + DISCOUNT * types * self.shared[w]) / n
-            seen, follow = self.word_counts[c][h], self.followers[c][h]
-            pair = (np.maximum(self.pair_counts[c][p] - DISCOUNT, 0) + DISCOUNT * follow * word) / np.maximum(seen, 1)
-            # what the pairs left out is given back to the words, so that each history sums to 1
-            logs.append(np.log(np.where((seen > 0) & (follow > 0), pair, word)))
-        return logs[1] - logs[0]
-
-
-def fit(rows: DataFrame) -> KneserNey:
-    """The models from rows (label '0' or '1', h: hashed words): counts are made by Spark over the bounded sample."""
+        out = np.zeros(len(words))
+        for sign, c in zip((-1, 1), self.classes):
+            word = (np.maximum(c["after"][w] - DISCOUNT, 0) + DISCOUNT * c["types"] * self.shared[w]) / c["pairs"]
+            seen = c["starts"][h]
+            pair = (c["left"][p] + c["mass"][h] * word) / np.maximum(seen, 1)
+            # a word that never came first has no pairs of its own
+            out += sign * np.log(np.where(seen > 0, pair, word))
+        return out
+
+
+class Counts:
+    """How often each pair of words occurs in the sample's ordinary and toxic texts."""
+
+    def __init__(self, before: np.ndarray, word: np.ndarray, n: list[np.ndarray]):
+        self.n, self.words = n, np.unique(np.concatenate([word, before]))
+        self.second, self.head = np.searchsorted(self.words, word), np.searchsorted(self.words, before)
+        flat = np.stack([before, word], 1).reshape(-1)
+        self.keys = _pairs(flat, np.array([], int))[0][1::2] if len(word) else np.array([], np.uint64)
+
+    def _table(self, at: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+        """Sums by word; the last place is that of words that aren't known."""
+        return np.append(np.bincount(at, by, minlength=len(self.words)).astype(np.float32), np.float32(0))
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, list[dict]]:
+        """The shared table and the classes', which are the same for every discount of pairs."""
+        classes, shared = [], np.full(len(self.words) + 1, 0.5)
+        for n in self.n:
+            there = n > 0
+            after = self._table(self.second[there])
+            shared += after > 0
+            classes.append({"after": after, "types": max(float((after > 0).sum()), 1.0), "pairs": max(float(there.sum()), 1.0),
+                            "starts": self._table(self.head, n)})
+        return (shared / shared.sum()).astype(np.float32), classes
+
+    def model(self, discount: float) -> KneserNey:
+        """The models whose pairs are discounted by so much."""
+        kept = np.flatnonzero(np.maximum(*self.n) > discount)
+        kept = kept[np.argsort(self.keys[kept])]
+        shared, classes = self.tables
+        own = [{**c, "mass": self._table(self.head, np.minimum(n, discount)),
+                "left": np.append(np.maximum(n[kept] - discount, 0), 0).astype(np.float32)} for c, n in zip(classes, self.n)]
+        return KneserNey(self.words, shared, self.keys[kept], own)
+
+
+def count(rows: DataFrame) -> Counts:
+    """The counts of rows (label '0' or '1', h: hashed words), made by Spark over the bounded sample."""
     steps = let(F.col("h"), lambda h: F.transform(h, lambda w, i: F.struct(
         w.alias("w"), F.when(i > 0, F.get(h, F.greatest(i - 1, F.lit(0)))).otherwise(F.lit(0).cast("long")).alias("b"))))
     placed = rows.select("label", F.explode(steps).alias("s")).select("label", "s.w", "s.b")
-    pairs = placed.groupBy("b", "w").agg(
-        *(F.sum(F.when(F.col("label") == c, 1).otherwise(0)).cast("int").alias(f"n{c}") for c in "01")).persist()
-    try:
-        words = pairs.groupBy("w").agg(*(F.sum(f"n{c}").cast("int").alias(f"n{c}") for c in "01")).toPandas()
-        often = pairs.where("n0 + n1 > 1").toPandas()
-    finally:
-        pairs.unpersist()
-    words = words.sort_values("w", ignore_index=True)
-    keys = words["w"].to_numpy(np.int64)
-    counts = [np.append(words[f"n{c}"].to_numpy(float), 0.0) for c in "01"]
-    heads = (counts[0] > 0) + (counts[1] > 0) + 0.5
-    tails = often["w"].to_numpy(np.int64), often["b"].to_numpy(np.int64)
-    flat = np.stack([tails[1], tails[0]], 1).reshape(-1)
-    pair_keys = _pairs(flat, np.array([], int))[0][1::2] if len(flat) else np.array([], np.uint64)
-    order = np.argsort(pair_keys)
-    history = _find(keys, tails[1])
-    followers, pair_counts = [], []
-    for c in "01":
-        n = often[f"n{c}"].to_numpy(float)
-        # mass to give back: the discount of each kept pair, and all of each pair left out
-        kept = np.bincount(history, np.where(n > 0, np.minimum(n, DISCOUNT) - n, 0.0), minlength=len(keys) + 1)
-        followers.append((counts[int(c)] + kept) / DISCOUNT)
-        followers[-1][-1] = 0.0
-        pair_counts.append(np.append(n[order], 0.0))
-    totals = [(max(float(x.sum()), 1.0), max(float((x > 0).sum()), 1.0)) for x in counts]
-    return KneserNey(keys, counts, followers, totals, pair_keys[order], pair_counts, heads / heads.sum())
+    got = placed.groupBy("b", "w").agg(
+        *(F.sum(F.when(F.col("label") == c, 1).otherwise(0)).cast("int").alias(f"n{c}") for c in "01")).toArrow()
+    b, w, *n = (got.column(k).to_numpy() for k in ("b", "w", "n0", "n1"))
+    return Counts(b, w, n)
 
 
 def _measures(model: KneserNey, lists: pa.Array) -> np.ndarray:
+    """See _measured; texts are measured about TOGETHER words at a time, however many a batch has."""
+    ends = lists.offsets.to_numpy()
+    starts = np.unique(np.searchsorted(ends, np.arange(ends[0], ends[-1] + 1, TOGETHER)).clip(0, len(lists)))
+    cuts = np.unique(np.concatenate(([0], starts, [len(lists)])))
+    parts = [_measured(model, lists.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:])]
+    return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
+
+
+def _measured(model: KneserNey, lists: pa.Array) -> np.ndarray:
     """For each text: the mean log ratio, the sum over the root of the length, the mean of the three highest ratios, the
     highest, and 1. Texts without words get zeros."""
     ends = lists.offsets.to_numpy()
@@ -145,30 +172,47 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer | None:
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return float(-np.mean(np.log(np.where(y > 0, p, 1 - p))))
+
+
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+          docs: DataFrame | None = None) -> Scorer | None:
     """A scorer from rows with a label of 0 or 1; None if one of the labels is missing. Three in four sampled documents
-    are counted, the fourth calibrates."""
+    are counted, the fourth calibrates.
+
+    docs: the texts, if labelled holds ids and labels alone; rows are then drawn before any text is read.
+    Null labels and ids without a text are left out, a null text is an empty one.
+    """
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(
-        F.col(label_col).cast("int").alias("y"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    fourth = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(4)) == 0
-    drawn = per_label(rows.where(~fourth), F.col("y"), F.col("id"), PER_CLASS)
+        F.col(label_col).cast("int").alias("y"), F.col(id_col).alias("key"),
+        (F.lit(None) if docs is not None else F.col(text_col)).cast("string").alias("t"))
+    fourth = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(17)), F.lit(4)) == 0
+    drawn = per_label(rows.where(~fourth), F.col("y"), F.col("key"), PER_CLASS)
+    rest = per_label(rows.where(fourth), F.lit("all"), F.col("key"), CALIBRATE)
+    if docs is not None:
+        drawn, rest = (with_texts(x, docs, id_col, text_col) for x in (drawn, rest))
     # copies of a text count once
-    model = fit(drawn.select("label", hashed_words(F.col("t")).alias("h")).dropDuplicates())
-    if min(x.sum() for x in model.word_counts) == 0:
+    counts = count(drawn.select("label", hashed_words(F.col("t")).alias("h")).dropDuplicates())
+    if min(n.sum() for n in counts.n) == 0:
         return None
-    rest = per_label(rows.where(fourth), F.lit("all"), F.col("id"), CALIBRATE).select("y", hashed_words(F.col("t")).alias("h"))
+    models = [counts.model(d) for d in PAIR_DISCOUNTS]
+    names = [f"x{m}_{k}" for m in range(len(models)) for k in range(FEATURES)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _measures(model, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(FEATURES))],
-                                             names=["y", *(f"x{k}" for k in range(FEATURES))])
+            x = np.concatenate([_measures(m, batch.column(1)) for m in models], 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, k]) for k in range(len(names)))], names=["y", *names])
 
-    got = rest.mapInArrow(measure, "y int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toPandas()
+    got = rest.select("y", hashed_words(F.col("t")).alias("h")).mapInArrow(measure, "y int, " + ", ".join(f"{k} double" for k in names)).toPandas()
     if got["y"].nunique() < 2:
-        return Scorer(model, np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
+        return Scorer(models[0], np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
     got = got.sort_values(list(got.columns))
-    return Scorer(model, _curve(got[[f"x{k}" for k in range(FEATURES)]].to_numpy(), got["y"].to_numpy(float)))
+    y, x = got["y"].to_numpy(float), got[names].to_numpy().reshape(len(got), len(models), FEATURES)
+    curves = [_curve(x[:, m], y) for m in range(len(models))]
+    best = min(range(len(models)), key=lambda m: _loss(x[:, m], y, curves[m]))
+    return Scorer(models[best], curves[best])
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text_col: str = "text",
