@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.sampling import label_sizes, per_label
+from gridlore.llm.sampling import label_sizes, per_label, with_texts
 from gridlore.llm.text import share, ship, whole
 
 ship(__name__)
@@ -105,14 +105,23 @@ def _bags(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p for b in bags for p in b]), np.concatenate(([0], np.cumsum(sizes)[:-1]))
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention | None:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+          docs: DataFrame | None = None) -> Attention | None:
     """A network from rows with a label of 0 or 1; None if one is missing. Passages are encoded by Spark; the driver
-    gets those of about PER_LABEL documents of each label. Each counts for as many as its label has for one that was
-    drawn, so that the labels keep their true shares."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(
-        F.col(label_col).cast("int").alias("y"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"))
-    sizes = label_sizes(rows, F.col("y"))
-    drawn = per_label(rows, F.col("y"), F.col("id"), PER_LABEL, sizes).select("y", "id", whole(F.col("t")).alias("t"))
+    gets those of about PER_LABEL documents of each label, whole (56 bytes for each 48 words of a text). Each counts for as
+    many as its label has for one that was drawn, so that the labels keep their true shares.
+
+    docs: the texts, if labelled holds ids and labels alone; rows are then drawn before any text is read.
+    Null labels and ids without a text are left out, a null text is an empty one.
+    """
+    base = labelled.where(F.col(label_col).isin(0, 1)).select(
+        F.col(label_col).cast("int").alias("y"), F.col(id_col).alias("key"),
+        (F.lit(None) if docs is not None else F.col(text_col)).cast("string").alias("t"))
+    sizes = label_sizes(base, F.col("y"))
+    drawn = per_label(base, F.col("y"), F.col("key"), PER_LABEL, sizes)
+    if docs is not None:
+        drawn = with_texts(drawn, docs, id_col, text_col)
+    drawn = drawn.select("y", F.col("key").cast("string").alias("id"), whole(F.col("t")).alias("t"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,10 +26,9 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with their labels, without those held out: crc32 of the id modulo 5 is 0."""
-    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    return docs.join(labels, "doc_id").where(share(F.col("doc_id"), 5) != 0)
+def labels(spark: SparkSession, folder: str, label: str) -> DataFrame:
+    """(doc_id, label) without the documents held out: those whose id's crc32 modulo 5 is 0."""
+    return table(spark, folder, "labels").select("doc_id", label).where(share(F.col("doc_id"), 5) != 0)
 
 
 @query("op1_secret_scan")
@@ -69,7 +68,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_toxicity")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.score_toxicity(table(spark, folder, "documents"), toxicity.learn(labelled(spark, folder)))
+    """Every document's toxicity, learnt from labels outside the fold held out."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(labels(spark, folder, "toxic"), docs=docs))
 
 
 @query("op4_pii")
@@ -85,7 +86,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.score_quality(table(spark, folder, "documents"), quality.learn(labelled(spark, folder)))
+    """Every document's quality, learnt from labels outside the fold held out."""
+    docs = table(spark, folder, "documents")
+    return quality.score_quality(docs, quality.learn(labels(spark, folder, "quality"), docs=docs))
 
 
 @query("op7_ngram_jaccard_join")
