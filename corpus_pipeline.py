@@ -14,9 +14,8 @@ QUALITY_FROM = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more stay. The classifier learns from labelled documents whose id's crc32 modulo 5
     isn't 0."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    known = docs.join(labels, "doc_id").where(share(F.col("doc_id"), 5) != 0)
-    return quality.keep_good(docs, quality.learn(known), threshold=QUALITY_FROM)
+    known = table(spark, sf_dir, "labels").select("doc_id", "quality").where(share(F.col("doc_id"), 5) != 0)
+    return quality.keep_good(docs, quality.learn(known, docs=docs), threshold=QUALITY_FROM)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
