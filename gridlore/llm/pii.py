@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +18,8 @@ ship(__name__)
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match begins at the first digit of a run: from a later one the signs after the run are the same
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -99,11 +101,13 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         proposed += [(*m.span(), kind) for m in pattern.finditer(text) if score(text, *m.span(), kind) >= 0.5]
     if not proposed:
         return []
-    taken, out = sorted((a, b) for a, b, _ in base), []
+    # base spans by start with the furthest end so far; what is taken on the way ends where the next may begin
+    base, out, free = sorted((a, b) for a, b, _ in base), [], 0
+    starts, ends = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     for a, b, kind in sorted(proposed, key=lambda x: x[0]):
-        i = bisect_left(taken, (a, b))
-        if (i == 0 or max(e for _, e in taken[max(0, i - 4):i]) <= a) and (i == len(taken) or taken[i][0] >= b):
-            insort(taken, (a, b))
+        before = bisect_left(starts, b)  # base spans that begin before b
+        if a >= free and (before == 0 or ends[before - 1] <= a):
+            free = b
             out.append((a, b, kind))
     return out
 
