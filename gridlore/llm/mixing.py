@@ -88,8 +88,8 @@ def _free(p: Column, pulls: list[float]) -> Column:
     return F.lit(1.0) - reduce(lambda a, b: a + b, (F.get(p, i) * F.get(flat, i) for i in range(len(pulls))))
 
 
-def fit_rates(members: DataFrame, targets: list[float], budget: float | None = None, floor: float = 0.0) -> Column:
-    """The rate as a column over `p`, fitted to rows (p, n_tokens).
+def fit_rates(members: DataFrame, targets: list[float], budget: float | None = None, floor: float = 0.0, over: str = "p") -> Column:
+    """The rate as a column over the posterior `over`, fitted to rows (p, n_tokens).
 
     It minimises the sum of (expected total of a domain - its target)^2 / its present total, with a small pull to a rate
     of 1.
@@ -157,7 +157,7 @@ def fit_rates(members: DataFrame, targets: list[float], budget: float | None = N
         y, got = first
         parts = ", ".join(f"{x / g - 1:+.2%}" if t > 0 else f"{x / goal.sum():.2%} of all" for x, g, t in zip(got, goal, targets))
         warnings.warn(f"the rates miss their targets after {rounds} rounds, by domain: {parts}", stacklevel=2)
-    return _rate(F.col("p"), list(y), floor)
+    return _rate(F.col(over), list(y), floor)
 
 
 def mix(docs: DataFrame, memberships: Memberships, targets: dict[str, float] | None = None, budget: float | None = None,
@@ -167,23 +167,25 @@ def mix(docs: DataFrame, memberships: Memberships, targets: dict[str, float] | N
     targets: weight by domain, by default the square root of the domain's expected tokens; a domain that isn't named
     has none. copies is the rate rounded up or down by a hash of id and text, so that it is the rate on average. Null
     and empty texts have no tokens, the prior for a posterior and the rate that follows from it. Rows that repeat get
-    the same values. Without labelled rows or tokens every rate is 1. Names that clash are replaced.
+    the same values. Without labelled rows or tokens every rate is 1. Columns of docs that are named like one of the four
+    are replaced by it; all others are kept as they are.
     """
     tokens = words(F.lower(F.col(text_col)))
     own = let(tokens, lambda t: F.struct(F.size(t).cast("long").alias("n_tokens"), memberships.posterior(t).alias("p")))
     if not memberships.domains:
-        rate, source = F.lit(1.0), docs.withColumn("__m", own)
+        rate, source = F.lit(1.0), docs.withColumn("__mixed", own)
     else:
-        source = docs.withColumn("__m", own)
-        members = saved(source.select("__m.p", "__m.n_tokens"))
+        source = docs.withColumn("__mixed", own)
+        members = saved(source.select("__mixed.p", "__mixed.n_tokens"))
         if targets is None:
             k = len(memberships.domains)
             expected = members.agg(*(F.coalesce(F.sum(F.get("p", F.lit(i)) * F.col("n_tokens")), F.lit(0.0)) for i in range(k))).first()
             weights = [x ** 0.5 for x in expected]
         else:
             weights = [float(targets.get(d, 0.0)) for d in memberships.domains]
-        rate = fit_rates(members, weights, budget, floor) if sum(weights) else F.lit(1.0)
+        rate = fit_rates(members, weights, budget, floor, "__mixed.p") if sum(weights) else F.lit(1.0)
     chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1_000_000)) / 1e6
-    out = source.withColumn("n_tokens", F.col("__m.n_tokens")).withColumn("p", F.col("__m.p")).withColumn("rate", rate)
-    copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
-    return out.withColumn("copies", copies).withColumn("posterior", F.col("p")).drop("__m", "p")
+    rated = source.withColumn("__rate", rate).withColumn("__chance", chance)
+    copies = (F.floor("__rate") + F.when(F.col("__chance") < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("long")
+    out = {"n_tokens": F.col("__mixed.n_tokens"), "posterior": F.col("__mixed.p"), "rate": F.col("__rate"), "copies": copies}
+    return rated.withColumns(out).drop("__mixed", "__rate", "__chance")
