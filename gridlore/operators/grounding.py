@@ -477,11 +477,12 @@ def tag_questions(df: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("chart_type", F.when(F.col("tag") == "chart", chart))
 
 
-def leak_flag(df: DataFrame, name: str) -> DataFrame:
-    """Add a flag for text that seems to disclose instructions or credentials."""
+def leak_flag(df: DataFrame, name: str, markers: tuple[str, ...] = ()) -> DataFrame:
+    """Add a flag for text that seems to disclose instructions or credentials, or holds one of the markers that the
+    caller has put into its own instructions."""
     require(df, name)
     c = F.col("_lowered")
-    marker = _contains_any(c, ("data_analyst_system_prompt",))
+    marker = _contains_any(c, tuple(m.lower() for m in markers)) if markers else F.lit(False)
     rows = df.withColumn("_lowered", F.lower(col(name)))
     return rows.withColumn("leak", marker | _guarded(c, LEAK_PATTERNS, LEAK_WORDS, "(?Us)")).drop("_lowered")
 

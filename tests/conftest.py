@@ -25,9 +25,10 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def sample(spark):
+    # trips of a small ferry line
     rows = [
-        ("2024-01-15", "Laptop", "North", 75000, 15), ("2024-01-18", "Phone", "South", 45000, 30),
-        ("2024-02-01", "Laptop", "South", 68000, 13), ("2024-02-14", "Headphones", "East", 12000, 40),
-        ("2024-03-10", "Phone", "North", 51000, 34),
+        ("1998-03-02", "Gull", "West Quay", 310, 62), ("1998-03-09", "Tern", "Old Pier", 128, 40),
+        ("1998-05-17", "Gull", "Old Pier", 455, 91), ("1998-05-17", "Petrel", "West Quay", 97, 20),
+        ("1998-11-30", "Tern", "Sandholm", 260, 65),
     ]
-    return spark.createDataFrame(rows, "date string, product string, region string, revenue long, quantity long")
+    return spark.createDataFrame(rows, "day string, boat string, harbour string, fare_amount long, riders long")

@@ -12,19 +12,19 @@ def values(df, *names):
 
 
 def test_totals_and_periods(sample):
-    assert g.total(sample, "revenue").first()["value"] == 251000
-    january = g.filtered_aggregate(sample, "revenue", "sum", g.within_month(sample, "date", 2024, 1))
-    assert january.first()["value"] == 120000
-    day = g.filtered_aggregate(sample, "revenue", "sum", g.within_day(sample, "date", "2024-01-18"))
-    assert day.first()["value"] == 45000
-    nothing = g.filtered_aggregate(sample, "revenue", "sum", g.within_year(sample, "date", 1999))
+    assert g.total(sample, "fare_amount").first()["value"] == 310 + 128 + 455 + 97 + 260
+    march = g.filtered_aggregate(sample, "fare_amount", "sum", g.within_month(sample, "day", 1998, 3))
+    assert march.first()["value"] == 310 + 128
+    day = g.filtered_aggregate(sample, "fare_amount", "sum", g.within_day(sample, "day", "1998-05-17"))
+    assert day.first()["value"] == 455 + 97
+    nothing = g.filtered_aggregate(sample, "fare_amount", "sum", g.within_year(sample, "day", 1961))
     assert nothing.first()["value"] == 0
 
 
 def test_distinct_and_counts(sample):
-    assert values(g.distinct_values(sample, "region"), "value") == [("East",), ("North",), ("South",)]
+    assert values(g.distinct_values(sample, "harbour"), "value") == [("Old Pier",), ("Sandholm",), ("West Quay",)]
     assert g.row_count(sample).first()["rows"] == 5
-    assert g.count_distinct(sample, "product").first()["distinct_values"] == 3
+    assert g.count_distinct(sample, "boat").first()["distinct_values"] == 3
 
 
 def test_nan_is_missing_everywhere(spark):
@@ -45,8 +45,8 @@ def test_missing_group_is_kept_and_top_groups_says_how_many_exist(spark):
 
 
 def test_comparison_with_nothing_has_no_percentage(sample):
-    row = g.compare_months(sample, "date", "revenue", (2023, 1), (2024, 2)).first()
-    assert (row["first"], row["second"], row["difference_pct"]) == (0, 80000, None)
+    row = g.compare_months(sample, "day", "fare_amount", (1997, 1), (1998, 5)).first()
+    assert (row["first"], row["second"], row["difference_pct"]) == (0, 552, None)
 
 
 def test_positions_are_a_whole_ranking(spark):
@@ -64,11 +64,11 @@ def test_line_is_thinned_but_keeps_its_order(spark):
 
 
 def test_charts_are_refused_before_a_job_runs(sample):
-    with pytest.raises(ValueError, match="Did you mean 'revenue'"):
-        g.check_chart(sample, "bar", "product", "reven")
+    with pytest.raises(ValueError, match="Did you mean 'fare_amount'"):
+        g.check_chart(sample, "bar", "boat", "fare_am")
     with pytest.raises(ValueError, match="not numeric"):
-        g.check_chart(sample, "scatter", "product", "revenue")
-    g.check_chart(sample, "bar", "product", "revenue")
+        g.check_chart(sample, "scatter", "boat", "riders")
+    g.check_chart(sample, "bar", "boat", "riders")
 
 
 def test_pie_folds_small_groups_and_never_a_single_one(spark):
@@ -96,5 +96,5 @@ def test_sql_only_reads_tables(spark, sample, sql):
 
 
 def test_sql_over_a_table(spark, sample):
-    sql = "SELECT region, sum(revenue) AS total FROM df GROUP BY region ORDER BY total DESC LIMIT 1 OFFSET 1;"
-    assert g.run_sql(spark, {"df": sample}, sql).first()["total"] == 113000
+    sql = "SELECT harbour, sum(riders) AS total FROM df GROUP BY harbour ORDER BY total DESC LIMIT 1 OFFSET 1;"
+    assert g.run_sql(spark, {"df": sample}, sql).first()["total"] == 82
