@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.functions.columns import as_number, as_ts, col, fold, missing, present, require, strip
-from gridlore.operators.profile import distinct_rows, fences, quantile_table
+from gridlore.operators.facts import repeated_rows
+from gridlore.operators.profile import fences, quantile_table
 
 __all__ = [
     "rows_missing", "duplicate_rows", "non_numeric_values", "invalid_date_values",
@@ -21,7 +22,7 @@ def rows_missing(df: DataFrame, name: str) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that occur more than once, each once, with its number of ``copies``."""
-    return distinct_rows(df).filter("_copies > 1").withColumnRenamed("_copies", "copies")
+    return repeated_rows(df).withColumnRenamed("_copies", "copies")
 
 
 def _unreadable(df: DataFrame, name: str, parsed) -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from gridlore.functions.columns import (
     as_day, as_number, col, measure, missing, numeric_columns, percent, present, require,
-    text_columns, time_columns, without_nan,
+    text_columns, time_columns,
 )
 from gridlore.functions.quantiles import approx_quantiles, exact_quantiles
 from gridlore.functions.shapes import long_numbers, named, per_column, union_all, value_frequencies
-from gridlore.operators.aggregates import group_metrics, shares_of_total
+from gridlore.operators.facts import group_facts, repeated_rows
 from gridlore.operators.roles import Roles, roles_of, stats_date_columns
 
 __all__ = [
@@ -69,8 +69,8 @@ def category_modes(df: DataFrame, names: list[str]) -> DataFrame:
     return at_top.select("column", "value", "frequency")
 
 
-def categorical_summary(df: DataFrame, names: list[str]) -> DataFrame:
-    """Distinct values, the modes (five named, with their number), frequency and share."""
+def categorical_summary(df: DataFrame, names: list[str], named_modes: int | None = 5) -> DataFrame:
+    """Distinct values, the modes (so many named, all if None, with their number), frequency and share."""
     freq = value_frequencies(df, names)
     facts = freq.groupBy("column").agg(
         F.count(F.lit(1)).alias("unique_values"), F.sum("n").alias("filled"),
@@ -81,12 +81,12 @@ def categorical_summary(df: DataFrame, names: list[str]) -> DataFrame:
     )
     place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     named = (
-        at_top.withColumn("place", place).filter("place <= 5")
+        (at_top if named_modes is None else at_top.withColumn("place", place).filter(F.col("place") <= named_modes))
         .groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("named"))
     )
     modes = at_top.groupBy("column").agg(F.count(F.lit(1)).alias("n_modes"))
     text = F.concat(
-        F.array_join("named", ", "), F.when(F.col("n_modes") > 5, "...").otherwise("")
+        F.array_join("named", ", "), F.when(F.col("n_modes") > F.size("named"), "...").otherwise("")
     )
     return (
         facts.join(F.broadcast(modes), "column").join(F.broadcast(named), "column")
@@ -267,34 +267,23 @@ def quick_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """Each different row with how often it occurs; missing equals missing."""
-    clean = without_nan(df)
-    return clean.groupBy(*[col(n) for n in clean.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-
-
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier one."""
-    return distinct_rows(df).agg(
+    return repeated_rows(df).agg(
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows")
     )
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
     """One row: rows, columns by type, missing cells and duplicate rows."""
-    # one scan: cells missing per distinct row times its copies
     gaps = sum((F.when(missing(df, n), 1).otherwise(0) for n in df.columns), F.lit(0))
-    facts = distinct_rows(df).agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(gaps * F.col("_copies")), F.lit(0)).alias("missing_cells"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
-    )
+    facts = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(gaps), F.lit(0)).alias("missing_cells"))
     return facts.select(
         "rows", F.lit(len(df.columns)).alias("columns"),
         F.lit(len(numeric_columns(df))).alias("numeric_columns"),
         F.lit(len(text_columns(df))).alias("categorical_columns"),
         F.lit(len(time_columns(df))).alias("datetime_columns"),
-        "missing_cells", "duplicate_rows",
+        "missing_cells", duplicate_count(df).scalar().alias("duplicate_rows"),
     )
 
 
@@ -367,6 +356,11 @@ def best_correlation(df: DataFrame, names: list[str]) -> DataFrame:
 def relationship(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: correlation of a pair in words; none below three usable rows."""
     require(df, a, b)
+    return strength_of(_pairwise(df, [(a, b)]))
+
+
+def strength_of(pairs: DataFrame) -> DataFrame:
+    """The same from (a, b, r, n)."""
     size = F.abs("r")
     label = (
         F.when(F.col("r").isNull() | (F.col("n") < 3), None)
@@ -374,7 +368,7 @@ def relationship(df: DataFrame, a: str, b: str) -> DataFrame:
         .when(size < 0.8, "strong").otherwise("very strong")
     )
     direction = F.when(F.col("r") > 0, "positive").when(F.col("r") < 0, "negative").otherwise("near-zero")
-    return _pairwise(df, [(a, b)]).select(
+    return pairs.select(
         "a", "b", "n", F.when(F.col("n") >= 3, F.col("r")).alias("r"), label.alias("strength"),
         F.when(label.isNotNull(), direction).alias("direction"),
         (F.col("n") < 30).alias("exploratory"),
@@ -382,23 +376,28 @@ def relationship(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def group_shares(df: DataFrame, keys: list[str], m: str, n: int | None = None) -> DataFrame:
-    """For each category: its groups, or the n largest by total, with their share."""
-    frames = []
-    for key in keys:
-        groups = group_metrics(df, key, m)
-        facts = groups.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t")).alias("f")).scalar()
-        top = groups if n is None else groups.orderBy(F.desc("total"), col(key)).limit(n)
-        frames.append(top.filter(facts["n"] >= 2).select(
-            F.lit(key).alias("dimension"), col(key).cast("string").alias("category"),
-            F.col("count").alias("records"), "total", "average",
-            percent(F.col("total"), F.nullif(facts["t"], F.lit(0.0))).alias("share"),
-        ))
-    return union_all(frames)
+    """For each category: its groups, or the n largest by total, with their share. All keys are grouped in one scan."""
+    require(df, m, *keys)
+    return shares_of_groups(group_facts(df, keys, m), n)
+
+
+def shares_of_groups(groups: DataFrame, n: int | None = None) -> DataFrame:
+    """The same from (dimension, category, total, average, count)."""
+    # a row per key
+    facts = groups.groupBy("dimension").agg(F.count(F.lit(1)).alias("_groups"), F.sum("total").alias("_whole")).filter("_groups >= 2")
+    if n is not None:
+        # the limit is applied before the shuffle as well
+        place = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("total"), "category"))
+        groups = groups.withColumn("_place", place).filter(F.col("_place") <= n)
+    return groups.join(F.broadcast(facts), "dimension").select(
+        "dimension", "category", F.col("count").alias("records"), "total", "average",
+        percent(F.col("total"), F.nullif(F.col("_whole"), F.lit(0.0))).alias("share"),
+    )
 
 
 # --- time -------------------------------------------------------------------
 
-def _periods(df: DataFrame, ts: str, m: str | None) -> DataFrame:
+def _periods(df: DataFrame, ts: str, m: str | None, grain: str | None = None) -> DataFrame:
     """Total, days and last day per day, week or month, whichever suits the observed span.
 
     Rows are summed per day first; the span and the periods are read from those days.
@@ -408,40 +407,51 @@ def _periods(df: DataFrame, ts: str, m: str | None) -> DataFrame:
         df.select(as_day(df, ts).alias("day"), v.alias("v")).filter(F.col("day").isNotNull())
         .groupBy("day").agg(F.sum("v").alias("value"))
     )
+    return periods_of_days(days, grain)
+
+
+def periods_of_days(days: DataFrame, grain: str | None = None) -> DataFrame:
+    """The same from (day, value). grain: day, week or month, where the span isn't to decide."""
+    if grain not in (None, "day", "week", "month"):
+        raise ValueError(f"Unknown grain {grain!r}; use day, week or month")
     # counting the values keeps this aggregate on the very same daily sums
     facts = days.agg(F.struct(
         (F.datediff(F.max("day"), F.min("day")) + 1).alias("span"), F.count("value").alias("filled"),
     ).alias("f")).scalar()
-    grain = (
+    unit = F.lit(grain) if grain else (
         F.when(facts["filled"] < 0, None).when(facts["span"] <= 31, "day")
         .when(facts["span"] <= 180, "week").otherwise("month")
     )
     period = (
-        F.when(grain == "day", F.col("day"))
-        .when(grain == "week", F.trunc("day", "week"))
+        F.when(unit == "day", F.col("day"))
+        .when(unit == "week", F.trunc("day", "week"))
         .otherwise(F.trunc("day", "month"))
     )
-    return days.groupBy(period.alias("period"), grain.alias("grain")).agg(
+    return days.groupBy(period.alias("period"), unit.alias("grain")).agg(
         F.sum("value").alias("value"), F.count(F.lit(1)).alias("days"), F.max("day").alias("last_day"),
     )
 
 
-def time_aggregation(df: DataFrame, ts: str, m: str | None = None) -> DataFrame:
-    """Totals per day, week or month, whichever suits the observed span.
+def time_aggregation(df: DataFrame, ts: str, m: str | None = None, grain: str | None = None) -> DataFrame:
+    """Totals per day, week or month, whichever suits the observed span if no grain is given.
 
     Up to 31 days gives days, up to 180 weeks (Monday), else months. Periods whose
     values are all missing are left out. Without a measure rows are counted.
     """
     require(df, ts, *([m] if m else []))
-    return _periods(df, ts, m).filter(F.col("value").isNotNull()).select("period", "grain", "value")
+    return _periods(df, ts, m, grain).filter(F.col("value").isNotNull()).select("period", "grain", "value")
 
 
-def time_extremes(df: DataFrame, ts: str, m: str | None = None) -> DataFrame:
+def time_extremes(df: DataFrame, ts: str, m: str | None = None, grain: str | None = None) -> DataFrame:
     """One row: highest and lowest period; a partly covered final one is flagged and left out."""
     require(df, ts, *([m] if m else []))
+    return extremes_of_periods(_periods(df, ts, m, grain))
+
+
+def extremes_of_periods(periods: DataFrame) -> DataFrame:
     whole = Window.partitionBy("grain")  # one row per calendar period
     filled = F.col("value").isNotNull()
-    rows = _periods(df, ts, m).withColumn("start", F.max(F.when(filled, F.col("period"))).over(whole))
+    rows = periods.withColumn("start", F.max(F.when(filled, F.col("period"))).over(whole))
     tail = F.col("period") >= F.col("start")
     rows = rows.withColumns({
         "size": F.count("value").over(whole), "until": F.max("last_day").over(whole),
@@ -465,27 +475,37 @@ def time_extremes(df: DataFrame, ts: str, m: str | None = None) -> DataFrame:
     )
 
 
-def extreme_examples(df: DataFrame, m: str, roles: Roles | None = None) -> DataFrame:
-    """How many rows hold the maximum and the minimum, with up to two example rows each."""
+def extreme_examples(df: DataFrame, m: str, roles: Roles | None = None, examples: int = 2, categories: int = 2) -> DataFrame:
+    """How many rows hold the maximum and the minimum, with that many example rows each, shown by their first date and
+    as many categories.
+
+    Each task keeps the first rows of its own maximum and minimum, so the source is read twice: once for the ends,
+    once for the rows that hold them.
+    """
     roles = roles or roles_of(df)
     require(df, m)
-    context = roles.dates[:1] + roles.categorical[:2]
+    context = roles.dates[:1] + roles.categorical[:categories]
     v = measure(df, m).cast("double")
     ends = df.agg(F.struct(F.max(v).alias("high"), F.min(v).alias("low")).alias("e")).scalar()
-    frames = []
-    for kind, value in (("maximum", ends["high"]), ("minimum", ends["low"])):
-        hits = df.filter(v == value)
-        count = hits.agg(F.count(F.lit(1)).alias("n")).scalar()
-        first = hits.orderBy(*[col(c).asc_nulls_last() for c in context]).limit(2)
-        parts = [
-            F.when(col(c).isNotNull(), F.concat(F.lit(f"{c}="), _shown(df, c, c in roles.dates)))
-            for c in context
-        ]
-        frames.append(first.select(
-            F.lit(kind).alias("kind"), value.alias("value"), count.alias("records"),
-            F.concat_ws(", ", *parts).alias("example"),
-        ))
-    return union_all(frames)
+    kinds = F.array_compact(F.array(F.when(v == ends["high"], "maximum"), F.when(v == ends["low"], "minimum")))
+    parts = [
+        F.when(col(c).isNotNull(), F.concat(F.lit(f"{c}="), _shown(df, c, c in roles.dates)))
+        for c in context
+    ]
+    hits = df.filter((v == ends["high"]) | (v == ends["low"])).select(
+        F.explode(kinds).alias("kind"), v.alias("value"), F.concat_ws(", ", *parts).alias("example"),
+        *[col(c).alias(f"_c{i}") for i, c in enumerate(context)])
+    # counted per shown row first: a value that a third of all rows hold is few rows to rank
+    shown = hits.groupBy("kind", "value", "example", *[f"_c{i}" for i in range(len(context))]).agg(F.count(F.lit(1)).alias("_n"))
+    records = shown.groupBy("kind").agg(F.sum("_n").alias("records"))
+    order = [F.col(f"_c{i}").asc_nulls_last() for i in range(len(context))]
+    first = shown.withColumn("_place", F.row_number().over(Window.partitionBy("kind").orderBy(*(order or ["value"])))).filter(F.col("_place") <= examples)
+    # a row that occurs more often fills the places after its own
+    earlier = Window.partitionBy("kind").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.lit(examples) - F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    filled = first.withColumn("_room", F.least(room, F.col("_n"))).filter("_room > 0")
+    listed = filled.select("kind", "value", "example", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_room"))).alias("_k"))
+    return listed.join(F.broadcast(records), "kind").select("kind", "value", "records", "example")
 
 
 def _shown(df: DataFrame, name: str, is_date: bool) -> Column:
@@ -540,15 +560,16 @@ def shape_word(skew: Column) -> Column:
     )
 
 
-def fact_sheet(df: DataFrame, roles: Roles | None = None) -> DataFrame:
+def fact_sheet(df: DataFrame, roles: Roles | None = None, measures: int | None = None, categories: int | None = None,
+               most_values: int = 30) -> DataFrame:
     """Verified facts per column.
 
-    Up to ten measures with quartiles, shape, outliers and negatives; up to six
-    categories of 2 to 30 values with their top share; the range of typed dates.
+    Measures with quartiles, shape, outliers and negatives; categories of 2 to ``most_values`` values with their top
+    share; the range of typed dates. All of them, or the first so many.
     """
     roles = roles or roles_of(df)
     frames = []
-    numbers = roles.measures[:10]
+    numbers = roles.measures[:measures]
     if numbers:
         counted = outlier_counts(df, numbers)
         rows = _moments(df, numbers).join(
@@ -563,8 +584,8 @@ def fact_sheet(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     if texts:
         position = {n: i for i, n in enumerate(df.columns)}
         place = F.create_map(*[x for n in texts for x in (F.lit(n), F.lit(position[n]))])
-        small = _frequency_facts(df, texts).filter(F.col("unique_values").between(2, 30))
-        first = small.orderBy(place[F.col("column")]).limit(6)
+        small = _frequency_facts(df, texts).filter(F.col("unique_values").between(2, most_values))
+        first = small if categories is None else small.orderBy(place[F.col("column")]).limit(categories)
         frames.append(first.select(
             F.lit("category").alias("section"), "column",
             F.col("unique_values").cast("double").alias("max"),

@@ -1,8 +1,7 @@
 """The data-quality gate: one function per check, all returning issue rows.
 
-A gate run gathers facts per column once: one wide aggregate, ``(column, value)``
-counts, quantiles, and one pass over distinct rows. The checks themselves look at
-those facts only, which are as many as the table has columns.
+A gate run gathers the facts of a table once (``operators/facts.py``). The checks
+themselves look at those facts only, which are as many as the table has columns.
 """
 
 from __future__ import annotations
@@ -13,14 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.functions import names as N
-from gridlore.functions.columns import (
-    as_number, as_ts, col, missing, numeric_columns, percent, present, strip, text_columns,
-)
-from gridlore.functions.shapes import per_column, union_all, value_frequencies
-from gridlore.operators.profile import (
-    dataset_summary, distinct_rows, outlier_counts, outlier_profile,
-)
+from gridlore.functions.columns import as_number, col, numeric_columns, percent, strip, text_columns
+from gridlore.functions.shapes import per_column, union_all
+from gridlore.operators.facts import TableFacts
 from gridlore.operators.roles import Roles, roles_of
+from gridlore.sources.files import unique_names
 
 __all__ = [
     "QualityFacts", "dq_structure", "dq_empty_dataset", "dq_empty_columns", "dq_empty_rows",
@@ -108,32 +104,30 @@ def share(part: Column, whole: Column) -> Column:
 
 
 class QualityFacts:
-    """Facts about every column, one row each; ``parts`` names the costlier ones to join."""
+    """What the checks look at: a row per column. ``parts`` names the costlier facts to gather: text values
+    ("variants"), text columns of many values ("distinct"), quartiles ("outliers")."""
 
-    PARTS = ("distinct", "variants", "outliers")
+    PARTS = ("variants", "distinct", "outliers")
 
-    def __init__(self, df: DataFrame, parts: tuple[str, ...] = PARTS):
-        self.df, self.parts = df, parts
+    def __init__(self, df: DataFrame, parts: tuple[str, ...] = PARTS, facts: TableFacts | None = None):
+        self.facts, self.parts = facts or TableFacts(df), parts
 
     @cached_property
     def table(self) -> DataFrame:
         """Position, column and all facts; facts that were not asked for are NULL."""
-        rows = self._columns()
         none = F.lit(None).cast("long")
-        if "distinct" in self.parts or "outliers" in self.parts:
-            rows = rows.join(F.broadcast(self._distinct()), "column", "left")
-        else:
-            rows = rows.withColumn("distinct", none)
-        if "variants" in self.parts and text_columns(self.df):
-            rows = rows.join(F.broadcast(self._variants()), "column", "left")
-        else:
-            rows = rows.withColumns({"raw": none, "unified": none, "affected": none})
-        if "outliers" in self.parts and numeric_columns(self.df):
-            found = outlier_counts(self.df, numeric_columns(self.df), finite=True)
-            rows = rows.join(F.broadcast(found.select("column", "n", "iqr", "outliers")), "column", "left")
+        rows = self.facts.columns.withColumn("several", F.col("few") >= OUTLIER_DISTINCT).drop("n")
+        if "variants" in self.parts:
+            rows = rows.join(F.broadcast(self.facts.variants), "column", "left")
+        elif "distinct" in self.parts:
+            counted = self.facts.distinct_texts(CARDINALITY_RATIO)
+            rows = rows.join(F.broadcast(counted), "column", "left").withColumns({"raw": none, "unified": none, "affected": none})
         else:
-            rows = rows.withColumns({"n": none, "iqr": none.cast("double"), "outliers": none})
-        return rows.withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+            rows = rows.withColumns({"distinct": none, "raw": none, "unified": none, "affected": none})
+        if "outliers" in self.parts:
+            found = self.facts.finite_quartiles.select("column", "n", "iqr", "outliers")
+            return rows.join(F.broadcast(found), "column", "left")
+        return rows.withColumns({"n": none, "iqr": none.cast("double"), "outliers": none})
 
     @cached_property
     def packed(self) -> DataFrame:
@@ -142,53 +136,6 @@ class QualityFacts:
         listed = F.sort_array(F.collect_list(F.struct("position", *[col(c) for c in rows.columns if c != "position"])))
         return rows.agg(listed.alias("facts"))
 
-    def _columns(self) -> DataFrame:
-        """Rows, filled values, unreadable values, infinities and negatives."""
-        df = self.df
-        texts, numbers = set(text_columns(df)), set(numeric_columns(df))
-        all_missing = F.lit(True)
-        for n in df.columns:
-            all_missing = all_missing & missing(df, n)
-        zero = F.lit(0).cast("long")
-
-        def facts(n: str) -> dict[str, Column]:
-            v = present(df, n).cast("double") if n in numbers else None
-            dated = n in texts and N.is_date_name(n)
-            infinite = F.count_if(F.abs(v) == float("inf")) if v is not None else zero
-            ends = (
-                F.coalesce(F.max(F.when(v == float("inf"), 1)), F.lit(0))
-                + F.coalesce(F.max(F.when(v == float("-inf"), 1)), F.lit(0))
-            ) if v is not None else F.lit(0)
-            return {
-                "rows": F.count(F.lit(1)),
-                "filled": F.count(present(df, n)),
-                "empty_rows": F.count_if(all_missing) if n == df.columns[0] else zero,
-                "numbers": F.count(as_number(df, n)) if n in texts else zero,
-                "dates": F.count(as_ts(df, n)) if dated else zero,
-                "infinite": infinite, "infinities": ends,
-                "is_text": F.lit(n in texts), "measure_name": F.lit(N.is_measure_name(n)),
-                "negative": F.count_if(v < 0) if v is not None else zero,
-            }
-
-        return per_column(df, df.columns, facts)
-
-    def _distinct(self) -> DataFrame:
-        return value_frequencies(self.df, self.df.columns).groupBy("column").agg(
-            F.count(F.lit(1)).alias("distinct")
-        )
-
-    def _variants(self) -> DataFrame:
-        """Categories of text columns as written, and once case and blanks are unified."""
-        texts = value_frequencies(self.df, text_columns(self.df))
-        trimmed = texts.groupBy("column", strip(F.col("value")).alias("v")).agg(F.sum("n").alias("n"))
-        folded = trimmed.groupBy("column", F.lower("v").alias("k")).agg(
-            F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")
-        )
-        return folded.groupBy("column").agg(
-            F.sum("forms").alias("raw"), F.count(F.lit(1)).alias("unified"),
-            F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("affected"),
-        )
-
 
 _SCHEMA = (
     "array<struct<seq:bigint,issue:string,severity:string,columns:array<string>,affected_rows:bigint,"
@@ -278,7 +225,7 @@ def _negative(x: Column) -> Column:
 
 def _outliers(x: Column) -> Column:
     found = (
-        (x["n"] >= OUTLIER_MIN) & (x["distinct"] - x["infinities"] >= OUTLIER_DISTINCT) & (x["iqr"] > 0)
+        (x["n"] >= OUTLIER_MIN) & x["several"] & (x["iqr"] > 0)
         & (x["outliers"] > 0) & (share(x["outliers"], x["n"]) >= OUTLIER_PCT)
     )
     return _of_column("outliers", x, found, "WARNING", x["outliers"], x["n"])
@@ -321,7 +268,7 @@ def _some_missing(xs: Column) -> Column:
 
 
 def _constant(xs: Column) -> Column:
-    names = _names(xs, lambda x: (x["rows"] > 0) & (x["distinct"] <= 1))
+    names = _names(xs, lambda x: (x["rows"] > 0) & x["single"])
     return _issue("constant", F.size(names) > 0, "WARNING", names)
 
 
@@ -332,9 +279,9 @@ COLUMN_CHECKS = (
 TABLE_CHECKS = (_empty_dataset, _empty_columns, _empty_rows, _some_missing, _constant)
 
 
-def _check(df: DataFrame, parts: tuple[str, ...], column=(), table=()) -> DataFrame:
+def _check(df: DataFrame, parts: tuple[str, ...], column=(), table=(), facts: TableFacts | None = None) -> DataFrame:
     """Run checks on the facts they need, in one plan."""
-    packed = QualityFacts(df, parts).packed
+    packed = QualityFacts(df, parts, facts).packed
     found = []
     if column:
         found.append(F.flatten(F.transform("facts", lambda x: F.array(*[c(x) for c in column]))))
@@ -371,10 +318,9 @@ def dq_missing_values(df: DataFrame) -> DataFrame:
     return _check(df, (), column=(_high_missing,), table=(_some_missing,))
 
 
-def dq_duplicates(df: DataFrame) -> DataFrame:
-    copies = distinct_rows(df).agg(
-        F.sum("_copies").alias("rows"), F.sum(F.col("_copies") - 1).alias("duplicate_rows")
-    )
+def dq_duplicates(df: DataFrame, facts: TableFacts | None = None) -> DataFrame:
+    facts = facts or TableFacts(df)
+    copies = df.sparkSession.createDataFrame([(facts.size, facts.duplicate_rows)], "rows long, duplicate_rows long")
     n = F.col("duplicate_rows")
     pct = share(n, F.col("rows"))
     return _rows(copies, F.array(
@@ -401,7 +347,7 @@ def dq_category_variants(df: DataFrame) -> DataFrame:
 
 def dq_constant_columns(df: DataFrame) -> DataFrame:
     """Columns with at most one different value; empty ones count too."""
-    return _check(df, ("distinct",), table=(_constant,))
+    return _check(df, (), table=(_constant,))
 
 
 def dq_high_cardinality(df: DataFrame) -> DataFrame:
@@ -417,20 +363,19 @@ def dq_outliers(df: DataFrame) -> DataFrame:
     return _check(df, ("outliers",), column=(_outliers,))
 
 
-def dq_issues(df: DataFrame) -> DataFrame:
+def dq_issues(df: DataFrame, facts: TableFacts | None = None) -> DataFrame:
     """All findings of the gate as rows, in the order of ``seq``.
 
-    An empty table or one without columns has that single finding.
+    An empty table or one without columns has that single finding. Columns that share a name are looked at one by one,
+    the second of a name ``a`` being named ``a_2``.
     """
     if not df.columns:
         no_columns = _issue("empty_dataset", F.lit(True), "BLOCKING").withField("issue", F.lit("No columns"))
         return _rows(df.sparkSession.range(1), F.array(no_columns))
-    repeated = len(set(df.columns)) < len(df.columns)
-    if repeated:
-        # columns that share a name cannot be looked at one by one
-        return dq_structure(df)
-    found = _check(df, QualityFacts.PARTS, COLUMN_CHECKS, TABLE_CHECKS)
-    return union_all([found, dq_structure(df), dq_duplicates(df)])
+    names = unique_names(df.columns)
+    facts = facts or TableFacts(df.toDF(*names) if names != df.columns else df)
+    found = _check(facts.df, QualityFacts.PARTS, COLUMN_CHECKS, TABLE_CHECKS, facts)
+    return union_all([found, dq_structure(df), dq_duplicates(facts.df, facts)])
 
 
 def dq_status(df: DataFrame, issues: DataFrame | None = None) -> DataFrame:
@@ -485,46 +430,37 @@ def negative_total(df: DataFrame) -> DataFrame:
     return negative_counts(df).agg((total > 0).alias("present"), total.alias("negative_values"))
 
 
-def _constant_with_missing(df: DataFrame) -> DataFrame:
-    """Columns with at most one different value when missing counts as a value."""
-    distinct = value_frequencies(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("d"))
-    gaps = per_column(df, df.columns, lambda n: {"gap": F.bool_or(missing(df, n)).cast("int")})
-    per = gaps.join(F.broadcast(distinct), "column", "left")
-    kinds = F.coalesce("d", F.lit(0)) + F.coalesce("gap", F.lit(0))
-    return per.filter(kinds <= 1).select("column")
+def _constant_with_missing() -> Column:
+    """Whether a column has at most one different value when missing counts as a value."""
+    return F.col("single") & ((F.col("filled") == 0) | (F.col("filled") == F.col("rows")))
 
 
-def quality_findings(df: DataFrame) -> DataFrame:
+def quality_findings(df: DataFrame, facts: TableFacts | None = None) -> DataFrame:
     """The report's quality section as rows: duplicates, gaps, blanks, constants, negatives, outliers."""
-    summary = dataset_summary(df)
+    facts = facts or TableFacts(df)
     none = F.lit(None).cast("string")
 
     def rows(source: DataFrame, kind: str, column: Column, n: Column | None) -> DataFrame:
         n = (F.lit(None) if n is None else n).cast("long")
         return source.select(F.lit(kind).alias("finding"), column.alias("column"), n.alias("n"))
 
-    gaps = per_column(df, df.columns, lambda n: {"gaps": F.count_if(missing(df, n))})
+    per = facts.columns
     frames = [
-        rows(summary.filter("duplicate_rows > 0"), "duplicate rows", none, F.col("duplicate_rows")),
-        rows(gaps.filter("gaps > 0"), "missing values", F.col("column"), F.col("gaps")),
-        rows(_constant_with_missing(df), "constant", F.col("column"), None),
+        rows(facts.summary.filter("duplicate_rows > 0"), "duplicate rows", none, F.col("duplicate_rows")),
+        rows(per.filter("filled < rows"), "missing values", F.col("column"), F.col("rows") - F.col("filled")),
+        rows(per.filter(_constant_with_missing()), "constant", F.col("column"), None),
+        rows(per.filter("blanks > 0"), "whitespace", F.col("column"), F.col("blanks")),
+        rows(per.filter("measure_name and negative > 0"), "negative values", F.col("column"), F.col("negative")),
     ]
-    if text_columns(df):
-        frames.append(rows(whitespace_columns(df), "whitespace", F.col("column"), F.col("affected")))
-    measures = [n for n in numeric_columns(df) if N.is_measure_name(n)]
-    if measures:
-        negative = negative_counts(df, measures).filter("negative > 0")
-        frames.append(rows(negative, "negative values", F.col("column"), F.col("negative")))
-    if numeric_columns(df):
-        found = outlier_profile(df).filter("outliers > 0")
-        frames.append(rows(found, "outliers", F.col("column"), F.col("outliers")))
+    if facts.numbers:
+        assessed = per.select("column", "count").join(F.broadcast(facts.quartiles), "column")
+        frames.append(rows(assessed.filter("count >= 4 and outliers > 0"), "outliers", F.col("column"), F.col("outliers")))
     return union_all(frames)
 
 
-def quality_actions(df: DataFrame, roles: Roles | None = None) -> DataFrame:
+def quality_actions(df: DataFrame, roles: Roles | None = None, facts: TableFacts | None = None) -> DataFrame:
     """Which checks were made and which need a review."""
-    roles = roles or roles_of(df)
-    one = dataset_summary(df)
+    roles, facts = roles or roles_of(df), facts or TableFacts(df)
     made = lambda kind, review: F.struct(F.lit(kind).alias("action"), review.alias("review"))
     actions = [
         made("duplicate check", F.col("duplicate_rows") > 0),
@@ -535,40 +471,31 @@ def quality_actions(df: DataFrame, roles: Roles | None = None) -> DataFrame:
         actions.append(made("category profile", F.lit(False)))
     if roles.numeric:
         actions.append(made("numeric profile", F.lit(False)))
-    rows = one.select(F.inline(F.array(*actions)))
-    measures = [n for n in roles.numeric if N.is_measure_name(n)]
-    if not measures:
-        return rows
-    negative = negative_counts(df, measures).filter("negative > 0")
+    rows = facts.summary.select(F.inline(F.array(*actions)))
+    negative = facts.columns.filter(F.col("column").isin(roles.numeric) & F.col("measure_name") & (F.col("negative") > 0))
     return rows.unionByName(negative.select(
         F.concat(F.lit("negative values: "), F.col("column")).alias("action"), F.lit(True).alias("review")
     ))
 
 
-def quality_score(df: DataFrame, roles: Roles | None = None) -> DataFrame:
+def quality_score(df: DataFrame, roles: Roles | None = None, facts: TableFacts | None = None) -> DataFrame:
     """One row: a 0-100 screening score with bounded penalties and its band."""
-    numbers = numeric_columns(df)
-    texts = text_columns(df)
-    summary = dataset_summary(df)
-    constant = _constant_with_missing(df).agg(F.count(F.lit(1)).alias("c")).scalar()
-    blanks = (
-        whitespace_columns(df).agg(F.count(F.lit(1)).alias("c")).scalar() if texts else F.lit(0)
-    )
-    if numbers:
-        outliers = outlier_profile(df, numbers).agg(
-            F.struct(F.coalesce(F.sum("outliers"), F.lit(0)).alias("o"), F.sum("n").alias("n"))
-        ).scalar()
-        outlier_pct = F.coalesce(percent(outliers["o"], outliers["n"]), F.lit(0.0))
-    else:
-        outlier_pct = F.lit(0.0)
-    width = max(len(df.columns), 1)
-    rows = F.greatest(F.col("rows"), F.lit(1))
-    parts = summary.select(
-        percent(F.col("missing_cells"), rows * width).alias("missing_pct"),
+    facts = facts or TableFacts(df)
+    counted = facts.columns.agg(
+        F.max("rows").alias("rows"), F.sum(F.col("rows") - F.col("filled")).alias("gaps"), F.count_if(_constant_with_missing()).alias("constant"),
+        F.count_if(F.col("blanks") > 0).alias("blank"),
+    ).withColumn("duplicate_rows", F.lit(facts.duplicate_rows))
+    # columns with fewer than four values aren't assessed, but their values count
+    assessed = facts.columns.filter(F.col("column").isin(facts.numbers)).select("column", "count").join(
+        F.broadcast(facts.quartiles.select("column", "outliers")), "column", "left")
+    outliers = assessed.agg(F.coalesce(F.sum(F.when(F.col("count") >= 4, F.col("outliers"))), F.lit(0)).alias("outliers"), F.sum("count").alias("values"))
+    width, rows = max(len(df.columns), 1), F.greatest(F.col("rows"), F.lit(1))
+    parts = counted.crossJoin(outliers).select(  # one row each
+        percent(F.col("gaps"), rows * width).alias("missing_pct"),
         percent(F.col("duplicate_rows"), rows).alias("duplicate_pct"),
-        percent(constant, F.lit(width)).alias("constant_pct"),
-        percent(blanks, F.lit(max(len(texts), 1))).alias("whitespace_pct"),
-        outlier_pct.alias("outlier_pct"),
+        percent(F.col("constant"), F.lit(width)).alias("constant_pct"),
+        percent(F.col("blank"), F.lit(max(len(facts.texts), 1))).alias("whitespace_pct"),
+        F.coalesce(percent(F.col("outliers"), F.col("values")), F.lit(0.0)).alias("outlier_pct"),
     )
     # Weight and bound of each penalty, and the bands.
     weights = {
