@@ -4,7 +4,8 @@
 2. Sets that may link share a key: hash space is cut into more segments than two linking sets can differ in, so one
    segment holds the same shingles in both (an exact pigeonhole, no cap and no chance). Nodes that share a key are tied
    to the least of them: as many ties as members, never all pairs.
-3. Ties are verified on the sets. Most groups of copies are settled by that.
+3. Ties are verified on the sets: one for each node first, then those between components that are still apart. Most groups
+   of copies are settled by that.
 4. Ties that fail leave blocks of several components open. Inside them, and only between different components, two
    signature trees are walked together: nodes hold OR-combined bitmaps and size ranges and are left as soon as the
    largest possible overlap is too small. Blocks are cut into parts of bounded size, by size and by hash.
@@ -379,6 +380,13 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, cl: np.nd
     return out
 
 
+def _apart(ties: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ties (a, b) whose ends lie in different components."""
+    named = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias("r" + side))
+    met = ties.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    return met.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) between components that verified ties don't join; None if no tie is left open.
     sizes: (node, n) of the sets. Where a set has to go is found by ids and sizes alone."""
@@ -398,6 +406,9 @@ def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataF
     near = parts.select("block", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     below = parts.select("block", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
     plan = parts.join(near, ["block", "band"], "left").join(below, ["block", "band"], "left")
+    # a row for each block and band, broadcast where they are few: a block may hold a third of all nodes
+    plan = saved(plan)
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
     own = nodes.join(plan, ["block", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     turn = lambda band, p, q, side: F.struct(band.alias("band"), p.alias("p"), q.alias("q"), F.lit(side).alias("side"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -439,9 +450,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         # a tie of sizes too far apart is no link; its sets needn't meet
         sized = lambda side: first.select(F.col("node").alias(side), F.col("n").alias("n" + side))
         alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        near = ties.join(sized("a"), "a").join(sized("b"), "b").where(alike).select("a", "b")
-        links = saved(_verified(near, sets, percent))
+        near = saved(ties.join(sized("a"), "a").join(sized("b"), "b").where(alike))
+        # first one tie for each node, that of the nearest sizes; then those whose ends still lie in different components
+        chosen = near.groupBy("b").agg(F.min_by("a", F.struct(F.abs(F.col("na") - F.col("nb")), "a")).alias("a")).select("a", "b")
+        links = saved(_verified(chosen, sets, percent))
         roots = saved(components(links))
+        rest = saved(_apart(near.select("a", "b"), roots).join(chosen, ["a", "b"], "left_anti"))
+        if rest.head(1):
+            links = links.union(saved(_verified(rest, sets, percent)))
+            roots = saved(components(links))
         more = _open_links(ties, roots, first.select("node", "n"), sets, percent)
         if more is not None:
             found = saved(more)
@@ -454,6 +471,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         rows = rows.withColumn("root", F.col("node"))
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
     least = rows.where("root IS NOT NULL").groupBy(F.col("root").alias("r")).agg(F.min(rank).alias("first"))
+    least = saved(least)
+    if least.count() <= BROADCAST_ROWS:
+        least = F.broadcast(least)
     met = rows.join(least, F.col("root") == F.col("r"), "left")
     return met.select("id", "uid", "n", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
                       (F.col("root").isNull() | ((F.col("first.uid") == F.col("uid")) & F.col("first.id").eqNullSafe(F.col("id")))).alias("keeper"))
