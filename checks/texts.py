@@ -184,8 +184,16 @@ def _csv_round_trip(t):
 add("read_csv", _csv_round_trip, "SELECT * FROM customer", f="c_acctbal")
 
 # --- admission ---
-add("session_admission", lambda t: g.session_admission(t.events, "user_id", "ts", min_gap_s=3600, max_calls=4, window_s=86400)
-    .select("event_id", "allowed", F.coalesce("reason", F.lit("")).alias("reason")))
+GAP, CALLS, SPAN = 3600, 4, 86400
+# a call's fate hangs on the ones before it: the calls of all sessions are taken one after the other, side by side
+_ADMISSION = f"""RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    r AS (SELECT user_id, event_id, k, true AS allowed, '' AS reason, [t] AS times FROM e WHERE k = 1
+      UNION ALL SELECT user_id, event_id, k, why = '', why, CASE WHEN why = '' THEN list_append(live, t) ELSE live END FROM (
+        SELECT *, CASE WHEN len(live) > 0 AND t - live[-1] < {GAP}000000 THEN 'too soon' WHEN len(live) >= {CALLS} THEN 'window full' ELSE '' END AS why
+        FROM (SELECT e.user_id, e.event_id, e.k, e.t, list_filter(r.times, lambda x: e.t - x < {SPAN}000000) AS live
+              FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.k = r.k + 1)))"""
+add("session_admission", lambda t: g.session_admission(t.events, "user_id", "ts", min_gap_s=GAP, max_calls=CALLS, window_s=SPAN)
+    .select("event_id", "allowed", F.coalesce("reason", F.lit("")).alias("reason")), f"WITH {_ADMISSION} SELECT event_id, allowed, reason FROM r")
 add("session_admission_default", lambda t: g.session_admission(t.events, "user_id", "ts").select("event_id", "allowed"),
     """SELECT event_id, true AS allowed FROM events WHERE (SELECT min(d) >= 2 FROM (
          SELECT epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS d FROM events) AS g)""")
@@ -193,25 +201,45 @@ add("window_usage", lambda t: g.window_usage(t.events, "user_id", "ts", window_s
     """SELECT event_id, used, greatest(0, 20 - used) AS remaining FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id
        ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS used FROM events) AS u""")
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _replayed(t, source, kind: str, **more):
+    """A source of events replayed as a stream into a table, and the table; the session's state store is put back."""
+    out, before = _folder(t, kind), t.spark.conf.get(PROVIDER)
+    t.spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        decided = g.session_admission_stream(source, "user_id", "ts", min_gap_s=GAP, max_calls=CALLS, window_s=SPAN, tie="event_id", **more)
+        query = (
+            decided.writeStream.format("parquet").option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        t.spark.conf.set(PROVIDER, before)
+    return t.spark.read.schema(decided.schema).parquet(f"{out}/rows")
+
 
 def _stream(t):
-    """Replay the events as a stream into a table and read the table."""
-    out = _folder(t, "admission")
-    source = t.events.drop("props")
-    events = t.spark.readStream.schema(source.schema).parquet(f"{t.folder}/events*.parquet")
-    t.spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    decided = g.session_admission_stream(events, "user_id", "ts", min_gap_s=3600, max_calls=4, window_s=86400)
-    query = (
-        decided.writeStream.format("parquet").option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return t.spark.read.parquet(f"{out}/rows").select(
-        "event_id", "allowed", F.coalesce("reason", F.lit("")).alias("reason")
-    )
-
-
-add("session_admission_stream", _stream)
+    """The events as they lie in the table, in one micro-batch."""
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet")
+    return _replayed(t, events, "admission").select("event_id", "allowed", F.coalesce("reason", F.lit("")).alias("reason"), "props")
+
+
+def _late_stream(t):
+    """The events in any order over four micro-batches, decided by event time; a last call far ahead lets all of them pass."""
+    source, parts = _folder(t, "arrivals"), 4
+    ends = t.events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    span = (ends["b"] - ends["a"]).total_seconds() + 1
+    for k in range(parts):
+        t.events.filter(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == k).coalesce(1).write.mode("append").parquet(source)
+    last = t.events.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "user_id": F.lit(-1).cast("long"),
+                                          "ts": F.lit(ends["b"]).cast("timestamp_ntz") + F.expr(f"make_dt_interval(0, 0, 0, {2 * span + 10})")})
+    last.coalesce(1).write.mode("append").parquet(source)
+    events = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return _replayed(t, events, "late", late_s=span).select("event_id", "allowed", F.coalesce("reason", F.lit("")).alias("reason"), "props")
+
+
+_WITH_PROPS = f"WITH {_ADMISSION} SELECT event_id, allowed, reason, props FROM r JOIN events USING (event_id)"
+add("session_admission_stream", _stream, _WITH_PROPS)
+add("session_admission_late_stream", _late_stream, _WITH_PROPS)

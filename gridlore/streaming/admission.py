@@ -11,9 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -27,6 +26,8 @@ MAX_CALLS = 20
 WINDOW_S = 600
 
 MICROS = 1_000_000
+# A stream's watermark begins in 1970; event times are told to it so much later, so that no year is before that.
+SHIFT = 70_000_000_000 * MICROS
 
 
 def _micros(df: DataFrame, ts: str) -> Column:
@@ -163,62 +164,113 @@ def window_usage(
 
 
 class _Admission(StatefulProcessor):
-    """Keeps the admitted times of the current window per session."""
+    """Keeps the admitted times of the current window per session. Rows pass through as they came."""
 
-    def __init__(self, names: list[str], followup: str | None, gap: int, limit: int, window: int, ttl_ms: int | None):
-        self.names, self.followup = names, followup
+    def __init__(self, names: list[str], followup: str | None, gap: int, limit: int, window: int, ttl_ms: int | None, order: list[str]):
+        self.names, self.followup, self.order = names, followup, order
         self.gap, self.limit, self.window, self.ttl_ms = gap, limit, window, ttl_ms
 
     def init(self, handle) -> None:
         self.times = handle.getListState("times", "t long", self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _decided(self, calls: list[Row], now: int | None = None) -> Iterator[Row]:
+        """The calls in the order of their times and what is decided about them; of the admitted times those are kept that
+        may matter to calls from ``now`` on."""
         admitted = [r[0] for r in self.times.get()] if self.times.exists() else []
-        frames = [f for f in rows if len(f)]
-        if not frames:
-            return
-        calls = pd.concat(frames)
-        calls.columns = self.names  # unusual names do not survive the transfer
-        calls = calls.sort_values("_t", kind="stable")
-        follow = calls[self.followup].fillna(False).tolist() if self.followup else [False] * len(calls)
-        reasons = [
-            _decide(admitted, now, bool(f), self.gap, self.limit, self.window)
-            for now, f in zip(calls["_t"].tolist(), follow)
-        ]
+        named = Row(*self.names, "allowed", "reason")
+        calls.sort(key=lambda r: (r["_t"], [(r[c] is not None, r[c]) for c in self.order]))
+        for r in calls:
+            reason = _decide(admitted, r["_t"], bool(self.followup and r[self.followup]), self.gap, self.limit, self.window)
+            yield named(*[r[c] for c in self.names], reason is None, reason)
+        if now is not None:
+            admitted = [t for t in admitted if now - t < self.window]
+        self.last = admitted[-1] if admitted else None
         if admitted:
             self.times.put([(t,) for t in admitted])
         elif self.times.exists():
             self.times.clear()
-        calls["allowed"] = [r is None for r in reasons]
-        calls["reason"] = reasons
-        yield calls.drop(columns="_t")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        yield from self._decided(list(rows))
 
     def close(self) -> None:
         pass
 
 
+class _Held(_Admission):
+    """The same by event time: calls are held until the watermark has passed their time, when no earlier call can arrive,
+    and are then decided in the order of their times. A timer for the earliest held call wakes a session; another, one
+    window after its last admitted call, clears what is left of a silent one."""
+
+    def __init__(self, *args, held: str):
+        super().__init__(*args)
+        self.held_schema = held
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+
+    def _wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-(micros + SHIFT) // 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        calls = [tuple(r)[:-1] for r in rows]  # without the watermark's column
+        if calls:
+            self.held.appendList(calls)
+            self._wake(min(c[-1] for c in calls))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 - SHIFT
+        held = [Row(*[*self.names, "_t"])(*r) for r in self.held.get()] if self.held.exists() else []
+        due, later = [r for r in held if r["_t"] <= passed], [r for r in held if r["_t"] > passed]
+        yield from self._decided(due, passed)
+        if due:
+            if later:
+                self.held.put([tuple(r) for r in later])
+            else:
+                self.held.clear()
+        if later:
+            self._wake(min(r["_t"] for r in later))
+        elif self.last is not None:
+            self._wake(self.last + self.window)
+
+
 def session_admission_stream(
     sdf: DataFrame, session: str, ts: str, followup: str | None = None,
     min_gap_s: float = MIN_GAP_S, max_calls: int = MAX_CALLS, window_s: float = WINDOW_S,
-    idle_s: float | None = None,
+    idle_s: float | None = None, late_s: float | None = None, tie: str | None = None,
 ) -> DataFrame:
-    """``session_admission`` on a stream: calls are decided as they arrive, per session.
-
-    Within a micro-batch calls are taken in time order; the admitted times of the
-    current window are the only state. With ``idle_s`` (at least one window) the state
-    of a session that has been silent that long by the clock is dropped, which bounds
-    the state of a stream with ever new sessions. Needs the RocksDB state store.
+    """``session_admission`` on a stream. Columns come back as they were, missing ones too. Needs the RocksDB state store.
+
+    Without ``late_s`` calls are decided as they arrive, per session: within a micro-batch in time order (calls of equal
+    time by ``tie``, or all columns), and the admitted times of the current window are the only state. With ``idle_s``
+    (at least one window) the state of a session that has been silent that long by the clock is dropped, which bounds
+    the state of a stream with ever new sessions.
+
+    With ``late_s`` calls are decided by event time: a call waits until the watermark, the latest time seen less
+    ``late_s``, has passed it, so that calls that arrive in any order within ``late_s`` are decided as in a batch. Calls
+    that come later than that are left out, as by any watermark, and so are calls without a time; the last calls of a
+    stream wait until later ones come. State is the calls held and the admitted times of sessions with a call in the last
+    window.
     """
-    require(sdf, session, ts, *([followup] if followup else []))
+    require(sdf, session, ts, *[c for c in (followup, tie) if c])
     fields = list(sdf.schema.fields) + [
         T.StructField("allowed", T.BooleanType()), T.StructField("reason", T.StringType())
     ]
+    rules = round(min_gap_s * MICROS), max_calls, round(window_s * MICROS)
+    order = [tie] if tie else sdf.columns
     timed = sdf.withColumn("_t", _micros(sdf, ts))
-    processor = _Admission(
-        timed.columns, followup, round(min_gap_s * MICROS), max_calls, round(window_s * MICROS),
-        None if idle_s is None else round(idle_s * 1000),
-    )
-    return timed.groupBy(col(session)).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=T.StructType(fields),
-        outputMode="append", timeMode="none" if idle_s is None else "processingTime",
-    )
+    if late_s is None:
+        processor = _Admission(sdf.columns, followup, *rules, None if idle_s is None else round(idle_s * 1000), order)
+        mode = "none" if idle_s is None else "processingTime"
+    else:
+        if idle_s is not None:
+            raise ValueError("idle_s is for calls decided as they arrive; by event time silent sessions are cleared anyway")
+        processor = _Held(sdf.columns, followup, *rules, None, order, held=timed.schema)
+        # the watermark's column stays outside the rows that the state holds
+        timed = timed.withColumn("_event", F.timestamp_micros(F.col("_t") + F.lit(SHIFT))).withWatermark("_event", f"{round(late_s * 1000)} milliseconds")
+        mode = "eventTime"
+    return timed.groupBy(col(session)).transformWithState(
+        statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="append", timeMode=mode)

@@ -73,3 +73,52 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     got = {r["call"]: r["allowed"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == by_hand(rows, 2.0, 20, 600.0)
+
+
+def _replay(spark, tmp_path, batches, schema, **how):
+    """Each list of rows as one micro-batch of a stream; the decided rows."""
+    source = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query = (
+            g.session_admission_stream(stream, "session", "t", "follow", **how).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
+def test_event_time_equals_batch_whatever_the_arrival(spark, tmp_path):
+    rows = calls(7, 500)
+    shuffled = random.Random(1).sample(rows, len(rows))
+    batches = [shuffled[k::4] for k in range(4)] + [[(-1, "end", 1e7, False)]]
+    got = _replay(spark, tmp_path, batches, COLUMNS, late_s=1e6, tie="call")
+    assert {r["call"]: r["allowed"] for r in got} == by_hand(rows, 2.0, 20, 600.0)
+
+
+def test_event_time_decides_as_the_watermark_moves(spark, tmp_path):
+    rows = sorted(calls(8, 400), key=lambda r: r[2])
+    # neighbours in time change places, never by more than the allowed lateness
+    rng, late = random.Random(2), 500.0
+    arrived = sorted(rows, key=lambda r: r[2] + rng.random() * late)
+    size = len(arrived) // 5 + 1
+    batches = [arrived[k:k + size] for k in range(0, len(arrived), size)] + [[(-1, "end", 1e7, False)]]
+    got = _replay(spark, tmp_path, batches, COLUMNS, late_s=late, tie="call")
+    assert {r["call"]: r["allowed"] for r in got} == by_hand(rows, 2.0, 20, 600.0)
+
+
+def test_missing_values_come_back_untouched(spark, tmp_path):
+    big = 2 ** 60 + 1
+    schema = "call long, session string, t double, follow boolean, note long"
+    rows = [(1, None, 0.0, None, big), (2, None, 1.0, True, None), (3, "a", 0.0, None, None), (None, "a", 9.0, False, big)]
+    for k, how in enumerate(({}, {"late_s": 5.0, "tie": "call"})):
+        folder = tmp_path / str(k)
+        got = _replay(spark, folder, [rows, [(9, "end", 1e6, None, 0)], [(10, "end", 2e6, None, 0)]], schema, **how)
+        assert sorted([(r["call"], r["note"], r["allowed"]) for r in got if r["t"] < 1e6], key=str) == sorted(
+            [(1, big, True), (2, None, True), (3, None, True), (None, big, True)], key=str)
