@@ -2,8 +2,8 @@
 
 Each part reads the source once (quantiles: four times, duplicates: twice) when it is first asked for, and is kept: a row
 per column on the driver's side, larger tables in the checkpoint folder. What an earlier part has settled is not computed
-by a later one: a column whose least and largest values are equal is constant, few different numbers show in a histogram
-of eight bins, and a sketch tells which text columns could be different in almost every row.
+by a later one: a column whose least and largest values are equal is constant, numbers that set five of 64 bits by their
+hash are five at least, and a sketch tells which text columns could be different in almost every row.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from gridlore.functions.shapes import COLUMNS_PER_SCAN, long_numbers, named, uni
 
 __all__ = ["TableFacts", "repeated_rows"]
 
-# Bins of the histogram that tells few different numbers from many; error of the sketch of different texts; modes named.
-BINS, SKETCH_ERROR, NAMED_MODES = 8, 0.02, 5
+# Error of the sketch of different texts; modes named.
+SKETCH_ERROR, NAMED_MODES = 0.02, 5
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
@@ -118,15 +118,16 @@ class TableFacts:
         df, zero = self.df, F.lit(0).cast("long")
         v = present(df, n).cast("double") if n in self.numbers else None
         text, none = n in self.texts, F.lit(None).cast("double")
-        finite = F.when(F.abs(v) != float("inf"), v) if v is not None else None
+        finite = F.when(F.abs(v) != float("inf"), v + F.lit(0.0)) if v is not None else None
         count, big = F.count(v) if v is not None else zero, F.abs(v) == float("inf") if v is not None else None
         d = count.cast("double")
         skew = F.try_divide(F.skewness(v) * F.sqrt(d * (d - 1)), d - 2) if v is not None else none
         ordered = not any(x in dtype_of(df, n).simpleString() for x in ("map<", "variant"))
         # at most one value: whatever the type, its least and its largest are the same
         single = F.coalesce(F.min(present(df, n)) == F.max(present(df, n)), F.lit(True)) if ordered else F.count_distinct(F.to_json(F.struct(col(n)))) <= 1
-        seen = F.histogram_numeric(finite, F.lit(BINS)) if v is not None else None
-        few = F.coalesce(F.size(F.array_distinct(F.transform(seen, lambda b: b["x"]))), F.lit(0)) if v is not None else F.lit(0)
+        # each different value sets one of 64 bits: as many values at least as bits
+        bits = F.coalesce(F.bit_count(F.bit_or(F.when(finite.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(finite), F.lit(64)).cast("int"))))),
+                          F.lit(0)) if v is not None else F.lit(0)
         return [
             F.count(F.lit(1)).alias("rows"), F.count(present(df, n)).alias("filled"),
             (F.count_if(all_missing) if n == df.columns[0] else zero).alias("empty_rows"),
@@ -138,7 +139,7 @@ class TableFacts:
             F.lit(text).alias("is_text"), F.lit(N.is_measure_name(n)).alias("measure_name"),
             (F.count_if(v < 0) if v is not None else zero).alias("negative"),
             (F.count_if(col(n) != strip(col(n))) if text else zero).alias("blanks"),
-            single.alias("single"), few.alias("few"),
+            single.alias("single"), bits.alias("bits"),
             (F.approx_count_distinct(col(n), SKETCH_ERROR) if text else zero).alias("sketch"),
             count.alias("count"), (F.avg(v) if v is not None else none).alias("mean"),
             (F.stddev_samp(v) if v is not None else none).alias("std"), (F.var_samp(v) if v is not None else none).alias("variance"),
@@ -193,6 +194,16 @@ class TableFacts:
             return self.spark.createDataFrame([], "column string, distinct long")
         return value_frequencies(self.df, names).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
 
+    def several(self, names: list[str], least: int) -> dict[str, bool]:
+        """Whether number columns hold at least that many different finite values. Bits settle it where enough are set; the
+        values of the others are counted, which are few unless very many share a handful of bits."""
+        out = {n: self.known[n]["bits"] >= least for n in names}
+        open_ = [n for n in names if not out[n] and not self.known[n]["single"]]
+        if open_:
+            found = value_frequencies(self.df, open_).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()
+            out.update({r["column"]: r["d"] - self.known[r["column"]]["infinities"] >= least for r in found})
+        return out
+
     @cached_property
     def frequencies(self) -> DataFrame:
         """Per column with values: unique_values, filled, top_frequency, top_value, n_modes, and `modes`, the first
