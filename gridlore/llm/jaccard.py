@@ -4,8 +4,8 @@
 2. Sets that may link share a key: hash space is cut into more segments than two linking sets can differ in, so one
    segment holds the same shingles in both (an exact pigeonhole, no cap and no chance). Nodes that share a key are tied
    to the least of them: as many ties as members, never all pairs.
-3. Ties are verified on the sets: one for each node first, then those between components that are still apart. Most groups
-   of copies are settled by that.
+3. Ties are verified on the sets: one for each node first, then those between components that are still apart and whose
+   bitmaps don't rule them out. Most groups of copies are settled by that.
 4. Ties that fail leave blocks of several components open. Inside them, and only between different components, two
    signature trees are walked together: nodes hold OR-combined bitmaps and size ranges and are left as soon as the
    largest possible overlap is too small. Blocks are cut into parts of bounded size, by size and by hash.
@@ -297,15 +297,48 @@ def _verified(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "late").mapInArrow(run, "a long, b long")
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """BITS bits, those that a set's shingles fall on."""
+    bits = np.zeros(BITS // 64, np.uint64)
+    at = (s >> np.uint64(13)) & np.uint64(BITS - 1)
+    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
+    return bits
+
+
+def _possible(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ties (a, b) that the sets' bitmaps don't rule out: two sets share at most the bits that both have set and the
+    shingles that fall together on bits. Bitmaps are moved in place of sets."""
+    nodes = saved(ties.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()),
+                                              pa.array([bitmap(s).tobytes() for s in own], pa.binary())], names=["node", "n", "bits"])
+
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(k).to_numpy() for k in (2, 4))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (3, 5))
+            count = lambda x: np.bitwise_count(x).sum(1, dtype=np.int64)
+            most = count(a & b) + np.minimum(na - count(a), nb - count(b))
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * most >= percent * (na + nb)))
+
+    signed = saved(sets.join(few, "node").select("node", "s").mapInArrow(sign, "node long, n long, bits binary"))
+    side = lambda x: signed.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x))
+    met = ties.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
+    return met.mapInArrow(rule_out, "a long, b long")
+
+
 class SignatureTree:
     """Levels of nodes over sets ordered by size and bitmap: each node has the OR of its bitmaps, its least and largest
     size, the most shingles that fall together on bits in one of its sets, and its component if it has only one."""
 
     def __init__(self, sets: list[np.ndarray], comps: np.ndarray):
-        bits = np.zeros((len(sets), BITS // 64), np.uint64)
-        for row, s in zip(bits, sets):
-            at = (s >> np.uint64(13)) & np.uint64(BITS - 1)
-            np.bitwise_or.at(row, (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
+        bits = np.array([bitmap(s) for s in sets], np.uint64).reshape(len(sets), BITS // 64)
         sizes = np.array([len(s) for s in sets])
         self.order = np.lexsort((bits[:, 0], comps, sizes)) if len(sets) else np.array([], int)
         bits, sizes, comps = bits[self.order], sizes[self.order], comps[self.order]
@@ -456,6 +489,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         links = saved(_verified(chosen, sets, percent))
         roots = saved(components(links))
         rest = saved(_apart(near.select("a", "b"), roots).join(chosen, ["a", "b"], "left_anti"))
+        rest = saved(_possible(rest, sets, percent)) if rest.head(1) else rest
         if rest.head(1):
             links = links.union(saved(_verified(rest, sets, percent)))
             roots = saved(components(links))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridlore.llm import mixing, pii, quality, toxicity
+from gridlore.llm import jaccard, mixing, pii, quality, toxicity
 
 
 def test_long_runs_of_digits_take_linear_time():
@@ -98,3 +98,18 @@ def test_measures_don_t_depend_on_how_texts_are_batched(monkeypatch):
         monkeypatch.setattr(toxicity, "TOGETHER", n)
         assert np.array_equal(toxicity._measures(counts.model(1.0), lists), whole)
     assert len(toxicity._measures(counts.model(1.0), lists.slice(0, 0))) == 0
+
+
+def test_bitmaps_rule_out_no_link(spark):
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 2**63, 400, np.uint64))
+    sets = {0: base}
+    for k in range(1, 60):
+        own = base.copy()
+        own[rng.choice(len(own), 5 * k, replace=False)] = rng.integers(0, 2**63, 5 * k, np.uint64)
+        sets[k] = np.unique(own)
+    ties = spark.createDataFrame([(0, k) for k in range(1, 60)], "a long, b long")
+    rows = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "node long, s binary")
+    left = {r["b"] for r in jaccard._possible(ties, rows, 80).collect()}
+    linked = {k for k in range(1, 60) if jaccard.linked(sets[0], sets[k], 80)}
+    assert linked <= left and len(left) < len(linked) + 15 < 45
