@@ -125,10 +125,9 @@ add("ground_claims", lambda t: g.ground_claims(
         t.claims, ["claim_id"], "claim", "evidence", "question", g.known_values(t.orders))
     .withColumn("problems", F.array_join("problems", ",")),
     f"SELECT claim_id, {_PROBLEMS} AS problems, {_PROBLEMS} = '' AS trustworthy FROM claims")
-add("makes_data_claims", lambda t: g.makes_data_claims(
-        t.questions.filter("question not like '%chart%'"), ["question_id"], "question", g.known_values(t.orders)),
+add("makes_data_claims", lambda t: g.makes_data_claims(t.questions, ["question_id"], "question", g.known_values(t.orders)),
     r"""SELECT question_id, regexp_matches(question, '\d') OR question_id IN (SELECT question_id FROM questions, """ + _PRIORITIES
-    + r""" WHERE contains(lower(question), value)) AS makes_claim FROM questions WHERE question NOT LIKE '%chart%'""")
+    + r""" WHERE contains(lower(question), value)) AS makes_claim FROM questions""")
 add("makes_data_claims_conversations", lambda t: g.makes_data_claims(t.conversations, ["conv_id", "turn"], "text"))
 add("tag_questions", lambda t: g.tag_questions(t.questions, "question").select("question_id", "tag", "chart_type"),
     """SELECT question_id, CASE question_id % 11 WHEN 0 THEN 'causal' WHEN 1 THEN 'forecast' WHEN 2 THEN 'chart' WHEN 3 THEN 'chart'

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions.columns import col, numeric_columns, require, strip, text_columns
 from gridlore.functions.shapes import value_frequencies
+from gridlore.operators.facts import kept
 from gridlore.operators.profile import outlier_profile
 
 __all__ = [
@@ -333,33 +334,60 @@ def known_values(df: DataFrame, names: list[str] | None = None, max_values: int
 _WORDS = r"(?U)\w+"
 
 
-def _key_word(value: Column) -> Column:
-    """The longest word of a value: any text that holds the value holds this word whole."""
-    words = F.regexp_extract_all(value, F.lit(_WORDS), 0)
-    longest = F.aggregate(
-        words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a)
-    )
-    return longest
+# Values whose index may be broadcast, and their signs in all; bits of the filter that texts' words pass before they meet it;
+# the share of texts by which words are called rare (it decides which word finds a value, not what is found).
+BROADCAST_VALUES, BROADCAST_SIGNS, FILTER_BITS, RARE_BY = 200_000, 16_000_000, 1 << 20, 0.02
 
 
-def _holds(text: Column, value: Column) -> Column:
-    quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    pattern = F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)"))
-    return F.coalesce(F.contains(text, value) & F.rlike(text, pattern), F.lit(False))
+def _words_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_WORDS), 0))
+
+
+def _index(values: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """(value, _w): each value with its rarest word, of equally rare ones the longest; any text that holds the value holds
+    this word whole. A value without a word has the empty one."""
+    per = values.select("value", F.explode_outer(_words_of(F.col("value"))).alias("_w"))
+    seen = texts.sample(RARE_BY, 17).select(F.explode(_words_of(F.lower(_text(col(text))))).alias("_w")).groupBy("_w").agg(
+        F.count(F.lit(1)).alias("_df"))
+    order = F.struct(F.coalesce("_df", F.lit(0)), -F.length("_w"), F.col("_w"))
+    keyed = per.join(seen, "_w", "left").groupBy("value").agg(F.min_by("_w", order).alias("_w"))
+    return kept(keyed.select("value", F.coalesce("_w", F.lit("")).alias("_w")))
+
+
+def _slot(w: Column) -> Column:
+    return F.pmod(F.xxhash64(w), F.lit(FILTER_BITS))
+
 
+def _bits(index: DataFrame) -> Column:
+    """FILTER_BITS bits as a constant array of longs: those that the index' words fall on."""
+    slots = index.select(_slot(F.col("_w")).alias("s")).select(F.floor(F.col("s") / 64).cast("long").alias("id"), F.pmod("s", F.lit(64)).cast("int").alias("b"))
+    own = slots.groupBy("id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("bits"))
+    longs = [0] * (FILTER_BITS // 64)
+    for r in own.collect():  # as many rows as the array is long at most
+        longs[r["id"]] = r["bits"]
+    return F.split(F.lit(" ".join(map(str, longs))), " ").cast("array<bigint>")
 
-def _candidates(texts: DataFrame, ids: list[str], text: str, values: DataFrame) -> DataFrame:
-    """``(ids…, value)`` where the text has the value's longest word.
 
-    Only ids and words are moved here; texts meet their candidates by id afterwards. Values
-    without any word character have the empty key, which every text has.
+def _candidates(rows: DataFrame, text: Column, index: DataFrame) -> DataFrame:
+    """rows with `value`, once for each value whose word the text holds.
+
+    The index is broadcast if it is small, and texts are matched where they lie: of a text's words only those that pass
+    the index' bits become rows. A larger index is met by the words, which takes the rows along.
     """
-    words = F.array_distinct(
-        F.concat(F.regexp_extract_all(F.lower(_text(col(text))), F.lit(_WORDS), 0), F.array(F.lit("")))
-    )
-    tokens = texts.select(*map(col, ids), F.explode(words).alias("_w"))
-    keyed = values.select("value", _key_word(F.col("value")).alias("_w"))
-    return tokens.join(keyed, "_w").select(*map(col, ids), "value")
+    facts = index.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("value")), F.lit(0))).first()
+    small = facts[0] <= BROADCAST_VALUES and facts[1] <= BROADCAST_SIGNS
+    words = F.array_append(_words_of(F.lower(text)), F.lit(""))
+    if small:
+        bits = _bits(index)
+        hit = lambda w: F.call_function("shiftright", F.get(bits, F.floor(_slot(w) / 64).cast("int")), F.pmod(_slot(w), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        words = F.filter(words, hit)
+    return rows.withColumn("_w", F.explode(words)).join(F.broadcast(index) if small else index, "_w").drop("_w")
+
+
+def _holds(text: Column, value: Column) -> Column:
+    quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)"))
+    return F.coalesce(F.contains(text, value) & F.rlike(text, pattern), F.lit(False))
 
 
 def _met(left: DataFrame, right: DataFrame, ids: list[str], how: str = "inner") -> DataFrame:
@@ -373,9 +401,9 @@ def _met(left: DataFrame, right: DataFrame, ids: list[str], how: str = "inner")
 def mentioned_values(claims: DataFrame, ids: list[str], text: str, values: DataFrame) -> DataFrame:
     """``(ids…, value)`` for every known value that occurs as whole words in a text."""
     require(claims, text, *ids)
-    found = _candidates(claims, ids, text, values)
     texts = claims.select(*map(col, ids), F.lower(_text(col(text))).alias("_t"))
-    return _met(found, texts, ids).filter(_holds(F.col("_t"), F.col("value"))).drop("_t")
+    found = _candidates(texts, F.col("_t"), _index(values, claims, text))
+    return found.filter(_holds(F.col("_t"), F.col("value"))).drop("_t")
 
 
 def stray_values(
@@ -387,14 +415,14 @@ def stray_values(
     ``ids`` identify a claim.
     """
     require(claims, claim, evidence, *ids)
-    found = _candidates(claims, ids, claim, values)
     texts = claims.select(
         *map(col, ids), F.lower(_text(col(claim))).alias("_t"),
         F.lower(_text(col(evidence))).alias("_e"), F.lower(_text(_allowed(claims, allowed))).alias("_a"),
     )
+    found = _candidates(texts, F.col("_t"), _index(values, claims, claim))
     v = F.col("value")
     stray = _holds(F.col("_t"), v) & ~_holds(F.col("_e"), v) & ~_holds(F.col("_a"), v)
-    return _met(found, texts, ids).filter(stray).drop("_t", "_e", "_a")
+    return found.filter(stray).drop("_t", "_e", "_a")
 
 
 # --- verdicts ---------------------------------------------------------------
@@ -406,23 +434,20 @@ def ground_claims(
     """One row per claim: the problems found, in order, and whether it can be trusted."""
     require(claims, claim, evidence, *ids)
     c, e, a = col(claim), col(evidence), _allowed(claims, allowed)
-    rows = claims
     low = F.lower(c)
-    has_stray = F.lit(False)
-    if values is not None:
-        strays = stray_values(claims, values, ids, claim, evidence, allowed)
-        counted = strays.groupBy(*map(col, ids)).agg(F.count(F.lit(1)).alias("_strays"))
-        rows = _met(claims, counted, ids, "left")
-        has_stray = F.col("_strays") > 0
     checks = (
         ("causal", _causal(low)), ("prediction", _prediction(low)), ("hedge", _hedge(low)),
         ("number", F.size(_foreign_numbers(c, e, a)) > 0),
         ("label", F.size(_wrong_labels(c, e)) > 0),
         ("name", F.size(_foreign_names(c, e, a)) > 0),
-        ("value", F.coalesce(has_stray, F.lit(False))),
     )
     problems = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in checks]))
-    found = rows.select(*map(col, ids), problems.alias("problems"))
+    # texts are judged where they lie; only ids and problems meet the stray values
+    found = claims.select(*map(col, ids), problems.alias("problems"))
+    if values is not None:
+        strays = stray_values(claims, values, ids, claim, evidence, allowed).select(*map(col, ids)).distinct()
+        found = _met(found, strays.withColumn("_stray", F.lit(True)), ids, "left")
+        found = found.select(*map(col, ids), F.when(F.col("_stray"), F.array_append("problems", F.lit("value"))).otherwise(F.col("problems")).alias("problems"))
     return found.withColumn("trustworthy", F.size("problems") == 0)
 
 

@@ -116,7 +116,7 @@ class QualityFacts:
     def table(self) -> DataFrame:
         """Position, column and all facts; facts that were not asked for are NULL."""
         none = F.lit(None).cast("long")
-        rows = self.facts.columns.withColumn("several", F.col("few") >= OUTLIER_DISTINCT).drop("n")
+        rows = self.facts.columns
         if "variants" in self.parts:
             rows = rows.join(F.broadcast(self.facts.variants), "column", "left")
         elif "distinct" in self.parts:
@@ -126,8 +126,12 @@ class QualityFacts:
             rows = rows.withColumns({"distinct": none, "raw": none, "unified": none, "affected": none})
         if "outliers" in self.parts:
             found = self.facts.finite_quartiles.select("column", "n", "iqr", "outliers")
-            return rows.join(F.broadcast(found), "column", "left")
-        return rows.withColumns({"n": none, "iqr": none.cast("double"), "outliers": none})
+            # only columns with outliers are asked how many values they hold
+            asked = [r["column"] for r in found.filter("outliers > 0").collect()]
+            several = self.facts.several(asked, OUTLIER_DISTINCT)
+            enough = F.col("column").isin([n for n in asked if several[n]])
+            return rows.join(F.broadcast(found.withColumn("several", enough)), "column", "left")
+        return rows.withColumns({"n": none, "iqr": none.cast("double"), "outliers": none, "several": F.lit(None).cast("boolean")})
 
     @cached_property
     def packed(self) -> DataFrame:
