@@ -21,7 +21,7 @@ HEADLINE = (
     "box_stats", "line_data", "column_roles", "dq_issues_clean", "dq_issues", "duplicate_rows",
     "category_variants", "resample_many", "forecast_many", "forecast_many_series",
     "mask_pii_documents", "pii_counts", "extract_numbers", "overclaim_flags_documents",
-    "ground_claims", "run_sql_join_window", "session_admission", "window_usage", "insights",
+    "ground_claims", "run_sql_join_window", "session_admission", "window_usage", "insights", "report_tables",
 )
 
 

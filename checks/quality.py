@@ -133,6 +133,21 @@ add("quality_score", lambda t: g.quality_score(t.dirty),
                ELSE 'Needs Attention' END AS band FROM s""",
     f="missing_pct duplicate_pct constant_pct whitespace_pct outlier_pct score", digits=4)
 
+# --- structure: the findings depend on the schema, the rest on the rows ---
+add("dq_empty_table", lambda t: flat(g.dq_issues(t.orders.filter("o_totalprice < 0"))),
+    """SELECT 0::BIGINT AS seq, 'Empty dataset' AS issue, 'BLOCKING' AS severity, '' AS "columns", NULL::DOUBLE AS affected_rows,
+       NULL::DOUBLE AS affected_pct WHERE (SELECT count(*) FILTER (o_totalprice < 0) = 0 FROM orders)""")
+add("dq_placeholder_names", lambda t: flat(g.dq_issues(t.orders.select(
+        F.col("o_orderkey"), F.col("o_custkey").alias("Unnamed: 1"), F.col("o_orderdate").alias(" ")))).filter("seq < 60000"),
+    """SELECT 10000::BIGINT AS seq, 'Blank / placeholder column names' AS issue, 'BLOCKING' AS severity, 'Unnamed: 1,  ' AS "columns",
+       NULL::DOUBLE AS affected_rows, NULL::DOUBLE AS affected_pct WHERE (SELECT count(*) > 0 FROM orders)""")
+add("dq_duplicate_names", lambda t: flat(g.dq_issues(t.dirty.select("order_id", F.col("priority").alias("word"), F.col("source").alias("word")))),
+    f"""SELECT 20000::BIGINT AS seq, 'Duplicate column names' AS issue, 'BLOCKING' AS severity, 'word' AS "columns", NULL::DOUBLE AS affected_rows,
+        NULL::DOUBLE AS affected_pct UNION ALL
+        SELECT 60000, 'Duplicate records', {block(pct(DUPS, ROWS), 20)}, '', {DUPS}, {pct(DUPS, ROWS)} UNION ALL
+        SELECT 100001, 'Inconsistent categorical values', 'WARNING', 'word', {_VARIANTS}, {pct(_VARIANTS, ROWS)} UNION ALL
+        SELECT 110000, 'Constant / zero-variation columns', 'WARNING', 'word_2', NULL, NULL""")
+
 # --- drill-downs ---
 add("rows_missing", lambda t: g.rows_missing(t.dirty, "total_price").select("order_id"),
     "SELECT order_id FROM dirty WHERE total_price IS NULL")

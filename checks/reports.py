@@ -80,11 +80,63 @@ add("executive_summary", lambda t: g.executive_summary(t.sales),
 
 
 def _report(t):
+    """What the report's sections say, as rows (section, subject, metric, value)."""
     tables = g.report_tables(t.orders)
+
+    def said(section: str, subject: str, *metrics: str):
+        cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
+        rows = tables[section].select(F.expr(subject).cast("string").alias("subject"), F.inline(F.array(*cells)))
+        return rows.select(F.lit(section).alias("section"), "subject", "metric", "value")
+
     return union_all([
-        table.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("section"), "rows")
-        for name, table in tables.items()
+        said("overview", "'all'", "rows", "missing_cells", "duplicate_rows", "median"),
+        said("columns", "column", "unique_values", "missing", "q3"), said("quality_score", "band", "score"),
+        said("numeric_statistics", "column", "mean", "median", "std", "cv"), said("outliers", "column", "outliers", "iqr"),
+        said("categorical_statistics", "column", "unique_values", "frequency", "n_modes"),
+        said("top_categories", "concat(column, ' ', value)", "n", "place"),
+        said("group_performance", "concat(dimension, ' ', category)", "total", "records", "share"), said("chart_ranked", "x", "value"),
+        said("dates", "column", "valid", "unique_days", "span_days"), said("time_series", "concat(grain, ' ', period)", "value"),
+        said("chart_box", "group", "n", "whisker_low", "whisker_high", "outliers"),
     ])
 
 
-add("report_tables", _report)
+def _metrics(section: str, subject: str, source: str, **metrics: str) -> list[str]:
+    return [f"SELECT '{section}' AS section, CAST({subject} AS VARCHAR) AS subject, '{m}' AS metric, CAST({v} AS DOUBLE) AS value FROM {source}"
+            for m, v in metrics.items()]
+
+
+def _report_sql() -> str:
+    numbers, texts = ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority")
+    q = lambda c: f"(SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM orders) AS f"
+    low, high = "q1 - 1.5 * (q3 - q1)", "q3 + 1.5 * (q3 - q1)"
+    out = lambda c: f"count(*) FILTER ({c} < {low} OR {c} > {high})"
+    parts = _metrics("overview", "'all'", "orders", rows="count(*)", missing_cells="count(*) * 0", median="quantile_cont(o_totalprice, 0.5)",
+                     duplicate_rows="count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders) AS d)")
+    for c in (*numbers, *texts, "o_orderdate"):
+        parts += _metrics("columns", f"'{c}'", "orders", unique_values=f"count(DISTINCT {c})", missing=f"count(*) - count({c})",
+                          q3=f"quantile_cont({c}, 0.75)" if c in numbers else "max(NULL)")
+    every = " + ".join(f"(SELECT {out(c)} FROM orders, {q(c)})" for c in numbers)
+    score = f"100 - least(({every}) * 100.0 / (count(*) * 3) * 0.15, 10)"
+    parts += _metrics("quality_score", f"CASE WHEN {score} >= 90 THEN 'Excellent' ELSE 'Good' END", "orders", score=score)
+    for c in numbers:
+        parts += _metrics("numeric_statistics", f"'{c}'", "orders", mean=f"avg({c})", median=f"quantile_cont({c}, 0.5)", std=f"stddev_samp({c})",
+                          cv=f"stddev_samp({c}) * 100 / avg({c})")
+        parts += _metrics("outliers", f"'{c}'", f"orders, {q(c)}", outliers=out(c), iqr="any_value(q3 - q1)")
+    ranked = " UNION ALL ".join(
+        f"SELECT '{c}' AS c, {c} AS v, count(*) AS n, sum(o_totalprice) AS s, row_number() OVER (ORDER BY count(*) DESC, {c}) AS place FROM orders GROUP BY {c}" for c in texts)
+    source = f"({ranked}) AS g"
+    parts += _metrics("categorical_statistics", "c", f"(SELECT c, count(*) AS d, max(n) AS m, count(*) FILTER (n = top) AS k FROM (SELECT *, max(n) OVER (PARTITION BY c) AS top FROM {source}) AS w GROUP BY c) AS x",
+                      unique_values="d", frequency="m", n_modes="k")
+    parts += _metrics("top_categories", "c || ' ' || v", source, n="n", place="place")
+    parts += _metrics("group_performance", "c || ' ' || v", source, total="s", records="n", share="s * 100 / (SELECT sum(o_totalprice) FROM orders)")
+    parts += _metrics("chart_ranked", "v", f"{source} WHERE c = 'o_orderstatus'", value="s")
+    day = "CAST(o_orderdate AS DATE)"
+    parts += _metrics("dates", "'o_orderdate'", "orders", valid="count(*)", unique_days=f"count(DISTINCT {day})", span_days=f"datediff('day', min({day}), max({day})) + 1")
+    parts += _metrics("time_series", "'month ' || m", f"(SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, sum(o_totalprice) AS v FROM orders GROUP BY 1) AS x", value="v")
+    c = "o_totalprice"
+    parts += _metrics("chart_box", f"'{c}'", f"orders, {q(c)}", n="count(*)", whisker_low=f"min({c}) FILTER ({c} >= {low})",
+                      whisker_high=f"max({c}) FILTER ({c} <= {high})", outliers=out(c))
+    return " UNION ALL ".join(parts)
+
+
+add("report_tables", _report, _report_sql(), f="value", digits=3)

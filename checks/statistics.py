@@ -307,3 +307,25 @@ add("box_stats_whole", lambda t: g.box_stats(t.events, "value"),
          min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)) AS whisker_low, max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
          count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers FROM events, q""",
     f="q1 median q3 whisker_low whisker_high", digits=4)
+
+
+def _chart_checks(t):
+    """What is said to requests for charts of orders: one row a request."""
+    cheap = t.orders.filter("o_totalprice < 0")
+    asked = [(t.orders, "bar", "o_orderstatus", "o_totalprice"), (t.orders, "scatter", "o_orderstatus", "o_totalprice"),
+             (t.orders, "line", "o_orderdate", "price"), (t.orders, "histogram", "o_orderpriority", None), (cheap, "bar", "o_orderstatus", "o_totalprice")]
+    said = []
+    for df, kind, x, y in asked:
+        try:
+            g.check_chart(df, kind, x, y)
+            said.append((kind, x, y, "made"))
+        except ValueError as e:
+            said.append((kind, x, y, "no rows" if "No rows" in str(e) else "not numeric" if "not numeric" in str(e) else "unknown column"))
+    return t.spark.createDataFrame(said, "kind string, x string, y string, answer string")
+
+
+add("check_chart", _chart_checks,
+    """SELECT * FROM (VALUES ('bar', 'o_orderstatus', 'o_totalprice', CASE WHEN (SELECT count(o_totalprice) > 0 FROM orders) THEN 'made' END),
+       ('scatter', 'o_orderstatus', 'o_totalprice', 'not numeric'), ('line', 'o_orderdate', 'price', 'unknown column'),
+       ('histogram', 'o_orderpriority', NULL, 'not numeric'),
+       ('bar', 'o_orderstatus', 'o_totalprice', CASE WHEN (SELECT count(*) FILTER (o_totalprice < 0) = 0 FROM orders) THEN 'no rows' ELSE 'made' END)) AS v(kind, x, y, answer)""")

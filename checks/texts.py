@@ -182,6 +182,19 @@ def _csv_round_trip(t):
 
 add("read_csv", _csv_round_trip, "SELECT * FROM customer", f="c_acctbal")
 
+
+
+def _other_encoding(t):
+    """Names written in an encoding that isn't UTF-8, and read back by trial."""
+    path = _folder(t, "latin")
+    named = t.customer.select("c_custkey", F.concat(F.lit("José "), "c_name").alias("name"))
+    named.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return g.read_csv(t.spark, path)
+
+
+add("read_csv_encoding", _other_encoding, "SELECT c_custkey, 'José ' || c_name AS name FROM customer")
+
+
 # --- admission ---
 GAP, CALLS, SPAN = 3600, 4, 86400
 # a call's fate hangs on the ones before it: the calls of all sessions are taken one after the other, side by side
