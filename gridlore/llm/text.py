@@ -50,10 +50,16 @@ def share(doc_id: Column, n: int) -> Column:
 
 
 def keep_checkpoints(spark: SparkSession) -> None:
-    """Name a checkpoint folder where the session names none: the warehouse, which a cluster shares."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
+    """Point Spark at the folder in spark.checkpoint.dir. Only a local session without that setting uses the warehouse; on a
+    cluster its default is a folder of the driver's machine, so that the setting is asked for."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("Set spark.checkpoint.dir to a shared folder.")
+            folder = spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+        sc.setCheckpointDir(folder)
 
 
 def saved(df: DataFrame) -> DataFrame:
