@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from gridlore.functions import names as N
 from gridlore.functions.columns import (
-    as_ts, integer_columns, numeric_columns, text_columns, time_columns,
+    as_ts, col, integer_columns, numeric_columns, text_columns, time_columns,
 )
-from gridlore.functions.shapes import per_column, value_frequencies
+from gridlore.functions.shapes import named, per_column, stacked, value_frequencies
 
 __all__ = ["Roles", "column_roles", "roles_of", "primary_measure", "date_columns", "stats_date_columns"]
 
@@ -33,22 +33,46 @@ def _parse_ratios(df: DataFrame) -> DataFrame:
     return per_column(df, df.columns, facts)
 
 
+# A sketch of different values that is that far below their number settles it; ids count as dense while their range is at most
+# so many times their number; values that one row of bits stands for.
+SKETCH_ERROR, SKETCH_BELOW, DENSE, SEGMENT = 0.02, 0.85, 64, 32_768
+
+
 def _unique_integers(df: DataFrame) -> DataFrame | None:
-    """Integer columns whose values are all different."""
+    """(column, all_unique) of the integer columns: whether their values are all different.
+
+    One scan settles most: more values than their range has room for, or a sketch far below their number, can't be
+    unique. What is left is counted: dense values as bits, a row for each SEGMENT of their range, others as values.
+    """
     candidates = [n for n in integer_columns(df) if not N.is_identifier_name(n)]
     if not candidates:
         return None
-    freq = value_frequencies(df, candidates)
-    return freq.groupBy("column").agg(
-        ((F.max("n") == 1) & (F.sum("n") > 0)).alias("all_unique"), F.sum("n").alias("filled")
-    )
+    seen = per_column(df, candidates, lambda n: {
+        "filled": F.count(col(n)), "low": F.min(col(n)).cast("long"), "high": F.max(col(n)).cast("long"), "sketch": F.approx_count_distinct(col(n), SKETCH_ERROR)}).collect()
+    facts = {r["column"]: r for r in seen}  # a row per column
+    room = {n: r["high"] - r["low"] + 1 if r["filled"] else 0 for n, r in facts.items()}
+    open_ = [n for n, r in facts.items() if r["filled"] and room[n] >= r["filled"] and r["sketch"] >= SKETCH_BELOW * r["filled"]]
+    dense = [n for n in open_ if room[n] <= DENSE * facts[n]["filled"]]
+    rest = [n for n in open_ if n not in dense]
+    unique = {n: False for n in candidates}
+    if dense:
+        offset = {n: col(n).cast("long") - F.lit(facts[n]["low"]) for n in dense}
+        rows = stacked(df, [offset[n] for n in dense])
+        bits = rows.groupBy("place", F.floor(F.col("value") / SEGMENT).alias("segment")).agg(
+            F.bitmap_construct_agg(F.pmod("value", F.lit(SEGMENT))).alias("bits"))
+        counted = named(bits.groupBy("place").agg(F.sum(F.bitmap_count("bits")).alias("d")), dense).collect()
+        unique.update({r["column"]: r["d"] == facts[r["column"]]["filled"] for r in counted})
+    if rest:
+        counted = value_frequencies(df, rest).groupBy("column").agg(F.max("n").alias("most")).collect()
+        unique.update({r["column"]: r["most"] == 1 for r in counted})
+    return df.sparkSession.createDataFrame(list(unique.items()), "column string, all_unique boolean")
 
 
 def column_roles(df: DataFrame) -> DataFrame:
     """One row per column: position, role, date parse ratio and what its name suggests."""
     numeric, dates = set(numeric_columns(df)), set(time_columns(df))
     facts = _parse_ratios(df)
-    named = [
+    hints = [
         F.struct(
             F.lit(n).alias("column"),
             F.lit("numeric" if n in numeric else "date" if n in dates else "other").alias("kind"),
@@ -60,7 +84,7 @@ def column_roles(df: DataFrame) -> DataFrame:
         for n in df.columns
     ]
     # names are constants of the schema: picked by position, no join
-    meta = F.element_at(F.array(*named), F.col("position") + 1)
+    meta = F.element_at(F.array(*hints), F.col("position") + 1)
     ratio = F.try_divide(F.col("parsed").cast("double"), F.col("rows").cast("double"))
     rows = facts.withColumn("meta", meta).withColumn("ratio", ratio)
     unique = _unique_integers(df)
