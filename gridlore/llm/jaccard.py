@@ -434,6 +434,10 @@ def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataF
     nodes = nodes.join(blocks.select(F.col("node").alias("comp"), F.col("root").alias("block")), "comp")
     # bands of size: linking sets lie in the same band or in neighbouring ones
     nodes = saved(nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(_factor(BAND, percent)))).cast("int")))
+    # a block that one task can hold is one band of its own, to which each set goes once
+    whole = saved(nodes.groupBy("block").agg(((F.count("*") <= PART) & (F.sum("n") * 8 <= PART_BYTES)).alias("whole")).where("whole"))
+    nodes = nodes.join(F.broadcast(whole) if whole.count() <= BROADCAST_ROWS else whole, "block", "left").withColumn(
+        "band", F.when(F.col("whole"), -1).otherwise(F.col("band"))).drop("whole")
     parts = nodes.groupBy("block", "band").agg(
         (F.greatest(F.count("*") / PART, F.sum("n") * 8 / PART_BYTES) + 1).cast("int").alias("parts"))
     near = parts.select("block", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
