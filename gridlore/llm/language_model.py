@@ -1,21 +1,23 @@
-"""Language-model scores by context mixing over the bits of words.
-
-A text is its words, each followed by a blank, and an end, which is a blank alone. Three layers give a word's chance:
-* spelling: the bits of its bytes, each predicted from hashed contexts of the last 1 to 5 bytes; a logistic mixer adds
-  the predictions by weights that a gate selects, trained online over the corpus' word types;
-* words: discounted counts over all training texts, with the discounted mass given to the spelling;
-* gates: the same counts within texts that share a frequent first word, backed off to all texts. A text's chance is the
-  gates' weighted sum, so each word moves the weights of the gates for the words after it.
-Contexts within a word end at its beginning, so a word's bits are predicted once for all its occurrences.
+"""Language-model scores by context mixing over the bits of the running text.
+
+A text is its words, A-Z lower-cased, each followed by a blank, and an end, which is a blank alone. Its bytes are predicted
+bit by bit, from everything that stands before, across words:
+* predictors: counts of ones and zeros in hashed contexts of the last 2, 3, 4 and 6 bytes, of the word so far with the text's
+  gate word, and of the word so far with the word before it;
+* gated mixing: a logistic mixer adds the predictions; a gate, which long contexts were seen before, selects its weights,
+  which are trained online over all training texts, a text's own counts taken out;
+* refinement: an adaptive map, by the bits of the byte so far, corrects the mixer's chance by how often it came true. Each
+  text weighs mixer and map anew: its chance is the mean of both, so each bit moves the weights for the bits after it.
+A text's gate word is the first of the GATES most frequent words that it holds, from there on.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +26,25 @@ from gridlore.llm.text import ascii_lower, saved, share, ship, whole, words
 
 ship(__name__)
 
-# Gates, words of the broadcast lexicon (the rest is joined by a shuffle), word types from which one task trains its
-# weights of the mixer, and tasks that fill the tables of fixed size.
-GATES, LEXICON, MIX_TYPES, FILL_TASKS = 6, 200_000, 30_000, 12
-ORDERS = (16, 18, 20, 20, 20)  # log2 of the slots of the contexts of 1, 2, 3, 4 and 5 bytes
-LONGEST = 64  # bytes of a word whose bits are predicted together; longer words go on in further rows
+# Gates, words of the broadcast lexicon (the rest is joined by a shuffle), texts from which one task trains its weights of
+# the mixer, tasks that fill the tables at least, and tokens that one of them reads beyond that.
+GATES, LEXICON, MIX_TYPES, FILL_TASKS, FILL_TOKENS = 6, 200_000, 2_000, 12, 30_000_000
+BYTES = (2, 3, 4, 6)  # bytes of the contexts; behind them the two contexts of words
+ORDERS = (18, 20, 22, 22, 22, 22)  # log2 of the slots of each context
 STARTS = np.concatenate(([0], np.cumsum([1 << b for b in ORDERS]))).astype(np.int64)
-N_GATES = len(ORDERS) + 1
+GATING = (2, 3, 5)  # contexts that make the gate
+N_GATES = 1 << len(GATING)
+# Bytes that are predicted together, bytes after which a long text's contexts begin anew, counts that are added up together,
+# bytes of texts sorted together, steps of a stretched chance, and classes of the map.
+STEP, PIECE, BLOCK, SORTED, SCALE, CLASSES = 4_096, 65_536, 4_096, 64_000_000, 16, 25
+
+_BYTE = np.arange(256)
+_VALUE = ((_BYTE[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
+_SIGN = (1 - 2 * _VALUE).astype(np.float32)
+_SO_FAR = np.stack([(256 | _BYTE) >> (8 - k) for k in range(8)], 1).astype(np.int64)  # the bits of the byte so far, behind a 1
+_IN_HALF = np.stack([((16 | h) >> (4 - k)) for h in (_BYTE >> 4, _BYTE & 15) for k in range(4)], 1).astype(np.int64)
+_ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
 def tokens(text: Column) -> Column:
@@ -38,160 +52,313 @@ def tokens(text: Column) -> Column:
     return words(ascii_lower(whole(text)))
 
 
+def running(text: bytes) -> bytes:
+    """The bytes that are predicted, but for the end."""
+    return b"".join(w + b" " for w in text.lower().split())
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _ODD
+    return (x ^ (x >> np.uint64(31))) * _ODD2
+
+
+def _powers(x: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, x)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hash(word: bytes) -> int:
+    """What `Bits` names a word by, its blank left out."""
+    with np.errstate(over="ignore"):
+        return int(np.sum((np.frombuffer(word, np.uint8) + np.uint64(1)) * _powers(_ODD, len(word)), dtype=np.uint64))
+
+
 class Bits:
-    """The bits of many words, laid end to end: for each bit its word, its value and a slot for each context."""
-
-    def __init__(self, texts: list[bytes]):
-        lengths = np.array([len(t) + 1 for t in texts], np.int64)
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8).astype(np.uint64)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        place = np.arange(len(data)) - np.repeat(starts, lengths)
-        word = np.repeat(np.arange(len(texts)), lengths)
-        value = ((data[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1))
-        node = np.ones((len(data), 8), np.uint64)  # the bits of the byte so far, behind a 1
-        for k in range(1, 8):
-            node[:, k] = node[:, k - 1] * np.uint64(2) + value[:, k - 1]
-        slots = np.empty((len(ORDERS), len(data), 8), np.int64)
+    """The bits of texts laid end to end, each closed by a blank: their values and a slot for each context. A context's 16
+    slots for half a byte lie together as a row; the first of them stands for no bit. gates: hashes of the gate words.
+    closed: the blank is there already."""
+
+    def __init__(self, texts: list[bytes], gates: tuple[int, ...] = (), closed: bool = False):
+        texts = texts if closed else [t + b" " for t in texts]
+        lengths = np.array([len(t) for t in texts], np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        n, self.starts = len(data), np.cumsum(lengths) - lengths
+        text = np.repeat(np.arange(len(texts)), lengths)
+        place = np.arange(n) - self.starts[text]
+        wide = data.astype(np.uint64)
+        self.row = np.empty((len(ORDERS), n, 2), np.int64)
         with np.errstate(over="ignore"):
-            context = np.zeros(len(data), np.uint64)
-            for k, bits in enumerate(ORDERS):
-                back = np.zeros(len(data), np.uint64)
-                back[k + 1:] = data[:max(0, len(data) - k - 1)]
-                back[place <= k] = 0
-                context = (context + back + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-                context ^= context >> np.uint64(31)
-                x = (context[:, None] + node) * np.uint64(0xBF58476D1CE4E5B9)
-                slots[k] = STARTS[k] + (x >> np.uint64(64 - bits)).astype(np.int64)
-        self.word, self.value, self.slots = np.repeat(word, 8), value.reshape(-1).astype(np.float32), slots.reshape(len(ORDERS), -1)
-
-
-def _inputs(tables: np.ndarray, bits: Bits, without_own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The stretched prediction of each context for each bit, and the gate: the longest context seen twice.
-    without_own takes the word itself out of the counts, for training on words that the tables hold."""
-    n1, n = tables[1][bits.slots], tables[0][bits.slots]
-    if without_own:
-        n1, n = np.maximum(n1 - bits.value, 0), np.maximum(n - 1, 0)
-    p = (n1 + 0.2) / (n + 0.4)
-    x = np.log(p / (1 - p))
-    seen = n >= 2
-    gate = np.where(seen.any(0), len(ORDERS) - np.argmax(seen[::-1], 0), 0)
-    return x, gate
-
-
-def train_mixer(tables: np.ndarray, texts: list[bytes], passes: int = 3) -> np.ndarray:
-    """Weights (gate, context) by online logistic mixing: words in small groups, each one step down the coding cost."""
-    weights = np.full((N_GATES, len(ORDERS)), 0.3)
-    for turn in range(passes):
-        for a in range(0, len(texts), 256):
-            bits = Bits(texts[a:a + 256])
-            x, gate = _inputs(tables, bits, True)
-            p = 1 / (1 + np.exp(-np.clip((weights[gate].T * x).sum(0), -15, 15)))
-            error = bits.value - p
-            many = np.maximum(np.bincount(gate, minlength=N_GATES), 200)
-            for k in range(len(ORDERS)):
-                weights[:, k] += 0.5 / (1 + turn) * np.bincount(gate, error * x[k], N_GATES) / many
-    return weights
-
-
-def spell(tables: np.ndarray, weights: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """log10 of the chance of each word's bytes and the blank behind them."""
-    out = np.zeros(len(texts))
-    for a in range(0, len(texts), 1024):
-        part = texts[a:a + 1024]
-        bits = Bits(part)
-        x, gate = _inputs(tables, bits, False)
-        dot = np.clip((weights.astype(np.float32)[gate].T * x).sum(0), -15, 15)
-        cost = np.logaddexp(0, np.where(bits.value > 0, -dot, dot))
-        out[a:a + len(part)] = -np.bincount(bits.word, cost, len(part)) / np.log(10)
-    return out
-
-
-def _encoded(column: pa.Array) -> list[bytes]:
-    return [c.as_py().encode("utf-8", "surrogatepass") for c in column]
-
-
-def _fill(vocabulary: DataFrame) -> np.ndarray:
-    """Counts (all, ones) of each slot over the word types of the training texts: tables of a fixed size, filled by a
-    few tasks and added up by slot."""
+            high = ((wide >> np.uint64(4)) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            x = np.zeros(n, np.uint64)
+            for j in range(1, BYTES[-1] + 1):
+                back = np.zeros(n, np.uint64)
+                back[j:] = wide[:max(n - j, 0)]
+                back[place < j] = 0
+                x |= back << np.uint64(8 * (j - 1))
+                if j in BYTES:
+                    self._put(BYTES.index(j), _mixed(x + np.uint64(1)), high)
+            so_far, word, at, text_of = self._words(wide, text, place)
+            ends = np.append(at[1:], n) - 1
+            full = so_far[ends]
+            before = np.zeros(len(at), np.uint64)
+            before[1:] = np.where(text_of[1:] == text_of[:-1], full[:-1] + np.uint64(1), 0)
+            start = _mixed(so_far + np.uint64(1))
+            self._put(len(BYTES), start + _mixed(self._gates(full, text_of, len(texts), gates))[word], high)
+            self._put(len(BYTES) + 1, start + _mixed(before + np.uint64(99))[word], high)
+        self.data = data
+
+    def _put(self, k: int, context: np.ndarray, high: np.ndarray) -> None:
+        shift = np.uint64(68 - ORDERS[k])
+        for half, x in enumerate((context, (context + high) * _ODD)):
+            self.row[k, :, half] = (x >> shift) + np.uint64(STARTS[k] >> 4)
+
+    @staticmethod
+    def _words(wide: np.ndarray, text: np.ndarray, place: np.ndarray):
+        """For each byte the hash of its word before it and the word's number; for each word its first byte and its text."""
+        first = place == 0
+        first[1:] |= wide[:-1] == 32
+        at, word = np.flatnonzero(first), np.cumsum(first) - 1
+        terms = (wide + np.uint64(1)) * _powers(_ODD, len(wide))
+        upto = np.cumsum(terms) - terms
+        return (upto - upto[at][word]) * _powers(_INVERSE, len(wide))[at][word], word, at, text[at]
+
+    @staticmethod
+    def _gates(full: np.ndarray, text_of: np.ndarray, n: int, gates: tuple[int, ...]) -> np.ndarray:
+        """For each word the gate word that comes first in its text, if it stands before; else 0."""
+        hit = np.flatnonzero(np.isin(full, np.array(gates, np.uint64)))
+        who, i = np.unique(text_of[hit], return_index=True)
+        first, which = np.full(n, len(full)), np.zeros(n, np.uint64)
+        first[who], which[who] = hit[i], full[hit[i]]
+        return np.where(np.arange(len(full)) > first[text_of], which[text_of], np.uint64(0))
+
+    @property
+    def value(self) -> np.ndarray:
+        return _VALUE[self.data].reshape(-1)
+
+    @property
+    def slots(self) -> np.ndarray:
+        return (self.row[:, :, :, None] * 16 + _IN_HALF[self.data].reshape(-1, 2, 4)).reshape(len(ORDERS), -1)
+
+    def inside(self, values: int) -> np.ndarray:
+        """Where each bit's entry lies in the rows of one context, laid end to end, with that many entries for a slot: one,
+        or one for each value of the bit."""
+        at = (_IN_HALF * values + (_VALUE if values == 2 else 0))[self.data].reshape(-1, 4)
+        return at + (np.arange(len(at)) * 16 * values)[:, None]
+
+
+class Tables:
+    """What the slots say, a row for 16: the stretched chance of a one in steps of 1 / SCALE, and the same once a zero or a one
+    is taken out (for texts that the counts hold). In place of the slot for no bit: how often, up to 3 times, a row was met."""
+
+    def __init__(self, chance: np.ndarray, without: np.ndarray):
+        self.chance, self.without = chance, without
+
+    @classmethod
+    def of(cls, counts: np.ndarray | Tables) -> Tables:
+        """counts: all and ones by slot."""
+        return counts if isinstance(counts, Tables) else cls(*_chances(counts[0].reshape(-1, 16), counts[1].reshape(-1, 16)))
+
+
+def _stretched(n1: np.ndarray, n: np.ndarray) -> np.ndarray:
+    x = np.log((n1 + np.float32(0.2)) / (n - n1 + np.float32(0.2)))
+    return np.clip(np.rint(x * SCALE), -127, 127).astype(np.int8)
+
+
+def _chances(n: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n, n1 = n.astype(np.float32), n1.astype(np.float32)
+    met, less = np.minimum(n[:, 1], 3).astype(np.int8), np.maximum(n - 1, 0)
+    chance = _stretched(n1, n)
+    without = np.stack([_stretched(np.minimum(n1, less), less), _stretched(np.maximum(n1 - 1, 0), less)], 2).reshape(-1, 32)
+    chance[:, 0] = without[:, 0] = met
+    return chance, without
+
+
+def _by_slot(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all, ones) by slot from how often each half byte came in each row."""
+    n, n1 = np.zeros(halves.shape, np.int64), np.zeros(halves.shape, np.int64)
+    for size in (8, 4, 2, 1):
+        pairs = halves.reshape(len(halves), size, 2)
+        halves = pairs.sum(2)
+        n[:, size:2 * size], n1[:, size:2 * size] = halves, pairs[:, :, 1]
+    return n, n1
+
+
+def _looked_up(table: np.ndarray, bits: Bits, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per context its entry for each bit, and for each half byte which of the long contexts were met that often."""
+    inside, out, gate = bits.inside(table.shape[1] // 16), [], 0
+    for k, row in enumerate(bits.row):
+        found = np.take(table, row.reshape(-1), axis=0)
+        if k in GATING:
+            gate = gate + ((found[:, 0] >= least).astype(np.int64) << GATING.index(k))
+        out.append(np.take(found.reshape(-1), inside))
+    return out, gate
+
+
+def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Neighbouring texts of STEP bytes or more."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= STEP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _pieces(text: bytes) -> list[bytes]:
+    """The text with its end, cut into pieces of at most PIECE bytes."""
+    text += b" "
+    return [text[a:a + PIECE] for a in range(0, len(text), PIECE)]
+
+
+class Training:
+    """Weights (gate, context) and the map's counts (all, ones), trained online: a step down the coding cost for each group
+    of texts, smaller as there are more of them."""
+
+    def __init__(self, tables: np.ndarray | Tables, gates: tuple[int, ...] = ()):
+        self.tables, self.gates, self.steps = Tables.of(tables), gates, 0
+        self.weights = np.full((N_GATES, len(ORDERS)), 0.25, np.float32)
+        self.counts = np.zeros((2, 256 * CLASSES))
+
+    def read(self, texts: list[bytes]) -> None:
+        for group in _groups([p for t in texts for p in _pieces(t)]):
+            bits = Bits(group, self.gates, True)
+            found, gate = _looked_up(self.tables.without, bits, 3)
+            xs = [x * np.float32(1 / SCALE) for x in found]
+            dot = sum(w[:, None] * x for w, x in zip(self.weights[gate].T, xs)).reshape(-1)
+            np.clip(dot, -12, 12, out=dot)
+            value = bits.value
+            error = (value.astype(np.float32) - 1 / (1 + np.exp(-dot))).reshape(-1, 4)
+            many = np.maximum(np.bincount(gate, minlength=N_GATES) * 4, 500)
+            self.steps += 1
+            rate = max(0.02, 0.5 / (1 + self.steps / 16))
+            for k, x in enumerate(xs):
+                self.weights[:, k] += rate * np.bincount(gate, np.einsum("ij,ij->i", x, error), N_GATES) / many
+            at = _SO_FAR[bits.data].reshape(-1) * CLASSES + np.rint(dot).astype(np.int64) + CLASSES // 2
+            zeros, ones = np.bincount(at * 2 + value, minlength=512 * CLASSES).reshape(-1, 2).T
+            self.counts += np.stack([zeros + ones, ones])
+
+
+def train_mixer(tables: np.ndarray | Tables, texts: list[bytes]) -> np.ndarray:
+    """Weights (gate, context) trained on these texts alone."""
+    training = Training(tables)
+    training.read(texts)
+    return training.weights.astype(float)
+
+
+def spell(tables: np.ndarray | Tables, weights: np.ndarray, texts: list[bytes], counts: np.ndarray | None = None, gates: tuple[int, ...] = ()) -> np.ndarray:
+    """log10 of the chance of each text's bytes and the end behind them; counts are those of the map, if there is one."""
+    tables, weights = Tables.of(tables), (weights / SCALE).astype(np.float32)
+    pieces = [_pieces(t) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(p) for p in pieces])
+    middle = np.tile(np.arange(CLASSES) - CLASSES // 2, 256)
+    map_ = None
+    if counts is not None:
+        ones = (counts[1] + 8 / (1 + np.exp(-middle))) / (counts[0] + 8)
+        map_ = np.log(ones / (1 - ones)).astype(np.float32)
+    costs = []
+    for group in _groups([p for parts in pieces for p in parts]):
+        bits = Bits(group, gates, True)
+        found, gate = _looked_up(tables.chance, bits, 2)
+        dot = sum(w[:, None] * x for w, x in zip(weights[gate].T, found)).reshape(-1)
+        dot, sign = np.clip(dot, -12, 12), _SIGN[bits.data].reshape(-1)
+        chances = [dot]
+        if map_ is not None:
+            low = np.minimum(np.floor(dot), CLASSES // 2 - 1)
+            at, part = _SO_FAR[bits.data].reshape(-1) * CLASSES + low.astype(np.int64) + CLASSES // 2, dot - low
+            left = map_[at]
+            chances.append((dot + left + (map_[at + 1] - left) * part) / 2)
+        costs.append(np.stack([np.add.reduceat(np.log1p(np.exp(x * sign)), bits.starts * 8, dtype=float) for x in chances]))
+    if not costs:
+        return np.zeros(0)
+    logs = np.stack([-np.bincount(owner, c, len(texts)) for c in np.concatenate(costs, 1)])
+    return (np.logaddexp.reduce(logs, 0) - np.log(len(logs))) / np.log(10)
+
+
+def _count(counts: np.ndarray, texts: list[bytes], gates: tuple[int, ...]) -> None:
+    """Add to counts (row, half byte) what these running texts hold."""
+    flat, one = counts.reshape(-1), counts.dtype.type(1)
+    for group in _groups([p for t in texts for p in _pieces(t)]):
+        bits = Bits(group, gates, True)
+        half = np.stack([bits.data >> 4, bits.data & 15], 1)
+        for row in bits.row:
+            np.add.at(flat, (row * 16 + half).reshape(-1), one)
+
+
+def _fill(train: DataFrame, gates: tuple[int, ...], n: int) -> Tables:
+    """The tables over the texts (a binary column `word`) of n training tokens. Each task counts into rows of a fixed number
+    and gives them as blocks; blocks are added up, and made into chances, by their number."""
+    rows = int(STARTS[-1]) // 16
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = int(STARTS[-1])
-        n, n1 = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        counts = np.zeros((rows, 16), np.int32)
         for batch in batches:
-            texts = _encoded(batch.column(0))
-            for a in range(0, len(texts), 2048):
-                bits = Bits(texts[a:a + 2048])
-                for slots in bits.slots:
-                    np.add.at(n, slots, 1)
-                    np.add.at(n1, slots[bits.value > 0], 1)
-        at = np.flatnonzero(n)
-        for a in range(0, len(at), 100_000):
-            part = at[a:a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part]), pa.array(n1[part])],
-                                             names=["slot", "n", "n1"])
-
-    filled = vocabulary.where("c > 0").select("word").coalesce(FILL_TASKS).mapInArrow(run, "slot int, n long, n1 long")
-    rows = filled.groupBy("slot").agg(F.sum("n").cast("float").alias("n"), F.sum("n1").cast("float").alias("n1")).toArrow()
-    tables = np.zeros((2, int(STARTS[-1])), np.float32)
-    at = rows.column("slot").to_numpy()
-    tables[0][at], tables[1][at] = rows.column("n").to_numpy(), rows.column("n1").to_numpy()
-    return tables
+            _count(counts, [running(t) for t in batch.column(0).to_pylist()], gates)
+        blocks = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(1))
+        for a in range(0, len(used), 64):
+            part = used[a:a + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([blocks[b].tobytes() for b in part], pa.binary())],
+                                             names=["block", "counts"])
+
+    def add(key: tuple, found: pa.Table) -> pa.Table:
+        both = sum(np.frombuffer(c.as_py(), np.int32).astype(np.int64) for c in found.column("counts"))
+        made = [pa.array([x.tobytes()], pa.binary()) for x in _chances(*_by_slot(both.reshape(-1, 16)))]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *made], names=["block", "chance", "without"])
+
+    counted = train.coalesce(max(FILL_TASKS, n // FILL_TOKENS)).mapInArrow(run, "block int, counts binary")
+    found = counted.groupBy("block").applyInArrow(add, "block int, chance binary, without binary").toArrow()
+    out = np.zeros((rows, 16), np.int8), np.zeros((rows, 32), np.int8)
+    for block, *parts in zip(*(c.to_pylist() for c in found.columns)):
+        for table, part in zip(out, parts):
+            table.reshape(-1)[block * len(part):(block + 1) * len(part)] = np.frombuffer(part, np.int8)
+    return Tables(*out)
 
 
 def _gate_words(docs: DataFrame) -> list[str]:
     """The most frequent words of all training texts, of two signs or more."""
-    top = docs.select(F.explode(tokens(F.col("text"))).alias("w")).where("length(w) >= 2").groupBy("w").count()
-    return [r["w"] for r in top.orderBy(F.desc("count"), "w").limit(GATES).collect()]
+    return _frequent(docs.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c")))
+
 
+def _frequent(counts: DataFrame) -> list[str]:
+    top = counts.where("c > 0 AND length(word) >= 2").orderBy(F.desc("c"), "word").limit(GATES)
+    return [r["word"] for r in top.collect()]
 
-def _mixer(types: DataFrame, tables: np.ndarray, n: int) -> np.ndarray:
-    """The mixer's weights over all n word types: each task trains on about MIX_TYPES of them or more, and the weights
-    are averaged by the tasks' types. Few types are one task's."""
-    size = N_GATES * len(ORDERS)
 
+def _train(texts: DataFrame, tables: Tables, n: int, gates: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The mixer's weights and the map's counts over n texts (a column `word`): each task trains on about MIX_TYPES of them
+    or more; weights are averaged by the tasks' texts, counts added up. Few texts are one task's."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted(t for batch in batches for t in _encoded(batch.column(0)))
-        if texts:
-            weights = train_mixer(tables, texts).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array([len(texts)], pa.int64()), pa.array([weights.tolist()], pa.list_(pa.float64()))],
-                                             names=["n", "w"])
-
-    trained = types.select("word").coalesce(max(1, n // MIX_TYPES)).mapInArrow(run, "n long, w array<double>")
-    each = lambda k: F.sum(F.col("n") * F.get("w", F.lit(k))) / F.sum("n")
-    row = trained.agg(*(each(k) for k in range(size))).first()
-    return train_mixer(tables, []) if row[0] is None else np.array(row, float).reshape(N_GATES, len(ORDERS))
-
-
-def _gate(text: Column, gates: list[str]) -> Column:
-    """The number of the gate word that comes first in a text; -1 without one."""
-    if not gates:
-        return F.lit(-1)
-    found = F.regexp_extract(ascii_lower(text), r"(?<![^\x20\x09-\x0D])(" + "|".join(map(re.escape, gates)) + r")(?![^\x20\x09-\x0D])", 1)
-    return F.array_position(F.array(*map(F.lit, gates)), found).cast("int") - 1
-
-
-class Counts:
-    """Sums over the training texts: tokens, types, documents, and the same by gate; the discount of a seen word."""
-
-    def __init__(self, n: int, v: int, docs: int, gates: list[tuple[int, int, int]], discount: float):
-        self.n, self.v, self.docs, self.gates, self.discount = n, v, docs, gates, discount
-
-    def logs(self, c: np.ndarray, by_gate: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 chance of words in each gate (columns) and in all texts (last column)."""
-        tiny, d = 10.0 ** np.clip(spelled, -300, 0), self.discount
-        every = (np.maximum(c - d, 0) + d * self.v * tiny) / self.n if self.n else tiny
-        columns = [(np.maximum(by_gate[:, g] - d, 0) + d * v * every) / n if n else every
-                   for g, (n, v, _) in enumerate(self.gates)]
-        # a spelling below the least double keeps its own exponent
-        low = np.log10(np.maximum(d * self.v / self.n if self.n else 1.0, 1e-300))
-        whole_ = np.where((c <= 0) & (spelled < -290), spelled + low, np.log10(np.maximum(every, 1e-300)))
-        out = [np.where((c <= 0) & (spelled < -290), whole_ + (np.log10(d * v / n) if n and v else 0.0), np.log10(np.maximum(x, 1e-300)))
-               for x, (n, v, _) in zip(columns, self.gates)]
-        return np.stack([*out, whole_], 1)
-
-    def prior(self) -> np.ndarray:
-        """log10 of each gate's share of the training texts, one added to each."""
-        shares = np.array([x[2] + 1.0 for x in self.gates] + [self.docs - sum(x[2] for x in self.gates) + 1.0])
-        return np.log10(shares / shares.sum())
+        training, read, held, size = Training(tables, gates), 0, [], 0
+        for batch in batches:
+            for cell in batch.column(0).to_pylist():
+                held.append(running(cell)[:-1] if isinstance(cell, bytes) else cell.encode("utf-8", "surrogatepass"))
+                size += len(held[-1])
+                if size > SORTED:  # the order is the texts' as far as memory allows
+                    training.read(sorted(held))
+                    read, held, size = read + len(held), [], 0
+        training.read(sorted(held))
+        read += len(held)
+        if read:
+            values = np.concatenate([training.weights.reshape(-1).astype(float) * read, training.counts.reshape(-1), [read]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["i", "x"])
+
+    trained = texts.select("word").coalesce(max(1, n // MIX_TYPES)).mapInArrow(run, "i int, x double")
+    rows = trained.groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # as many as the model has numbers
+    start = Training(tables)
+    if not rows.num_rows:
+        return start.weights.astype(float), start.counts
+    values = rows.column("x").to_numpy()[np.argsort(rows.column("i").to_numpy())]
+    size = start.weights.size
+    return (values[:size] / values[-1]).reshape(start.weights.shape), values[size:-1].reshape(start.counts.shape)
+
+
+def _mixer(types: DataFrame, tables: np.ndarray | Tables, n: int) -> np.ndarray:
+    """The mixer's weights alone, without gate words."""
+    return _train(types, Tables.of(tables), n, ())[0]
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,82 +366,48 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     score (log10 chance of the text) and bits_per_byte (by the text's UTF-8 bytes; null for an empty text).
 
     Learns from all rows that aren't held out; a null id isn't. Null and empty texts are an end alone. Rows that repeat
-    count and are scored each. With no training text, words have their spelling's chance alone. No rows give no rows.
+    count and are scored each. With no training text, each bit is as likely as not. No rows give no rows.
     """
     base = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"), (share(F.col(id_col), 5) == 1).alias("out"))
-    train = base.where("NOT out")
-    gates = _gate_words(train)
-    gated = base.select(tokens(F.col("text")).alias("words"), "out",
-                        F.when(~F.col("out"), _gate(F.col("text"), gates)).otherwise(-1).alias("g"))
-    flagged = gated.select(F.explode("words").alias("word"), "out", "g")
-    vocabulary = flagged.groupBy("word").agg(
-        F.sum(F.when(F.col("out"), 0).otherwise(1)).alias("c"),
-        *(F.sum(F.when(F.col("g") == g, 1).otherwise(0)).alias(f"c{g}") for g in range(len(gates)))).persist(StorageLevel.DISK_ONLY)
-    columns = [f"c{g}" for g in range(len(gates))]
+    train = base.where("NOT out").select(F.col("text").cast("binary").alias("word"))
+    flagged = base.select(F.explode(tokens(F.col("text"))).alias("word"), "out")
+    vocabulary = flagged.groupBy("word").agg(F.sum(F.when(F.col("out"), 0).otherwise(1)).alias("c")).persist(StorageLevel.DISK_ONLY)
     try:
-        ends = {r["g"]: r["n"] for r in train.select(_gate(F.col("text"), gates).alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}
-        sums = vocabulary.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ["c", *columns]),
-                              *(F.sum(F.when(F.col(x) > 0, 1).otherwise(0)).alias(f"v_{x}") for x in ["c", *columns]),
-                              F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("once"),
-                              F.sum(F.when(F.col("c") == 2, 1).otherwise(0)).alias("twice")).first()
-        train_docs = sum(ends.values())
-        once, twice = sums["once"] or 0, sums["twice"] or 0
-        counts = Counts(sums["c"] + train_docs, (sums["v_c"] or 0) + (train_docs > 0), train_docs,
-                        [(sums[x] + ends.get(g, 0), (sums[f"v_{x}"] or 0) + (ends.get(g, 0) > 0), ends.get(g, 0)) for g, x in enumerate(columns)],
-                        once / (once + 2 * twice) if once and twice else 0.5)
-        tables = _fill(vocabulary)
-        types = vocabulary.where("c > 0")
-        weights = _mixer(types, tables, counts.v)
-        scored = _spelled(vocabulary, tables, weights, columns).persist(StorageLevel.DISK_ONLY)
-        try:
-            return _scored(base, scored, counts, ends, spell(tables, weights, [b""])[0], columns, id_col)
-        finally:
-            scored.unpersist()
+        train_docs = train.count()
+        sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+        n, v = sums["n"] + train_docs, sums["v"] + (train_docs > 0)
+        gates = tuple(word_hash(w.encode()) for w in _frequent(vocabulary))
+        tables = _fill(train, gates, n)
+        weights, counts = _train(train, tables, train_docs, gates)
+
+        def chances(batch: pa.RecordBatch) -> np.ndarray:
+            return spell(Tables(chance, chance), weights, [running(t) for t in batch.column("text").to_pylist()], counts, gates)
+
+        chance = tables.chance
+        return _scored(base, vocabulary.select(F.xxhash64("word").alias("h"), "c"), n, v, train_docs, chances, id_col)
     finally:
         vocabulary.unpersist()
 
 
-def _spelled(vocabulary: DataFrame, tables: np.ndarray, weights: np.ndarray, columns: list[str]) -> DataFrame:
-    """(h, c, c0 ..., s): the hash of each word, its counts and the log10 chance of its spelling."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = spell(tables, weights, _encoded(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s)], names=["h", "c", *columns, "s"])
-
-    return vocabulary.select("word", F.xxhash64("word").alias("h"), "c", *columns).mapInArrow(
-        run, ", ".join(f"{x} long" for x in ["h", "c", *columns]) + ", s double")
-
-
-def _scored(base: DataFrame, scored: DataFrame, counts: Counts, ends: dict, end_spelled: float, columns: list[str], id_col: str) -> DataFrame:
-    k = len(columns)
-    names = [f"l{g}" for g in range(k + 1)]
-    floor = counts.n + 0.5 * (counts.v + 1)
-
-    def measures(c, by_gate, s):
-        """A row for each word: the base log10, whether it is known, and the log10 chances."""
-        return np.concatenate([np.log10((c + 0.5) / floor)[:, None], (c > 0)[:, None], counts.logs(c, by_gate, s)], 1)
-
-    top = scored.orderBy(F.desc("c"), "h").limit(LEXICON).toArrow()
-    matrix = lambda t: np.stack([t.column(x).to_numpy(zero_copy_only=False).astype(float) for x in columns], 1) if columns else np.zeros((t.num_rows, 0))
-    plain = lambda t, x: t.column(x).to_numpy(zero_copy_only=False)
-    keys = plain(top, "h").astype(np.int64)
-    lexicon = measures(plain(top, "c").astype(float), matrix(top), plain(top, "s"))
+def _scored(base: DataFrame, known: DataFrame, n: int, v: int, train_docs: int, chances, id_col: str) -> DataFrame:
+    """The base's columns by a lexicon of the frequent words, and by a join for the others; chances gives the scores."""
+    floor = n + 0.5 * (v + 1)
+    measures = lambda c: np.stack([np.log10((c + 0.5) / floor), c > 0], 1)
+    top = known.orderBy(F.desc("c"), "h").limit(LEXICON).toArrow()
+    keys = top.column("h").to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.argsort(keys)
-    keys, lexicon = keys[order], np.concatenate([lexicon[order], np.zeros((1, k + 3))])
-    end = measures(np.array([float(counts.docs)]), np.array([[float(ends.get(g, 0)) for g in range(k)]]), np.array([end_spelled]))[0]
-    sums = ["b", "known", *names]
+    lexicon = np.concatenate([measures(top.column("c").to_numpy(zero_copy_only=False).astype(float)[order]), np.zeros((1, 2))])
+    keys, end = keys[order], measures(np.array([float(train_docs)]))[0]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
-            ends_ = lists.offsets.to_numpy()
-            h = lists.values.to_numpy(zero_copy_only=False)[ends_[0]:ends_[-1]]
-            ends_ = ends_ - ends_[0]
-            total = np.zeros((batch.num_rows, k + 3))
-            tails = np.zeros(len(h), bool)
-            sizes = np.diff(ends_)
+            lists = batch.column("h")
+            ends = lists.offsets.to_numpy()
+            h = lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]]
+            ends = ends - ends[0]
+            total, tails, sizes = np.zeros((batch.num_rows, 2)), np.zeros(len(h), bool), np.diff(ends)
             for a in range(0, batch.num_rows, 512):  # few texts at a time, so that memory stays bounded
-                lo, hi = ends_[a], ends_[min(a + 512, batch.num_rows)]
+                lo, hi = ends[a], ends[min(a + 512, batch.num_rows)]
                 if lo == hi:
                     continue
                 part = h[lo:hi]
@@ -283,36 +416,27 @@ def _scored(base: DataFrame, scored: DataFrame, counts: Counts, ends: dict, end_
                 at[missing] = len(keys)
                 tails[lo:hi] = missing
                 full = a + np.flatnonzero(sizes[a:a + 512])
-                total[full] = np.add.reduceat(lexicon[at], ends_[:-1][full] - lo, axis=0)
-            cum = np.concatenate(([0], np.cumsum(tails)))[ends_].astype(np.int32)
+                total[full] = np.add.reduceat(lexicon[at], ends[:-1][full] - lo, axis=0)
+            cum = np.concatenate(([0], np.cumsum(tails)))[ends].astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(cum), pa.array(h[tails]))
             total += end
+            bits = pc.binary_length(batch.column("text")).cast(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(sizes.astype(np.int64) + 1), rest, *(pa.array(total[:, j]) for j in range(k + 3))],
-                names=["row", "id", "out", "bytes", "n_tokens", "rest", *sums])
+                [*batch.columns[:3], bits, pa.array(sizes.astype(np.int64) + 1), rest, pa.array(total[:, 0]), pa.array(total[:, 1]), pa.array(chances(batch))],
+                names=["row", "id", "out", "bytes", "n_tokens", "rest", "b", "known", "score"])
 
     id_type = base.schema["id"].dataType.simpleString()
-    hashed = base.select(F.monotonically_increasing_id().alias("row"), "id", "out", F.octet_length("text").alias("bytes"),
+    hashed = base.select(F.monotonically_increasing_id().alias("row"), "id", "out", F.col("text").cast("binary").alias("text"),
                          F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    first = saved(hashed.mapInArrow(look_up, f"row long, id {id_type}, out boolean, bytes int, n_tokens long, rest array<long>, "
-                                    + ", ".join(f"{x} double" for x in sums)))
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = measures(plain(batch, "c").astype(float), matrix(batch), plain(batch, "s"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[:, j]) for j in range(k + 3))], names=["h", *sums])
+    first = saved(hashed.mapInArrow(look_up, f"row long, id {id_type}, out boolean, bytes int, n_tokens long, rest array<long>, b double, known double, score double"))
 
-    rated = scored.mapInArrow(rate, "h long, " + ", ".join(f"{x} double" for x in sums))
+    c = F.col("c").cast("double")
+    rated = known.select("h", F.log10((c + 0.5) / floor).alias("b"), (c > 0).cast("double").alias("known"))
     tail = first.select("row", F.explode("rest").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
-    more = tail.join(rated, "h").groupBy(F.col("row").alias("r")).agg(*(F.sum(F.col(x) * F.col("times")).alias(f"m_{x}") for x in sums))
+    more = tail.join(rated, "h").groupBy(F.col("row").alias("r")).agg(*(F.sum(F.col(x) * F.col("times")).alias(f"m_{x}") for x in ("b", "known")))
     met = first.join(more, F.col("row") == F.col("r"), "left")
-    full = {x: F.col(x) + F.coalesce(f"m_{x}", F.lit(0.0)) for x in sums}
-    chances = [full[x] + F.lit(float(p)) for x, p in zip(names, counts.prior())]
-    top_ = F.greatest(*chances) if len(chances) > 1 else chances[0]
-    mixed = met.select(
-        F.col("id").alias(id_col), F.col("out").alias("held_out"), "n_tokens", F.round(full["known"]).cast("long").alias("n_known"),
-        F.lit(counts.n).cast("long").alias("train_tokens"), full["b"].alias("base_score"), F.array(*chances).alias("chances"), top_.alias("top"), "bytes")
-    score = F.col("top") + F.log10(F.aggregate("chances", F.lit(0.0), lambda s, x: s + F.pow(F.lit(10.0), x - F.col("top"))))
+    full = {x: F.col(x) + F.coalesce(f"m_{x}", F.lit(0.0)) for x in ("b", "known")}
     bits = F.when(F.col("bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("bytes"))
-    out = mixed.withColumn("score", score).withColumn("bits_per_byte", bits).drop("chances", "top", "bytes")
-    return saved(out)
+    return saved(met.select(
+        F.col("id").alias(id_col), F.col("out").alias("held_out"), "n_tokens", F.round(full["known"]).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"), full["b"].alias("base_score"), "score", bits.alias("bits_per_byte")))
