@@ -46,7 +46,7 @@ def _insights() -> str:
     return " UNION ALL ".join(parts)
 
 
-add("insights", lambda t: g.insights(t.sales).filter("kind <> 'extreme'")
+add("insights", lambda t: g.insights(t.sales, keep=True).filter("kind <> 'extreme'")
     .select("kind", "subject", F.explode("metrics").alias("metric", "value")), _insights())
 add("insights_extremes", lambda t: g.insights(t.orders).filter("kind = 'extreme'")
     .select("kind", "subject", F.explode("metrics").alias("metric", "value")),

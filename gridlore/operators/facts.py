@@ -8,7 +8,9 @@ hash are five at least, and a sketch tells which text columns could be different
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +27,8 @@ from gridlore.functions.shapes import COLUMNS_PER_SCAN, long_numbers, named, uni
 
 __all__ = ["TableFacts", "repeated_rows"]
 
-# Error of the sketch of different texts; modes named.
-SKETCH_ERROR, NAMED_MODES = 0.02, 5
+# Error of the sketch of different texts; modes named; repeated digests that may be broadcast (16 bytes each).
+SKETCH_ERROR, NAMED_MODES, BROADCAST_DIGESTS = 0.02, 5, 300_000
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
@@ -36,6 +38,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same as a columnar table, of which later scans read only their columns; types are those that Parquet holds."""
+    use_checkpoint_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def quartile_facts(df: DataFrame, names: list[str], finite: bool) -> DataFrame:
     """Per number column: n, quartiles, fences, values outside them (0 when the IQR is 0) and the outermost inside."""
     values = long_numbers(df, names)
@@ -77,15 +87,27 @@ def repeated_rows(df: DataFrame) -> DataFrame:
 
     Two 64-bit digests of every row are counted; only rows whose digest occurs again are compared whole.
     """
+    marked = _digested(df)
+    return _compared(marked, _again(marked))
+
+
+def _digested(df: DataFrame) -> DataFrame:
     clean = without_nan(df)
     plain = [col(n) + F.lit(0.0) if is_floating(f.dataType) else col(n) for n, f in zip(clean.columns, clean.schema)]
     # a missing value leaves a hash as it is: which are missing is hashed as well
     gaps = F.concat(F.lit(""), *[F.when(col(n).isNull(), "1").otherwise("0") for n in clean.columns])
     keys = [F.xxhash64(*plain, gaps).alias("__digest_a"), F.xxhash64(F.lit(7919), gaps, *reversed(plain)).alias("__digest_b")]
-    marked = clean.select("*", *keys)
-    again = marked.groupBy("__digest_a", "__digest_b").agg(F.count(F.lit(1)).alias("__times")).filter("__times > 1").drop("__times")
-    whole = marked.join(again, ["__digest_a", "__digest_b"], "left_semi")
-    return whole.groupBy(*[col(n) for n in clean.columns]).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    return clean.select("*", *keys)
+
+
+def _again(marked: DataFrame) -> DataFrame:
+    """The digests that occur more than once."""
+    return marked.groupBy("__digest_a", "__digest_b").agg(F.count(F.lit(1)).alias("__times")).filter("__times > 1").drop("__times")
+
+
+def _compared(marked: DataFrame, again: DataFrame) -> DataFrame:
+    whole = marked.join(again, ["__digest_a", "__digest_b"], "left_semi").drop("__digest_a", "__digest_b")
+    return whole.groupBy(*[col(n) for n in whole.columns]).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
 
 
 def group_facts(df: DataFrame, keys: list[str], m: str) -> DataFrame:
@@ -110,6 +132,7 @@ class TableFacts:
 
     def __init__(self, df: DataFrame):
         self.df, self.spark = df, df.sparkSession
+        self._of_some: dict[tuple, DataFrame] = {}
         self.numbers, self.texts, self.times = numeric_columns(df), text_columns(df), time_columns(df)
 
     # --- one row per column, from one scan --------------------------------------------------------------------
@@ -208,7 +231,22 @@ class TableFacts:
     def frequencies(self) -> DataFrame:
         """Per column with values: unique_values, filled, top_frequency, top_value, n_modes, and `modes`, the first
         NAMED_MODES of them."""
-        freq = value_frequencies(self.df, self.df.columns)
+        return self._frequencies(self.df.columns)
+
+    def frequencies_of(self, names: list[str]) -> DataFrame:
+        """The same of some columns: the values of no other are counted, unless all have been."""
+        if "frequencies" in self.__dict__:
+            return self.frequencies.filter(F.col("column").isin(names))
+        return self._kept_of("frequencies", names, self._frequencies)
+
+    def _kept_of(self, part: str, names: list[str], make: Callable[[list[str]], DataFrame]) -> DataFrame:
+        key = (part, *names)
+        if key not in self._of_some:
+            self._of_some[key] = make(names)
+        return self._of_some[key]
+
+    def _frequencies(self, names: list[str]) -> DataFrame:
+        freq = value_frequencies(self.df, names)
         facts = frequency_facts(freq)
         # as many modes as are named, per column; the limit is applied before the shuffle as well
         place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
@@ -229,6 +267,13 @@ class TableFacts:
         """Quartiles, fences and outliers of all number columns with values."""
         return self._quartiles([n for n in self.numbers if self.known[n]["count"]], False)
 
+    def quartiles_of(self, names: list[str]) -> DataFrame:
+        """The same of some number columns: the others aren't read for it, unless all have been."""
+        if "quartiles" in self.__dict__:
+            return self.quartiles.filter(F.col("column").isin(names))
+        filled = [n for n in names if n in self.numbers and self.known[n]["count"]]
+        return self._kept_of("quartiles", filled, lambda some: self._quartiles(some, False))
+
     @cached_property
     def finite_quartiles(self) -> DataFrame:
         """The same over finite values: only columns that hold an infinite one are read again."""
@@ -247,7 +292,13 @@ class TableFacts:
         """How many rows repeat an earlier one."""
         if not self.size:
             return 0
-        return repeated_rows(self.df).agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))).first()[0]
+        marked = _digested(self.df)
+        again = kept(_again(marked))
+        times = again.count()
+        if not times:  # no digest occurs again: the rows needn't be read and moved to be compared
+            return 0
+        again = F.broadcast(again) if times <= BROADCAST_DIGESTS else again
+        return _compared(marked, again).agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0))).first()[0]
 
     @property
     def missing_cells(self) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridlore.functions.columns import col, percent
 from gridlore.functions.shapes import union_all
 from gridlore.operators.charts import histogram
-from gridlore.operators.facts import TableFacts, day_facts, group_facts, kept
+from gridlore.operators.facts import TableFacts, day_facts, group_facts, kept, stored
 from gridlore.operators.profile import (
     QUARTILES, _pairwise, extreme_examples, extremes_of_periods, periods_of_days, shape_word, shares_of_groups, strength_of, top_values,
 )
@@ -72,7 +72,7 @@ class ReportFacts(TableFacts):
 
     def of_measure(self, name: str) -> DataFrame:
         """One row: a measure's moments with its quartiles and outliers."""
-        q = self.quartiles.drop("n")
+        q = self.quartiles_of([name]).drop("n")
         return self.columns.filter(F.col("column") == name).join(F.broadcast(q), "column")
 
     def at(self, name: str) -> Column:
@@ -80,8 +80,8 @@ class ReportFacts(TableFacts):
         return F.array_position(F.array(*[F.lit(n) for n in self.df.columns]), F.col(name))
 
 
-def _facts(df: DataFrame, roles: Roles | None, facts: ReportFacts | None) -> ReportFacts:
-    return facts or ReportFacts(df, roles)
+def _facts(df: DataFrame, roles: Roles | None, facts: ReportFacts | None, keep: bool = False) -> ReportFacts:
+    return facts or ReportFacts(stored(df) if keep else df, roles)
 
 
 def _spans(facts: ReportFacts) -> DataFrame:
@@ -94,7 +94,7 @@ def _spans(facts: ReportFacts) -> DataFrame:
 def _modes(facts: ReportFacts, names: list[str]) -> DataFrame:
     """Distinct values, the first modes, their number, frequency and share per column."""
     text = F.concat(F.array_join("modes", ", "), F.when(F.col("n_modes") > F.size("modes"), "...").otherwise(""))
-    return facts.frequencies.filter(F.col("column").isin(names)).select(
+    return facts.frequencies_of(names).select(
         "column", "unique_values", text.alias("top"), "n_modes", F.col("top_frequency").alias("frequency"),
         percent(F.col("top_frequency"), F.col("filled")).alias("share"))
 
@@ -103,10 +103,12 @@ def _first_days(facts: ReportFacts) -> DataFrame:
     return facts.days.filter(F.col("column") == facts.roles.dates[0]).select("day", "value")
 
 
-def insights(df: DataFrame, roles: Roles | None = None, facts: ReportFacts | None = None, categories: int | None = None) -> DataFrame:
+def insights(df: DataFrame, roles: Roles | None = None, facts: ReportFacts | None = None, categories: int | None = None,
+             keep: bool = False) -> DataFrame:
     """Verified insights as rows: what they are about and their figures as a map. categories: how many categorical columns
-    are told of, by their place; all by default."""
-    facts = _facts(df, roles, facts)
+    are told of, by their place; all by default. With keep the input is written to the checkpoint folder first: worth it
+    when it comes from joins, which would be made again for each of the facts."""
+    facts = _facts(df, roles, facts, keep)
     roles = facts.roles
     primary, secondary = roles.primary, roles.secondary
     frames = []
@@ -198,9 +200,9 @@ def recommendations(df: DataFrame, roles: Roles | None = None, facts: ReportFact
     return found.unionByName(fallback).orderBy("priority")
 
 
-def executive_summary(df: DataFrame, roles: Roles | None = None, facts: ReportFacts | None = None) -> DataFrame:
-    """One row: size, roles, gaps, the primary measure's range and its leading category."""
-    facts = _facts(df, roles, facts)
+def executive_summary(df: DataFrame, roles: Roles | None = None, facts: ReportFacts | None = None, keep: bool = False) -> DataFrame:
+    """One row: size, roles, gaps, the primary measure's range and its leading category. keep: as for insights."""
+    facts = _facts(df, roles, facts, keep)
     roles = facts.roles
     out = facts.summary.select(
         "rows", "columns", F.lit(len(roles.numeric)).alias("numeric"),
@@ -209,7 +211,7 @@ def executive_summary(df: DataFrame, roles: Roles | None = None, facts: ReportFa
     )
     if not roles.primary:
         return out
-    of = facts.columns.filter(F.col("column") == roles.primary).join(F.broadcast(facts.quartiles.select("column", "median")), "column", "left")
+    of = facts.columns.filter(F.col("column") == roles.primary).join(F.broadcast(facts.quartiles_of([roles.primary]).select("column", "median")), "column", "left")
     out = out.crossJoin(of.select(F.lit(roles.primary).alias("primary"), "mean", "median", "min", "max"))  # one row each
     if not roles.categorical:
         return out
@@ -239,6 +241,7 @@ def report_tables(df: DataFrame, roles: Roles | None = None, groups: int = 10, v
     facts = ReportFacts(df, roles)
     roles = facts.roles
     primary = roles.primary
+    facts.quartiles  # of all columns, before a section asks for one  # noqa: B018
     number = F.col("column").isin(roles.numeric)
     tables = {
         "overview": executive_summary(df, facts=facts),

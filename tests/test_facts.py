@@ -115,3 +115,46 @@ def test_caps_are_arguments(spark, trips):
     tied = spark.createDataFrame([(f"v{k}",) for k in range(7)], "v string")
     assert g.categorical_summary(tied, ["v"]).first()["top"].endswith("...")
     assert g.categorical_summary(tied, ["v"], named_modes=None).first()["top"].count("v") == 7
+
+
+def test_insights_count_the_values_of_categories_alone(trips, monkeypatch):
+    from gridlore.operators import facts
+
+    asked, plain = [], facts.value_frequencies
+    monkeypatch.setattr(facts, "value_frequencies", lambda df, names: asked.extend(names) or plain(df, names))
+    roles = g.roles_of(trips)
+    g.insights(trips, roles).collect()
+    assert set(asked) == set(roles.categorical) and len(asked) == len(roles.categorical)
+
+
+def test_a_summary_reads_one_number_column_for_its_median(trips, monkeypatch):
+    from gridlore.operators import facts
+
+    asked, plain = [], facts.quartile_facts
+    monkeypatch.setattr(facts, "quartile_facts", lambda df, names, finite: asked.append(names) or plain(df, names, finite))
+    roles = g.roles_of(trips)
+    g.executive_summary(trips, roles).collect()
+    assert asked == [[roles.primary]]
+
+
+def test_a_kept_input_is_read_once(spark, trips):
+    roles = g.roles_of(trips)
+    for f in (g.insights, g.executive_summary):
+        df, reads = counted(spark, trips)
+        got = f(df, roles, keep=True)
+        assert differences(got.withColumn("metrics", F.to_json("metrics")).toPandas() if "metrics" in got.columns else got.toPandas(),
+                           f(trips, roles).withColumn("metrics", F.to_json("metrics")).toPandas() if "metrics" in got.columns else f(trips, roles).toPandas()) is None
+        assert reads() == 1
+
+
+@pytest.mark.parametrize("broadcast", [0, 300_000])
+def test_repeated_rows_are_counted_either_way(spark, trips, monkeypatch, broadcast):
+    from gridlore.operators import facts
+
+    monkeypatch.setattr(facts, "BROADCAST_DIGESTS", broadcast)
+    df, reads = counted(spark, trips)
+    assert TableFacts(trips.union(trips.limit(7)).union(trips.limit(7))).duplicate_rows == 14
+    of = TableFacts(df)
+    of.columns
+    before = reads()
+    assert of.duplicate_rows == 0 and reads() - before == 1  # nothing repeats, so nothing is read again to be compared
