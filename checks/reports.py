@@ -71,7 +71,7 @@ add("recommendations", lambda t: g.recommendations(t.dirty),
         UNION ALL SELECT 4, 'monitor segments', 'amount_text', 'net_revenue'
         UNION ALL SELECT 5, 'track over time', 'net_revenue', 'month'
         UNION ALL (SELECT 6, 'explore correlation', p, format('{{:.3f}}', r) FROM ({_PAIRS}) AS u ORDER BY abs(r) DESC LIMIT 1)""")
-add("executive_summary", lambda t: g.executive_summary(t.sales),
+add("executive_summary", lambda t: g.executive_summary(t.sales, keep=True),
     """SELECT count(*) AS rows, 9 AS columns, 4 AS numeric, 4 AS categorical, 1 AS dates, 0 AS missing_cells,
          count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM sales) AS d) AS duplicate_rows, 'revenue' AS "primary",
          avg(revenue) AS mean, quantile_cont(revenue, 0.5) AS median, min(revenue) AS min, max(revenue) AS max,
