@@ -19,6 +19,7 @@ ship(__name__)
 WORD = re.compile(r"[^\W\d_]+")
 # Learnt from about PER_LANGUAGE documents of each language; the tables keep the most frequent words and n-grams.
 PER_LANGUAGE, WORDS, GRAMS, LONGEST = 4_000, 50_000, 20_000, 4
+SIZES = range(LONGEST, 0, -1)
 # An unseen word counts for less than a known one, and each step to a shorter n-gram costs a little more.
 UNSEEN, STEP = 0.3, 0.4
 # At most so many words' worth of evidence go into the score, so that long texts don't all score 1. Each task keeps what
@@ -32,19 +33,21 @@ class Model:
     def __init__(self, languages: list[str], known: dict[str, list[float]], grams: list[dict[str, list[float]]]):
         self.languages, self.known, self.grams = languages, known, grams
         self.seen: dict[str, list[float]] = {}
+        # the same n-grams in one table, each times the weight of its length
+        self.weighted = {g: [STEP ** (LONGEST - size) * x for x in v] for size, table in enumerate(grams, 1) for g, v in table.items() if len(g) == size}
 
     def _unseen(self, word: str) -> list[float]:
         """The mean over the word's places of the longest n-gram known there, times the weight of an unseen word."""
-        padded, total, n = f"<{word}>", [0.0] * len(self.languages), 0
+        padded, get, found = f"<{word}>", self.weighted.get, []
         for i in range(len(padded)):
-            for size in range(LONGEST, 0, -1):
-                v = self.grams[size - 1].get(padded[i:i + size])
+            for size in SIZES:
+                v = get(padded[i:i + size])
                 if v is not None:
-                    weight = STEP ** (LONGEST - size)
-                    total = [t + weight * x for t, x in zip(total, v)]
+                    found.append(v)
                     break
-            n += 1
-        return [UNSEEN * t / n for t in total]
+        if not found:
+            return [0.0] * len(self.languages)
+        return [UNSEEN * t / len(padded) for t in map(sum, zip(*found))]
 
     def of(self, word: str) -> list[float]:
         v = self.known.get(word)
@@ -63,11 +66,9 @@ class Model:
         counts = Counter(WORD.findall(text.lower())) if text else {}
         if not counts or not self.languages or not any(c.isalpha() for w in counts for c in w):
             return "und", 0.0
-        total, n = [0.0] * len(self.languages), 0
-        for w, k in counts.items():
-            n += k
-            for j, x in enumerate(self.of(w)):
-                total[j] += k * x
+        times = list(counts.values())
+        n = sum(times)
+        total = [math.sumprod(times, x) for x in zip(*map(self.of, counts))]
         scale = min(1.0, EVIDENCE / n)
         top = max(total)
         odds = [math.exp((t - top) * scale) for t in total]
