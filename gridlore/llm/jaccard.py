@@ -4,18 +4,20 @@
 2. Sets that may link share a key: hash space is cut into more segments than two linking sets can differ in, so one
    segment holds the same shingles in both (an exact pigeonhole, no cap and no chance). Nodes that share a key are tied
    to the least of them: as many ties as members, never all pairs.
-3. Ties are verified on the sets: one for each node first, then those between components that are still apart and whose
-   bitmaps don't rule them out. Most groups of copies are settled by that.
+3. Ties that the sets' bitmaps rule out are no links. The others are verified on the sets: one for each node first, then
+   those between components that are still apart. Most groups of copies are settled by that.
 4. Ties that fail leave blocks of several components open. Inside them, and only between different components, two
    signature trees are walked together: nodes hold OR-combined bitmaps and size ranges and are left as soon as the
-   largest possible overlap is too small. Blocks are cut into parts of bounded size, by size and by hash.
+   largest possible overlap is too small. Blocks are cut into parts of bounded size, by size and by hash. They are walked
+   on the bitmaps first; only the sets of nodes that may have a partner are dealt and compared.
+Sets are made from the texts where they are needed, and moved only for nodes that may have a link.
 Hashes are 64-bit; that two shingles or sets share one is left to chance.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,8 @@ WIDTH, PERCENT = 4, 85
 # Nodes, and bytes of their sets, that one task compares with as many others; rows that may be broadcast (24 bytes
 # each); pairs of tree nodes that are tried at once; members of a hot centre that one task verifies; edges in one task.
 PART, PART_BYTES, BROADCAST_ROWS, AT_ONCE, PER_SALT, EDGES = 20_000, 24_000_000, 300_000, 200_000, 512, 250_000
+# Words that are made into sets at once, keys that are tied at once, and nodes or digests that a task remembers.
+WORDS, KEYS, REMEMBERED = 250_000, 500_000, 300_000
 BITS, FAN = 4096, 8
 # Sizes of neighbouring classes and bands differ by these factors, or by more where linking sets may (see _factor).
 CLASS, BAND = 1.4, 1.2
@@ -76,6 +80,16 @@ def shingle_sets(lists: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def _portions(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists in column k hold WORDS items or are a single one, so that what is made of them at once
+    stays small however long the texts are."""
+    ends, start = batch.column(k).offsets.to_numpy(), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + WORDS, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _factor(least: float, percent: int) -> float:
     """least, or what the sizes of linking sets may differ by (100/percent) and a margin for rounding, so that linking
     sets lie in the same class or in neighbouring ones."""
@@ -122,10 +136,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(2), width)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_digest(s) for s in sets], pa.int64())], names=["id", "uid", "n", "node"])
+            for part in _portions(batch, 2):
+                sets = shingle_sets(part.column(2), width)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([_digest(s) for s in sets], pa.int64())], names=["id", "uid", "n", "node"])
 
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(F.col(text_col))).alias("uid"),
                        hashed_words(F.col(text_col)).alias("h")).mapInArrow(run, f"id {id_type}, uid long, n long, node long")
@@ -143,27 +158,33 @@ def _star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _ties(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """Different pairs (a, b) of nodes that share a key, each with the least node of its key; tied inside each batch
-    first, so that of a hot key one row of each batch is shuffled. Keys are made on the way to the shuffle and written
-    nowhere else; a tie found inside a batch takes the same way, as a key of its own that its two nodes share."""
+    """Different pairs (a, b) of nodes that share a key, each with the least node of its key; KEYS of them are tied inside
+    a task first, so that of a hot key one row of each KEYS is shuffled. Keys are made on the way to the shuffle and
+    written nowhere else; a tie found inside a task takes the same way, as a key of its own that its two nodes share."""
+    def tied(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        k, c, a, b = _star(np.concatenate(keys), np.repeat(np.array(nodes, np.int64), [len(x) for x in keys]))
+        with np.errstate(over="ignore"):
+            own = _mix(_mix(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, own, own])), pa.array(np.concatenate([c, a, b]))], names=["a", "b"])
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emitted: set[int] = set()
+        keys, nodes, held = [], [], 0
         for batch in batches:
-            keys, nodes = [], []
-            for s in shingle_sets(batch.column(0), width):
-                node = _digest(s)
-                if node is not None and node not in emitted:
-                    keys.append(segment_keys(s, percent))
-                    nodes.append(node)
-                    if len(emitted) < 1_000_000:
-                        emitted.add(node)
-            if not keys:
-                continue
-            k, c, a, b = _star(np.concatenate(keys), np.repeat(np.array(nodes, np.int64), [len(x) for x in keys]))
-            with np.errstate(over="ignore"):
-                own = _mix(_mix(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, own, own])), pa.array(np.concatenate([c, a, b]))],
-                                             names=["a", "b"])
+            for part in _portions(batch, 0):
+                for s in shingle_sets(part.column(0), width):
+                    node = _digest(s)
+                    if node is not None and node not in emitted:
+                        keys.append(segment_keys(s, percent))
+                        nodes.append(node)
+                        held += len(keys[-1])
+                        if len(emitted) < REMEMBERED:
+                            emitted.add(node)
+                    if held >= KEYS:
+                        yield tied(keys, nodes)
+                        keys, nodes, held = [], [], 0
+        if keys:
+            yield tied(keys, nodes)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_centre = None, None
@@ -239,10 +260,40 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(node, s): the sorted set, as bytes, of one document for each node of wanted (node, id, uid). Sets are dealt anew
-    only where rows repeat id and text."""
-    n = wanted.count()
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """BITS bits, those that a set's shingles fall on."""
+    bits = np.zeros(BITS, bool)
+    bits[(s >> np.uint64(13)) & np.uint64(BITS - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _bitmaps(cells) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.uint64).reshape(-1, BITS // 64)
+
+
+def _written(sets: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array([s.tobytes() for s in sets], pa.binary())]
+
+
+def _signs(sets: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())]
+
+
+def _signed(sets: DataFrame) -> DataFrame:
+    """(node, n, bits) of sets (node, s)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_signs(own)], names=["node", "n", "bits"])
+
+    return sets.select("node", "s").mapInArrow(run, "node long, n long, bits binary")
+
+
+def _of_nodes(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, signs: bool = False) -> DataFrame:
+    """(node, s): the sorted set, as bytes, of one document for each node of wanted (node, id, uid); or its signs (node, n,
+    bits). They are dealt anew only where rows repeat id and text."""
+    n, make = wanted.count(), _signs if signs else _written
+    names = ["node", "n", "bits"] if signs else ["node", "s"]
     wanted = wanted.select("node", "id", "uid")
     if n <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -255,13 +306,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
             fresh = []
             for node in batch.column(0).to_pylist():
                 fresh.append(node not in seen)
-                if len(seen) < 1_000_000:
+                if len(seen) < REMEMBERED:
                     seen.add(node)
-            batch = batch.filter(pa.array(fresh, pa.bool_()))
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "s"])
+            for part in _portions(batch.filter(pa.array(fresh, pa.bool_())), 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), *make(shingle_sets(part.column(1), width))], names=names)
 
-    found = saved(met.select("node", hashed_words(F.col("__text")).alias("h")).mapInArrow(run, "node long, s binary"))
+    found = saved(met.select("node", hashed_words(F.col("__text")).alias("h")).mapInArrow(
+        run, "node long, n long, bits binary" if signs else "node long, s binary"))
     return found if found.count() == n else saved(found.dropDuplicates(["node"]))
 
 
@@ -297,50 +348,32 @@ def _verified(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "late").mapInArrow(run, "a long, b long")
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """BITS bits, those that a set's shingles fall on."""
-    bits = np.zeros(BITS // 64, np.uint64)
-    at = (s >> np.uint64(13)) & np.uint64(BITS - 1)
-    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
-    return bits
-
-
 def _possible(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ties (a, b) that the sets' bitmaps don't rule out: two sets share at most the bits that both have set and the
-    shingles that fall together on bits. Bitmaps are moved in place of sets."""
-    nodes = saved(ties.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in own], pa.int64()),
-                                              pa.array([bitmap(s).tobytes() for s in own], pa.binary())], names=["node", "n", "bits"])
-
+    """The ties (a, b) that the sets' bitmaps don't rule out, with sizes na and nb: two sets share at most the bits that
+    both have set and the shingles that fall together on bits. Bitmaps are moved in place of sets. sets: (node, s), or
+    their signs (node, n, bits)."""
     def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = (batch.column(k).to_numpy() for k in (2, 4))
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (3, 5))
-            count = lambda x: np.bitwise_count(x).sum(1, dtype=np.int64)
-            most = count(a & b) + np.minimum(na - count(a), nb - count(b))
-            yield batch.select([0, 1]).filter(pa.array((100 + percent) * most >= percent * (na + nb)))
-
-    signed = saved(sets.join(few, "node").select("node", "s").mapInArrow(sign, "node long, n long, bits binary"))
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                na, nb = (part.column(k).to_numpy() for k in (2, 4))
+                a, b = (_bitmaps(part.column(k).to_pylist()) for k in (3, 5))
+                count = lambda x: np.bitwise_count(x).sum(1, dtype=np.int64)
+                most = count(a & b) + np.minimum(na - count(a), nb - count(b))
+                yield part.select([0, 1, 2, 4]).filter(pa.array((100 + percent) * most >= percent * (na + nb)))
+
+    signed = sets if "bits" in sets.columns else saved(_signed(sets))
     side = lambda x: signed.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x))
-    met = ties.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
-    return met.mapInArrow(rule_out, "a long, b long")
+    met = ties.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "bitsa", "nb", "bitsb")
+    return met.mapInArrow(rule_out, "a long, b long, na long, nb long")
 
 
 class SignatureTree:
     """Levels of nodes over sets ordered by size and bitmap: each node has the OR of its bitmaps, its least and largest
     size, the most shingles that fall together on bits in one of its sets, and its component if it has only one."""
 
-    def __init__(self, sets: list[np.ndarray], comps: np.ndarray):
-        bits = np.array([bitmap(s) for s in sets], np.uint64).reshape(len(sets), BITS // 64)
-        sizes = np.array([len(s) for s in sets])
-        self.order = np.lexsort((bits[:, 0], comps, sizes)) if len(sets) else np.array([], int)
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
+        self.order = np.lexsort((bits[:, 0], comps, sizes))
         bits, sizes, comps = bits[self.order], sizes[self.order], comps[self.order]
         spare = sizes - np.bitwise_count(bits).sum(1)
         self.levels = [(bits, sizes, sizes, spare, comps, comps)]
@@ -351,6 +384,11 @@ class SignatureTree:
             self.levels.append((bits, np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts),
                                 np.maximum.reduceat(spare, starts), np.minimum.reduceat(c0, starts), np.maximum.reduceat(c1, starts)))
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray], comps: np.ndarray) -> SignatureTree:
+        bits = np.array([bitmap(s) for s in sets], np.uint64).reshape(len(sets), BITS // 64)
+        return cls(bits, np.array([len(s) for s in sets], np.int64), comps)
+
     def may_link(self, other: SignatureTree, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
         """Which pairs of nodes of a level can hold a link between different components."""
         a, low_a, high_a, spare_a, c0, c1 = self.levels[min(level, len(self.levels) - 1)]
@@ -365,14 +403,50 @@ class SignatureTree:
         return ok
 
 
+def _walk(ta: SignatureTree, tb: SignatureTree, percent: int, settled=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) in the trees' orders of sets whose bitmaps don't rule a link out, a few at a time; of one tree with
+    itself, each pair once. The trees are walked together from their roots. Of the pairs of a level only so many go down
+    at once as make AT_ONCE below; the others wait as they are. settled(level, i, j): pairs that need no look."""
+    depth, most = max(len(ta.levels), len(tb.levels)) - 1, max(1, AT_ONCE // FAN ** 2)
+    stack = [(depth, np.array([0]), np.array([0]), True)]
+    while stack:
+        level, i, j, fresh = stack.pop()
+        if fresh and ta is tb:
+            upper = i <= j
+            i, j = i[upper], j[upper]
+        if settled is not None:
+            left = ~settled(level, i, j)
+            i, j = i[left], j[left]
+        if fresh:
+            ok = ta.may_link(tb, level, i, j, percent)
+            i, j = i[ok], j[ok]
+        if level == 0:
+            yield i, j
+            continue
+        if len(i) > most:
+            stack.append((level, i[most:], j[most:], False))
+            i, j = i[:most], j[:most]
+        down = []
+        for tree, at in ((ta, i), (tb, j)):
+            if level > len(tree.levels) - 1:
+                down.append((at[:, None], np.ones((len(at), 1), bool)))
+            else:
+                kids = at[:, None] * FAN + np.arange(FAN)
+                down.append((kids, kids < len(tree.levels[level - 1][0])))
+        (a, oka), (b, okb) = down
+        both = oka[:, :, None] & okb[:, None, :]
+        stack.append((level - 1, np.broadcast_to(a[:, :, None], both.shape)[both], np.broadcast_to(b[:, None, :], both.shape)[both], True))
+
+
 def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, cl: np.ndarray, cr: np.ndarray | None,
                percent: int) -> list[tuple[int, int]]:
-    """Links between components, enough of them to join all that are linked: both trees are walked together from their
-    roots, and pairs of sets whose components have met already aren't compared. right None: left with itself."""
-    ta = SignatureTree(left, cl)
-    tb, sets_b, cb = (ta, left, cl) if right is None else (SignatureTree(right, cr), right, cr)
+    """Links between components, enough of them to join all that are linked: both trees are walked together, and pairs of
+    sets whose components have met already aren't compared. right None: left with itself."""
+    sets_b, cb = (left, cl) if right is None else (right, cr)
     if not len(left) or not len(sets_b):
         return []
+    ta = SignatureTree.of(left, cl)
+    tb = ta if right is None else SignatureTree.of(right, cr)
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -382,37 +456,51 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, cl: np.nd
         return x
 
     out = []
-    depth = max(len(ta.levels), len(tb.levels)) - 1
-    stack = [(depth, np.array([0]), np.array([0]))]
-    while stack:
-        level, i, j = stack.pop()
-        ok = ta.may_link(tb, level, i, j, percent)
-        if right is None:
-            ok &= i <= j
-        i, j = i[ok], j[ok]
-        if level == 0:
-            for x, y in zip(ta.order[i], tb.order[j]):
-                p, q = root(int(cl[x])), root(int(cb[y]))
-                if p != q and linked(left[x], sets_b[y], percent):
-                    parent[p] = q
-                    out.append((int(cl[x]), int(cb[y])))
-            continue
-        down = []
-        for tree, at in ((ta, i), (tb, j)):
-            if level > len(tree.levels) - 1:
-                down.append((at[:, None], np.ones((len(at), 1), bool)))
-            else:
-                kids = at[:, None] * FAN + np.arange(FAN)
-                down.append((kids, kids < len(tree.levels[level - 1][0])))
-        (a, oka), (b, okb) = down
-        step = max(1, AT_ONCE // (a.shape[1] * b.shape[1]))
-        for x in range(0, len(i), step):
-            s = slice(x, x + step)
-            both = oka[s][:, :, None] & okb[s][:, None, :]
-            stack.append((level - 1, np.broadcast_to(a[s][:, :, None], both.shape)[both], np.broadcast_to(b[s][:, None, :], both.shape)[both]))
+    for i, j in _walk(ta, tb, percent):
+        for x, y in zip(ta.order[i], tb.order[j]):
+            p, q = root(int(cl[x])), root(int(cb[y]))
+            if p != q and linked(left[x], sets_b[y], percent):
+                parent[p] = q
+                out.append((int(cl[x]), int(cb[y])))
     return out
 
 
+class _Found:
+    """Which nodes of a tree have a possible partner, for its leaves and, at each level, whether all below it have."""
+
+    def __init__(self, tree: SignatureTree):
+        self.levels = [np.zeros(len(level[0]), bool) for level in tree.levels]
+
+    def add(self, at: np.ndarray) -> None:
+        self.levels[0][at] = True
+        for k in range(1, len(self.levels)):
+            self.levels[k] = np.logical_and.reduceat(self.levels[k - 1], np.arange(0, len(self.levels[k - 1]), FAN))
+
+    def at(self, level: int, i: np.ndarray) -> np.ndarray:
+        return self.levels[min(level, len(self.levels) - 1)][i]
+
+
+def tree_partners(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of each side (bitmaps, sizes, components) may link with one of the other side in another component, by
+    bitmaps alone; pairs of which both are known to aren't looked at. right None: left with itself."""
+    if not len(left[1]) or right is not None and not len(right[1]):
+        return np.zeros(len(left[1]), bool), np.zeros(0 if right is None else len(right[1]), bool)
+    ta = SignatureTree(*left)
+    tb = ta if right is None else SignatureTree(*right)
+    fa = _Found(ta)
+    fb = fa if right is None else _Found(tb)
+    for i, j in _walk(ta, tb, percent, lambda level, i, j: fa.at(level, i) & fb.at(level, j)):
+        if len(i):
+            fa.add(i)
+            fb.add(j)
+    out = []
+    for tree, found in ((ta, fa), (tb, fb)):
+        own = np.zeros(len(tree.order), bool)
+        own[tree.order] = found.levels[0]
+        out.append(own)
+    return out[0], out[1]
+
+
 def _apart(ties: DataFrame, roots: DataFrame) -> DataFrame:
     """The ties (a, b) whose ends lie in different components."""
     named = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias("r" + side))
@@ -420,9 +508,9 @@ def _apart(ties: DataFrame, roots: DataFrame) -> DataFrame:
     return met.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) between components that verified ties don't join; None if no tie is left open.
-    sizes: (node, n) of the sets. Where a set has to go is found by ids and sizes alone."""
+def _open(ties: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame | None:
+    """(node, n, comp, block) of the nodes in blocks that ties hold together though verified ones don't, where a block has
+    all nodes of its components; None if no tie is left open. sizes: (node, n) of the sets."""
     named = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias("r" + side))
     root = lambda side: F.coalesce("r" + side, side)
     left = saved(ties.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
@@ -431,15 +519,22 @@ def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataF
         return None
     blocks = components(left)
     nodes = sizes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"))
-    nodes = nodes.join(blocks.select(F.col("node").alias("comp"), F.col("root").alias("block")), "comp")
+    return saved(nodes.join(blocks.select(F.col("node").alias("comp"), F.col("root").alias("block")), "comp").select(
+        "node", "n", "comp", "block"))
+
+
+def _dealt(nodes: DataFrame, held: DataFrame, weight: Column, percent: int):
+    """The rows of held for nodes (node, n, comp, block), grouped by what one task compares: a part of a block's band of
+    size with itself (p is -1 - q), or two parts (sides 0 and 1). weight: bytes of a row. Where a row has to go is found
+    by ids and sizes alone."""
     # bands of size: linking sets lie in the same band or in neighbouring ones
     nodes = saved(nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(_factor(BAND, percent)))).cast("int")))
     # a block that one task can hold is one band of its own, to which each set goes once
-    whole = saved(nodes.groupBy("block").agg(((F.count("*") <= PART) & (F.sum("n") * 8 <= PART_BYTES)).alias("whole")).where("whole"))
+    whole = saved(nodes.groupBy("block").agg(((F.count("*") <= PART) & (F.sum(weight) <= PART_BYTES)).alias("whole")).where("whole"))
     nodes = nodes.join(F.broadcast(whole) if whole.count() <= BROADCAST_ROWS else whole, "block", "left").withColumn(
         "band", F.when(F.col("whole"), -1).otherwise(F.col("band"))).drop("whole")
     parts = nodes.groupBy("block", "band").agg(
-        (F.greatest(F.count("*") / PART, F.sum("n") * 8 / PART_BYTES) + 1).cast("int").alias("parts"))
+        (F.greatest(F.count("*") / PART, F.sum(weight) / PART_BYTES) + 1).cast("int").alias("parts"))
     near = parts.select("block", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     below = parts.select("block", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
     plan = parts.join(near, ["block", "band"], "left").join(below, ["block", "band"], "left")
@@ -457,21 +552,59 @@ def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataF
     up = F.when(F.col("above").isNotNull(), F.transform(upto(F.col("above")), lambda q: turn(band, part, q, 0))).otherwise(none)
     down = F.when(F.col("below").isNotNull(), F.transform(upto(F.col("below")), lambda p: turn(band - 1, p, part, 1))).otherwise(none)
     turns = own.select("node", "block", "comp", F.concat(same, up, down).alias("turns"))
-    dealt = sets.join(turns, "node").select("block", "comp", "s", F.explode("turns").alias("t")).select("block", "comp", "s", "t.*")
+    dealt = held.join(turns, "node").withColumn("t", F.explode("turns")).select("block", "comp", *held.columns, "t.*")
+    return dealt.groupBy("block", "band", "p", "q")
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame | None] | None:
+    """What a group of `_dealt` compares: two parts, one with itself, or nothing if a part met none."""
+    left, right = (pdf[pdf["side"] == k] for k in (0, 1))
+    if len(right):
+        return left, right
+    return (left, None) if pdf["p"].iloc[0] == -1 - pdf["q"].iloc[0] else None
+
+
+def _partners(nodes: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The nodes that may link with one of their block in another component, by their bitmaps alone."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = np.array([], np.int64)
+        if (sides := _sides(pdf)) is not None:
+            left, right = sides
+            held = lambda x: (_bitmaps(x["bits"]), x["n"].to_numpy(np.int64), x["comp"].to_numpy(np.int64))
+            a, b = tree_partners(held(left), None if right is None else held(right), percent)
+            found = left["node"].to_numpy(np.int64)[a]
+            if right is not None:
+                found = np.concatenate([found, right["node"].to_numpy(np.int64)[b]])
+        return pd.DataFrame({"node": found})
+
+    return _dealt(nodes, signed, F.lit(BITS // 8 + 32), percent).applyInPandas(run, "node long").distinct()
+
+
+def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame],
+                percent: int, signed: DataFrame | None = None) -> DataFrame | None:
+    """Links (a, b) between components that verified ties don't join; None if no tie is left open or none may link.
+    sizes: (node, n) of the sets; sets: (node, s), or what makes them for some nodes; signed: (node, n, bits). Blocks are
+    walked on the bitmaps first, then those nodes compare their sets that may have a partner."""
+    nodes = _open(ties, roots, sizes)
+    if nodes is None:
+        return None
+    signed = saved(_signed(sets)) if signed is None else signed
+    wanted = saved(_partners(nodes, signed, percent))
+    if not wanted.head(1):
+        return None
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    sets = sets(wanted) if callable(sets) else sets
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [pdf[pdf["side"] == k] for k in (0, 1)]
-        sets_ = [[np.frombuffer(x, np.uint64) for x in side["s"]] for side in sides]
-        comps = [side["comp"].to_numpy(np.int64) for side in sides]
-        if len(sides[1]):
-            found = tree_links(sets_[0], sets_[1], comps[0], comps[1], percent)
-        elif pdf["p"].iloc[0] == -1 - pdf["q"].iloc[0]:
-            found = tree_links(sets_[0], None, comps[0], None, percent)
-        else:
-            found = []
+        found = []
+        if (sides := _sides(pdf)) is not None:
+            read = lambda x: [np.frombuffer(s, np.uint64) for s in x["s"]]
+            left, right = sides
+            comps = left["comp"].to_numpy(np.int64), None if right is None else right["comp"].to_numpy(np.int64)
+            found = tree_links(read(left), None if right is None else read(right), *comps, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("block", "band", "p", "q").applyInPandas(run, "a long, b long")
+    return _dealt(nodes.join(few, "node"), sets, F.col("n") * 8, percent).applyInPandas(run, "a long, b long")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -483,21 +616,27 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         wanted = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         first = saved(rows.join(wanted, "node").groupBy("node").agg(
             F.min(F.struct("id", "uid")).alias("f"), F.min("n").alias("n")).select("node", "f.*", "n"))
-        sets = _sets(docs, first, id_col, text_col, width)
-        # a tie of sizes too far apart is no link; its sets needn't meet
+        signed = _of_nodes(docs, first, id_col, text_col, width, signs=True)
+
+        def sets(wanted: DataFrame) -> DataFrame:
+            return _of_nodes(docs, saved(first.join(wanted, "node")), id_col, text_col, width)
+
+        # a tie of sizes too far apart is no link; its bitmaps needn't meet
         sized = lambda side: first.select(F.col("node").alias(side), F.col("n").alias("n" + side))
         alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        near = saved(ties.join(sized("a"), "a").join(sized("b"), "b").where(alike))
-        # first one tie for each node, that of the nearest sizes; then those whose ends still lie in different components
-        chosen = near.groupBy("b").agg(F.min_by("a", F.struct(F.abs(F.col("na") - F.col("nb")), "a")).alias("a")).select("a", "b")
-        links = saved(_verified(chosen, sets, percent))
-        roots = saved(components(links))
-        rest = saved(_apart(near.select("a", "b"), roots).join(chosen, ["a", "b"], "left_anti"))
-        rest = saved(_possible(rest, sets, percent)) if rest.head(1) else rest
-        if rest.head(1):
-            links = links.union(saved(_verified(rest, sets, percent)))
+        near = saved(_possible(ties.join(sized("a"), "a").join(sized("b"), "b").where(alike), signed, percent))
+        links = near.select("a", "b").limit(0)
+        if near.head(1):
+            tied = sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+            # first one tie for each node, that of the nearest sizes; then those whose ends still lie in different components
+            chosen = near.groupBy("b").agg(F.min_by("a", F.struct(F.abs(F.col("na") - F.col("nb")), "a")).alias("a")).select("a", "b")
+            links = saved(_verified(chosen, tied, percent))
             roots = saved(components(links))
-        more = _open_links(ties, roots, first.select("node", "n"), sets, percent)
+            rest = saved(_apart(near.select("a", "b"), roots).join(chosen, ["a", "b"], "left_anti"))
+            if rest.head(1):
+                links = links.union(saved(_verified(rest, tied, percent)))
+        roots = saved(components(links))
+        more = _open_links(ties, roots, first.select("node", "n"), sets, percent, signed)
         if more is not None:
             found = saved(more)
             if found.head(1):
