@@ -26,8 +26,8 @@ from gridlore.llm.text import ship, whole
 
 ship(__name__)
 
-# Pieces and words, each, that a task remembers, and how long one may be; code points of the texts that are encoded together.
-REMEMBERED, SHORT, TOGETHER = 200_000, 64, 1_000_000
+# Pieces, words and fragments, each, that a task remembers, and how long one may be; code points of the texts that are encoded together.
+REMEMBERED, SHORT, TOGETHER = 300_000, 64, 1_000_000
 # Signs that stand for bytes lie below this code point.
 SIGNS = 512
 # Unicode's white space, and the signs that only str.split() takes for it.
@@ -89,6 +89,8 @@ class Encoder:
         self.plain = _plain(spec)
         self.known: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        # the ids of fragments inside a word, and of those that end one: many words share them
+        self.parts: tuple[dict[str, list[int]], ...] = ({}, {})
 
     def cut(self, piece: str) -> list[str]:
         """The words of a piece, in the signs that stand for bytes."""
@@ -143,7 +145,12 @@ class Encoder:
             return []
         out, own = [], []
         for fragment, ends in zip(*(x if isinstance(x, list) else x.tolist() for x in self.fragments(words))):
-            own += self.merge(fragment, ends)
+            ids = self.parts[ends].get(fragment)
+            if ids is None:
+                ids = self.merge(fragment, ends)
+                if len(fragment) <= SHORT:
+                    self.parts[ends][fragment] = ids
+            own += ids
             if ends:
                 out.append(tuple(own))
                 own = []
@@ -151,7 +158,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of texts that are encoded together: pieces and words that aren't remembered are encoded once."""
-        for known in (self.known, self.pieces):
+        for known in (self.known, self.pieces, *self.parts):
             if len(known) >= REMEMBERED:
                 known.clear()
         pieces, fresh, plans = self.pieces, {}, []
@@ -163,7 +170,7 @@ class Encoder:
                 else:
                     # a blank composes with nothing, so what lies between blanks may be normalised by itself
                     own = part.split() if not _NO_BLANKS.search(part) else [x for x in _BLANKS.split(part) if x]
-                    fresh.update((p, None) for p in own if p not in pieces)
+                    fresh.update(dict.fromkeys(set(own).difference(pieces)))
                     plan.append(own)
             plans.append(plan)
         for p in fresh:
@@ -176,6 +183,7 @@ class Encoder:
                 ids += self.known[w] if w in self.known else found[w]
             fresh[p] = ids
         self.known.update((w, ids) for w, ids in found.items() if len(w) <= SHORT)
+        pieces.update(fresh)
         out = []
         for plan in plans:
             ids: list[int] = []
@@ -183,10 +191,11 @@ class Encoder:
                 if isinstance(part, int):
                     ids.append(part)
                 else:
-                    for p in part:
-                        ids += pieces[p] if p in pieces else fresh[p]
+                    ids.extend(chain.from_iterable(map(pieces.__getitem__, part)))
             out.append(ids)
-        pieces.update((p, ids) for p, ids in fresh.items() if len(p) <= SHORT)
+        for p in fresh:
+            if len(p) > SHORT:
+                del pieces[p]
         return out
 
     def encode(self, text: str) -> list[int]:
