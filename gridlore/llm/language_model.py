@@ -151,7 +151,7 @@ class Tables:
     """What the slots say, a row for 16: the stretched chance of a one in steps of 1 / SCALE, and the same once a zero or a one
     is taken out (for texts that the counts hold). In place of the slot for no bit: how often, up to 3 times, a row was met."""
 
-    def __init__(self, chance: np.ndarray, without: np.ndarray):
+    def __init__(self, chance: np.ndarray | None, without: np.ndarray):
         self.chance, self.without = chance, without
 
     @classmethod
@@ -288,6 +288,18 @@ def _count(counts: np.ndarray, texts: list[bytes], gates: tuple[int, ...]) -> No
             np.add.at(flat, (row * 16 + half).reshape(-1), one)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts by their lowest bytes, then by the next ones, as many as the largest needs: most counts need one."""
+    size = max(1, -(-int(counts.max()).bit_length() // 8))
+    return counts.astype("<i4").view(np.uint8).reshape(-1, 4).T[:size].tobytes()
+
+
+def unpacked(cell: bytes) -> np.ndarray:
+    """The BLOCK counts that were packed."""
+    planes = np.frombuffer(cell, np.uint8).reshape(-1, BLOCK).astype(np.int64)
+    return sum(plane << (8 * k) for k, plane in enumerate(planes))
+
+
 def _fill(train: DataFrame, gates: tuple[int, ...], n: int) -> Tables:
     """The tables over the texts (a binary column `word`) of n training tokens. Each task counts into rows of a fixed number
     and gives them as blocks; blocks are added up, and made into chances, by their number."""
@@ -301,11 +313,11 @@ def _fill(train: DataFrame, gates: tuple[int, ...], n: int) -> Tables:
         used = np.flatnonzero(blocks.any(1))
         for a in range(0, len(used), 64):
             part = used[a:a + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([blocks[b].tobytes() for b in part], pa.binary())],
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([packed(blocks[b]) for b in part], pa.binary())],
                                              names=["block", "counts"])
 
     def add(key: tuple, found: pa.Table) -> pa.Table:
-        both = sum(np.frombuffer(c.as_py(), np.int32).astype(np.int64) for c in found.column("counts"))
+        both = sum(unpacked(c.as_py()) for c in found.column("counts"))
         made = [pa.array([x.tobytes()], pa.binary()) for x in _chances(*_by_slot(both.reshape(-1, 16)))]
         return pa.table([pa.array([key[0].as_py()], pa.int32()), *made], names=["block", "chance", "without"])
 
@@ -331,6 +343,8 @@ def _frequent(counts: DataFrame) -> list[str]:
 def _train(texts: DataFrame, tables: Tables, n: int, gates: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """The mixer's weights and the map's counts over n texts (a column `word`): each task trains on about MIX_TYPES of them
     or more; weights are averaged by the tasks' texts, counts added up. Few texts are one task's."""
+    tables = Tables(None, tables.without)  # the other half is as large and needn't be sent
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         training, read, held, size = Training(tables, gates), 0, [], 0
         for batch in batches:
