@@ -14,6 +14,7 @@ A text's gate word is the first of the GATES most frequent words that it holds,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,12 @@ N_GATES = 1 << len(GATING)
 # Bytes that are predicted together, bytes after which a long text's contexts begin anew, counts that are added up together,
 # bytes of texts sorted together, steps of a stretched chance, and classes of the map.
 STEP, PIECE, BLOCK, SORTED, SCALE, CLASSES = 4_096, 65_536, 4_096, 64_000_000, 16, 25
+# Bytes whose contexts are hashed together, and halves of bytes whose rows are looked up together: they change no result.
+TOGETHER, WINDOW = 32_768, 16384
 
-_BYTE = np.arange(256)
-_VALUE = ((_BYTE[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
-_SIGN = (1 - 2 * _VALUE).astype(np.float32)
-_SO_FAR = np.stack([(256 | _BYTE) >> (8 - k) for k in range(8)], 1).astype(np.int64)  # the bits of the byte so far, behind a 1
-_IN_HALF = np.stack([((16 | h) >> (4 - k)) for h in (_BYTE >> 4, _BYTE & 15) for k in range(4)], 1).astype(np.int64)
+# By bit and half: how far a bit stands from its byte's end.
+_SHIFT = np.array([[[7 - j], [3 - j]] for j in range(4)], np.uint8)
+_MASKS = np.array([(1 << (8 * j)) - 1 for j in range(BYTES[-1] + 1)], np.uint64)
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
@@ -57,9 +58,12 @@ def running(text: bytes) -> bytes:
     return b"".join(w + b" " for w in text.lower().split())
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * _ODD
-    return (x ^ (x >> np.uint64(31))) * _ODD2
+def _mix(x: np.ndarray, shifted: np.ndarray | None = None) -> np.ndarray:
+    """x itself, mixed in place."""
+    x *= _ODD
+    x ^= np.right_shift(x, np.uint64(31), out=shifted)
+    x *= _ODD2
+    return x
 
 
 def _powers(x: np.uint64, n: int) -> np.ndarray:
@@ -68,6 +72,26 @@ def _powers(x: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+class Room:
+    """Arrays that are filled anew for each group of texts: fresh memory for each costs more than the sums do."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype: type) -> np.ndarray:
+        size, found = prod(shape), self.kept.get(name)
+        if found is None or len(found) < size:
+            found = self.kept[name] = np.empty(size + size // 4, dtype)
+        return found[:size].reshape(shape)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first n powers of the words' factor and of its inverse."""
+        if len(self.up) < n:
+            self.up, self.down = _powers(_ODD, n + n // 4), _powers(_INVERSE, n + n // 4)
+        return self.up[:n], self.down[:n]
+
+
 def word_hash(word: bytes) -> int:
     """What `Bits` names a word by, its blank left out."""
     with np.errstate(over="ignore"):
@@ -76,75 +100,103 @@ def word_hash(word: bytes) -> int:
 
 class Bits:
     """The bits of texts laid end to end, each closed by a blank: their values and a slot for each context. A context's 16
-    slots for half a byte lie together as a row; the first of them stands for no bit. gates: hashes of the gate words.
-    closed: the blank is there already."""
+    slots for half a byte lie together as a row; the first of them stands for no bit. Arrays over halves hold all upper halves,
+    then all lower ones; those over bits a line for each of a half's four. gates: hashes of the gate words. closed: the blank
+    is there already. room: where the arrays lie until the next texts take their place."""
 
-    def __init__(self, texts: list[bytes], gates: tuple[int, ...] = (), closed: bool = False):
+    def __init__(self, texts: list[bytes], gates: tuple[int, ...] = (), closed: bool = False, room: Room | None = None):
         texts = texts if closed else [t + b" " for t in texts]
-        lengths = np.array([len(t) for t in texts], np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        lengths, joined = np.array([len(t) for t in texts], np.int64), b"".join(texts)
+        data, self.room = np.frombuffer(joined, np.uint8), room or Room()
         n, self.starts = len(data), np.cumsum(lengths) - lengths
-        text = np.repeat(np.arange(len(texts)), lengths)
-        place = np.arange(n) - self.starts[text]
+        # the 8 bytes before each byte as one number, the last of them lowest; none from before its text
+        back = np.ndarray(n, ">u8", bytes(8) + joined, 0, (1,)).astype(np.uint64)
+        near = np.arange(BYTES[-1])
+        early = near < lengths[:, None]
+        back[(self.starts[:, None] + near)[early]] &= _MASKS[np.broadcast_to(near, early.shape)[early]]
         wide = data.astype(np.uint64)
-        self.row = np.empty((len(ORDERS), n, 2), np.int64)
+        context, lines = self.room("context", (len(ORDERS), n), np.uint64), len(BYTES)
+        rows = self.room("rows", (len(ORDERS), 2, n), np.uint64)
         with np.errstate(over="ignore"):
-            high = ((wide >> np.uint64(4)) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-            x = np.zeros(n, np.uint64)
-            for j in range(1, BYTES[-1] + 1):
-                back = np.zeros(n, np.uint64)
-                back[j:] = wide[:max(n - j, 0)]
-                back[place < j] = 0
-                x |= back << np.uint64(8 * (j - 1))
-                if j in BYTES:
-                    self._put(BYTES.index(j), _mixed(x + np.uint64(1)), high)
-            so_far, word, at, text_of = self._words(wide, text, place)
-            ends = np.append(at[1:], n) - 1
-            full = so_far[ends]
+            for k, j in enumerate(BYTES):
+                np.bitwise_and(back, _MASKS[j], out=context[k])
+            full, at, sizes = self._words(wide, data, context[lines])
+            text_of = np.searchsorted(self.starts, at, "right") - 1
             before = np.zeros(len(at), np.uint64)
             before[1:] = np.where(text_of[1:] == text_of[:-1], full[:-1] + np.uint64(1), 0)
-            start = _mixed(so_far + np.uint64(1))
-            self._put(len(BYTES), start + _mixed(self._gates(full, text_of, len(texts), gates))[word], high)
-            self._put(len(BYTES) + 1, start + _mixed(before + np.uint64(99))[word], high)
-        self.data = data
-
-    def _put(self, k: int, context: np.ndarray, high: np.ndarray) -> None:
-        shift = np.uint64(68 - ORDERS[k])
-        for half, x in enumerate((context, (context + high) * _ODD)):
-            self.row[k, :, half] = (x >> shift) + np.uint64(STARTS[k] >> 4)
+            context[:lines + 1] += np.uint64(1)
+            _mix(context[:lines + 1], self.room("shifted", (lines + 1, n), np.uint64))
+            np.add(context[lines], np.repeat(_mix(before + np.uint64(99)), sizes), out=context[lines + 1])
+            context[lines] += np.repeat(_mix(self._gates(full, text_of, len(texts), gates)), sizes)
+            self._put(rows[:, 0], context)
+            wide >>= np.uint64(4)
+            wide += np.uint64(1)
+            wide *= np.uint64(0xD6E8FEB86659FD93)
+            context += wide
+            context *= _ODD
+            self._put(rows[:, 1], context)
+        self.rows, self.data = rows.view(np.int64).reshape(len(ORDERS), -1), data
+        self.bit = data >> _SHIFT & 1
+        # the bits before a bit, behind a 1, in its half and in its byte
+        self.half = np.stack([data >> 4, data & 15])
+        self.in_half = (self.half | np.uint8(16)) >> np.arange(4, 0, -1, dtype=np.uint8)[:, None, None]
+        self.so_far = self.in_half.astype(np.uint16)
+        self.so_far[:, 1] = (data.astype(np.uint16) | 256) >> np.arange(4, 0, -1, dtype=np.uint16)[:, None]
 
     @staticmethod
-    def _words(wide: np.ndarray, text: np.ndarray, place: np.ndarray):
-        """For each byte the hash of its word before it and the word's number; for each word its first byte and its text."""
-        first = place == 0
-        first[1:] |= wide[:-1] == 32
-        at, word = np.flatnonzero(first), np.cumsum(first) - 1
-        terms = (wide + np.uint64(1)) * _powers(_ODD, len(wide))
-        upto = np.cumsum(terms) - terms
-        return (upto - upto[at][word]) * _powers(_INVERSE, len(wide))[at][word], word, at, text[at]
+    def _put(rows: np.ndarray, context: np.ndarray) -> None:
+        for k, order in enumerate(ORDERS):
+            np.right_shift(context[k], np.uint64(68 - order), out=rows[k])
+            rows[k] += np.uint64(STARTS[k] >> 4)
 
     @staticmethod
     def _gates(full: np.ndarray, text_of: np.ndarray, n: int, gates: tuple[int, ...]) -> np.ndarray:
         """For each word the gate word that comes first in its text, if it stands before; else 0."""
-        hit = np.flatnonzero(np.isin(full, np.array(gates, np.uint64)))
-        who, i = np.unique(text_of[hit], return_index=True)
+        hit = np.flatnonzero((full == np.array(gates, np.uint64)[:, None]).any(0))[::-1]
         first, which = np.full(n, len(full)), np.zeros(n, np.uint64)
-        first[who], which[who] = hit[i], full[hit[i]]
+        first[text_of[hit]], which[text_of[hit]] = hit, full[hit]  # of a text's hits the first is put last
         return np.where(np.arange(len(full)) > first[text_of], which[text_of], np.uint64(0))
 
+    def _words(self, wide: np.ndarray, data: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Puts into out, for each byte, the hash of its word before it; for each word its hash, first byte and bytes."""
+        first = np.empty(len(data), bool)
+        np.equal(data[:-1], 32, out=first[1:])
+        first[self.starts] = True
+        at = np.flatnonzero(first)
+        sizes = np.diff(at, append=len(data))
+        up, down = self.room.powers(len(data))
+        terms = wide + np.uint64(1)
+        terms *= up
+        upto = np.cumsum(terms)
+        upto -= terms
+        upto -= np.repeat(upto[at], sizes)
+        np.multiply(upto, np.repeat(down[at], sizes), out=out)
+        return out[at + sizes - 1], at, sizes
+
+    def inside(self, values: int, few: slice) -> np.ndarray:
+        """Where each bit's entry lies in the rows of these halves for one context, laid end to end, with that many entries for
+        a slot: one, or one for each value of the bit."""
+        at = self.in_half.reshape(4, -1)[:, few]
+        if values == 2:
+            at = at * np.uint8(2) + self.bit.reshape(4, -1)[:, few]
+        return np.add(np.arange(at.shape[1]) * (16 * values), at, out=self.room("inside", at.shape, np.int64))
+
+    def in_order(self, x: np.ndarray) -> np.ndarray:
+        """What lies over bits, in their order."""
+        return x.reshape(4, 2, -1).transpose(2, 1, 0).reshape(-1)
+
+    @property
+    def row(self) -> np.ndarray:
+        """Rows by context, byte and half."""
+        return self.rows.reshape(len(ORDERS), 2, -1).transpose(0, 2, 1)
+
     @property
     def value(self) -> np.ndarray:
-        return _VALUE[self.data].reshape(-1)
+        return self.in_order(self.bit).astype(np.int64)
 
     @property
     def slots(self) -> np.ndarray:
-        return (self.row[:, :, :, None] * 16 + _IN_HALF[self.data].reshape(-1, 2, 4)).reshape(len(ORDERS), -1)
-
-    def inside(self, values: int) -> np.ndarray:
-        """Where each bit's entry lies in the rows of one context, laid end to end, with that many entries for a slot: one,
-        or one for each value of the bit."""
-        at = (_IN_HALF * values + (_VALUE if values == 2 else 0))[self.data].reshape(-1, 4)
-        return at + (np.arange(len(at)) * 16 * values)[:, None]
+        return np.stack([self.in_order(row * 16 + self.in_half.reshape(4, -1)) for row in self.rows])
 
 
 class Tables:
@@ -184,24 +236,41 @@ def _by_slot(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n, n1
 
 
-def _looked_up(table: np.ndarray, bits: Bits, least: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per context its entry for each bit, and for each half byte which of the long contexts were met that often."""
-    inside, out, gate = bits.inside(table.shape[1] // 16), [], 0
-    for k, row in enumerate(bits.row):
-        found = np.take(table, row.reshape(-1), axis=0)
-        if k in GATING:
-            gate = gate + ((found[:, 0] >= least).astype(np.int64) << GATING.index(k))
-        out.append(np.take(found.reshape(-1), inside))
-    return out, gate
-
-
-def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Neighbouring texts of STEP bytes or more."""
+def _looked_up(table: np.ndarray, bits: Bits, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per context its entry for each bit, by bit of a half, half and byte; and for each half byte which of the long contexts
+    were met that often."""
+    halves, width = bits.rows.shape[1], table.shape[1]
+    met = bits.room("met", (len(GATING), halves), np.int8)
+    out = bits.room("entries", (len(bits.rows), 4, halves), np.int8)
+    for a in range(0, halves, WINDOW):
+        few = slice(a, min(a + WINDOW, halves))
+        inside = bits.inside(width // 16, few)
+        found, own = bits.room("found", (inside.shape[1], width), np.int8), bits.room("own", inside.shape, np.int8)
+        for k, row in enumerate(bits.rows):
+            table.take(row[few], axis=0, out=found, mode="clip")
+            if k in GATING:
+                met[GATING.index(k), few] = found[:, 0]
+            out[k, :, few] = found.reshape(-1).take(inside, out=own, mode="clip")
+    gate = (met >= least).view(np.uint8) << np.arange(len(GATING), dtype=np.uint8)[:, None]
+    return out.reshape(len(out), 4, 2, -1), gate.sum(0, dtype=np.intp).reshape(2, -1)
+
+
+def _mixed(weights: np.ndarray, gate: np.ndarray, found: np.ndarray, room: Room) -> np.ndarray:
+    """The weighted sums of what was found, weights by gate, within 12 of 0."""
+    dot, part = room("dot", found.shape[1:], np.float32), room("part", found.shape[1:], np.float32)
+    dot.fill(0)
+    for w, x in zip(np.ascontiguousarray(weights.T), found):
+        dot += np.multiply(w.take(gate, mode="clip"), x, out=part)
+    return np.clip(dot, -12, 12, out=dot)
+
+
+def _groups(texts: list[bytes], least: int = STEP) -> Iterator[list[bytes]]:
+    """Neighbouring texts of that many bytes or more."""
     group, size = [], 0
     for t in texts:
         group.append(t)
         size += len(t)
-        if size >= STEP:
+        if size >= least:
             yield group
             group, size = [], 0
     if group:
@@ -220,26 +289,49 @@ class Training:
 
     def __init__(self, tables: np.ndarray | Tables, gates: tuple[int, ...] = ()):
         self.tables, self.gates, self.steps = Tables.of(tables), gates, 0
-        self.weights = np.full((N_GATES, len(ORDERS)), 0.25, np.float32)
+        self.weights, self.room = np.full((N_GATES, len(ORDERS)), 0.25, np.float32), Room()
         self.counts = np.zeros((2, 256 * CLASSES))
 
     def read(self, texts: list[bytes]) -> None:
+        held, size = [], 0
         for group in _groups([p for t in texts for p in _pieces(t)]):
-            bits = Bits(group, self.gates, True)
-            found, gate = _looked_up(self.tables.without, bits, 3)
-            xs = [x * np.float32(1 / SCALE) for x in found]
-            dot = sum(w[:, None] * x for w, x in zip(self.weights[gate].T, xs)).reshape(-1)
-            np.clip(dot, -12, 12, out=dot)
-            value = bits.value
-            error = (value.astype(np.float32) - 1 / (1 + np.exp(-dot))).reshape(-1, 4)
-            many = np.maximum(np.bincount(gate, minlength=N_GATES) * 4, 500)
-            self.steps += 1
-            rate = max(0.02, 0.5 / (1 + self.steps / 16))
-            for k, x in enumerate(xs):
-                self.weights[:, k] += rate * np.bincount(gate, np.einsum("ij,ij->i", x, error), N_GATES) / many
-            at = _SO_FAR[bits.data].reshape(-1) * CLASSES + np.rint(dot).astype(np.int64) + CLASSES // 2
-            zeros, ones = np.bincount(at * 2 + value, minlength=512 * CLASSES).reshape(-1, 2).T
-            self.counts += np.stack([zeros + ones, ones])
+            held.append(group)
+            size += sum(map(len, group))
+            if size >= TOGETHER:
+                self._steps(held)
+                held, size = [], 0
+        if held:
+            self._steps(held)
+
+    def _steps(self, groups: list[list[bytes]]) -> None:
+        """A step for each group; what they look up doesn't depend on the weights."""
+        bits = Bits([t for g in groups for t in g], self.gates, True, self.room)
+        found, gates = _looked_up(self.tables.without, bits, 3)
+        ends = np.cumsum([sum(map(len, g)) for g in groups])
+        for a, b in zip([0, *ends], ends):
+            self._step(found[..., a:b], gates[:, a:b], bits.bit[..., a:b], bits.so_far[..., a:b])
+
+    def _step(self, found: np.ndarray, gate: np.ndarray, bit: np.ndarray, so_far: np.ndarray) -> None:
+        dot = _mixed(self.weights * np.float32(1 / SCALE), gate, found, self.room)
+        part, error = (self.room(x, dot.shape, np.float32) for x in ("part", "error"))
+        np.exp(np.negative(dot, out=error), out=error)
+        error += 1
+        np.subtract(bit, np.divide(1, error, out=error), out=error)
+        gate = gate.reshape(-1)
+        many = np.maximum(np.bincount(gate, minlength=N_GATES) * 4, 500)
+        self.steps += 1
+        rate = max(0.02, 0.5 / (1 + self.steps / 16))
+        for k, x in enumerate(found):
+            steps = np.bincount(gate, np.multiply(x, error, out=part).sum(0).reshape(-1), N_GATES)
+            self.weights[:, k] += rate / SCALE * steps / many
+        # by the bits so far, the step of the mixer's chance and the value
+        at = np.rint(dot, out=dot)
+        at += np.multiply(so_far, np.float32(CLASSES), out=part)
+        at += CLASSES // 2
+        at *= 2
+        at += bit
+        zeros, ones = np.bincount(at.reshape(-1).astype(np.intp), minlength=512 * CLASSES).reshape(-1, 2).T
+        self.counts += np.stack([zeros + ones, ones])
 
 
 def train_mixer(tables: np.ndarray | Tables, texts: list[bytes]) -> np.ndarray:
@@ -259,19 +351,38 @@ def spell(tables: np.ndarray | Tables, weights: np.ndarray, texts: list[bytes],
     if counts is not None:
         ones = (counts[1] + 8 / (1 + np.exp(-middle))) / (counts[0] + 8)
         map_ = np.log(ones / (1 - ones)).astype(np.float32)
-    costs = []
-    for group in _groups([p for parts in pieces for p in parts]):
-        bits = Bits(group, gates, True)
+        rise = np.diff(map_, append=np.float32(0))
+    costs, room = [], Room()
+    for group in _groups([p for parts in pieces for p in parts], TOGETHER):
+        bits = Bits(group, gates, True, room)
         found, gate = _looked_up(tables.chance, bits, 2)
-        dot = sum(w[:, None] * x for w, x in zip(weights[gate].T, found)).reshape(-1)
-        dot, sign = np.clip(dot, -12, 12), _SIGN[bits.data].reshape(-1)
-        chances = [dot]
-        if map_ is not None:
-            low = np.minimum(np.floor(dot), CLASSES // 2 - 1)
-            at, part = _SO_FAR[bits.data].reshape(-1) * CLASSES + low.astype(np.int64) + CLASSES // 2, dot - low
-            left = map_[at]
-            chances.append((dot + left + (map_[at + 1] - left) * part) / 2)
-        costs.append(np.stack([np.add.reduceat(np.log1p(np.exp(x * sign)), bits.starts * 8, dtype=float) for x in chances]))
+        own = room("costs", (1 if map_ is None else 2, len(bits.data)), np.float64)
+        for a in range(0, len(bits.data), STEP):
+            few = slice(a, a + STEP)
+            dot = _mixed(weights, gate[:, few], found[..., few], room)
+            chances = [dot]
+            if map_ is not None:
+                low, part, refined = (room(x, dot.shape, np.float32) for x in ("low", "part", "refined"))
+                np.minimum(np.floor(dot, out=low), CLASSES // 2 - 1, out=low)
+                np.multiply(bits.so_far[..., few], np.float32(CLASSES), out=part)
+                part += CLASSES // 2
+                part += low
+                at = room("at", dot.shape, np.int64)
+                at[:] = part
+                rise.take(at, out=refined, mode="clip")
+                refined *= np.subtract(dot, low, out=low)
+                refined += dot
+                refined += map_.take(at, out=part, mode="clip")
+                refined /= 2
+                chances.append(refined)
+            sign = 1 - 2 * bits.bit[..., few].astype(np.float32)
+            for x, cost in zip(chances, own):
+                odds = room("odds", x.shape, np.float64)
+                odds[:] = np.exp(np.multiply(x, sign, out=x), out=x)
+                odds += 1
+                # a byte's cost is the log of its bits' product: one logarithm in place of eight
+                np.log(odds.prod((0, 1)), out=cost[few])
+        costs.append(np.add.reduceat(own, bits.starts, axis=1))
     if not costs:
         return np.zeros(0)
     logs = np.stack([-np.bincount(owner, c, len(texts)) for c in np.concatenate(costs, 1)])
@@ -280,12 +391,13 @@ def spell(tables: np.ndarray | Tables, weights: np.ndarray, texts: list[bytes],
 
 def _count(counts: np.ndarray, texts: list[bytes], gates: tuple[int, ...]) -> None:
     """Add to counts (row, half byte) what these running texts hold."""
-    flat, one = counts.reshape(-1), counts.dtype.type(1)
-    for group in _groups([p for t in texts for p in _pieces(t)]):
-        bits = Bits(group, gates, True)
-        half = np.stack([bits.data >> 4, bits.data & 15], 1)
-        for row in bits.row:
-            np.add.at(flat, (row * 16 + half).reshape(-1), one)
+    flat, one, room = counts.reshape(-1), counts.dtype.type(1), Room()
+    for group in _groups([p for t in texts for p in _pieces(t)], TOGETHER):
+        bits = Bits(group, gates, True, room)
+        for row in bits.rows:
+            row *= 16
+            row += bits.half.reshape(-1)
+            np.add.at(flat, row, one)
 
 
 def packed(counts: np.ndarray) -> bytes:
