@@ -13,17 +13,17 @@ A text's gate word is the first of the GATES most frequent words that it holds,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import prod
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.text import ascii_lower, saved, share, ship, whole, words
+from gridlore.llm.text import saved, share, ship, whole
 
 ship(__name__)
 
@@ -36,26 +36,34 @@ STARTS = np.concatenate(([0], np.cumsum([1 << b for b in ORDERS]))).astype(np.in
 GATING = (2, 3, 5)  # contexts that make the gate
 N_GATES = 1 << len(GATING)
 # Bytes that are predicted together, bytes after which a long text's contexts begin anew, counts that are added up together,
-# bytes of texts sorted together, steps of a stretched chance, and classes of the map.
-STEP, PIECE, BLOCK, SORTED, SCALE, CLASSES = 4_096, 65_536, 4_096, 64_000_000, 16, 25
-# Bytes whose contexts are hashed together, and halves of bytes whose rows are looked up together: they change no result.
-TOGETHER, WINDOW = 32_768, 16384
-
-# By bit and half: how far a bit stands from its byte's end.
+# bytes of texts sorted together and of those whose words are counted together, steps of a stretched chance, and classes of the
+# map.
+STEP, PIECE, BLOCK, SORTED, COUNTED, SCALE, CLASSES = 4_096, 65_536, 4_096, 64_000_000, 4_000_000, 16, 25
+# Bytes whose contexts are hashed together, and halves of bytes whose entries are scored together: they change no result.
+TOGETHER, WINDOW = 65_536, 8_192
+
+# By half byte the slots on the way to its bits, and its bits; by bit and half how far a bit stands from its byte's end.
+_WAY = (np.arange(16)[:, None] | 16) >> np.arange(4, 0, -1)
+_WAY_BITS = np.arange(16)[:, None] >> np.arange(3, -1, -1) & 1
 _SHIFT = np.array([[[7 - j], [3 - j]] for j in range(4)], np.uint8)
+# By what a half byte is in its byte (an upper one, or a lower one behind its upper one): its bits, and where the map's classes
+# lie that belong to the bits of the byte up to each of them, itself included.
+_BITS = np.concatenate([_WAY_BITS, np.tile(_WAY_BITS, (16, 1))]).astype(np.float32)
+_PREFIXES = np.concatenate([(np.arange(16)[:, None] | 16) >> np.arange(3, -1, -1), (np.arange(256)[:, None] | 256) >> np.arange(3, -1, -1)])
+_CLASS = (_PREFIXES * CLASSES + CLASSES // 2).astype(np.float32)
+_SIGN = 1 - 2 * _BITS
 _MASKS = np.array([(1 << (8 * j)) - 1 for j in range(BYTES[-1] + 1)], np.uint64)
+_LOWER = bytes(32 if c in b"\t\n\v\f\r" else c for c in bytes(range(256)).lower())
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
-def tokens(text: Column) -> Column:
-    """The words between blanks, A-Z lower-cased."""
-    return words(ascii_lower(whole(text)))
-
-
 def running(text: bytes) -> bytes:
     """The bytes that are predicted, but for the end."""
-    return b"".join(w + b" " for w in text.lower().split())
+    text = text.translate(_LOWER).strip(b" ")
+    if b"  " in text:
+        text = b" ".join(text.split())
+    return text + b" " if text else text
 
 
 def _mix(x: np.ndarray, shifted: np.ndarray | None = None) -> np.ndarray:
@@ -98,56 +106,90 @@ def word_hash(word: bytes) -> int:
         return int(np.sum((np.frombuffer(word, np.uint8) + np.uint64(1)) * _powers(_ODD, len(word)), dtype=np.uint64))
 
 
+def _at_blanks(run: bytes) -> Iterator[bytes]:
+    """A running text's parts of whole words, of at most PIECE bytes if no word is longer."""
+    a = 0
+    while len(run) - a > PIECE:
+        b = run.rfind(b" ", a, a + PIECE) + 1 or run.index(b" ", a + PIECE) + 1
+        yield run[a:b]
+        a = b
+    if a < len(run):
+        yield run[a:]
+
+
+def word_hashes(runs: list[bytes], room: Room) -> np.ndarray:
+    """The hash of each word of running texts, one text after the other."""
+    found = [np.zeros(0, np.uint64)]
+    for group in _groups([part for r in runs for part in _at_blanks(r)], TOGETHER):
+        data = np.frombuffer(b"".join(group), np.uint8)
+        ends = np.flatnonzero(data == 32)
+        up, down = room.powers(len(data))
+        terms = room("terms", (len(data),), np.uint64)
+        np.add(data, np.uint64(1), out=terms, dtype=np.uint64)
+        terms *= up
+        sums = np.cumsum(terms, out=terms)[ends] - np.uint64(33) * up[ends]  # each up to its word's blank, left out
+        own = sums.copy()
+        own[1:] -= sums[:-1] + np.uint64(33) * up[ends[:-1]]
+        own[1:] *= down[ends[:-1] + 1]
+        found.append(own)
+    return np.concatenate(found)
+
+
 class Bits:
     """The bits of texts laid end to end, each closed by a blank: their values and a slot for each context. A context's 16
     slots for half a byte lie together as a row; the first of them stands for no bit. Arrays over halves hold all upper halves,
-    then all lower ones; those over bits a line for each of a half's four. gates: hashes of the gate words. closed: the blank
-    is there already. room: where the arrays lie until the next texts take their place."""
+    then all lower ones. kind: what each half byte is in its byte. gates: hashes of the gate words. closed: the blank is there
+    already. room: where the arrays lie until the next texts take their place."""
 
     def __init__(self, texts: list[bytes], gates: tuple[int, ...] = (), closed: bool = False, room: Room | None = None):
         texts = texts if closed else [t + b" " for t in texts]
-        lengths, joined = np.array([len(t) for t in texts], np.int64), b"".join(texts)
-        data, self.room = np.frombuffer(joined, np.uint8), room or Room()
-        n, self.starts = len(data), np.cumsum(lengths) - lengths
+        self.lengths, self.joined = np.array([len(t) for t in texts], np.int64), b"".join(texts)
+        self.data, self.room, self.gates = np.frombuffer(self.joined, np.uint8), room or Room(), gates
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.kind = self.room("kind", (2, len(self.data)), np.intp)
+        np.right_shift(self.data, 4, out=self.kind[0])
+        np.add(self.data, 16, out=self.kind[1], dtype=np.intp)
+        self.kind = self.kind.reshape(-1)
+
+    def contexts(self) -> Iterator[np.ndarray]:
+        """By context, for each half byte, 16 times its row among the context's, plus the half byte; the next takes its place."""
+        n, lengths, room = len(self.data), self.lengths, self.room
         # the 8 bytes before each byte as one number, the last of them lowest; none from before its text
-        back = np.ndarray(n, ">u8", bytes(8) + joined, 0, (1,)).astype(np.uint64)
+        back, wide, line, spare = (room(x, (n,), np.uint64) for x in ("back", "wide", "line", "spare"))
+        back[:] = np.ndarray(n, ">u8", bytes(8) + self.joined, 0, (1,))
         near = np.arange(BYTES[-1])
         early = near < lengths[:, None]
         back[(self.starts[:, None] + near)[early]] &= _MASKS[np.broadcast_to(near, early.shape)[early]]
-        wide = data.astype(np.uint64)
-        context, lines = self.room("context", (len(ORDERS), n), np.uint64), len(BYTES)
-        rows = self.room("rows", (len(ORDERS), 2, n), np.uint64)
-        with np.errstate(over="ignore"):
-            for k, j in enumerate(BYTES):
-                np.bitwise_and(back, _MASKS[j], out=context[k])
-            full, at, sizes = self._words(wide, data, context[lines])
-            text_of = np.searchsorted(self.starts, at, "right") - 1
-            before = np.zeros(len(at), np.uint64)
-            before[1:] = np.where(text_of[1:] == text_of[:-1], full[:-1] + np.uint64(1), 0)
-            context[:lines + 1] += np.uint64(1)
-            _mix(context[:lines + 1], self.room("shifted", (lines + 1, n), np.uint64))
-            np.add(context[lines], np.repeat(_mix(before + np.uint64(99)), sizes), out=context[lines + 1])
-            context[lines] += np.repeat(_mix(self._gates(full, text_of, len(texts), gates)), sizes)
-            self._put(rows[:, 0], context)
-            wide >>= np.uint64(4)
-            wide += np.uint64(1)
-            wide *= np.uint64(0xD6E8FEB86659FD93)
-            context += wide
-            context *= _ODD
-            self._put(rows[:, 1], context)
-        self.rows, self.data = rows.view(np.int64).reshape(len(ORDERS), -1), data
-        self.bit = data >> _SHIFT & 1
-        # the bits before a bit, behind a 1, in its half and in its byte
-        self.half = np.stack([data >> 4, data & 15])
-        self.in_half = (self.half | np.uint8(16)) >> np.arange(4, 0, -1, dtype=np.uint8)[:, None, None]
-        self.so_far = self.in_half.astype(np.uint16)
-        self.so_far[:, 1] = (data.astype(np.uint16) | 256) >> np.arange(4, 0, -1, dtype=np.uint16)[:, None]
-
-    @staticmethod
-    def _put(rows: np.ndarray, context: np.ndarray) -> None:
-        for k, order in enumerate(ORDERS):
-            np.right_shift(context[k], np.uint64(68 - order), out=rows[k])
-            rows[k] += np.uint64(STARTS[k] >> 4)
+        wide[:] = self.data
+        word = room("word", (n,), np.uint64)
+        full, at, sizes = self._words(wide, word, spare)
+        text_of = np.searchsorted(self.starts, at, "right") - 1
+        half = room("half", (2, n), np.uint64)
+        np.right_shift(wide, np.uint64(4), out=half[0])
+        np.bitwise_and(wide, np.uint64(15), out=half[1])
+        np.add(half[0], np.uint64(1), out=wide)
+        wide *= np.uint64(0xD6E8FEB86659FD93)
+        for j, order in zip(BYTES, ORDERS):
+            np.bitwise_and(back, _MASKS[j], out=line)
+            line += np.uint64(1)
+            yield self._entries(_mix(line, spare), order, half, wide)
+        before = np.zeros(len(at), np.uint64)
+        before[1:] = np.where(text_of[1:] == text_of[:-1], full[:-1] + np.uint64(1), 0)
+        word += np.uint64(1)
+        _mix(word, spare)
+        for own, order in zip((self._gates(full, text_of, len(lengths), self.gates), before + np.uint64(99)), ORDERS[len(BYTES):]):
+            np.add(word, np.repeat(_mix(own), sizes), out=line)
+            yield self._entries(line, order, half, wide)
+
+    def _entries(self, context: np.ndarray, order: int, half: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        out = self.room("entries", half.shape, np.uint64)
+        np.right_shift(context, np.uint64(64 - order), out=out[0])
+        context += wide
+        context *= _ODD
+        np.right_shift(context, np.uint64(64 - order), out=out[1])
+        out &= np.uint64(~15 & (1 << 64) - 1)
+        out |= half
+        return out.view(np.int64).reshape(-1)
 
     @staticmethod
     def _gates(full: np.ndarray, text_of: np.ndarray, n: int, gates: tuple[int, ...]) -> np.ndarray:
@@ -157,46 +199,50 @@ class Bits:
         first[text_of[hit]], which[text_of[hit]] = hit, full[hit]  # of a text's hits the first is put last
         return np.where(np.arange(len(full)) > first[text_of], which[text_of], np.uint64(0))
 
-    def _words(self, wide: np.ndarray, data: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _words(self, wide: np.ndarray, out: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Puts into out, for each byte, the hash of its word before it; for each word its hash, first byte and bytes."""
-        first = np.empty(len(data), bool)
-        np.equal(data[:-1], 32, out=first[1:])
+        first = np.empty(len(wide), bool)
+        np.equal(self.data[:-1], 32, out=first[1:])
         first[self.starts] = True
         at = np.flatnonzero(first)
-        sizes = np.diff(at, append=len(data))
-        up, down = self.room.powers(len(data))
-        terms = wide + np.uint64(1)
+        sizes = np.diff(at, append=len(wide))
+        up, down = self.room.powers(len(wide))
+        np.add(wide, np.uint64(1), out=terms)
         terms *= up
-        upto = np.cumsum(terms)
-        upto -= terms
-        upto -= np.repeat(upto[at], sizes)
-        np.multiply(upto, np.repeat(down[at], sizes), out=out)
+        np.cumsum(terms, out=out)
+        out -= terms
+        out -= np.repeat(out[at], sizes)
+        out *= np.repeat(down[at], sizes)
         return out[at + sizes - 1], at, sizes
 
-    def inside(self, values: int, few: slice) -> np.ndarray:
-        """Where each bit's entry lies in the rows of these halves for one context, laid end to end, with that many entries for
-        a slot: one, or one for each value of the bit."""
-        at = self.in_half.reshape(4, -1)[:, few]
-        if values == 2:
-            at = at * np.uint8(2) + self.bit.reshape(4, -1)[:, few]
-        return np.add(np.arange(at.shape[1]) * (16 * values), at, out=self.room("inside", at.shape, np.int64))
-
-    def in_order(self, x: np.ndarray) -> np.ndarray:
-        """What lies over bits, in their order."""
-        return x.reshape(4, 2, -1).transpose(2, 1, 0).reshape(-1)
+    def looked_up(self, paths: list[np.ndarray], met: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """By context the entries of the four bits of each half byte, as one number; for each half byte its gate, by the rows
+        (met) that have a bit of it."""
+        found, gate = self.room("found", (len(paths), len(self.kind)), np.uint32), self.room("gate", self.kind.shape, np.uint8)
+        own, row = self.room("met", gate.shape, np.uint8), self.room("row", gate.shape, np.int64)
+        gate.fill(0)
+        for k, (path, entries) in enumerate(zip(paths, self.contexts())):
+            path.take(entries, out=found[k], mode="clip")
+            if k in GATING:
+                gate |= met[GATING.index(k)].take(np.right_shift(entries, 4, out=row), out=own, mode="clip")
+        return found, gate
 
     @property
     def row(self) -> np.ndarray:
         """Rows by context, byte and half."""
-        return self.rows.reshape(len(ORDERS), 2, -1).transpose(0, 2, 1)
+        rows = np.stack([(a + entries) >> 4 for a, entries in zip(STARTS, self.contexts())])
+        return rows.reshape(len(ORDERS), 2, -1).transpose(0, 2, 1)
 
     @property
     def value(self) -> np.ndarray:
-        return self.in_order(self.bit).astype(np.int64)
+        """The bits."""
+        return (self.data >> _SHIFT & 1).transpose(2, 1, 0).reshape(-1).astype(np.int64)
 
     @property
     def slots(self) -> np.ndarray:
-        return np.stack([self.in_order(row * 16 + self.in_half.reshape(4, -1)) for row in self.rows])
+        """By context the slot of each bit."""
+        half = np.stack([self.data >> 4, self.data & 15], 1)
+        return (self.row[..., None] * 16 + _WAY[half]).reshape(len(ORDERS), -1)
 
 
 class Tables:
@@ -204,7 +250,28 @@ class Tables:
     is taken out (for texts that the counts hold). In place of the slot for no bit: how often, up to 3 times, a row was met."""
 
     def __init__(self, chance: np.ndarray | None, without: np.ndarray):
-        self.chance, self.without = chance, without
+        self.chance, self.without, self.looks = chance, without, None
+
+    def ready(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The paths and gates of `chance`, made once."""
+        if self.looks is None:
+            self.looks = self.paths(self.chance), self.met(self.chance, 2)
+        return self.looks
+
+    @staticmethod
+    def paths(table: np.ndarray) -> list[np.ndarray]:
+        """Per context, by row and half byte, the entries of its four bits side by side, as one number."""
+        values = table.shape[1] // 16
+        way = _WAY if values == 1 else 2 * _WAY + _WAY_BITS
+        out = np.empty((len(table), 64), np.int8)  # one array, whose memory goes back as a whole when a task ends
+        for a in range(0, len(table), BLOCK):  # few at a time stay near
+            table[a:a + BLOCK].take(way.reshape(-1), axis=1, out=out[a:a + BLOCK], mode="clip")
+        return np.split(out.view(np.uint32).reshape(-1), STARTS[1:-1])
+
+    @staticmethod
+    def met(table: np.ndarray, least: int) -> list[np.ndarray]:
+        """Per context that makes the gate, by row, its bit of the gate: was the row met that often?"""
+        return [(table[STARTS[k] >> 4:STARTS[k + 1] >> 4, 0] >= least).astype(np.uint8) << np.uint8(i) for i, k in enumerate(GATING)]
 
     @classmethod
     def of(cls, counts: np.ndarray | Tables) -> Tables:
@@ -236,32 +303,32 @@ def _by_slot(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n, n1
 
 
-def _looked_up(table: np.ndarray, bits: Bits, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per context its entry for each bit, by bit of a half, half and byte; and for each half byte which of the long contexts
-    were met that often."""
-    halves, width = bits.rows.shape[1], table.shape[1]
-    met = bits.room("met", (len(GATING), halves), np.int8)
-    out = bits.room("entries", (len(bits.rows), 4, halves), np.int8)
-    for a in range(0, halves, WINDOW):
-        few = slice(a, min(a + WINDOW, halves))
-        inside = bits.inside(width // 16, few)
-        found, own = bits.room("found", (inside.shape[1], width), np.int8), bits.room("own", inside.shape, np.int8)
-        for k, row in enumerate(bits.rows):
-            table.take(row[few], axis=0, out=found, mode="clip")
-            if k in GATING:
-                met[GATING.index(k), few] = found[:, 0]
-            out[k, :, few] = found.reshape(-1).take(inside, out=own, mode="clip")
-    gate = (met >= least).view(np.uint8) << np.arange(len(GATING), dtype=np.uint8)[:, None]
-    return out.reshape(len(out), 4, 2, -1), gate.sum(0, dtype=np.intp).reshape(2, -1)
+def _numbers(found: np.ndarray, room: Room) -> np.ndarray:
+    """By context the entry of each bit."""
+    out = room("numbers", (len(found), 4 * found.shape[1]), np.float32)
+    for line, four in zip(out, found):
+        line[:] = four.view(np.int8)
+    return out
+
+
+def _mixed(weights: np.ndarray, numbers: np.ndarray, gate: np.ndarray, room: Room) -> tuple[np.ndarray, list]:
+    """The weighted sums of the numbers, weights by gate, within 12 of 0; (gate, its halves, their numbers) of all gates but
+    the commonest, which comes first with none: its weights add up all of them, the others' halves are added up anew."""
+    times = np.bincount(gate, minlength=N_GATES)
+    most = int(times.argmax())
+    dot, others = np.dot(weights[most], numbers, out=room("dot", numbers.shape[1:], np.float32)), [(most, None, None)]
+    for g in np.flatnonzero(times):
+        if g != most:
+            at = np.flatnonzero(gate == g)
+            own = numbers.reshape(len(numbers), -1, 4)[:, at].reshape(len(numbers), -1)
+            dot.reshape(-1, 4)[at] = np.dot(weights[g], own).reshape(-1, 4)
+            others.append((g, at, own))
+    return np.clip(dot, -12, 12, out=dot), others
 
 
-def _mixed(weights: np.ndarray, gate: np.ndarray, found: np.ndarray, room: Room) -> np.ndarray:
-    """The weighted sums of what was found, weights by gate, within 12 of 0."""
-    dot, part = room("dot", found.shape[1:], np.float32), room("part", found.shape[1:], np.float32)
-    dot.fill(0)
-    for w, x in zip(np.ascontiguousarray(weights.T), found):
-        dot += np.multiply(w.take(gate, mode="clip"), x, out=part)
-    return np.clip(dot, -12, 12, out=dot)
+def _by_kind(table: np.ndarray, kind: np.ndarray, room: Room, name: str) -> np.ndarray:
+    """What the table holds for each bit of these halves."""
+    return table.take(kind, axis=0, out=room(name, (len(kind), 4), table.dtype), mode="clip").reshape(-1)
 
 
 def _groups(texts: list[bytes], least: int = STEP) -> Iterator[list[bytes]]:
@@ -283,14 +350,19 @@ def _pieces(text: bytes) -> list[bytes]:
     return [text[a:a + PIECE] for a in range(0, len(text), PIECE)]
 
 
+def _untrained() -> tuple[np.ndarray, np.ndarray]:
+    """Weights (gate, context) and the map's counts before any text."""
+    return np.full((N_GATES, len(ORDERS)), 0.25, np.float32), np.zeros((2, 256 * CLASSES))
+
+
 class Training:
     """Weights (gate, context) and the map's counts (all, ones), trained online: a step down the coding cost for each group
     of texts, smaller as there are more of them."""
 
     def __init__(self, tables: np.ndarray | Tables, gates: tuple[int, ...] = ()):
-        self.tables, self.gates, self.steps = Tables.of(tables), gates, 0
-        self.weights, self.room = np.full((N_GATES, len(ORDERS)), 0.25, np.float32), Room()
-        self.counts = np.zeros((2, 256 * CLASSES))
+        self.gates, self.steps, without = gates, 0, Tables.of(tables).without
+        self.paths, self.met = Tables.paths(without), Tables.met(without, 3)
+        self.weights, self.counts, self.room = *_untrained(), Room()
 
     def read(self, texts: list[bytes]) -> None:
         held, size = [], 0
@@ -306,32 +378,34 @@ class Training:
     def _steps(self, groups: list[list[bytes]]) -> None:
         """A step for each group; what they look up doesn't depend on the weights."""
         bits = Bits([t for g in groups for t in g], self.gates, True, self.room)
-        found, gates = _looked_up(self.tables.without, bits, 3)
         ends = np.cumsum([sum(map(len, g)) for g in groups])
+        both = lambda x: x.reshape(*x.shape[:-1], 2, -1)
+        found, gate, kind = map(both, (*bits.looked_up(self.paths, self.met), bits.kind))
+        classes = self.room("classes", (8 * len(bits.data),), np.intp)
         for a, b in zip([0, *ends], ends):
-            self._step(found[..., a:b], gates[:, a:b], bits.bit[..., a:b], bits.so_far[..., a:b])
+            self._step(found[..., a:b].reshape(len(found), -1), gate[:, a:b].reshape(-1), kind[:, a:b].reshape(-1), classes[8 * a:8 * b])
+        # by the bits of the byte and the step of the mixer's chance
+        zeros, ones = np.bincount(classes, minlength=512 * CLASSES).reshape(256, 2, CLASSES).swapaxes(0, 1).reshape(2, -1)
+        self.counts += np.stack([zeros + ones, ones])
 
-    def _step(self, found: np.ndarray, gate: np.ndarray, bit: np.ndarray, so_far: np.ndarray) -> None:
-        dot = _mixed(self.weights * np.float32(1 / SCALE), gate, found, self.room)
-        part, error = (self.room(x, dot.shape, np.float32) for x in ("part", "error"))
+    def _step(self, found: np.ndarray, gate: np.ndarray, kind: np.ndarray, classes: np.ndarray) -> None:
+        numbers = _numbers(found, self.room)
+        dot, others = _mixed(self.weights * np.float32(1 / SCALE), numbers, gate, self.room)
+        error = self.room("error", dot.shape, np.float32)
         np.exp(np.negative(dot, out=error), out=error)
         error += 1
-        np.subtract(bit, np.divide(1, error, out=error), out=error)
-        gate = gate.reshape(-1)
-        many = np.maximum(np.bincount(gate, minlength=N_GATES) * 4, 500)
+        np.subtract(_by_kind(_BITS, kind, self.room, "bits"), np.divide(1, error, out=error), out=error)
         self.steps += 1
-        rate = max(0.02, 0.5 / (1 + self.steps / 16))
-        for k, x in enumerate(found):
-            steps = np.bincount(gate, np.multiply(x, error, out=part).sum(0).reshape(-1), N_GATES)
-            self.weights[:, k] += rate / SCALE * steps / many
-        # by the bits so far, the step of the mixer's chance and the value
-        at = np.rint(dot, out=dot)
-        at += np.multiply(so_far, np.float32(CLASSES), out=part)
-        at += CLASSES // 2
-        at *= 2
-        at += bit
-        zeros, ones = np.bincount(at.reshape(-1).astype(np.intp), minlength=512 * CLASSES).reshape(-1, 2).T
-        self.counts += np.stack([zeros + ones, ones])
+        rate, least = max(0.02, 0.5 / (1 + self.steps / 16)) / SCALE, 500
+        for g, at, own in others[1:]:
+            its = error.reshape(-1, 4)[at].reshape(-1)
+            self.weights[g] += rate / max(len(its), least) * np.dot(own, its)
+            error.reshape(-1, 4)[at] = 0
+        left = len(error) - sum(4 * len(at) for _, at, _ in others[1:])
+        self.weights[others[0][0]] += rate / max(left, least) * np.dot(numbers, error)
+        np.rint(dot, out=dot)
+        dot += _by_kind(_CLASS, kind, self.room, "class")
+        classes[:] = dot
 
 
 def train_mixer(tables: np.ndarray | Tables, texts: list[bytes]) -> np.ndarray:
@@ -343,61 +417,65 @@ def train_mixer(tables: np.ndarray | Tables, texts: list[bytes]) -> np.ndarray:
 
 def spell(tables: np.ndarray | Tables, weights: np.ndarray, texts: list[bytes], counts: np.ndarray | None = None, gates: tuple[int, ...] = ()) -> np.ndarray:
     """log10 of the chance of each text's bytes and the end behind them; counts are those of the map, if there is one."""
-    tables, weights = Tables.of(tables), (weights / SCALE).astype(np.float32)
+    (paths, met), weights = Tables.of(tables).ready(), (weights / SCALE).astype(np.float32)
     pieces = [_pieces(t) for t in texts]
     owner = np.repeat(np.arange(len(texts)), [len(p) for p in pieces])
-    middle = np.tile(np.arange(CLASSES) - CLASSES // 2, 256)
-    map_ = None
-    if counts is not None:
-        ones = (counts[1] + 8 / (1 + np.exp(-middle))) / (counts[0] + 8)
-        map_ = np.log(ones / (1 - ones)).astype(np.float32)
-        rise = np.diff(map_, append=np.float32(0))
+    lines = None if counts is None else _map_lines(counts)
     costs, room = [], Room()
     for group in _groups([p for parts in pieces for p in parts], TOGETHER):
         bits = Bits(group, gates, True, room)
-        found, gate = _looked_up(tables.chance, bits, 2)
-        own = room("costs", (1 if map_ is None else 2, len(bits.data)), np.float64)
-        for a in range(0, len(bits.data), STEP):
-            few = slice(a, a + STEP)
-            dot = _mixed(weights, gate[:, few], found[..., few], room)
-            chances = [dot]
-            if map_ is not None:
-                low, part, refined = (room(x, dot.shape, np.float32) for x in ("low", "part", "refined"))
-                np.minimum(np.floor(dot, out=low), CLASSES // 2 - 1, out=low)
-                np.multiply(bits.so_far[..., few], np.float32(CLASSES), out=part)
-                part += CLASSES // 2
-                part += low
-                at = room("at", dot.shape, np.int64)
-                at[:] = part
-                rise.take(at, out=refined, mode="clip")
-                refined *= np.subtract(dot, low, out=low)
-                refined += dot
-                refined += map_.take(at, out=part, mode="clip")
-                refined /= 2
-                chances.append(refined)
-            sign = 1 - 2 * bits.bit[..., few].astype(np.float32)
-            for x, cost in zip(chances, own):
-                odds = room("odds", x.shape, np.float64)
-                odds[:] = np.exp(np.multiply(x, sign, out=x), out=x)
-                odds += 1
-                # a byte's cost is the log of its bits' product: one logarithm in place of eight
-                np.log(odds.prod((0, 1)), out=cost[few])
-        costs.append(np.add.reduceat(own, bits.starts, axis=1))
+        found, gate = bits.looked_up(paths, met)
+        own = room("costs", (1 if lines is None else 2, len(gate)), np.float64)
+        for a in range(0, len(gate), WINDOW):
+            few = slice(a, a + WINDOW)
+            dot, _ = _mixed(weights, _numbers(found[:, few], room), gate[few], room)
+            if lines is not None:
+                step = np.floor(dot, out=room("step", dot.shape, np.float32))
+                step += _by_kind(_CLASS, bits.kind[few], room, "class")
+                at = room("classes", dot.shape, np.intp)
+                at[:] = step
+                rise = lines[1].take(at, out=room("rise", dot.shape, np.float32), mode="clip")
+                rise *= dot
+                rise += lines[0].take(at, out=step, mode="clip")
+                _cost(rise, own[1, few], room)
+            dot *= _by_kind(_SIGN, bits.kind[few], room, "class")
+            _cost(dot, own[0, few], room)
+        costs.append(np.add.reduceat(own.reshape(len(own), 2, -1).sum(1), bits.starts, axis=1))
     if not costs:
         return np.zeros(0)
     logs = np.stack([-np.bincount(owner, c, len(texts)) for c in np.concatenate(costs, 1)])
     return (np.logaddexp.reduce(logs, 0) - np.log(len(logs))) / np.log(10)
 
 
+def _map_lines(counts: np.ndarray) -> np.ndarray:
+    """By the bits of the byte, the last included, and the step below the mixer's stretched chance x: a and b, where a + b x is
+    the mean of x and what the map says, drawn straight from step to step, negative if the last bit is a one."""
+    middle = np.arange(CLASSES) - CLASSES // 2
+    n, n1 = counts.reshape(2, 256, CLASSES)
+    ones = (n1 + 8 / (1 + np.exp(-middle))) / (n + 8)
+    said = np.log(ones / (1 - ones))
+    rise = np.diff(said, append=said[:, -1:])
+    line = np.stack([said - rise * middle, 1 + rise]) / 2
+    return np.stack([line, -line], 2).astype(np.float32).reshape(2, -1)
+
+
+def _cost(x: np.ndarray, out: np.ndarray, room: Room) -> None:
+    """Per half byte the sum of log(1 + exp(x)) over its four bits: one logarithm in place of four. x is lost."""
+    np.exp(x, out=x)
+    x += 1
+    for name in ("pairs", "fours"):
+        x = np.multiply(x[::2], x[1::2], out=room(name, (len(x) // 2,), np.float32))
+    out[:] = x
+    np.log(out, out=out)
+
+
 def _count(counts: np.ndarray, texts: list[bytes], gates: tuple[int, ...]) -> None:
     """Add to counts (row, half byte) what these running texts hold."""
     flat, one, room = counts.reshape(-1), counts.dtype.type(1), Room()
     for group in _groups([p for t in texts for p in _pieces(t)], TOGETHER):
         bits = Bits(group, gates, True, room)
-        for row in bits.rows:
-            row *= 16
-            row += bits.half.reshape(-1)
-            np.add.at(flat, row, one)
+        for a, b, entries in zip(STARTS, STARTS[1:], bits.contexts()):
+            np.add.at(flat[a:b], entries, one)
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -420,7 +498,8 @@ def _fill(train: DataFrame, gates: tuple[int, ...], n: int) -> Tables:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((rows, 16), np.int32)
         for batch in batches:
-            _count(counts, [running(t) for t in batch.column(0).to_pylist()], gates)
+            for a in range(0, batch.num_rows, 512):
+                _count(counts, [running(t) for t in batch.column(0).slice(a, 512).to_pylist()], gates)
         blocks = counts.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(1))
         for a in range(0, len(used), 64):
@@ -442,13 +521,61 @@ def _fill(train: DataFrame, gates: tuple[int, ...], n: int) -> Tables:
     return Tables(*out)
 
 
+def _words_of(joined: bytes) -> pa.Array:
+    """The words, with their blanks, of running texts laid end to end."""
+    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
+
+
+def _vocabulary(texts: DataFrame) -> DataFrame:
+    """The words of the texts (binary columns `text`, `out`): word (binary), its hash h, and c, how often it comes in texts that
+    aren't out. Words of some megabytes are counted together before they are moved."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slices = (batch.slice(a, 512) for a in range(0, batch.num_rows, 512))
+            cells = (cell for few in slices for cell in zip(*(c.to_pylist() for c in few.columns)))
+            for group in _sized((running(t), out) for t, out in cells):
+                for out in (False, True):
+                    found = _words_of(b"".join(run for run, its in group if its == out)).value_counts()
+                    word = pc.binary_slice(found.field("values"), 0, -1)
+                    c = found.field("counts")
+                    yield pa.RecordBatch.from_arrays([word, pc.multiply(c, 0) if out else c], names=["word", "c"])
+                    del found, word, c
+            pa.default_memory_pool().release_unused()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = Room()
+        for batch in batches:
+            h = word_hashes([w + b" " for w in batch.column(0).to_pylist()], room)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), batch.column(1)], names=["word", "h", "c"])
+
+    counts = texts.select("text", "out").mapInArrow(counted, "word binary, c long")
+    return counts.groupBy("word").agg(F.sum("c").alias("c")).mapInArrow(hashed, "word binary, h long, c long")
+
+
+def _sized(rows: Iterator[tuple[bytes, bool]]) -> Iterator[list[tuple[bytes, bool]]]:
+    """Rows in groups of about COUNTED bytes of text."""
+    group, size = [], 0
+    for row in rows:
+        group.append(row)
+        size += len(row[0])
+        if size >= COUNTED:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _gate_words(docs: DataFrame) -> list[str]:
     """The most frequent words of all training texts, of two signs or more."""
-    return _frequent(docs.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c")))
+    return _frequent(_vocabulary(docs.select(whole(F.col("text")).cast("binary").alias("text"), F.lit(False).alias("out"))))
 
 
 def _frequent(counts: DataFrame) -> list[str]:
-    top = counts.where("c > 0 AND length(word) >= 2").orderBy(F.desc("c"), "word").limit(GATES)
+    named = counts.select(F.col("word").cast("string").alias("word"), "c")
+    top = named.where("c > 0 AND length(word) >= 2").orderBy(F.desc("c"), "word").limit(GATES)
     return [r["word"] for r in top.collect()]
 
 
@@ -459,6 +586,7 @@ def _train(texts: DataFrame, tables: Tables, n: int, gates: tuple[int, ...]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         training, read, held, size = Training(tables, gates), 0, [], 0
+        tables.without = None  # a task keeps its paths alone
         for batch in batches:
             for cell in batch.column(0).to_pylist():
                 held.append(running(cell)[:-1] if isinstance(cell, bytes) else cell.encode("utf-8", "surrogatepass"))
@@ -474,12 +602,12 @@ def _train(texts: DataFrame, tables: Tables, n: int, gates: tuple[int, ...]) ->
 
     trained = texts.select("word").coalesce(max(1, n // MIX_TYPES)).mapInArrow(run, "i int, x double")
     rows = trained.groupBy("i").agg(F.sum("x").alias("x")).toArrow()  # as many as the model has numbers
-    start = Training(tables)
+    weights, counts = _untrained()
     if not rows.num_rows:
-        return start.weights.astype(float), start.counts
+        return weights.astype(float), counts
     values = rows.column("x").to_numpy()[np.argsort(rows.column("i").to_numpy())]
-    size = start.weights.size
-    return (values[:size] / values[-1]).reshape(start.weights.shape), values[size:-1].reshape(start.counts.shape)
+    size = weights.size
+    return (values[:size] / values[-1]).reshape(weights.shape), values[size:-1].reshape(counts.shape)
 
 
 def _mixer(types: DataFrame, tables: np.ndarray | Tables, n: int) -> np.ndarray:
@@ -496,8 +624,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     base = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"), (share(F.col(id_col), 5) == 1).alias("out"))
     train = base.where("NOT out").select(F.col("text").cast("binary").alias("word"))
-    flagged = base.select(F.explode(tokens(F.col("text"))).alias("word"), "out")
-    vocabulary = flagged.groupBy("word").agg(F.sum(F.when(F.col("out"), 0).otherwise(1)).alias("c")).persist(StorageLevel.DISK_ONLY)
+    vocabulary = _vocabulary(base.select(F.col("text").cast("binary").alias("text"), "out")).persist(StorageLevel.DISK_ONLY)
     try:
         train_docs = train.count()
         sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
@@ -506,55 +633,80 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         tables = _fill(train, gates, n)
         weights, counts = _train(train, tables, train_docs, gates)
 
-        def chances(batch: pa.RecordBatch) -> np.ndarray:
-            return spell(Tables(chance, chance), weights, [running(t) for t in batch.column("text").to_pylist()], counts, gates)
+        own = Tables(tables.chance, None)
 
-        chance = tables.chance
-        return _scored(base, vocabulary.select(F.xxhash64("word").alias("h"), "c"), n, v, train_docs, chances, id_col)
+        def chances(runs: list[bytes]) -> np.ndarray:
+            own.ready()
+            own.chance = None  # a task keeps its paths alone
+            return spell(own, weights, runs, counts, gates)
+
+        return _scored(base, vocabulary.select("h", "c"), n, v, train_docs, chances, id_col)
     finally:
         vocabulary.unpersist()
 
 
+def _finder(keys: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that gives for each number its place among the keys, or their number: by a slot of its own for most keys
+    (of those that share one the first), by search for the others."""
+    bits = max(4, len(keys).bit_length() + 2)
+    slot = lambda h: (h.view(np.uint64) * _ODD2 >> np.uint64(64 - bits)).view(np.int64)
+    slots, places, none = np.zeros(1 << bits, np.int32), np.arange(len(keys), dtype=np.int32), len(keys)
+    slots[slot(keys)[::-1]] = places[::-1]
+    second = np.flatnonzero(slots[slot(keys)] != places)
+    second = second[np.argsort(keys[second])]
+    held, others = np.append(keys, 0), np.append(keys[second], 0)
+
+    def find(h: np.ndarray) -> np.ndarray:
+        at = slots.take(slot(h)).astype(np.int64)
+        other = np.flatnonzero(held.take(at) != h)
+        if none == 0:
+            at[:] = 0
+        elif len(other):
+            near = np.searchsorted(others[:-1], h[other])
+            hit = (near < len(second)) & (others.take(near) == h[other])
+            at[other] = np.where(hit, np.append(second, none).take(near), none)
+        return at
+
+    return find
+
+
 def _scored(base: DataFrame, known: DataFrame, n: int, v: int, train_docs: int, chances, id_col: str) -> DataFrame:
     """The base's columns by a lexicon of the frequent words, and by a join for the others; chances gives the scores."""
     floor = n + 0.5 * (v + 1)
-    measures = lambda c: np.stack([np.log10((c + 0.5) / floor), c > 0], 1)
+    measures = lambda c: (np.log10((c + 0.5) / floor), (c > 0).astype(float))
     top = known.orderBy(F.desc("c"), "h").limit(LEXICON).toArrow()
     keys = top.column("h").to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.argsort(keys)
-    lexicon = np.concatenate([measures(top.column("c").to_numpy(zero_copy_only=False).astype(float)[order]), np.zeros((1, 2))])
-    keys, end = keys[order], measures(np.array([float(train_docs)]))[0]
+    lexicon = [np.append(x, 0) for x in measures(top.column("c").to_numpy(zero_copy_only=False).astype(float))]
+    find, end = _finder(keys), [float(x[0]) for x in measures(np.array([float(train_docs)]))]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = Room()
         for batch in batches:
-            lists = batch.column("h")
-            ends = lists.offsets.to_numpy()
-            h = lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]]
-            ends = ends - ends[0]
-            total, tails, sizes = np.zeros((batch.num_rows, 2)), np.zeros(len(h), bool), np.diff(ends)
+            totals, tails, left, scores, counted = np.tile(np.array(end)[:, None], batch.num_rows), [np.zeros(0, np.int64)], [[0]], [], []
             for a in range(0, batch.num_rows, 512):  # few texts at a time, so that memory stays bounded
-                lo, hi = ends[a], ends[min(a + 512, batch.num_rows)]
-                if lo == hi:
-                    continue
-                part = h[lo:hi]
-                at = np.minimum(np.searchsorted(keys, part), max(len(keys) - 1, 0))
-                missing = keys[at] != part
-                at[missing] = len(keys)
-                tails[lo:hi] = missing
-                full = a + np.flatnonzero(sizes[a:a + 512])
-                total[full] = np.add.reduceat(lexicon[at], ends[:-1][full] - lo, axis=0)
-            cum = np.concatenate(([0], np.cumsum(tails)))[ends].astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(cum), pa.array(h[tails]))
-            total += end
+                runs = [running(t) for t in batch.column("text").slice(a, 512).to_pylist()]
+                h, sizes = word_hashes(runs, room).view(np.int64), np.array([r.count(b" ") for r in runs], np.int64)
+                at, full = find(h), np.flatnonzero(sizes)
+                missing, own = at == len(keys), np.zeros(len(runs), np.int32)
+                if len(full):
+                    starts = np.cumsum(sizes[full]) - sizes[full]
+                    for total, x in zip(totals, lexicon):
+                        total[a + full] += np.add.reduceat(x.take(at), starts)
+                    own[full] = np.add.reduceat(missing, starts, dtype=np.int32)
+                left.append(own)
+                tails.append(h[missing])
+                counted.append(sizes + 1)
+                scores.append(chances(runs))
+            rest = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(left), dtype=np.int32)), pa.array(np.concatenate(tails)))
+            n_tokens, score = (np.concatenate([np.zeros(0), *x]) for x in (counted, scores))
             bits = pc.binary_length(batch.column("text")).cast(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], bits, pa.array(sizes.astype(np.int64) + 1), rest, pa.array(total[:, 0]), pa.array(total[:, 1]), pa.array(chances(batch))],
+                [*batch.columns[:3], bits, pa.array(n_tokens.astype(np.int64)), rest, *map(pa.array, totals), pa.array(score)],
                 names=["row", "id", "out", "bytes", "n_tokens", "rest", "b", "known", "score"])
 
     id_type = base.schema["id"].dataType.simpleString()
-    hashed = base.select(F.monotonically_increasing_id().alias("row"), "id", "out", F.col("text").cast("binary").alias("text"),
-                         F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    first = saved(hashed.mapInArrow(look_up, f"row long, id {id_type}, out boolean, bytes int, n_tokens long, rest array<long>, b double, known double, score double"))
+    numbered = base.select(F.monotonically_increasing_id().alias("row"), "id", "out", F.col("text").cast("binary").alias("text"))
+    first = saved(numbered.mapInArrow(look_up, f"row long, id {id_type}, out boolean, bytes int, n_tokens long, rest array<long>, b double, known double, score double"))
 
     c = F.col("c").cast("double")
     rated = known.select("h", F.log10((c + 0.5) / floor).alias("b"), (c > 0).cast("double").alias("known"))
