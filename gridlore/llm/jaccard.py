@@ -3,13 +3,15 @@
 1. Each text becomes a set of hashed word shingles. Equal sets are one node, named by a 64-bit digest.
 2. Sets that may link share a key: hash space is cut into more segments than two linking sets can differ in, so one
    segment holds the same shingles in both (an exact pigeonhole, no cap and no chance). Nodes that share a key are tied
-   to the least of them: as many ties as members, never all pairs.
+   to the least of them: as many ties as members, never all pairs. Keys are made of shingles that few sets hold, as far as
+   these do (a sample says which many hold, which orders shingles and changes no result).
 3. Ties that the sets' bitmaps rule out are no links. The others are verified on the sets: one for each node first, then
    those between components that are still apart. Most groups of copies are settled by that.
-4. Ties that fail leave blocks of several components open. Inside them, and only between different components, two
+4. A key whose members lie in several components after that is open. Few members are paired, those of different
+   components and of sizes that may link, and go the way of ties. Among many, and only between different components, two
    signature trees are walked together: nodes hold OR-combined bitmaps and size ranges and are left as soon as the
-   largest possible overlap is too small. Blocks are cut into parts of bounded size, by size and by hash. They are walked
-   on the bitmaps first; only the sets of nodes that may have a partner are dealt and compared.
+   largest possible overlap is too small. A key's members are cut into parts of bounded size, by size and by hash. They
+   are walked on the bitmaps first; only the sets of nodes that may have a partner are dealt and compared.
 Sets are made from the texts where they are needed, and moved only for nodes that may have a link.
 Hashes are 64-bit; that two shingles or sets share one is left to chance.
 """
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,9 +36,13 @@ WIDTH, PERCENT = 4, 85
 # Nodes, and bytes of their sets, that one task compares with as many others; rows that may be broadcast (24 bytes
 # each); pairs of tree nodes that are tried at once; members of a hot centre that one task verifies; edges in one task.
 PART, PART_BYTES, BROADCAST_ROWS, AT_ONCE, PER_SALT, EDGES = 20_000, 24_000_000, 300_000, 200_000, 512, 250_000
-# Words that are made into sets at once, keys that are tied at once, and nodes or digests that a task remembers.
+# Words that are made into sets at once, keys that are sent at once, and nodes or digests that a task remembers.
 WORDS, KEYS, REMEMBERED = 250_000, 500_000, 300_000
 BITS, FAN = 4096, 8
+# Members of an open key that are paired; more are compared by trees.
+PAIRED = 64
+# A shingle is common if COMMON_FROM of each SAMPLED-th text hold it; only so many are told to the tasks, the most common.
+SAMPLED, COMMON_FROM, COMMON = 32, 3, 500_000
 # Sizes of neighbouring classes and bands differ by these factors, or by more where linking sets may (see _factor).
 CLASS, BAND = 1.4, 1.2
 
@@ -96,7 +103,28 @@ def _factor(least: float, percent: int) -> float:
     return max(least, 1.01 * 100 / percent)
 
 
-def segment_keys(s: np.ndarray, percent: int) -> np.ndarray:
+class Common:
+    """Shingles that many sets hold, and their places in an order from the least common on."""
+
+    def __init__(self, shingles: np.ndarray):
+        """shingles: in that order."""
+        by = np.argsort(shingles)
+        self.shingles, self.places = shingles[by], by
+        self.may = np.zeros(1 << 20, bool)
+        self.may[self.shingles >> np.uint64(44)] = True
+
+    def split(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of s that aren't common, as they were, and those that are, the least common first."""
+        own = np.flatnonzero(self.may[s >> np.uint64(44)])
+        if not len(own):
+            return s, s[:0]
+        at = np.searchsorted(self.shingles, s[own])
+        at[at == len(self.shingles)] = 0
+        found = self.shingles[at] == s[own]
+        return np.delete(s, own[found]), s[own[found]][np.argsort(self.places[at[found]])]
+
+
+def segment_keys(s: np.ndarray, percent: int, common: Common | None = None) -> np.ndarray:
     """Keys such that two different sets that link share one.
 
     Sizes fall into classes up to U, each CLASS times the one before, or more for a low percent (_factor). Linking sets lie in the same class or in neighbouring
@@ -104,23 +132,27 @@ def segment_keys(s: np.ndarray, percent: int) -> np.ndarray:
     at most H = 2U(100-p)/(100+p) shingles; of H + 1 + x segments at least 1 + x are equal. A set with more than x empty
     segments also gets its prefix as keys, since its equal segments may all be empty; a partner whose equal segments are
     all empty has as many, and linking sets share a shingle of their prefixes.
+    Segments hold the shingles that aren't common: of these, linking sets don't differ in more. Prefixes take common ones
+    last, from the least common on.
     """
     n, keys, factor = len(s), [], _factor(CLASS, percent)
+    rare, late = common.split(s) if common else (s, s[:0])
     own = int(np.ceil(np.log(n) / np.log(factor) - 1e-9)) if n > 1 else 0
     classes = [own] + ([own + 1] if n * 100 > int(factor ** own + 1e-6) * percent - 100 else [])
     with np.errstate(over="ignore"):
-        mixed = _mix(s)
+        mixed = _mix(rare)
         for c in classes:
             largest = max(1, int(factor ** c + 1e-6))
             h = 2 * largest * (100 - percent) // (100 + percent)
             x = 1 + h // 16
             count = h + 1 + x
-            at = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            at = ((rare >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1])))
             seed = _mix(np.array([c * 1_000_003 + 1], np.uint64))
-            keys.append(_mix(np.add.reduceat(mixed, first) + _mix(at[first] + seed)))
+            if len(first):
+                keys.append(_mix(np.add.reduceat(mixed, first) + _mix(at[first] + seed)))
             if count - len(first) > x:
-                prefix = s[:n - -(-n * percent // 100) + 1]
+                prefix = np.concatenate([rare, late])[:n - -(-n * percent // 100) + 1]
                 keys.append(_mix(prefix + _mix(seed + np.uint64(7))))
     return np.concatenate(keys).view(np.int64)
 
@@ -146,63 +178,88 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                        hashed_words(F.col(text_col)).alias("h")).mapInArrow(run, f"id {id_type}, uid long, n long, node long")
 
 
-def _star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, least node of each) and the different ties (least node, node), of rows in any order."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.array([], int)
-    centre = np.repeat(nodes[first], np.diff(np.append(first, len(keys))))
-    other = centre != nodes
-    ties = np.unique(np.stack([centre[other], nodes[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return keys[first], nodes[first], ties[:, 0], ties[:, 1]
-
-
-def _ties(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """Different pairs (a, b) of nodes that share a key, each with the least node of its key; KEYS of them are tied inside
-    a task first, so that of a hot key one row of each KEYS is shuffled. Keys are made on the way to the shuffle and
-    written nowhere else; a tie found inside a task takes the same way, as a key of its own that its two nodes share."""
-    def tied(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-        k, c, a, b = _star(np.concatenate(keys), np.repeat(np.array(nodes, np.int64), [len(x) for x in keys]))
-        with np.errstate(over="ignore"):
-            own = _mix(_mix(a.view(np.uint64)) + b.view(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, own, own])), pa.array(np.concatenate([c, a, b]))], names=["a", "b"])
+def _common(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """The common shingles, from the least common on: of each SAMPLED-th different text those that COMMON_FROM hold. They
+    order shingles, so that sets meet at rare ones; whichever are named here, linking sets share a key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _portions(batch, 0):
+                sets = shingle_sets(part.column(0), width)
+                s, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.array([], np.uint64), np.array([], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], names=["s", "n"])
+
+    text = whole(F.col(text_col))
+    some = docs.select(F.xxhash64(text).alias("uid"), text.alias("t")).where(F.pmod("uid", F.lit(SAMPLED)) == 0).dropDuplicates(["uid"])
+    held = some.select(hashed_words(F.col("t")).alias("h")).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    most = held.where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "s").limit(COMMON).select("s").toArrow()
+    return most.column("s").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[::-1].copy()
+
+
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node) in order, (a, b, k): a key's least node with each other one. k: the key, null if only two nodes
+    have it."""
+    # of the last key: its least node and second one, held back; or, if it has more, its least node and last one, sent
+    k, b, more = np.array([], np.int64), np.array([], np.int64), False
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            k, b = (np.concatenate([x, batch.column(c).to_numpy()]) for c, x in enumerate((k, b)))
+        if not len(k):
+            continue
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])))
+        k, b = k[new], b[new]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        sizes = np.diff(np.append(first, len(k)))
+        many = sizes > 2
+        many[0] |= more
+        sent = np.ones(len(k), bool)
+        sent[first] = False
+        if more:
+            sent[1] = False
+        if batch is not None and not many[-1]:
+            sent[first[-1]:] = False
+        centre, each = np.repeat(b[first], sizes), np.repeat(many, sizes)
+        two, all_of = sent & ~each, sent & each
+        pairs = np.unique(np.stack([centre[two], b[two]], 1), axis=0) if two.any() else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([pairs[:, 0], centre[all_of]])), pa.array(np.concatenate([pairs[:, 1], b[all_of]])),
+             pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(k[all_of])])], names=["a", "b", "k"])
+        more, start = bool(many[-1]), first[-1]
+        kept = [start, -1] if more else slice(start, None)
+        k, b = k[kept], b[kept]
+
+
+def _keyed(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
+    """(a, b, k): the nodes of each key, as _starred has them. Keys are made on the way to the shuffle and written nowhere
+    else; common shingles come last, so that few of them are those of many nodes."""
+    names = _common(docs, text_col, width)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = Common(names) if len(names) else None
         emitted: set[int] = set()
         keys, nodes, held = [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(
+                np.array(nodes, np.int64), [len(x) for x in keys]))], names=["k", "node"])
+
         for batch in batches:
             for part in _portions(batch, 0):
                 for s in shingle_sets(part.column(0), width):
                     node = _digest(s)
                     if node is not None and node not in emitted:
-                        keys.append(segment_keys(s, percent))
+                        keys.append(segment_keys(s, percent, common))
                         nodes.append(node)
                         held += len(keys[-1])
                         if len(emitted) < REMEMBERED:
                             emitted.add(node)
                     if held >= KEYS:
-                        yield tied(keys, nodes)
+                        yield sent()
                         keys, nodes, held = [], [], 0
         if keys:
-            yield tied(keys, nodes)
+            yield sent()
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_centre = None, None
-        for batch in batches:
-            k, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if len(k) == 0:
-                continue
-            if last_key is not None:  # a key may go on from the batch before
-                k, b = np.concatenate(([last_key], k)), np.concatenate(([last_centre], b))
-            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            centre = np.repeat(b[first], np.diff(np.append(first, len(k))))
-            last_key, last_centre = k[-1], centre[-1]
-            other = centre != b
-            ties = np.unique(np.stack([centre[other], b[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ties[:, 0]), pa.array(ties[:, 1])], names=["a", "b"])
-
-    keyed = docs.select(hashed_words(F.col(text_col)).alias("h")).mapInArrow(local, "a long, b long")
-    return keyed.repartition("a").sortWithinPartitions("a", "b").mapInArrow(across, "a long, b long").distinct()
+    keyed = docs.select(hashed_words(F.col(text_col)).alias("h")).mapInArrow(local, "k long, node long")
+    return keyed.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_starred, "a long, b long, k long")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,11 +567,22 @@ def _apart(ties: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _open(ties: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame | None:
     """(node, n, comp, block) of the nodes in blocks that ties hold together though verified ones don't, where a block has
-    all nodes of its components; None if no tie is left open. sizes: (node, n) of the sets."""
+    all nodes of its components; None if no tie is left open. sizes: (node, n) of the sets. Of ties (a, b, k) a block has
+    the nodes of a key k, and no others."""
     named = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias("r" + side))
     root = lambda side: F.coalesce("r" + side, side)
-    left = saved(ties.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
-        root("a").alias("a"), root("b").alias("b")).where("a <> b").distinct())
+    met = ties.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    if "k" in ties.columns:
+        met = met.where("k IS NOT NULL").select("k", "a", "b", root("a").alias("ca"), root("b").alias("cb"))
+        apart = met.groupBy("k").agg(F.max(F.col("ca") != F.col("cb")).alias("apart")).where("apart").select("k")
+        met = saved(met.join(apart, "k"))
+        if not met.head(1):
+            return None
+        # a centre comes once with each of its ties
+        nodes = met.select("k", F.col("b").alias("node"), F.col("cb").alias("comp")).union(
+            met.groupBy("k").agg(F.first("a").alias("node"), F.first("ca").alias("comp")))
+        return saved(nodes.join(sizes, "node").select("node", "n", "comp", F.col("k").alias("block")))
+    left = saved(met.select(root("a").alias("a"), root("b").alias("b")).where("a <> b").distinct())
     if not left.head(1):
         return None
     blocks = components(left)
@@ -523,6 +591,31 @@ def _open(ties: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame | No
         "node", "n", "comp", "block"))
 
 
+def _paired(nodes: DataFrame, percent: int) -> DataFrame:
+    """The different pairs (a, b, na, nb) of nodes (node, n, comp, block) of a block that lie in different components and are
+    of sizes that may link; without the pairs of a block's least node, which were its ties."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.array([], np.int64) for _ in range(4)]  # a block may go on in the next batch
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = [np.concatenate([x, batch.column(c).to_numpy()]) for c, x in enumerate(held)]
+            block, node, n, comp = held
+            upto = len(block) if batch is None or not len(block) else int(np.searchsorted(block, block[-1]))
+            held = [x[upto:] for x in held]
+            block, node, n, comp = block[:upto], node[:upto], n[:upto], comp[:upto]
+            tied, found, d = np.concatenate(([True], block[1:] != block[:-1])) if upto else np.array([], bool), [], 1
+            while d < upto and (same := block[d:] == block[:-d]).any():
+                i = np.flatnonzero(same & ~tied[:-d] & (comp[d:] != comp[:-d]) & (
+                    np.minimum(n[d:], n[:-d]) * 100 >= np.maximum(n[d:], n[:-d]) * percent))
+                found.append(np.stack([node[i], node[i + d], n[i], n[i + d]], 1))
+                d += 1
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, c]) for c in range(4)], names=["a", "b", "na", "nb"])
+
+    rows = nodes.select("block", "node", "n", "comp").repartition("block").sortWithinPartitions("block", "node")
+    return rows.mapInArrow(run, "a long, b long, na long, nb long").distinct()
+
+
 def _dealt(nodes: DataFrame, held: DataFrame, weight: Column, percent: int):
     """The rows of held for nodes (node, n, comp, block), grouped by what one task compares: a part of a block's band of
     size with itself (p is -1 - q), or two parts (sides 0 and 1). weight: bytes of a row. Where a row has to go is found
@@ -586,8 +679,12 @@ def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataF
     sizes: (node, n) of the sets; sets: (node, s), or what makes them for some nodes; signed: (node, n, bits). Blocks are
     walked on the bitmaps first, then those nodes compare their sets that may have a partner."""
     nodes = _open(ties, roots, sizes)
-    if nodes is None:
-        return None
+    return None if nodes is None else _block_links(nodes, sets, percent, signed)
+
+
+def _block_links(nodes: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], percent: int,
+                 signed: DataFrame | None = None) -> DataFrame | None:
+    """Links (a, b) between different components of a block of nodes (node, n, comp, block); None if none may link."""
     signed = saved(_signed(sets)) if signed is None else signed
     wanted = saved(_partners(nodes, signed, percent))
     if not wanted.head(1):
@@ -610,7 +707,8 @@ def _open_links(ties: DataFrame, roots: DataFrame, sizes: DataFrame, sets: DataF
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """id, uid, n, component_id and keeper (whether the row has the least id of its component, nulls last)."""
     rows = saved(_rows(docs, id_col, text_col, width))
-    ties = saved(_ties(docs, text_col, width, percent))
+    keyed = saved(_keyed(docs, text_col, width, percent))
+    ties = saved(keyed.select("a", "b").distinct())
     roots = None
     if ties.head(1):
         wanted = ties.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -636,12 +734,21 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
             if rest.head(1):
                 links = links.union(saved(_verified(rest, tied, percent)))
         roots = saved(components(links))
-        more = _open_links(ties, roots, first.select("node", "n"), sets, percent, signed)
-        if more is not None:
-            found = saved(more)
-            if found.head(1):
-                joined = components(links.union(found))
-                roots = saved(joined)
+        nodes = _open(keyed, roots, first.select("node", "n"))
+        if nodes is not None:
+            many = saved(nodes.groupBy("block").count().where(F.col("count") > PAIRED).select("block"))
+            large = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+            more = []
+            near = saved(_possible(_paired(nodes.join(large, "block", "left_anti"), percent), signed, percent))
+            if near.head(1):
+                tied = sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+                more.append(saved(_verified(near.select("a", "b"), tied, percent)))
+            if many.head(1) and (found := _block_links(nodes.join(large, "block"), sets, percent, signed)) is not None:
+                more.append(saved(found))
+            for found in more:
+                links = links.union(found)
+            if any(found.head(1) for found in more):
+                roots = saved(components(links))
     if roots is not None:
         rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     else:
